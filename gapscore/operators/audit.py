@@ -10,6 +10,7 @@ from gapscore.functions.text import MODEL_SUFFIX, goal_key
 from gapscore.operators.extract import extract_skills
 from gapscore.schemas import CHECK
 from gapscore.sources.dictionaries import SkillRules
+from gapscore.storage import local_table
 
 OK, WARNING, DEGRADED, ERROR = "ok", "warning", "degraded", "error"
 
@@ -31,19 +32,19 @@ def _names(column: str) -> Column:
 def check_config(spark: SparkSession, raw: dict) -> DataFrame:
     missing = [field for field in REQUIRED_FIELDS if field not in raw and field != "log_score_details"]
     if missing:
-        row = ("config", ERROR, "Invalid config format", {"missing_fields": ", ".join(missing)})
+        row = ("config", ERROR, "Invalid config format", [("missing_fields", ", ".join(missing))])
     else:
-        details = {
-            "version": str(raw["version"]),
-            "supported_goals": str(len(raw["model_goals_supported"])),
-            "min_score_threshold": str(raw["minimum_score_to_pass"]),
-        }
+        details = [
+            ("version", str(raw["version"])),
+            ("supported_goals", str(len(raw["model_goals_supported"]))),
+            ("min_score_threshold", str(raw["minimum_score_to_pass"])),
+        ]
         row = ("config", OK, "Config loaded successfully", details)
-    return spark.createDataFrame([row], CHECK)
+    return local_table(spark, [row], CHECK)
 
 
 def _absent(spark: SparkSession, name: str, status: str, message: str) -> DataFrame:
-    return spark.createDataFrame([(name, status, message, {})], CHECK)
+    return local_table(spark, [(name, status, message, [])], CHECK)
 
 
 def check_vocabulary(spark: SparkSession, vocabulary: DataFrame | None) -> DataFrame:

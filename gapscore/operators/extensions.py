@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapscore.config import Config
 from gapscore.functions.text import WORD_CHAR
-from gapscore.storage import broadcast_if_small
+from gapscore.storage import small_side
 
 
 def anonymise(df: DataFrame, salt: str, column: str = "student_id") -> DataFrame:
@@ -44,7 +44,7 @@ def partial_matches(df: DataFrame, column: str, universe: DataFrame, threshold:
     similarity = 1 - F.levenshtein("word", "_name") / longer
     return (
         words.withColumn("_length", F.length("word"))
-        .join(broadcast_if_small(by_length), "_length")
+        .join(small_side(by_length), "_length")
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") >= threshold - 1e-9)
         .select("skill", "word", "documents", "similarity")

@@ -45,5 +45,10 @@ def learning_path() -> Column:
 
 
 def skill_rows(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """One row per skill of an array column, with its position."""
-    return df.select(*keys, F.posexplode(column).alias("pos", "skill"))
+    """One row per skill of an array column, with its position.
+
+    The outer form with a filter behind it: a plain explode makes the optimiser filter on the
+    array's size first, which computes the array a second time.
+    """
+    rows = df.select(*keys, F.posexplode_outer(column).alias("pos", "skill"))
+    return rows.filter(F.col("skill").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gapscore.config import Config
 from gapscore.functions.text import goal_key, path_steps
 from gapscore.sources.dictionaries import last_wins
-from gapscore.storage import broadcast_if_small
+from gapscore.storage import local_table, small_side
 
 # Texts of the learning path.
 GENERIC_STEP = ("Develop proficiency in ", " through online courses and projects")
@@ -20,7 +20,7 @@ def skill_universe(goal_skills: DataFrame) -> DataFrame:
 
 
 def supported_goals(spark: SparkSession, config: Config) -> DataFrame:
-    return spark.createDataFrame([(goal,) for goal in config.supported_goals], "goal STRING")
+    return local_table(spark, [(goal,) for goal in config.supported_goals], "goal STRING")
 
 
 def resolve_goal(requests: DataFrame, config: Config) -> DataFrame:
@@ -58,11 +58,13 @@ def requirements(goal_skills: DataFrame, recommendations: DataFrame, config: Con
         .agg(F.array_sort(F.collect_list(entry)).alias("own"))
     )
     names = dict.fromkeys((*config.supported_goals, config.default_goal))
-    usable = spark.createDataFrame([(g, config.default_goal) for g in names], "goal_used STRING, fallback STRING")
+    usable = local_table(
+        spark, [(g, config.default_goal) for g in names], "goal_used STRING, fallback STRING"
+    )
     own = packed.withColumnRenamed("goal", "goal_used")
     fallback = packed.select(F.col("goal").alias("fallback"), F.col("own").alias("theirs"))
     required = F.coalesce("own", "theirs", F.expr("array()").cast(f"array<{ENTRY}>"))
-    return (
+    table = (
         usable.join(own, "goal_used", "left")
         .join(fallback, "fallback", "left")
         .select(
@@ -71,6 +73,7 @@ def requirements(goal_skills: DataFrame, recommendations: DataFrame, config: Con
             required.alias("required"),
         )
     )
+    return small_side(table)
 
 
 ENTRY = "struct<pos: int, skill: string, path: array<string>, course: string>"
@@ -78,7 +81,7 @@ ENTRY = "struct<pos: int, skill: string, path: array<string>, course: string>"
 
 def attach_requirements(resolved: DataFrame, requirements: DataFrame) -> DataFrame:
     """Look up the required skills of each request's goal."""
-    return resolved.join(broadcast_if_small(requirements), "goal_used", "left")
+    return resolved.join(requirements, "goal_used", "left")
 
 
 def goal_consistency(supported: DataFrame, goal_skills: DataFrame, registry: DataFrame) -> DataFrame:

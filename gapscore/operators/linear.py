@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapscore.functions.text import preview
 from gapscore.operators.tfidf import Vocabulary, tfidf
-from gapscore.storage import broadcast_if_small
+from gapscore.storage import small_side
 
 # One model row is an array over the vocabulary: 40 KB at 5,000 terms.
 MAX_BROADCAST_MODELS = 2_000
@@ -60,7 +60,7 @@ def apply_models(weighted: DataFrame, table: DataFrame, goal_column: str) -> Dat
     """Add ``probability`` to rows that have ``indices`` and ``weights``."""
     keyed = table.select(F.col("goal").alias("_model_goal"), "intercept", "coefficients")
     joined = weighted.join(
-        broadcast_if_small(keyed, MAX_BROADCAST_MODELS), F.col(goal_column) == F.col("_model_goal"), "left"
+        small_side(keyed, MAX_BROADCAST_MODELS), F.col(goal_column) == F.col("_model_goal"), "left"
     )
     return joined.withColumn("probability", _probability()).drop(
         "_model_goal", "intercept", "coefficients", "indices", "weights"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gapscore.storage import broadcast_if_small
+from gapscore.storage import small_side
 
 # The share held out, the seed, and the sample counts that decide a goal's fate.
 TEST_SHARE_PERCENT = 40
@@ -88,7 +88,7 @@ def stratified_split(items: DataFrame, item_id: str, seed: int = SEED) -> DataFr
         .filter((F.col("upto") >= F.col("n_test")) & (F.col("upto") - F.col("c") < F.col("n_test")))
         .select(*stratum, "_digits", (F.col("n_test") - F.col("upto") + F.col("c")).alias("take"))
     )
-    ranked = drawn.join(broadcast_if_small(ends), [*stratum, "_digits"]).withColumn(
+    ranked = drawn.join(small_side(ends), [*stratum, "_digits"]).withColumn(
         "rank", F.row_number().over(W.partitionBy(*stratum).orderBy("_draw", item_id))
     )
     lasts = ranked.filter(F.col("rank") == F.col("take")).select(
@@ -96,7 +96,7 @@ def stratified_split(items: DataFrame, item_id: str, seed: int = SEED) -> DataFr
     )
     held_out = F.coalesce(F.struct(F.col("_draw"), F.col(item_id)) <= F.col("_last"), F.lit(False))
     return (
-        drawn.join(broadcast_if_small(lasts), stratum, "left")
+        drawn.join(small_side(lasts), stratum, "left")
         .withColumn("is_test", held_out)
         .drop("_draw", "_digits", "_last")
     )

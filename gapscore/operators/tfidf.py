@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapscore.functions.text import tokens
-from gapscore.storage import broadcast_if_small, materialise
+from gapscore.storage import materialise, small_side
 
 # The vectorizer's settings.
 MAX_FEATURES = 5000
@@ -40,35 +40,36 @@ def terms(df: DataFrame, column: str, stop_words: list[str], output: str = "term
     return words.withColumn(output, F.concat("_words", word_pairs(F.col("_words")))).drop("_words")
 
 
-def term_counts(df: DataFrame, column: str, stop_words: list[str]) -> DataFrame:
-    """Rows ``(*keys, term, tf)``: the counts within each text."""
-    keys = [c for c in df.columns if c != column]
-    exploded = terms(df, column, stop_words).select(*keys, F.explode("terms").alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def count_within(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Rows ``(*keys, term, tf)``: how often each term occurs in the array of its own row.
 
-
-def _occurrences(sorted_terms: str) -> Column:
-    """Terms of one text, sorted, each flagged if it is the first of its kind in the text.
-
-    With the flag, one aggregation by term gives both corpus and document frequency, and no
-    shuffle by document is needed.
+    Equal terms of a sorted array are neighbours, so counting needs no shuffle, and what leaves
+    the row is one entry per distinct term. The generator takes an expression: given a column,
+    the optimiser would filter on that column's size first and compute the array twice.
     """
-    column = F.col(sorted_terms)
-    return F.transform(
-        column,
-        lambda term, i: F.struct(
-            term.alias("term"),
-            ((i == 0) | (F.get(column, i - 1) != term)).cast("long").alias("first"),
-        ),
+    ordered = df.select(*keys, F.sort_array(column).alias("_s"))
+    is_first = lambda term, i: (i == 0) | (F.get("_s", i - 1) != term)
+    starts = F.filter(
+        F.transform("_s", lambda term, i: F.when(is_first(term, i), i)), lambda i: i.isNotNull()
     )
+    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_s")))
+    counted = F.zip_with(
+        "_starts",
+        ends,
+        lambda start, end: F.struct(F.get("_s", start).alias("term"), (end - start).cast("long").alias("tf")),
+    )
+    runs = ordered.withColumn("_starts", starts)
+    return runs.select(*keys, F.inline(F.when(F.size("_s") > 0, counted)))
 
 
-def _count_by_term(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy("term").agg(F.count("*").alias("corpus_tf"), F.sum("first").alias("df"))
+def term_counts(df: DataFrame, column: str, stop_words: list[str], keys: list[str]) -> DataFrame:
+    """Rows ``(*keys, term, tf)``: the words and word pairs of each text with their counts."""
+    return count_within(terms(df.select(*keys, column), column, stop_words), "terms", keys)
 
 
-def _frequencies(texts: DataFrame) -> DataFrame:
-    return _count_by_term(texts.select(F.inline(_occurrences("s"))))
+def _by_term(counts: DataFrame) -> DataFrame:
+    """Frequency in the corpus and number of texts per term, from counts within texts."""
+    return counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count("*").alias("df"))
 
 
 def fit_vocabulary(
@@ -88,23 +89,20 @@ def fit_vocabulary(
     """
     words = texts.select(kept_tokens(F.col(column), stop_words).alias("words"))
     n = texts.count()
-    sorted_words = words.select(F.sort_array("words").alias("s"))
-    single = materialise(_frequencies(sorted_words), "word-counts")
+    single = materialise(_by_term(count_within(words, "words", [])), "word-counts")
     eligible = (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
     top = single.filter(eligible).orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     last = top.agg(F.count("*").alias("words"), F.min("corpus_tf").alias("floor")).first()
     floor = last.floor if last.words == max_features else 1
 
-    pairs = words.select(F.sort_array(word_pairs(F.col("words"))).alias("s")).select(
-        F.inline(_occurrences("s"))
-    )
+    pairs = count_within(words.select(word_pairs(F.col("words")).alias("pairs")), "pairs", [])
     if floor > 1:
-        frequent = broadcast_if_small(single.filter(F.col("corpus_tf") >= floor).select("term"), 200_000)
+        frequent = small_side(single.filter(F.col("corpus_tf") >= floor).select("term"), 200_000)
         for place in (1, -1):
             word = frequent.withColumnRenamed("term", "_word")
             pairs = pairs.join(word, F.substring_index("term", " ", place) == F.col("_word"), "left_semi")
     chosen = (
-        single.unionByName(_count_by_term(pairs))
+        single.unionByName(_by_term(pairs))
         .filter(eligible)
         .orderBy(F.desc("corpus_tf"), "term")
         .limit(max_features)

@@ -24,7 +24,7 @@ from gapscore.operators.split import (
     usable_items,
 )
 from gapscore.operators.tfidf import Vocabulary, tfidf
-from gapscore.storage import broadcast_if_small, materialise
+from gapscore.storage import local_table, materialise, small_side
 
 # Fixed value: the solver's iteration limit.
 MAX_ITERATIONS = 1000
@@ -88,12 +88,12 @@ def _fit_all(train_rows: DataFrame, size: int) -> tuple[list[tuple], list[tuple]
     if not todo:
         return [], []
     with ThreadPool(min(PARALLEL_FITS, len(todo))) as pool:
-        done = pool.map(inheritable_thread_target(one), todo)
+        done = pool.map(inheritable_thread_target(train_rows.sparkSession)(one), todo)
     return [m for m, _ in done if m], [f for _, f in done if f]
 
 
 def _with_weights(rows: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(class_weights(rows)), ["goal", "label"])
+    return rows.join(small_side(class_weights(rows)), ["goal", "label"])
 
 
 def _cross_validate(small: DataFrame, vocabulary_size: int) -> tuple[DataFrame, list[tuple]]:
@@ -105,7 +105,7 @@ def _cross_validate(small: DataFrame, vocabulary_size: int) -> tuple[DataFrame,
     training = folded.join(held, "goal").filter(F.col("fold") != F.col("held"))
     named = training.withColumn("goal", F.concat_ws("\t", "goal", "held")).drop("held", "fold")
     fitted, failed = _fit_all(materialise(_with_weights(named), "fold-training"), vocabulary_size)
-    table = spark.createDataFrame(fitted, schemas.GOAL_MODELS)
+    table = local_table(spark, fitted, schemas.GOAL_MODELS)
     tested = folded.withColumn("_fold_goal", F.concat_ws("\t", "goal", "fold"))
     right = (predicted() == F.col("label")).cast("double")
     by_fold = (
@@ -133,8 +133,9 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
 
     if "item_id" not in items.columns:
         items = items.withColumn("item_id", F.monotonically_increasing_id())
-    wanted = spark.createDataFrame([(g, a) for g, a in action.items() if (g, a) not in skipped], "goal STRING, action STRING")
-    weighted = tfidf(items.join(broadcast_if_small(wanted), "goal"), "resume_text", vocabulary)
+    kept = [(g, a) for g, a in action.items() if (g, a) not in skipped]
+    wanted = local_table(spark, kept, "goal STRING, action STRING")
+    weighted = tfidf(items.join(F.broadcast(wanted), "goal"), "resume_text", vocabulary)
     # Written once, by goal: each fit then reads its own goal only. Rebalancing splits a goal
     # that holds much of the data over several files.
     features = materialise(
@@ -147,8 +148,8 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     split = materialise(stratified_split(large, "item_id"), "split", ["goal", "is_test"])
     train_rows = _with_weights(split.filter(~F.col("is_test")))
     fitted, failed = _fit_all(train_rows, size)
-    models = spark.createDataFrame(fitted, schemas.GOAL_MODELS)
-    test_rows = split.filter("is_test").join(broadcast_if_small(models.select("goal")), "goal", "left_semi")
+    models = local_table(spark, fitted, schemas.GOAL_MODELS)
+    test_rows = split.filter("is_test").join(F.broadcast(models.select("goal")), "goal", "left_semi")
     predictions = apply_models(test_rows, models, "goal").select("goal", "label", "probability")
 
     metrics = (
@@ -172,11 +173,13 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
         cross_validated, fold_failures = _cross_validate(small, size)
         failed += sorted(set(fold_failures))
     else:
-        cross_validated = spark.createDataFrame([], "goal STRING, mean_accuracy DOUBLE, std_accuracy DOUBLE")
+        cross_validated = local_table(
+            spark, [], "goal STRING, mean_accuracy DOUBLE, std_accuracy DOUBLE"
+        )
     return Training(
         models=models,
         registry=registry,
         metrics=metrics,
         cross_validated=cross_validated,
-        skipped=spark.createDataFrame(skipped + failed, "goal STRING, reason STRING"),
+        skipped=local_table(spark, skipped + failed, "goal STRING, reason STRING"),
     )

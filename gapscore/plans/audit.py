@@ -12,6 +12,7 @@ from gapscore.operators.audit import (
     check_vocabulary,
 )
 from gapscore.schemas import GOAL_MODELS
+from gapscore.storage import local_table
 
 
 def audit(
@@ -24,7 +25,7 @@ def audit(
     registry: DataFrame | None = None,
 ) -> DataFrame:
     """One row per check; ``None`` stands for a table that is not there."""
-    stored = models.select("goal") if models is not None else spark.createDataFrame([], GOAL_MODELS).select("goal")
+    stored = models.select("goal") if models is not None else local_table(spark, [], GOAL_MODELS).select("goal")
     return (
         check_config(spark, config)
         .unionByName(check_vocabulary(spark, vocabulary))

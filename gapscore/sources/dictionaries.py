@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscore.functions.words import check_term
-from gapscore.storage import broadcast_if_small
+from gapscore.storage import small_side
 
 # A dictionary is written by people; beyond this it is not one.
 MAX_DICTIONARY_ROWS = 200_000
@@ -74,7 +74,7 @@ def last_wins(table: DataFrame, key: str, order: str) -> DataFrame:
     key that repeats very often costs one row per task.
     """
     latest = table.groupBy(key).agg(F.max(order).alias(order))
-    return table.join(broadcast_if_small(latest), [key, order], "left_semi")
+    return table.join(small_side(latest), [key, order], "left_semi")
 
 
 @dataclass(frozen=True)

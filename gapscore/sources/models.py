@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.tfidf import load_vocabulary
+from gapscore.storage import local_table
 
 TABLES = ("vocabulary", "stop_words", "models", "registry")
 
@@ -21,7 +23,7 @@ def save_models(
 
 
 def _word_table(spark: SparkSession, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(word,) for word in words], "word STRING")
+    return local_table(spark, [(word,) for word in words], "word STRING")
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
@@ -34,6 +36,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
         raise
 
 
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry kept as one JSON file: ``{models: {goal: file}, metrics: {goal: {...}}}``."""
+    metric = "struct<accuracy: double, samples: bigint, positive_samples: bigint, negative_samples: bigint, feature_count: int>"
+    schema = f"models map<string,string>, metrics map<string,{metric}>"
+    content = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
+    entries = content.select(F.explode("r.models").alias("goal", "model_path"), F.col("r.metrics").alias("metrics"))
+    return entries.select("goal", "model_path", F.col("metrics")[F.col("goal")].alias("m")).select(
+        "goal", "model_path", "m.*"
+    )
+
+
 def load_models(spark: SparkSession, folder: str) -> GoalModels | None:
     """The stored models; None, and so scoring by coverage, without a vocabulary or models.
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -44,12 +50,23 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Hint a broadcast only after a bounded count shows that ``df`` is dictionary-sized.
+def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A table of a few driver-side rows that the optimiser sees as constants."""
+    fields = StructType.fromDDL(schema)
+    records = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(fields)), fields)
+
+
+def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """The dictionary side of a join: measured, and broadcast only if it is small.
 
-    A larger side keeps no hint: Spark then shuffles both sides and AQE splits skewed keys.
+    A small one is computed once and becomes a constant table. A larger one is returned as it
+    is: Spark then shuffles both sides and AQE splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    content = df.limit(max_rows + 1).toArrow()
+    if content.num_rows > max_rows or content.nbytes > MAX_BROADCAST_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(content, df.schema))
 
 
 def spread(df: DataFrame) -> DataFrame:

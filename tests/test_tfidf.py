@@ -1,0 +1,103 @@
+"""Vocabulary and weights against a plain Python computation."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gapscore.operators.tfidf import Vocabulary, fit_vocabulary, load_vocabulary, tfidf, tfidf_rows
+
+STOPS = ["the", "of"]
+
+
+def text_terms(text):
+    words = [w for w in re.findall(r"\b[a-zA-Z][a-zA-Z0-9]*\b", text.lower()) if w not in STOPS]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def plain_vocabulary(texts, max_features, min_df, max_df):
+    counts = [Counter(text_terms(t)) for t in texts]
+    total, df = Counter(), Counter()
+    for c in counts:
+        total.update(c)
+        df.update(c.keys())
+    n = len(texts)
+    kept = [t for t in total if min_df <= df[t] <= max_df * n]
+    kept = sorted(sorted(kept, key=lambda t: (-total[t], t))[:max_features])
+    return [(t, i, total[t], df[t], math.log((1 + n) / (1 + df[t])) + 1) for i, t in enumerate(kept)]
+
+
+def plain_weights(text, vocabulary):
+    place = {t: (i, idf) for t, i, _, _, idf in vocabulary}
+    counts = Counter(t for t in text_terms(text) if t in place)
+    raw = {place[t][0]: (1 + math.log(c)) * place[t][1] for t, c in counts.items()}
+    norm = math.sqrt(sum(w * w for w in raw.values()))
+    return {i: w / norm for i, w in raw.items()}
+
+
+def fitted(spark, texts, **settings_):
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    rows = fit_vocabulary(df, "t", STOPS, **settings_).orderBy("term_id").collect()
+    return [tuple(row) for row in rows]
+
+
+def same(actual, expected):
+    assert [a[:4] for a in actual] == [e[:4] for e in expected]
+    for a, e in zip(actual, expected):
+        assert a[4] == pytest.approx(e[4], abs=1e-12)
+
+
+@pytest.mark.parametrize(
+    "max_features, min_df, max_df", [(5, 1, 0.8), (12, 1, 0.8), (5000, 1, 0.8), (6, 2, 1.0), (9, 1, 0.5)]
+)
+def test_vocabulary(spark, max_features, min_df, max_df):
+    texts = [
+        "the cat of the hat saw the cat",
+        "cat hat cat hat cat hat",
+        "a dog saw the cat; a dog ran",
+        "Dog dog DOG x1 1x x_1 café",
+        "",
+        "the of the of",
+    ]
+    actual = fitted(spark, texts, max_features=max_features, min_df=min_df, max_df=max_df)
+    same(actual, plain_vocabulary(texts, max_features, min_df, max_df))
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from("a b c d e the x1".split()), max_size=12).map(" ".join), min_size=2, max_size=8),
+    st.integers(1, 12),
+    st.sampled_from([0.4, 0.8, 1.0]),
+)
+def test_random_corpora(spark, texts, max_features, max_df):
+    actual = fitted(spark, texts, max_features=max_features, max_df=max_df)
+    same(actual, plain_vocabulary(texts, max_features, 1, max_df))
+
+
+def test_weights(spark):
+    texts = ["cat hat cat", "dog", "cat dog dog the dog", "zebra", ""]
+    vocabulary = plain_vocabulary(texts, 50, 1, 0.9)
+    vocabulary = [v for v in vocabulary if v[0] != "zebra"]
+    vocabulary = [(t, i, a, b, c) for i, (t, _, a, b, c) in enumerate(vocabulary)]
+    held = Vocabulary(tuple(v[0] for v in vocabulary), tuple(v[4] for v in vocabulary), tuple(STOPS))
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    for row in tfidf(df, "t", held).collect():
+        expected = plain_weights(texts[row.i], vocabulary)
+        assert dict(zip(row.indices, row.weights)) == pytest.approx(expected, abs=1e-12)
+    long = tfidf_rows(df, "t", held, ["i"]).collect()
+    assert {(r.i, r.term_id) for r in long} == {(i, t) for i, x in enumerate(texts) for t in plain_weights(x, vocabulary)}
+
+
+def test_vocabulary_positions_are_checked(spark):
+    table = spark.createDataFrame([("a", 0, 1.0), ("b", 2, 1.0)], "term STRING, term_id INT, idf DOUBLE")
+    with pytest.raises(ValueError):
+        load_vocabulary(table, [])
+
+
+def test_weights_need_no_shuffle(spark):
+    df = spark.range(0, 100, 1, 4).selectExpr("id", "concat('cat ', id) AS t")
+    plan = tfidf(df, "t", Vocabulary(("cat",), (1.0,)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from gapscore import schemas
 from gapscore.config import Config
-from gapscore.operators.linear import GoalModels, pack_models
+from gapscore.operators.linear import MAX_BROADCAST_MODELS, GoalModels, pack_models
 from gapscore.operators.score import Dimensions, load_dimensions
 from gapscore.operators.split import training_gate
 from gapscore.operators.tfidf import Vocabulary, fit_vocabulary, load_vocabulary, tfidf_rows
 from gapscore.sources.dictionaries import SkillRules
-from gapscore.storage import materialise, spread
+from gapscore.storage import local_table, small_side, spread
 
 # "es" is supported but has no skills of its own; "de" has skills but is not supported.
 CONFIG = {
@@ -81,21 +81,28 @@ def config() -> Config:
 
 def goal_skills(spark: SparkSession) -> DataFrame:
     rows = [(goal, pos, skill) for goal, skills in GOALS.items() for pos, skill in enumerate(skills)]
-    return spark.createDataFrame(rows, schemas.GOAL_SKILLS)
+    return local_table(spark, rows, schemas.GOAL_SKILLS)
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
     rows = [(number, canonical, synonym) for number, (canonical, synonym) in enumerate(SYNONYMS)]
-    return spark.createDataFrame(rows, schemas.SYNONYMS)
+    return local_table(spark, rows, schemas.SYNONYMS)
 
 
 def recommendations(spark: SparkSession) -> DataFrame:
     rows = [(seq, *entry) for seq, entry in enumerate(RECOMMENDATIONS)]
-    return spark.createDataFrame(rows, schemas.RECOMMENDATIONS)
+    return local_table(spark, rows, schemas.RECOMMENDATIONS)
+
+
+_loaded: dict[str, Dimensions] = {}
 
 
 def dimensions(spark: SparkSession) -> Dimensions:
-    return load_dimensions(config(), goal_skills(spark), synonyms(spark), recommendations(spark))
+    """Loaded once per application, as a scoring job would."""
+    app = spark.sparkContext.applicationId
+    if app not in _loaded:
+        _loaded[app] = load_dimensions(config(), goal_skills(spark), synonyms(spark), recommendations(spark))
+    return _loaded[app]
 
 
 def edge_rules() -> SkillRules:
@@ -154,8 +161,15 @@ def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_fitted: dict[tuple[str, str, str], Vocabulary | GoalModels] = {}
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> Vocabulary:
-    return load_vocabulary(vocabulary_table(spark, sf_dir), STOP_WORDS)
+    """Fitted once per application and folder: what scores texts finds a vocabulary in place."""
+    key = ("vocabulary", spark.sparkContext.applicationId, sf_dir)
+    if key not in _fitted:
+        _fitted[key] = load_vocabulary(vocabulary_table(spark, sf_dir), STOP_WORDS)
+    return _fitted[key]
 
 
 def log_odds(spark: SparkSession, sf_dir: str, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]:
@@ -170,6 +184,11 @@ def log_odds(spark: SparkSession, sf_dir: str, vocab: Vocabulary) -> tuple[DataF
 
 
 def models(spark: SparkSession, sf_dir: str) -> GoalModels:
-    vocab = vocabulary(spark, sf_dir)
-    coefficients, intercepts = log_odds(spark, sf_dir, vocab)
-    return GoalModels(vocab, materialise(pack_models(coefficients, intercepts, len(vocab.terms)), "models"))
+    """Models in place, like the vocabulary."""
+    key = ("models", spark.sparkContext.applicationId, sf_dir)
+    if key not in _fitted:
+        vocab = vocabulary(spark, sf_dir)
+        coefficients, intercepts = log_odds(spark, sf_dir, vocab)
+        packed = pack_models(coefficients, intercepts, len(vocab.terms))
+        _fitted[key] = GoalModels(vocab, small_side(packed, MAX_BROADCAST_MODELS))
+    return _fitted[key]

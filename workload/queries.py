@@ -136,7 +136,7 @@ def canonicalise_cascade(spark: SparkSession, sf: str) -> DataFrame:
 def extract_skills_rows(spark: SparkSession, sf: str) -> DataFrame:
     texts = fx.requests(spark, sf).select("student_id", "resume_text")
     found = extract_skills(texts, "resume_text", fx.dimensions(spark).rules)
-    return found.select("student_id", F.explode("found_skills").alias("skill"))
+    return gap.skill_rows(found, "found_skills", ["student_id"]).drop("pos")
 
 
 def extract_from_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +150,7 @@ def extract_edge_terms(spark: SparkSession, sf: str) -> DataFrame:
     pages = fx.table(spark, sf, "pages", "page_id", "url", "html")
     texts = pages.select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
     found = extract_skills(texts, "text", fx.edge_rules())
-    return found.select("page_id", F.explode("found_skills").alias("skill"))
+    return gap.skill_rows(found, "found_skills", ["page_id"]).drop("pos")
 
 
 def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
@@ -166,9 +166,7 @@ def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
 def extract_large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     texts = fx.requests(spark, sf).select("student_id", "resume_text")
     found = extract_skills(texts, "resume_text", _large_rules(spark, sf))
-    return found.select(F.explode("found_skills").alias("skill")).groupBy("skill").agg(
-        F.count("*").alias("documents")
-    )
+    return gap.skill_rows(found, "found_skills", []).groupBy("skill").agg(F.count("*").alias("documents"))
 
 
 def matched_skills(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,8 +204,9 @@ def pass_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def learning_path(spark: SparkSession, sf: str) -> DataFrame:
-    items = _scored(spark, sf).select("student_id", F.posexplode("suggested_learning_path").alias("pos", "item"))
-    return items.select(
+    # The outer form keeps the optimiser from filtering on the array's size first.
+    rows = _scored(spark, sf).select("student_id", F.posexplode_outer("suggested_learning_path").alias("pos", "item"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         "student_id", "pos", _joined("item.path").alias("path"), F.col("item.course").alias("course")
     )
 
@@ -244,12 +243,13 @@ def score_with_models(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx.documents(spark, sf, "doc_id", "text")
-    words = docs.select("doc_id", F.explode(tfidf.kept_tokens(F.col("text"), fx.STOP_WORDS)).alias("term"))
-    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = docs.select("doc_id", tfidf.kept_tokens(F.col("text"), fx.STOP_WORDS).alias("words"))
+    return tfidf.count_within(words, "words", ["doc_id"])
 
 
 def terms_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return tfidf.term_counts(fx.documents(spark, sf, "lang", "text"), "text", fx.STOP_WORDS)
+    counts = tfidf.term_counts(fx.documents(spark, sf, "lang", "text"), "text", fx.STOP_WORDS, ["lang"])
+    return counts.groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
 
 
 def vocabulary_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,9 +473,7 @@ def ext_usage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def ext_case_sensitive(spark: SparkSession, sf: str) -> DataFrame:
     texts = fx.requests(spark, sf).select("resume_text")
     found = extract_skills(texts, "resume_text", fx.dimensions(spark).rules, case_sensitive=True)
-    return found.select(F.explode("found_skills").alias("skill")).groupBy("skill").agg(
-        F.count("*").alias("documents")
-    )
+    return gap.skill_rows(found, "found_skills", []).groupBy("skill").agg(F.count("*").alias("documents"))
 
 
 QUERIES = {
