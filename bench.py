@@ -29,6 +29,7 @@ HEADLINE = [
     "vocabulary_topk",
     "tfidf_l2",
     "linear_score",
+    "stored_models",
     "score_all_goals",
     "eval_confusion",
     "stratified_split",

@@ -79,9 +79,9 @@ def score_all_goals(samples: DataFrame, text_column: str, models: GoalModels, ke
     if len(goals) > MAX_BROADCAST_MODELS:
         raise ValueError(f"more than {MAX_BROADCAST_MODELS} models to probe")
     weighted = tfidf(samples.select(*keys, text_column), text_column, models.vocabulary)
-    per_goal = weighted.select("*", F.explode(F.array(*[F.lit(g) for g in sorted(goals)])).alias("goal"))
+    each_goal = F.explode(F.array(*[F.lit(g) for g in sorted(goals)])).alias("goal")
+    start = preview(F.col(text_column)).alias("preview")
+    per_goal = weighted.select(*keys, start, "indices", "weights", each_goal)
     scored = apply_models(per_goal, models.table, "goal")
     label = F.when(F.col("probability") > MATCH_ABOVE, MATCH).otherwise(NO_MATCH)
-    return scored.select(
-        *keys, "goal", "probability", label.alias("label"), preview(F.col(text_column)).alias("preview")
-    )
+    return scored.select(*keys, "goal", "probability", label.alias("label"), "preview")

@@ -15,11 +15,14 @@ MIN_SAMPLES = 10
 CROSS_VALIDATE_UP_TO = 20
 MAX_FOLDS = 5
 
+# What the gate lets through; any other action names a reason for skipping the goal.
+TRAIN, CROSS_VALIDATE = "train", "cross-validate"
+
 
 def usable_items(training: DataFrame) -> DataFrame:
-    """Items with both text and label; the label becomes a number."""
+    """Items with both text and label; the label becomes a number, NULL if it is none."""
     complete = training.filter(F.col("resume_text").isNotNull() & F.col("label").isNotNull())
-    return complete.withColumn("label", F.col("label").cast("int"))
+    return complete.withColumn("label", F.col("label").try_cast("int"))
 
 
 def training_counts(items: DataFrame) -> DataFrame:
@@ -31,16 +34,31 @@ def training_counts(items: DataFrame) -> DataFrame:
 
 
 def training_gate(goals: DataFrame, items: DataFrame) -> DataFrame:
-    """What happens to each goal: no data, too few samples, cross-validation only, or training."""
-    counted = goals.join(training_counts(items), "goal", "left").fillna(0)
+    """What happens to each goal: training, cross-validation only, or the reason for neither."""
+    per_label = items.groupBy("goal", "label").agg(F.count("*").alias("n"))
+    per_goal = per_label.groupBy("goal").agg(
+        F.sum("n").alias("samples"),
+        F.sum(F.col("label") * F.col("n")).alias("positive_samples"),
+        F.min("n").alias("rarest"),
+        F.sum(F.when(F.col("label").isNull(), F.col("n"))).alias("unusable"),
+    )
+    counted = goals.join(per_goal, "goal", "left").fillna(0)
     samples = F.col("samples")
     action = (
-        F.when(samples == 0, "no data")
+        F.when(F.col("unusable") > 0, "a label is not a number")
+        .when(samples == 0, "no data")
         .when(samples < MIN_SAMPLES, "not enough samples")
-        .when(samples <= CROSS_VALIDATE_UP_TO, "cross-validate")
-        .otherwise("train")
+        .when(samples <= CROSS_VALIDATE_UP_TO, CROSS_VALIDATE)
+        .when(F.col("rarest") < 2, "a label has one sample")
+        .otherwise(TRAIN)
+    )
+    return counted.select(
+        "goal",
+        "samples",
+        "positive_samples",
+        (samples - F.col("positive_samples")).alias("negative_samples"),
+        action.alias("action"),
     )
-    return counted.withColumn("action", action)
 
 
 def split_sizes(strata: DataFrame) -> DataFrame:

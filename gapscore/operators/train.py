@@ -16,6 +16,8 @@ from gapscore.functions.text import MODEL_SUFFIX
 from gapscore.operators.evaluate import accuracy, confusion, precision_recall, predicted
 from gapscore.operators.linear import apply_models
 from gapscore.operators.split import (
+    CROSS_VALIDATE,
+    TRAIN,
     class_weights,
     folds,
     stratified_split,
@@ -120,6 +122,8 @@ def _cross_validate(small: DataFrame, vocabulary_size: int) -> tuple[DataFrame,
 def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     """Train every goal of ``training(goal, resume_text, label)`` that has enough samples.
 
+    A column ``item_id``, unique within a goal, fixes the split; without it rows are numbered.
+
     More than 20 samples: 60 % of them, stratified, train a model and the rest measure it.
     10 to 20: cross-validated accuracy only. Fewer: skipped.
     """
@@ -129,7 +133,7 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     # One row per goal.
     gate = training_gate(training.select("goal").distinct(), items).collect()
     action = {row.goal: row.action for row in gate}
-    skipped = [(g, a) for g, a in sorted(action.items()) if a in ("no data", "not enough samples")]
+    skipped = [(g, a) for g, a in sorted(action.items()) if a not in (TRAIN, CROSS_VALIDATE)]
 
     if "item_id" not in items.columns:
         items = items.withColumn("item_id", F.monotonically_increasing_id())
@@ -144,8 +148,8 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
         ["goal"],
     )
 
-    large = features.filter(F.col("action") == "train").drop("action")
-    split = materialise(stratified_split(large, "item_id"), "split", ["goal", "is_test"])
+    large = features.filter(F.col("action") == TRAIN).drop("action")
+    split = stratified_split(large, "item_id")
     train_rows = _with_weights(split.filter(~F.col("is_test")))
     fitted, failed = _fit_all(train_rows, size)
     models = local_table(spark, fitted, schemas.GOAL_MODELS)
@@ -168,8 +172,8 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
         F.lit(size).alias("feature_count"),
     )
 
-    small = features.filter(F.col("action") == "cross-validate").drop("action")
-    if "cross-validate" in action.values():
+    small = features.filter(F.col("action") == CROSS_VALIDATE).drop("action")
+    if CROSS_VALIDATE in action.values():
         cross_validated, fold_failures = _cross_validate(small, size)
         failed += sorted(set(fold_failures))
     else:

@@ -27,17 +27,23 @@ def read_request_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_bodies(bodies: DataFrame, column: str = "value") -> DataFrame:
     """JSON bodies to typed requests plus ``details``, one entry per field that is unusable."""
-    body = F.try_parse_json(F.col(column))
-    values, errors = [], [F.when(body.isNull(), F.lit(f"body: {NOT_JSON}"))]
+    parsed = bodies.select(F.try_parse_json(F.col(column)).alias("_body"))
+    fields = parsed.select(
+        "_body", *[F.try_variant_get("_body", f"$.{field}", "variant").alias(field) for field in FIELDS]
+    )
+    errors = [F.when(F.col("_body").isNull(), F.lit(f"body: {NOT_JSON}"))]
     for field in FIELDS:
-        value = F.try_variant_get(body, f"$.{field}", "variant")
-        is_string = F.schema_of_variant(value) == "STRING"
-        values.append(F.when(is_string, F.try_variant_get(body, f"$.{field}", "string")).alias(field))
+        missing = F.col("_body").isNotNull() & F.col(field).isNull()
         errors.append(
-            F.when(body.isNotNull() & value.isNull(), F.lit(f"body.{field}: {MISSING}"))
-            .when(~is_string, F.lit(f"body.{field}: {NOT_A_STRING}"))
+            F.when(missing, F.lit(f"body.{field}: {MISSING}"))
+            .when(~_is_string(field), F.lit(f"body.{field}: {NOT_A_STRING}"))
         )
-    return bodies.select(*values, F.array_compact(F.array(*errors)).alias("details"))
+    values = [F.when(_is_string(f), F.try_variant_get(f, "$", "string")).alias(f) for f in FIELDS]
+    return fields.select(*values, F.array_compact(F.array(*errors)).alias("details"))
+
+
+def _is_string(field: str) -> Column:
+    return F.schema_of_variant(F.col(field)) == "STRING"
 
 
 def check_fields(requests: DataFrame) -> DataFrame:

@@ -43,16 +43,17 @@ def test_stratified_split(spark, sizes):
     assert {(r.goal, r.id) for r in out if r.is_test} == expected_test_ids(rows)
 
 
-def test_split_with_equal_draws(spark):
-    """Copies of one id are told apart by nothing, so they stay on one side; others are exact."""
+def test_split_is_exact_per_label(spark):
     rows = [("a", 0, i) for i in range(50)] + [("a", 1, i) for i in range(100, 150)]
     df = spark.createDataFrame(rows, "goal STRING, label INT, id LONG")
     assert split.stratified_split(df, "id").filter("is_test").count() == 40
 
 
 def test_gate(spark):
-    counts = {"none": 0, "few": 9, "cv": 10, "cv2": 20, "full": 21}
-    items = spark.createDataFrame([(g, 1) for g, n in counts.items() for _ in range(n)], "goal STRING, label INT")
+    counts = {"none": 0, "few": 9, "cv": 10, "cv2": 20, "full": 21, "lone": 30, "odd": 30}
+    labels = [(g, "1") for g, n in counts.items() for _ in range(n)] + [("lone", "0"), ("odd", "x"), ("odd", "0")]
+    rows = spark.createDataFrame([(g, "text", label) for g, label in labels], "goal STRING, resume_text STRING, label STRING")
+    items = split.usable_items(rows)
     goals = spark.createDataFrame([(g,) for g in counts], "goal STRING")
     actions = {r.goal: r.action for r in split.training_gate(goals, items).collect()}
     assert actions == {
@@ -61,6 +62,8 @@ def test_gate(spark):
         "cv": "cross-validate",
         "cv2": "cross-validate",
         "full": "train",
+        "lone": "a label has one sample",
+        "odd": "a label is not a number",
     }
 
 

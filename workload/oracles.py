@@ -225,12 +225,15 @@ GATE = """
     ),
     counted AS (
       SELECT goal, count(label) AS samples, coalesce(sum(label), 0)::BIGINT AS positive_samples,
-             (count(label) - coalesce(sum(label), 0))::BIGINT AS negative_samples
+             (count(label) - coalesce(sum(label), 0))::BIGINT AS negative_samples,
+             least(nullif(count(*) FILTER (label = 0), 0), nullif(count(*) FILTER (label = 1), 0)) AS rarest
       FROM known GROUP BY goal
     ),
     gate AS (
-      SELECT *, CASE WHEN samples = 0 THEN 'no data' WHEN samples < 10 THEN 'not enough samples'
-                     WHEN samples <= 20 THEN 'cross-validate' ELSE 'train' END AS action
+      SELECT goal, samples, positive_samples, negative_samples,
+             CASE WHEN samples = 0 THEN 'no data' WHEN samples < 10 THEN 'not enough samples'
+                  WHEN samples <= 20 THEN 'cross-validate' WHEN rarest < 2 THEN 'a label has one sample'
+                  ELSE 'train' END AS action
       FROM counted
     )"""
 
@@ -353,6 +356,9 @@ ORACLES = {
       SELECT source AS goal, CASE WHEN source <> 'src3' THEN count(DISTINCT lang) END AS skills,
              source = 'src3' AS malformed
       FROM documents GROUP BY source""",
+    "synonym_rules": """
+      SELECT row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS rule_no, source AS canonical, lang AS synonym
+      FROM (SELECT DISTINCT source, lang FROM documents)""",
     "skill_universe": f"SELECT DISTINCT unnest({_tokens('text')}) AS skill FROM documents",
     "recommendations_last_wins": """
       WITH last AS (
@@ -521,3 +527,4 @@ ORACLES = {
       SELECT skill, count(*) AS documents FROM ({_found(f"({REQUESTS})", "student_id", "resume_text", lower=False)})
       GROUP BY skill""",
 }
+ORACLES["stored_models"] = ORACLES["linear_score"]

@@ -92,6 +92,14 @@ def goal_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return dictionaries.goal_sizes(dictionaries.parse_goals(documents))
 
 
+def synonym_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON dictionary per source, whose languages are its synonyms in order."""
+    docs = fx.documents(spark, sf, "source", "lang")
+    listed = F.array_sort(F.collect_set("lang"))  # as many as there are languages
+    per_source = docs.groupBy("source").agg(listed.alias("langs"))
+    return dictionaries.parse_synonyms(per_source.select(F.to_json(F.create_map("source", "langs")).alias("value")))
+
+
 def skill_universe(spark: SparkSession, sf: str) -> DataFrame:
     """All words of the documents as skills of their language."""
     docs = fx.documents(spark, sf, "lang", "text")
@@ -274,7 +282,7 @@ def training_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.source_gate(spark, sf).select("goal", "samples", "positive_samples", "negative_samples", "action")
+    return fx.source_gate(spark, sf)
 
 
 def training_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +323,7 @@ def train_lr_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # Linear scores and evaluation
 
 
-def _stored(spark: SparkSession, sf: str) -> linear.GoalModels:
+def _round_trip(spark: SparkSession, sf: str) -> linear.GoalModels:
     """The models after a round trip through storage."""
     vocab = materialise(fx.vocabulary_table(spark, sf), "vocabulary")
     loaded = tfidf.load_vocabulary(vocab, fx.STOP_WORDS)
@@ -329,9 +337,18 @@ def _stored(spark: SparkSession, sf: str) -> linear.GoalModels:
 
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
     """English documents against one model, French ones against the other, the rest have none."""
+    return _linear_scores(spark, sf, fx.models(spark, sf))
+
+
+def stored_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores from models fitted now, stored and loaded again."""
+    return _linear_scores(spark, sf, _round_trip(spark, sf))
+
+
+def _linear_scores(spark: SparkSession, sf: str, trained: linear.GoalModels) -> DataFrame:
     docs = fx.documents(spark, sf, "doc_id", "lang", "text")
     goal = F.when(F.col("lang") == "en", "quality").when(F.col("lang") == "fr", "toxic").otherwise(F.col("lang"))
-    scored = linear.model_probability(docs.withColumn("goal", goal), _stored(spark, sf), "text", "goal")
+    scored = linear.model_probability(docs.withColumn("goal", goal), trained, "text", "goal")
     return scored.select("doc_id", "goal", _rounded("probability").alias("probability"))
 
 
@@ -482,6 +499,7 @@ QUERIES = {
     "blank_gate": blank_gate,
     "goal_resolution": goal_resolution,
     "goal_dimension": goal_dimension,
+    "synonym_rules": synonym_rules,
     "skill_universe": skill_universe,
     "recommendations_last_wins": recommendations_last_wins,
     "dictionary_survivors": dictionary_survivors,
@@ -509,6 +527,7 @@ QUERIES = {
     "stratified_split": stratified_split,
     "train_lr_metrics": train_lr_metrics,
     "linear_score": linear_score,
+    "stored_models": stored_models,
     "score_all_goals": score_all_goals,
     "eval_accuracy": eval_accuracy,
     "eval_prf": eval_prf,
