@@ -82,7 +82,7 @@ def check_models(expected: DataFrame, models: DataFrame) -> DataFrame:
 def check_goals(spark: SparkSession, sizes: DataFrame | None) -> DataFrame:
     """From the table of ``goal_sizes``. Malformed entries are counted; they do not fail the check."""
     if sizes is None:
-        return _absent(spark, "goals", ERROR, "goals.json not found")
+        return _absent(spark, "goals", ERROR, "Goals not found")
     counts = sizes.agg(
         F.count("*").alias("goals"), F.sum("skills").alias("skills"), F.count_if("malformed").alias("malformed")
     )

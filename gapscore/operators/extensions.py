@@ -1,4 +1,4 @@
-"""Switches that the reference configuration declares without acting on them. All are opt-in."""
+"""Switches that a configuration can declare beyond scoring itself. All are opt-in."""
 
 from __future__ import annotations
 

@@ -46,7 +46,7 @@ def test_typed_requests(spark, tmp_path):
 
 
 def test_goals_file(spark, tmp_path):
-    path = tmp_path / "goals.json"
+    path = tmp_path / "wanted.json"
     path.write_text(json.dumps({"A": ["x", "y"], "B": "broken", "C": []}, indent=2))
     parsed = dictionaries.read_goals(spark, str(path))
     assert rows(dictionaries.goal_skills(parsed)) == [("A", 0, "x"), ("A", 1, "y")]
