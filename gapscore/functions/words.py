@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from gapscore.functions.text import WORD_CHAR
 
-OPEN, CLOSE, OTHER = "\u0001", "\u0002", "\u0003"
+MARK, OTHER = "\u0001", "\u0002"
 
 _WORD = re.compile(r"\w+")
 
 
 def check_term(term: str) -> str:
     """Terms must be non-empty and free of the marks."""
-    if not term or any(mark in term for mark in (OPEN, CLOSE, OTHER)):
+    if not term or MARK in term or OTHER in term:
         raise ValueError(f"not usable as a dictionary term: {term!r}")
     return term
 
@@ -35,24 +35,26 @@ def has_word_edges(term: str) -> bool:
     return bool(_WORD.match(term[0]) and _WORD.match(term[-1]))
 
 
-def marked_term(term: str) -> str:
+def with_marks(term: str) -> str:
+    return _WORD.sub(lambda word: f"{MARK}{word.group()}{MARK}", term)
+
+
+def to_find(term: str) -> str:
     """The substring to look for in a marked text.
 
     A boundary next to a punctuation edge needs a word on its other side, so ``c++`` is found
     only when a word follows at once and ``.net`` only when a word precedes at once.
     """
-    marked = _WORD.sub(lambda word: f"{OPEN}{word.group()}{CLOSE}", term)
-    before = "" if _WORD.match(term[0]) else CLOSE
-    after = "" if _WORD.match(term[-1]) else OPEN
-    return before + marked + after
+    before = "" if _WORD.match(term[0]) else MARK
+    after = "" if _WORD.match(term[-1]) else MARK
+    return before + with_marks(term) + after
 
 
 def mark_words(text: Column) -> Column:
     """Mark every word. Marks already present in the text become another non-word character."""
-    has_marks = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    safe = F.when(has_marks, F.translate(text, OPEN + CLOSE, OTHER + OTHER)).otherwise(text)
-    return F.regexp_replace(safe, WORD_CHAR + "+", f"{OPEN}$0{CLOSE}")
+    safe = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit(OTHER))).otherwise(text)
+    return F.regexp_replace(safe, WORD_CHAR + "++", f"{MARK}$0{MARK}")
 
 
 def unmark_words(text: Column) -> Column:
-    return F.translate(text, OPEN + CLOSE, "")
+    return F.replace(text, F.lit(MARK), F.lit(""))

@@ -19,20 +19,20 @@ from pyspark.sql import types as T
 
 from gapscore.functions.text import join_list
 from gapscore.functions.words import (
-    CLOSE,
-    OPEN,
+    MARK,
     OTHER,
     has_word_edges,
     mark_words,
-    marked_term,
+    to_find,
     unmark_words,
+    with_marks,
     words_of,
 )
 from gapscore.sources.dictionaries import SkillRules
 
-# Measured break-even: built-in expressions cost about 15 microseconds per term and text of
-# 2,400 characters, the indexed Python pass about 250 whatever the number of terms.
-NATIVE_TERMS = 16
+# Measured break-even: the cost of built-in expressions grows with every term, that of the
+# indexed Python pass does not.
+NATIVE_TERMS = 8
 
 
 def as_text(df: DataFrame, column: str) -> Column:
@@ -54,16 +54,12 @@ def canonical_marked(text: Column, rules: SkillRules, case_sensitive: bool = Fal
     """The rewritten text with its words marked, by built-in expressions."""
     folded = text if case_sensitive else F.lower(text)
     pairs = [(_folded(s, case_sensitive), _folded(c, case_sensitive)) for s, c in rules.rules]
-    steps = _constant([{"find": marked_term(s), "put": _mark_all(c)} for s, c in pairs], "find string, put string")
+    steps = _constant([{"find": to_find(s), "put": with_marks(c)} for s, c in pairs], "find string, put string")
     return F.aggregate(steps, mark_words(folded), lambda marked, step: F.replace(marked, step.find, step.put))
 
 
-def _mark_all(term: str) -> str:
-    return re.sub(r"\w+", lambda word: f"{OPEN}{word.group()}{CLOSE}", term)
-
-
 def _contained(marked: Column, skills: tuple[str, ...], case_sensitive: bool) -> Column:
-    wanted = [{"skill": s, "find": marked_term(_folded(s, case_sensitive))} for s in skills]
+    wanted = [{"skill": s, "find": to_find(_folded(s, case_sensitive))} for s in skills]
     terms = _constant(wanted, "skill string, find string")
     # The text enters through an array of one, so that it is rewritten once and not per skill
     # even where the optimiser merges projections.
@@ -85,8 +81,8 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
     # (to find, to put, words it may introduce, pattern if it must be matched next to a word)
     plan = [
         (
-            marked_term(synonym),
-            _mark_all(canonical),
+            to_find(synonym),
+            with_marks(canonical),
             words_of(canonical),
             canonical,
             None if has_word_edges(synonym) else r"\b" + re.escape(synonym) + r"\b",
@@ -95,8 +91,8 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
     ]
     rules_by_word, rules_always = _index([synonym for synonym, _ in rewrites])
     skills_by_word, skills_always = _index([term for _, term in lookups])
-    to_find = [(skill, marked_term(term)) for skill, term in lookups]
-    open_, close, other = OPEN, CLOSE, OTHER
+    wanted = [(skill, to_find(term)) for skill, term in lookups]
+    edge, other = MARK, OTHER
     returns = T.StringType() if want == "text" else T.ArrayType(T.StringType())
 
     @F.pandas_udf(returns)
@@ -109,18 +105,14 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
         patterns = [p and re.compile(p) for *_, p in plan]
 
         def mark(text):
-            parts = split(text)
-            words = set(parts[1::2])
-            parts[1::2] = [open_ + w + close for w in parts[1::2]]
-            return "".join(parts), words
+            parts = split(text)  # between words, word, between words, ..., between words
+            return edge.join(parts), set(parts[1::2])
 
         def candidates(words, by_word, always):
             return set(always).union(*(by_word[w] for w in words if w in by_word))
 
         def rewrite(text):
-            if open_ in text or close in text:
-                text = text.replace(open_, other).replace(close, other)
-            marked, words = mark(text)
+            marked, words = mark(text.replace(edge, other))
             queued = candidates(words, rules_by_word, rules_always)
             queue = sorted(queued)
             while queue:
@@ -131,9 +123,8 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
                 if patterns[number] is None:
                     marked = marked.replace(find, put)
                 else:
-                    plain = marked.replace(open_, "").replace(close, "")
-                    plain = patterns[number].sub(lambda _: canonical, plain)
-                    marked, introduced = mark(plain)
+                    plain = marked.replace(edge, "")
+                    marked, introduced = mark(patterns[number].sub(lambda _: canonical, plain))
                 words.update(introduced)
                 # New words can only wake later rules: the cascade never goes back.
                 for later in candidates(introduced, rules_by_word, ()) - queued:
@@ -145,10 +136,10 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
         def find_skills(text):
             marked, words = rewrite(text)
             hits = candidates(words, skills_by_word, skills_always)
-            return [to_find[i][0] for i in sorted(hits) if to_find[i][1] in marked]
+            return [wanted[i][0] for i in sorted(hits) if wanted[i][1] in marked]
 
         def canonical_text(text):
-            return rewrite(text)[0].replace(open_, "").replace(close, "")
+            return rewrite(text)[0].replace(edge, "")
 
         work = canonical_text if want == "text" else find_skills
         for batch in batches:

@@ -31,7 +31,7 @@ def kept_tokens(text: Column, stop_words: list[str]) -> Column:
 def word_pairs(words: Column) -> Column:
     """Each word with its successor, joined by a space."""
     last = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.concat_ws(" ", a, b))
+    return F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def terms(df: DataFrame, column: str, stop_words: list[str], output: str = "terms") -> DataFrame:
@@ -149,11 +149,10 @@ def tfidf(df: DataFrame, column: str, vocabulary: Vocabulary) -> DataFrame:
         }
     )
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, w: total + w * w))
-    return (
-        raw.withColumn("_norm", norm)
-        .withColumn("weights", F.transform("_raw", lambda w: w / F.col("_norm")))
-        .drop("_terms", "_tf", "_raw", "_norm")
-    )
+    # The norm enters through an array of one; inside the inner function it would be computed
+    # again for every term.
+    weights = F.transform(F.array(norm), lambda length: F.transform("_raw", lambda w: w / length))
+    return raw.withColumn("weights", F.get(weights, 0)).drop("_terms", "_tf", "_raw")
 
 
 def tfidf_rows(df: DataFrame, column: str, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:

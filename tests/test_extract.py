@@ -87,7 +87,7 @@ def test_edges_that_are_not_words(spark, path):
 
 
 def test_texts_that_contain_the_marks(spark, path):
-    texts = ["a\u0001ml\u0002b", "\u0002.net", "\u0001ml\u0002", "x\u0002 \u0001ml", "machine\u0002 \u0001learning"]
+    texts = ["a\u0001ml\u0001b", "\u0001.net", "\u0001ml\u0001", "x\u0001 \u0001ml", "machine\u0001 \u0001learning", "x\u0002ml"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
     dictionary = SkillRules(tuple(RULES), (*SKILLS, ".NET"))
     for row in extract_skills(df, "t", dictionary).collect():

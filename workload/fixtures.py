@@ -68,6 +68,8 @@ RECOMMENDATIONS = [
 EDGE_SYNONYMS = [("dotcom", ".com"), ("-org", ".org"), ("web", "http"), ("://web.", "://")]
 EDGE_SKILLS = ["web", "exampledotcom", "-org", "example.net", "://", ".net", "page=", "web.m", "&", "dotcom"]
 
+FEW_SKILLS = ["thing", "thor", "elle"]
+
 STOP_WORDS = ["the", "and", "of", "to", "le", "la", "de", "et", "der", "die", "und", "el", "en", "que"]
 MAX_FEATURES = 400
 MAX_DF = 0.5
@@ -105,6 +107,11 @@ def dimensions(spark: SparkSession) -> Dimensions:
     return _loaded[app]
 
 
+def few_rules() -> SkillRules:
+    """The first rules of the cascade and some skills they lead to."""
+    return SkillRules(tuple((synonym, canonical) for canonical, synonym in SYNONYMS[:4]), tuple(FEW_SKILLS))
+
+
 def edge_rules() -> SkillRules:
     return SkillRules(tuple((synonym, canonical) for canonical, synonym in EDGE_SYNONYMS), tuple(EDGE_SKILLS))
 

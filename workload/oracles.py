@@ -320,6 +320,8 @@ def _edge_canonical(text: str) -> str:
 
 EDGE_TESTS = ", ".join(f"CASE WHEN contains(m, {_find(s)}) THEN {_lit(s)} END" for s in fx.EDGE_SKILLS)
 
+FEW_TESTS = ", ".join(f"CASE WHEN contains(m, {_find(s)}) THEN {_lit(s)} END" for s in fx.FEW_SKILLS)
+
 PATH_TEXT = "array_to_string(path, '>') || '@' || course"
 TAIL_TEXT = _lit(f"{gap.TAIL_STEP}@{gap.TAIL_COURSE}")
 
@@ -380,6 +382,11 @@ ORACLES = {
       WITH done AS (SELECT doc_id, lower(text) AS low, {_unmark(_canonical('text'))} AS canonical FROM documents)
       SELECT 'stu_' || doc_id AS student_id, canonical <> low AS changed, md5(canonical) AS canonical_md5 FROM done""",
     "extract_skills": _found(f"({REQUESTS})", "student_id", "resume_text"),
+    "extract_few_terms": f"""
+      SELECT student_id, skill FROM (
+        SELECT 'stu_' || doc_id AS student_id, unnest([{FEW_TESTS}]) AS skill
+        FROM (SELECT doc_id, {_cascade(_mark("lower(text)"), fx.SYNONYMS[:4])} AS m FROM documents)
+      ) WHERE skill IS NOT NULL""",
     "extract_from_lists": f"""
       WITH lists AS (
         SELECT 'stu_' || doc_id AS student_id, array_to_string(string_split(text, chr(10)), ', ') AS joined

@@ -154,6 +154,13 @@ def extract_from_lists(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("student_id", _joined(F.array_sort("found_skills")).alias("skills"))
 
 
+def extract_few_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary small enough for built-in expressions."""
+    texts = fx.requests(spark, sf).select("student_id", "resume_text")
+    found = extract_skills(texts, "resume_text", fx.few_rules())
+    return gap.skill_rows(found, "found_skills", ["student_id"]).drop("pos")
+
+
 def extract_edge_terms(spark: SparkSession, sf: str) -> DataFrame:
     pages = fx.table(spark, sf, "pages", "page_id", "url", "html")
     texts = pages.select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
@@ -506,6 +513,7 @@ QUERIES = {
     "canonicalise_cascade": canonicalise_cascade,
     "extract_skills": extract_skills_rows,
     "extract_from_lists": extract_from_lists,
+    "extract_few_terms": extract_few_terms,
     "extract_edge_terms": extract_edge_terms,
     "extract_large_dictionary": extract_large_dictionary,
     "matched_skills": matched_skills,
