@@ -63,4 +63,6 @@ def goal_key(goal: Column) -> Column:
 def display_name(model_file: Column) -> Column:
     """Model file back to a title-cased name; the original capitals are lost."""
     stem = F.regexp_replace(model_file, MODEL_SUFFIX.replace(".", r"\.") + "$", "")
-    return F.initcap(F.replace(stem, F.lit("_"), F.lit(" ")))
+    # Every run of letters starts with a capital, also after digits and punctuation.
+    runs = F.regexp_extract_all(F.replace(stem, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")

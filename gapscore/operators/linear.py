@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,11 +76,9 @@ def model_probability(df: DataFrame, models: GoalModels, text_column: str, goal_
 def score_all_goals(samples: DataFrame, text_column: str, models: GoalModels, keys: list[str]) -> DataFrame:
     """Every sample against every model: probability, label and the start of the text."""
     # As many names as there are models.
-    goals = [row.goal for row in models.table.select("goal").take(MAX_BROADCAST_MODELS + 1)]
-    if len(goals) > MAX_BROADCAST_MODELS:
-        raise ValueError(f"more than {MAX_BROADCAST_MODELS} models to probe")
+    goals = sorted(row.goal for row in models.table.select("goal").collect())
     weighted = tfidf(samples.select(*keys, text_column), text_column, models.vocabulary)
-    each_goal = F.explode(F.array(*[F.lit(g) for g in sorted(goals)])).alias("goal")
+    each_goal = F.explode(F.from_json(F.lit(json.dumps(goals)), "array<string>")).alias("goal")
     start = preview(F.col(text_column)).alias("preview")
     per_goal = weighted.select(*keys, start, "indices", "weights", each_goal)
     scored = apply_models(per_goal, models.table, "goal")

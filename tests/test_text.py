@@ -72,8 +72,9 @@ def test_path_steps(spark):
 
 def test_goal_names(spark):
     assert _apply(spark, ["Data Engineer", "X"], fn.goal_key) == ["data_engineer", "x"]
-    files = ["data_engineer_model.pkl", "aiml_x_model.pkl"]
-    assert _apply(spark, files, fn.display_name) == ["Data Engineer", "Aiml X"]
+    stems = ["data_engineer", "AIML_x", "src3/en", "3d-art_2x", "don't__stop", "é_à", ""]
+    files = [f"{stem}_model.pkl" for stem in stems]
+    assert _apply(spark, files, fn.display_name) == [stem.replace("_", " ").title() for stem in stems]
 
 
 def test_preview(spark):

@@ -265,8 +265,8 @@ def _key(goal: str) -> str:
 
 
 DISPLAY = f"""
-    array_to_string(list_transform(string_split(replace({_key("goal")}, '_', ' '), ' '),
-      lambda w: upper(w[1]) || lower(w[2:])), ' ')"""
+    array_to_string(list_transform(regexp_extract_all(replace({_key("goal")}, '_', ' '), '\\p{{L}}+|[^\\p{{L}}]+'),
+      lambda w: upper(w[1]) || lower(w[2:])), '')"""
 
 CHECKS = (
     GATE
