@@ -12,8 +12,22 @@ from gapscore.schemas import CHECK
 from gapscore.sources.dictionaries import SkillRules
 from gapscore.storage import local_table
 
+# The states of a check.
 OK, WARNING, DEGRADED, ERROR = "ok", "warning", "degraded", "error"
 
+# The messages of the checks.
+CONFIG_OK = "Config loaded successfully"
+CONFIG_BAD = "Invalid config format"
+VECTORIZER_OK = "Vectorizer loaded successfully"
+VECTORIZER_BAD = "Vectorizer load failed"
+VECTORIZER_ABSENT = "TF-IDF vectorizer not found"
+MODELS_DONE = "Models check completed: %d loaded, %d failed"
+MODELS_ABSENT = "No trained models found"
+GOALS_OK = "Goals loaded successfully"
+GOALS_ABSENT = "Goals not found"
+REGISTRY_DONE = "Registry check completed"
+REGISTRY_ABSENT = "Model registry not found (optional)"
+
 
 def _details(**values: Column) -> Column:
     pairs = [part for name, value in values.items() for part in (F.lit(name), value.cast("string"))]
@@ -32,14 +46,14 @@ def _names(column: str) -> Column:
 def check_config(spark: SparkSession, raw: dict) -> DataFrame:
     missing = [field for field in REQUIRED_FIELDS if field not in raw and field != "log_score_details"]
     if missing:
-        row = ("config", ERROR, "Invalid config format", [("missing_fields", ", ".join(missing))])
+        row = ("config", ERROR, CONFIG_BAD, [("missing_fields", ", ".join(missing))])
     else:
         details = [
             ("version", str(raw["version"])),
             ("supported_goals", str(len(raw["model_goals_supported"]))),
             ("min_score_threshold", str(raw["minimum_score_to_pass"])),
         ]
-        row = ("config", OK, "Config loaded successfully", details)
+        row = ("config", OK, CONFIG_OK, details)
     return local_table(spark, [row], CHECK)
 
 
@@ -49,14 +63,14 @@ def _absent(spark: SparkSession, name: str, status: str, message: str) -> DataFr
 
 def check_vocabulary(spark: SparkSession, vocabulary: DataFrame | None) -> DataFrame:
     if vocabulary is None:
-        return _absent(spark, "vectorizer", ERROR, "TF-IDF vectorizer not found")
+        return _absent(spark, "vectorizer", ERROR, VECTORIZER_ABSENT)
     size = vocabulary.agg(F.count("*").alias("size"))
     filled = F.col("size") > 0
     return size.select(
         *_check(
             "vectorizer",
             F.when(filled, OK).otherwise(ERROR),
-            F.when(filled, "Vectorizer loaded successfully").otherwise("Vectorizer load failed"),
+            F.when(filled, VECTORIZER_OK).otherwise(VECTORIZER_BAD),
             _details(vocabulary_size=F.col("size")),
         )
     )
@@ -71,8 +85,8 @@ def check_models(expected: DataFrame, models: DataFrame) -> DataFrame:
     )
     loaded, failed = F.col("loaded"), F.col("failed")
     status = F.when(loaded == 0, ERROR).when(failed > 0, DEGRADED).otherwise(OK)
-    message = F.when(loaded == 0, "No trained models found").otherwise(
-        F.format_string("Models check completed: %d loaded, %d failed", loaded, failed)
+    message = F.when(loaded == 0, MODELS_ABSENT).otherwise(
+        F.format_string(MODELS_DONE, loaded, failed)
     )
     return counts.select(
         *_check("models", status, message, _details(loaded=loaded, failed=failed, total_models=loaded + failed))
@@ -82,7 +96,7 @@ def check_models(expected: DataFrame, models: DataFrame) -> DataFrame:
 def check_goals(spark: SparkSession, sizes: DataFrame | None) -> DataFrame:
     """From the table of ``goal_sizes``. Malformed entries are counted; they do not fail the check."""
     if sizes is None:
-        return _absent(spark, "goals", ERROR, "Goals not found")
+        return _absent(spark, "goals", ERROR, GOALS_ABSENT)
     counts = sizes.agg(
         F.count("*").alias("goals"), F.sum("skills").alias("skills"), F.count_if("malformed").alias("malformed")
     )
@@ -90,7 +104,7 @@ def check_goals(spark: SparkSession, sizes: DataFrame | None) -> DataFrame:
         *_check(
             "goals",
             F.lit(OK),
-            F.lit("Goals loaded successfully"),
+            F.lit(GOALS_OK),
             _details(
                 total_goals=F.col("goals"),
                 total_skills=F.coalesce("skills", F.lit(0)),
@@ -108,7 +122,7 @@ def registered_without_model(registry: DataFrame, models: DataFrame) -> DataFram
 def check_registry(spark: SparkSession, registry: DataFrame | None, models: DataFrame) -> DataFrame:
     """Registry entries without a stored model are a warning; so is a registry that is not there."""
     if registry is None:
-        return _absent(spark, "registry", WARNING, "Model registry not found (optional)")
+        return _absent(spark, "registry", WARNING, REGISTRY_ABSENT)
     missing = registered_without_model(registry, models).agg(
         F.count("*").alias("missing"), _names("model_path").alias("missing_files")
     )
@@ -121,7 +135,7 @@ def check_registry(spark: SparkSession, registry: DataFrame | None, models: Data
         *_check(
             "registry",
             F.when(F.col("missing") == 0, OK).otherwise(WARNING),
-            F.lit("Registry check completed"),
+            F.lit(REGISTRY_DONE),
             _details(
                 registered_models=F.col("registered"),
                 missing_files=F.col("missing_files"),
