@@ -32,7 +32,7 @@ from gapscore.storage import local_table, materialise, small_side
 MAX_ITERATIONS = 1000
 
 # Fits are driver-side loops of small jobs; a few at a time keep the cluster busy.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,8 @@ class Training:
 
 
 def sparse_vector(indices: Column, weights: Column, size: int) -> Column:
+    """What Spark ML reads. Only training rows need it, once."""
+
     @F.udf(VectorUDT(), useArrow=True)
     def build(i, w):
         return Vectors.sparse(size, list(i), list(w))
@@ -54,8 +56,8 @@ def sparse_vector(indices: Column, weights: Column, size: int) -> Column:
     return build(indices, weights)
 
 
-def fit(rows: DataFrame, n: int, size: int) -> tuple[float, list[float]]:
-    """L2-regularised logistic regression on ``(label, weight, indices, weights)`` rows.
+def fit(rows: DataFrame, n: int) -> tuple[float, list[float]]:
+    """L2-regularised logistic regression on ``(label, weight, features)`` rows.
 
     ``regParam`` 1/n turns Spark's averaged loss into the summed loss with unit penalty.
     """
@@ -66,14 +68,11 @@ def fit(rows: DataFrame, n: int, size: int) -> tuple[float, list[float]]:
         elasticNetParam=0.0,
         standardization=False,
     )
-    vectors = rows.select(
-        F.col("label").cast("double"), "weight", sparse_vector(F.col("indices"), F.col("weights"), size).alias("features")
-    )
-    model = solver.fit(vectors)
+    model = solver.fit(rows.select(F.col("label").cast("double"), "weight", "features"))
     return float(model.intercept), [float(c) for c in model.coefficients.toArray()]
 
 
-def _fit_all(train_rows: DataFrame, size: int) -> tuple[list[tuple], list[tuple]]:
+def _fit_all(train_rows: DataFrame) -> tuple[list[tuple], list[tuple]]:
     """Fit every goal of ``train_rows``; a goal that fails is reported and the others go on."""
     sizes = train_rows.groupBy("goal").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"))
 
@@ -81,7 +80,7 @@ def _fit_all(train_rows: DataFrame, size: int) -> tuple[list[tuple], list[tuple]
         try:
             if row.classes < 2:
                 raise ValueError("all training samples have the same label")
-            return (row.goal, *fit(train_rows.filter(F.col("goal") == row.goal), row.n, size)), None
+            return (row.goal, *fit(train_rows.filter(F.col("goal") == row.goal), row.n)), None
         except Exception as error:  # noqa: BLE001 - one goal must not stop the others
             return None, (row.goal, f"failed: {error}")
 
@@ -98,25 +97,35 @@ def _with_weights(rows: DataFrame) -> DataFrame:
     return rows.join(small_side(class_weights(rows)), ["goal", "label"])
 
 
-def _cross_validate(small: DataFrame, vocabulary_size: int) -> tuple[DataFrame, list[tuple]]:
-    """Mean and spread of the fold accuracies of goals with few samples. No model is kept."""
+def _predict(rows: DataFrame, models: DataFrame, goal_column: str) -> DataFrame:
+    parts = F.unwrap_udt("features")
+    weighted = rows.withColumns({"indices": parts.indices, "weights": parts["values"]}).drop("features")
+    return apply_models(weighted, models, goal_column)
+
+
+def _cross_validate(small: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Mean and spread of the fold accuracies of goals with few samples. No model is kept.
+
+    A goal with a fold that cannot be fitted is reported as failed.
+    """
     spark = small.sparkSession
     folded = materialise(folds(small, "item_id"), "folds")
     # Each fold's training rows under a goal name of their own: "goal<tab>fold".
     held = folded.select("goal", "fold").distinct().withColumnRenamed("fold", "held")
     training = folded.join(held, "goal").filter(F.col("fold") != F.col("held"))
     named = training.withColumn("goal", F.concat_ws("\t", "goal", "held")).drop("held", "fold")
-    fitted, failed = _fit_all(materialise(_with_weights(named), "fold-training"), vocabulary_size)
+    fitted, failed = _fit_all(materialise(_with_weights(named), "fold-training", ["goal"]))
+    reasons = dict((goal.split("\t")[0], reason) for goal, reason in sorted(failed))
     table = local_table(spark, fitted, schemas.GOAL_MODELS)
     tested = folded.withColumn("_fold_goal", F.concat_ws("\t", "goal", "fold"))
     right = (predicted() == F.col("label")).cast("double")
     by_fold = (
-        apply_models(tested, table, "_fold_goal").groupBy("goal", "fold").agg(F.avg(right).alias("accuracy"))
+        _predict(tested, table, "_fold_goal").groupBy("goal", "fold").agg(F.avg(right).alias("accuracy"))
     )
     summary = by_fold.groupBy("goal").agg(
         F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy")
     )
-    return summary, [(goal.split("\t")[0], reason) for goal, reason in failed]
+    return summary.filter(~F.col("goal").isin(list(reasons))), sorted(reasons.items())
 
 
 def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
@@ -140,10 +149,13 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     kept = [(g, a) for g, a in action.items() if (g, a) not in skipped]
     wanted = local_table(spark, kept, "goal STRING, action STRING")
     weighted = tfidf(items.join(F.broadcast(wanted), "goal"), "resume_text", vocabulary)
+    vector = sparse_vector(F.col("indices"), F.col("weights"), size)
     # Written once, by goal: each fit then reads its own goal only. Rebalancing splits a goal
     # that holds much of the data over several files.
     features = materialise(
-        weighted.select("goal", "action", "item_id", "label", "indices", "weights").hint("rebalance", "goal"),
+        weighted.select("goal", "action", "item_id", "label", "indices", "weights")
+        .hint("rebalance", "goal")
+        .select("goal", "action", "item_id", "label", vector.alias("features")),
         "features",
         ["goal"],
     )
@@ -151,10 +163,10 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     large = features.filter(F.col("action") == TRAIN).drop("action")
     split = stratified_split(large, "item_id")
     train_rows = _with_weights(split.filter(~F.col("is_test")))
-    fitted, failed = _fit_all(train_rows, size)
+    fitted, failed = _fit_all(train_rows)
     models = local_table(spark, fitted, schemas.GOAL_MODELS)
     test_rows = split.filter("is_test").join(F.broadcast(models.select("goal")), "goal", "left_semi")
-    predictions = apply_models(test_rows, models, "goal").select("goal", "label", "probability")
+    predictions = _predict(test_rows, models, "goal").select("goal", "label", "probability")
 
     metrics = (
         accuracy(predictions)
@@ -174,8 +186,8 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
 
     small = features.filter(F.col("action") == CROSS_VALIDATE).drop("action")
     if CROSS_VALIDATE in action.values():
-        cross_validated, fold_failures = _cross_validate(small, size)
-        failed += sorted(set(fold_failures))
+        cross_validated, fold_failures = _cross_validate(small)
+        failed += fold_failures
     else:
         cross_validated = local_table(
             spark, [], "goal STRING, mean_accuracy DOUBLE, std_accuracy DOUBLE"

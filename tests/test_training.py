@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapscore.operators import evaluate, linear, split
 from gapscore.operators.tfidf import Vocabulary
-from gapscore.operators.train import fit, train
+from gapscore.operators.train import fit, sparse_vector, train
 from gapscore.plans.training import train_and_save
 from gapscore.sources.models import load_models, read_table
 
@@ -102,7 +102,8 @@ def test_fit_solves_the_balanced_objective(spark):
     weight = {c: 60 / (2 * (y == c).sum()) for c in (0, 1)}
     rows = [("g", int(c), float(weight[c]), [0, 1, 2], [float(v) for v in r]) for r, c in zip(x, y)]
     df = spark.createDataFrame(rows, "goal STRING, label INT, weight DOUBLE, indices ARRAY<INT>, weights ARRAY<DOUBLE>")
-    intercept, coefficients = fit(df, 60, 3)
+    vector = sparse_vector(F.col("indices"), F.col("weights"), 3)
+    intercept, coefficients = fit(df.withColumn("features", vector), 60)
     expected = newton(x, y, np.array([weight[c] for c in y]))
     assert coefficients == pytest.approx(list(expected[:3]), abs=1e-3)
     assert intercept == pytest.approx(expected[3], abs=1e-3)
@@ -119,7 +120,7 @@ def _items(goal, positive, negative):
 
 def test_train_all_kinds_of_goals(spark):
     rows = _items("large one", 18, 12) + _items("single", 25, 0) + _items("small", 6, 6) + _items("tiny", 2, 2)
-    rows += [("unlabelled", "text", None)]
+    rows += [("unlabelled", "text", None)] + _items("lopsided", 11, 1)
     done = train(spark.createDataFrame(rows, "goal STRING, resume_text STRING, label INT"), VOCABULARY)
 
     model = done.models.collect()
@@ -135,8 +136,8 @@ def test_train_all_kinds_of_goals(spark):
     assert [(c.goal, c.mean_accuracy, c.std_accuracy) for c in cross] == [("small", 1.0, 0.0)]
 
     reasons = {r.goal: r.reason for r in done.skipped.collect()}
-    assert set(reasons) == {"single", "tiny", "unlabelled"}
-    assert reasons["single"].startswith("failed")
+    assert set(reasons) == {"single", "tiny", "unlabelled", "lopsided"}
+    assert reasons["single"].startswith("failed") and reasons["lopsided"].startswith("failed")
     assert (reasons["tiny"], reasons["unlabelled"]) == ("not enough samples", "no data")
 
 

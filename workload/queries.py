@@ -327,6 +327,23 @@ def train_lr_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return trained.registry.drop("accuracy").join(trained.metrics, "goal")
 
 
+def train_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A goal per language: trained, cross-validated or skipped, with the accuracy."""
+    items = fx.labelled(spark, sf).select(
+        F.col("lang").alias("goal"),
+        F.col("doc_id").alias("item_id"),
+        F.col("text").alias("resume_text"),
+        F.col("quality").alias("label"),
+    )
+    trained = train.train(items, fx.vocabulary(spark, sf))
+    fitted = trained.registry.select("goal", F.lit("trained").alias("outcome"), "accuracy")
+    checked = trained.cross_validated.select(
+        "goal", F.lit("cross-validated").alias("outcome"), F.col("mean_accuracy").alias("accuracy")
+    )
+    skipped = trained.skipped.select("goal", F.col("reason").alias("outcome"), F.lit(None).cast("double").alias("accuracy"))
+    return fitted.unionByName(checked).unionByName(skipped)
+
+
 # Linear scores and evaluation
 
 
@@ -534,6 +551,7 @@ QUERIES = {
     "class_weights": class_weights,
     "stratified_split": stratified_split,
     "train_lr_metrics": train_lr_metrics,
+    "train_summary": train_summary,
     "linear_score": linear_score,
     "stored_models": stored_models,
     "score_all_goals": score_all_goals,
