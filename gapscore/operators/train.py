@@ -166,7 +166,10 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     fitted, failed = _fit_all(train_rows)
     models = local_table(spark, fitted, schemas.GOAL_MODELS)
     test_rows = split.filter("is_test").join(F.broadcast(models.select("goal")), "goal", "left_semi")
-    predictions = _predict(test_rows, models, "goal").select("goal", "label", "probability")
+    # Kept, because registry and metrics each read them.
+    predictions = materialise(
+        _predict(test_rows, models, "goal").select("goal", "label", "probability"), "predictions"
+    )
 
     metrics = (
         accuracy(predictions)
