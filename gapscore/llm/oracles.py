@@ -2,6 +2,34 @@
 
 from __future__ import annotations
 
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, line, n, total, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (
+    SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n, len(l) AS total
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+  )
+), starts AS (
+  SELECT *, CASE WHEN n = 1 THEN 0
+    WHEN (lag(h) OVER w + 31 * coalesce(lag(h, 2) OVER w, 0)) % 3 = 0 THEN 1 ELSE 0 END AS starts
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+), numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM starts
+), chunks AS (
+  SELECT doc_id, k, any_value(total) AS total, string_agg(line, chr(10) ORDER BY n) AS body, count(*) AS n_lines,
+         count(*) FILTER (trim(line, ' ') <> '') AS solid
+  FROM numbered GROUP BY doc_id, k
+), judged AS (
+  SELECT *, solid >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, k) > 1 AS gone FROM chunks
+), kept AS (
+  SELECT doc_id, any_value(total)::INT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::INT AS n_removed,
+         string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone) AS body
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(body, '') END AS text, n_lines, n_removed
+FROM kept JOIN documents d ON d.doc_id = kept.doc_id
+"""
+
 EXACT_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapscore.llm import oracles
 from gapscore.llm.exact_dedup import duplicate_groups
+from gapscore.llm.line_dedup import without_repeated_chunks
 from gapscore.llm.mixing import mixed_words
 
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeated_chunks(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -24,11 +30,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": oracles.LINE_DEDUP,
     "op8_exact_dedup": oracles.EXACT_DEDUP,
     "op10_mixing": oracles.MIXING,
 }
