@@ -10,6 +10,7 @@ from gapscore.llm import oracles
 from gapscore.llm.exact_dedup import duplicate_groups
 from gapscore.llm.line_dedup import without_repeated_chunks
 from gapscore.llm.mixing import mixed_words
+from gapscore.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 
