@@ -10,13 +10,25 @@ from gapscore.llm import oracles
 from gapscore.llm.exact_dedup import duplicate_groups
 from gapscore.llm.line_dedup import without_repeated_chunks
 from gapscore.llm.mixing import mixed_words
+from gapscore.llm.packing import packed
 from gapscore.llm.simhash import near_duplicates
 
 
+def _vocabulary() -> tuple[str, str]:
+    """The path of the byte-level BPE ranks and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), *_vocabulary())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeated_chunks(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "n_lines", "n_removed")
@@ -35,6 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
