@@ -11,6 +11,7 @@ from gapscore.llm.exact_dedup import duplicate_groups
 from gapscore.llm.line_dedup import without_repeated_chunks
 from gapscore.llm.mixing import mixed_words
 from gapscore.llm.packing import packed
+from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
 
 
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), *_vocabulary())
 
@@ -47,6 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
