@@ -148,7 +148,8 @@ _ROW = ["source_rank", "start", "size"]
 
 def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """The mix itself: shard, slot, the row it reads (source_rank, start, size), from_word, words."""
-    return slots(targets).join(pieces(rows, _ROW), ["source_rank", "block"])
+    # A few rows of chunks become all slots; by the size of those rows Spark would broadcast them.
+    return slots(targets).hint("merge").join(pieces(rows, _ROW).hint("merge"), ["source_rank", "block"])
 
 
 def _sized(docs: DataFrame, scratch: Scratch, columns: list[str], text: str, source: str) -> tuple[DataFrame, DataFrame]:
