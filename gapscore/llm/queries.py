@@ -13,6 +13,7 @@ from gapscore.llm.mixing import mixed_words
 from gapscore.llm.packing import packed
 from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
+from gapscore.llm.toxicity import scored
 
 
 def _vocabulary() -> tuple[str, str]:
@@ -34,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), *_vocabulary())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeated_chunks(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "n_lines", "n_removed")
@@ -54,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
