@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapscore.llm import oracles
 from gapscore.llm.exact_dedup import duplicate_groups
+from gapscore.llm.html_text import extracted
 from gapscore.llm.line_dedup import without_repeated_chunks
 from gapscore.llm.mixing import mixed_words
+from gapscore.llm.nearest import nearest
 from gapscore.llm.packing import packed
 from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
@@ -39,6 +41,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeated_chunks(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "n_lines", "n_removed")
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_html_text": op5_html_text,
+    "op6_nearest": op6_nearest,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
