@@ -55,12 +55,12 @@ def _occurrences(chunked: DataFrame) -> DataFrame:
 
 
 def without_repeated_chunks(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_of=F.md5
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_of=F.md5, counts: bool = True
 ) -> DataFrame:
     """Every chunk of two or more lines stays where it occurs first, by id and place, and goes elsewhere.
 
-    Returns ``docs`` with ``text`` cut, ``n_chars`` (if there is one) counted anew, and two new columns,
-    n_lines and n_removed, the lines before and those removed; columns that had these names are replaced.
+    Returns ``docs`` with ``text`` cut, ``n_chars`` (if there is one) counted anew, and with ``counts`` two new
+    columns, n_lines and n_removed, the lines before and those removed; columns of these names are replaced.
 
     Chunks meet under their MD5 (``hash_of``) with their text beside it as a grouping key, so Spark compares
     the bytes; they are counted before the shuffle. If a hash stands for two different texts, its chunks
@@ -118,8 +118,9 @@ def without_repeated_chunks(
             F.coalesce(lost, F.lit(0)).alias("n_removed"),
         )
     )
-    out = {c: F.col("row").getField(c) for c in docs.columns if c not in ("n_lines", "n_removed")}
+    added = ["n_lines", "n_removed"] if counts else []
+    out = {c: F.col("row").getField(c) for c in docs.columns if c not in added}
     out[text] = F.col("cut")
     if "n_chars" in out:
         out["n_chars"] = F.char_length(F.coalesce("cut", F.lit(""))).cast(docs.schema["n_chars"].dataType)
-    return cut.select(*(v.alias(c) for c, v in out.items()), "n_lines", "n_removed")
+    return cut.select(*(v.alias(c) for c, v in out.items()), *added)

@@ -15,10 +15,11 @@ from gapscore.llm.nearest import nearest
 from gapscore.llm.packing import packed
 from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
+from gapscore.llm.substring_dedup import without_repeats
 from gapscore.llm.toxicity import scored
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     """The path of the byte-level BPE ranks and its pattern."""
     import public_tokenizers
 
@@ -33,8 +34,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(_table(spark, sf_dir, "documents"), *_vocabulary())
+    return packed(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_html_text": op5_html_text,
