@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A chunk ends after a line where the rolling hash of this line and the one before is a multiple of
-#: DIVISOR, so a chunk has three lines on average, and where it ends depends on two lines only.
-DIVISOR = 3
+#: A chunk ends after a line where the rolling hash of this line and the one before is a multiple of DIVISOR, but
+#: not so one line earlier. Where it ends depends on three lines only, and between two ends lie at least two
+#: lines, four on average.
+DIVISOR = 2
 BASE = 31
 #: A chunk is compared if it has so many lines that are not blank.
 MIN_LINES = 2
@@ -19,10 +20,11 @@ def _chunked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     number = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
     rolled = lambda i: F.element_at("hashes", i) + BASE * F.coalesce(F.get("hashes", i - 2), F.lit(0))
-    # line i starts a chunk if the hash that ends with line i-1 is at a boundary; the first always does
+    # line i starts a chunk if one ends with line i-1; the first always does, the second never
     starts = F.filter(
         F.sequence(F.lit(0), F.size("lines") - 1),
-        lambda i: (i == 0) | F.when(i > 0, rolled(F.greatest(i, F.lit(1))) % DIVISOR == 0).otherwise(False),
+        lambda i: (i == 0)
+        | F.when(i > 1, (rolled(i) % DIVISOR == 0) & (rolled(i - 1) % DIVISOR != 0)).otherwise(False),
     )
     return (
         docs.select(

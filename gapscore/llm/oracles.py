@@ -10,8 +10,9 @@ WITH lines AS (
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
   )
 ), starts AS (
-  SELECT *, CASE WHEN n = 1 THEN 0
-    WHEN (lag(h) OVER w + 31 * coalesce(lag(h, 2) OVER w, 0)) % 3 = 0 THEN 1 ELSE 0 END AS starts
+  SELECT *, CASE WHEN n < 3 THEN 0
+    WHEN (lag(h) OVER w + 31 * lag(h, 2) OVER w) % 2 = 0
+      AND (lag(h, 2) OVER w + 31 * coalesce(lag(h, 3) OVER w, 0)) % 2 <> 0 THEN 1 ELSE 0 END AS starts
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)
 ), numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM starts
