@@ -26,12 +26,14 @@ SHARPNESS = 8.0
 EPOCHS = 80
 RATE = 0.05
 #: Decay of the embeddings, as the weight of their squares in the loss.
-DECAY = 1e-6
+DECAY = 1e-5
 SEED = 11
 #: Word scores that a worker remembers.
 REMEMBERED = 200_000
 #: A worker scores texts of so many bytes together.
 _CHUNK_BYTES = 1 << 21
+#: Words of the sample that are added up together.
+_CHUNK_WORDS = 1 << 14
 
 _STRIP = b"".join(bytes([b]) for b in range(33, 127) if not chr(b).isalnum())
 
@@ -64,6 +66,16 @@ def word_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(rows)
 
 
+def _sorted_buckets(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some words at a time: the buckets word by word, where each word begins, and how many it has."""
+    out = []
+    for at in range(0, max(1, len(words)), _CHUNK_WORDS):
+        flat, row = word_buckets(words[at : at + _CHUNK_WORDS] or [b""])
+        size = np.bincount(row)
+        out.append((flat[np.argsort(row, kind="stable")].astype(np.int32), np.cumsum(size) - size, size))
+    return out
+
+
 def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last word of the windows of a text of n words."""
     first = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
@@ -85,8 +97,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
         words = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
         tokens.append(np.array(words, dtype=np.int32))
         lengths.append(len(words))
-    flat, row = word_buckets(list(vocabulary) or [b""])
-    sizes = np.bincount(row)
+    parts = _sorted_buckets(list(vocabulary))
     tokens = np.concatenate([*tokens, np.empty(0, np.int32)]) if tokens else np.empty(0, np.int32)
     spans = [(_windows(n), i, base) for i, (n, base) in enumerate(zip(lengths, np.cumsum([0, *lengths[:-1]]))) if n]
     first = np.concatenate([[0], *(f + b for (f, _), _, b in spans)]).astype(np.int64)[1:]
@@ -95,7 +106,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
     n_docs, y = len(texts), toxic.astype(np.float64)
     weight = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))  # both labels count alike
 
-    table = rng.normal(0, 0.1, (BUCKETS, DIM))
+    table = rng.normal(0, 1e-3, (BUCKETS, DIM))  # so n-grams that were never seen weigh next to nothing
     soft = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, soft, bias)]
@@ -103,7 +114,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
         sharp = SHARPNESS * min(1.0, epoch / (0.5 * EPOCHS))
         way = soft[:, 1] - soft[:, 0]
         by_bucket = table @ way
-        by_word = np.bincount(row, by_bucket[flat], len(sizes)) / sizes
+        by_word = np.concatenate([np.add.reduceat(by_bucket[flat], begin) / size for flat, begin, size in parts])
         running = np.concatenate([[0.0], np.cumsum(by_word[tokens])])
         window = (running[last] - running[first]) / (last - first)
         logit, share = _pooled(window, owner, n_docs, sharp)
@@ -111,8 +122,11 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> dict:
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
         g_window = error[owner] * share / (last - first)
         edge = np.bincount(first, g_window, len(tokens) + 1) - np.bincount(last, g_window, len(tokens) + 1)
-        g_word = np.bincount(tokens, np.cumsum(edge)[:-1], len(sizes)) / sizes
-        g_bucket = np.bincount(flat, g_word[row], BUCKETS)
+        g_word = np.bincount(tokens, np.cumsum(edge)[:-1], len(by_word))
+        g_bucket, at = np.zeros(BUCKETS), 0
+        for flat, _, size in parts:
+            g_bucket += np.bincount(flat, np.repeat(g_word[at : at + len(size)] / size, size), BUCKETS)
+            at += len(size)
         g_way = table.T @ g_bucket
         grads = (
             g_bucket[:, None] * way[None, :] + DECAY * table,

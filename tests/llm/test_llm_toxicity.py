@@ -11,14 +11,14 @@ def synthetic(rng, toxic, stems, n=80):
     word = lambda: "".join(rng.choice(syllables, rng.integers(2, 4)))
     words = [word() for _ in range(n)]
     if toxic:
-        for _ in range(4):
+        for _ in range(6):
             words[rng.integers(n)] = str(rng.choice(stems)) + word()[:3]
     return " ".join(words).encode()
 
 
 def test_unseen_misspellings_are_found():
     rng = np.random.default_rng(0)
-    y = np.arange(300) % 2
+    y = np.arange(800) % 2
     model = fit([synthetic(rng, t, ["grumph", "snarkle"]) for t in y], y)
     scores = toxicity._Scores(model["by_bucket"])
     misspelt = [synthetic(rng, t, ["grumphh", "snarklle"]) for t in y]
