@@ -15,18 +15,18 @@ RAW = {
     "version": "1.0.0",
     "minimum_score_to_pass": 0.65,
     "log_score_details": True,
-    "model_goals_supported": ["Engineer", "Analyst", "Ghost", "Engineer"],
-    "default_goal_model": "Engineer",
+    "model_goals_supported": ["Lamplighter", "Beekeeper", "Ghost", "Lamplighter"],
+    "default_goal_model": "Lamplighter",
 }
 GOALS = {
-    "Engineer": ["Java", "Data Structures", "System Design", "SQL"],
-    "Analyst": ["Python", "Numpy"],
+    "Lamplighter": ["Wicks", "Lantern Glass", "Street Maps", "Oil"],
+    "Beekeeper": ["Smoker", "Honey"],
     "Hidden": ["Painting"],
 }
 RECOMMENDATIONS = [
-    (0, "System Design", "Old", "Old"),
-    (1, "System Design", "1. Basics → → 2. Caching ", "Design course"),
-    (2, "SQL", "Only step", None),
+    (0, "Street Maps", "Old", "Old"),
+    (1, "Street Maps", "1. Corners → → 2. Bridges ", "Map course"),
+    (2, "Oil", "Only step", None),
 ]
 
 
@@ -35,7 +35,7 @@ def dimensions(spark, raw=RAW, all_goals=GOALS):
     return load_dimensions(
         Config.from_dict(raw),
         spark.createDataFrame(rows, schemas.GOAL_SKILLS),
-        spark.createDataFrame([(0, "Data Structures", "DS")], schemas.SYNONYMS),
+        spark.createDataFrame([(0, "Lantern Glass", "LG")], schemas.SYNONYMS),
         spark.createDataFrame(RECOMMENDATIONS, schemas.RECOMMENDATIONS),
     )
 
@@ -49,41 +49,41 @@ def one(spark, goal, text, **options):
 
 
 def test_full_response(spark):
-    row = one(spark, "Engineer", "Java and DS, some Painting")
+    row = one(spark, "Lamplighter", "Wicks and LG, some Painting")
     assert row.score == 0.5
-    assert row.matched_skills == ["Java", "Data Structures"]
-    assert row.missing_skills == ["System Design", "SQL"]
+    assert row.matched_skills == ["Wicks", "Lantern Glass"]
+    assert row.missing_skills == ["Street Maps", "Oil"]
     path = [(item.path, item.course) for item in row.suggested_learning_path]
     # The last entry of a skill counts; an entry without course is left out; one closing item.
-    assert path == [(["1. Basics", "2. Caching"], "Design course"), ([gap.TAIL_STEP], gap.TAIL_COURSE)]
+    assert path == [(["1. Corners", "2. Bridges"], "Map course"), ([gap.TAIL_STEP], gap.TAIL_COURSE)]
 
 
 def test_generic_recommendation(spark):
-    row = one(spark, "Analyst", "numpy")
-    assert row.suggested_learning_path[0].path == ["Develop proficiency in Python through online courses and projects"]
+    row = one(spark, "Beekeeper", "honey")
+    assert row.suggested_learning_path[0].path == ["Develop proficiency in Smoker through online courses and projects"]
     assert row.suggested_learning_path[0].course == goals.GENERIC_COURSE
 
 
 def test_nothing_missing_has_no_path(spark):
-    row = one(spark, "Analyst", "Python Numpy")
+    row = one(spark, "Beekeeper", "Smoker Honey")
     assert (row.score, row.missing_skills, row.suggested_learning_path) == (1.0, [], [])
 
 
 @pytest.mark.parametrize("text", ["", None, "   \n", "!@#$%^&*()", "日本語", "éàü"])
 def test_blank_text_is_all_empty(spark, text):
-    row = one(spark, "Engineer", text)
+    row = one(spark, "Lamplighter", text)
     assert (row.score, row.matched_skills, row.missing_skills, row.suggested_learning_path) == (0.0, [], [], [])
 
 
 @pytest.mark.parametrize(
     "goal, used, defaulted, skills",
     [
-        ("Analyst", "Analyst", False, GOALS["Analyst"]),
-        ("Hidden", "Engineer", True, GOALS["Engineer"]),
-        ("Unknown", "Engineer", True, GOALS["Engineer"]),
-        ("", "Engineer", True, GOALS["Engineer"]),
-        (None, "Engineer", True, GOALS["Engineer"]),
-        ("Ghost", "Ghost", False, GOALS["Engineer"]),
+        ("Beekeeper", "Beekeeper", False, GOALS["Beekeeper"]),
+        ("Hidden", "Lamplighter", True, GOALS["Lamplighter"]),
+        ("Unknown", "Lamplighter", True, GOALS["Lamplighter"]),
+        ("", "Lamplighter", True, GOALS["Lamplighter"]),
+        (None, "Lamplighter", True, GOALS["Lamplighter"]),
+        ("Ghost", "Ghost", False, GOALS["Lamplighter"]),
     ],
 )
 def test_goal_fallbacks(spark, goal, used, defaulted, skills):
@@ -94,32 +94,32 @@ def test_goal_fallbacks(spark, goal, used, defaulted, skills):
 
 def test_default_without_skills_requires_nothing(spark):
     raw = {**RAW, "default_goal_model": "Nowhere"}
-    row = score(requests(spark, ("s", "zzz", "java")), dimensions(spark, raw)).first()
+    row = score(requests(spark, ("s", "zzz", "wicks")), dimensions(spark, raw)).first()
     assert (row.goal_used, row.score, row.matched_skills, row.missing_skills) == ("Nowhere", 0.0, [], [])
 
 
 def test_long_text(spark):
-    row = one(spark, "Engineer", "java " * 1000)
+    row = one(spark, "Lamplighter", "wicks " * 1000)
     assert row.score == 0.25
 
 
 def test_repeated_students_stay_apart(spark):
-    rows = requests(spark, ("s", "Analyst", "python"), ("s", "Analyst", "numpy python"))
+    rows = requests(spark, ("s", "Beekeeper", "smoker"), ("s", "Beekeeper", "honey smoker"))
     assert sorted(r.score for r in score(rows, dimensions(spark)).collect()) == [0.5, 1.0]
 
 
 def test_respond_drops_incomplete_requests(spark):
-    rows = requests(spark, ("a", "Analyst", None), (None, "Analyst", "x"), ("c", None, "x"), ("d", "Analyst", "numpy"))
+    rows = requests(spark, ("a", "Beekeeper", None), (None, "Beekeeper", "x"), ("c", None, "x"), ("d", "Beekeeper", "honey"))
     assert [r.student_id for r in respond(rows, dimensions(spark)).collect()] == ["d"]
 
 
 def _models(spark, intercept):
-    table = spark.createDataFrame([("Analyst", intercept, [0.0, 2.0])], schemas.GOAL_MODELS)
-    return GoalModels(Vocabulary(("numpy", "python"), (1.0, 1.0)), table)
+    table = spark.createDataFrame([("Beekeeper", intercept, [0.0, 2.0])], schemas.GOAL_MODELS)
+    return GoalModels(Vocabulary(("honey", "smoker"), (1.0, 1.0)), table)
 
 
 def test_model_scores_where_there_is_one(spark):
-    rows = requests(spark, ("a", "Analyst", "python"), ("b", "Engineer", "java"), ("c", "Analyst", "cooking numpy?"))
+    rows = requests(spark, ("a", "Beekeeper", "smoker"), ("b", "Lamplighter", "wicks"), ("c", "Beekeeper", "cooking honey?"))
     scored = {r.student_id: r.score for r in score(rows, dimensions(spark), _models(spark, -1.0)).collect()}
     assert scored["a"] == pytest.approx(1 / (1 + 2.718281828459045 ** -1.0))
     assert scored["b"] == 0.25
@@ -127,14 +127,14 @@ def test_model_scores_where_there_is_one(spark):
 
 
 def test_no_match_is_zero_at_the_boundary_only(spark):
-    rows = requests(spark, ("a", "Analyst", "cooking"))
+    rows = requests(spark, ("a", "Beekeeper", "cooking"))
     inner = score(rows, dimensions(spark), _models(spark, 3.0)).first().score
     outer = respond(rows, dimensions(spark), _models(spark, 3.0)).first().score
     assert inner > 0.9 and outer == 0.0
 
 
 def test_high_and_low_models(spark):
-    rows = requests(spark, ("a", "Analyst", "python"))
+    rows = requests(spark, ("a", "Beekeeper", "smoker"))
     assert score(rows, dimensions(spark), _models(spark, 2.0)).first().score >= 0.8
     assert score(rows, dimensions(spark), _models(spark, -5.0)).first().score <= 0.3
 
@@ -146,13 +146,13 @@ def test_threshold_is_inclusive(spark):
 
 
 def test_usage(spark):
-    rows = requests(spark, ("a", "Analyst", "python"), ("b", "Analyst", "cook"))
+    rows = requests(spark, ("a", "Beekeeper", "smoker"), ("b", "Beekeeper", "cook"))
     row = usage(score(rows, dimensions(spark))).first()
     assert (row.scored, row.avg_score, row.avg_matched, row.avg_missing) == (2, 0.25, 0.5, 1.5)
 
 
 def test_written_responses_keep_the_schema(spark, tmp_path):
-    responses = respond(requests(spark, ("a", "Analyst", "python")), dimensions(spark))
+    responses = respond(requests(spark, ("a", "Beekeeper", "smoker")), dimensions(spark))
     write_responses(responses, str(tmp_path / "out"))
     back = spark.read.schema(schemas.RESPONSE).parquet(str(tmp_path / "out"))
     assert back.collect() == responses.collect()
@@ -171,7 +171,7 @@ def test_config_file(spark, tmp_path):
     good.write_text(json.dumps({**RAW, "api": {"rate_limit": {"requests_per_minute": 7}}}))
     bad.write_text("{")
     config = load_config(spark, str(good))
-    assert config.supported_goals == ("Engineer", "Analyst", "Ghost")
+    assert config.supported_goals == ("Lamplighter", "Beekeeper", "Ghost")
     assert config.requests_per_minute == 7
     with pytest.raises(ConfigError):
         load_config(spark, str(bad))
