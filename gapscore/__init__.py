@@ -7,15 +7,16 @@ from gapscore.operators.score import Dimensions, load_dimensions, passed, score,
 from gapscore.operators.tfidf import fit_vocabulary, load_vocabulary, tfidf
 from gapscore.operators.train import train
 from gapscore.plans.audit import audit
-from gapscore.plans.scoring import respond, write_responses
+from gapscore.plans.scoring import answer, rejects, respond, write_answers, write_responses
 from gapscore.plans.training import train_and_save
 from gapscore.sources.models import load_models, save_models
-from gapscore.streaming import respond_stream
+from gapscore.streaming import reject_stream, respond_stream
 
 __all__ = [
     "Config",
     "Dimensions",
     "GoalModels",
+    "answer",
     "audit",
     "canonicalise",
     "extract_skills",
@@ -25,6 +26,8 @@ __all__ = [
     "load_models",
     "load_vocabulary",
     "passed",
+    "reject_stream",
+    "rejects",
     "respond",
     "respond_stream",
     "save_models",
@@ -34,5 +37,6 @@ __all__ = [
     "train",
     "train_and_save",
     "usage",
+    "write_answers",
     "write_responses",
 ]

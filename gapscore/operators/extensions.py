@@ -25,27 +25,65 @@ def low_scores(scored: DataFrame, config: Config) -> DataFrame:
     return scored.filter(F.col("score") < config.alert_threshold_score)
 
 
+def _word_runs(df: DataFrame, column: str, longest: int) -> DataFrame:
+    """``(run, words, documents)``: runs of up to ``longest`` words and the number of texts that have each."""
+    listed = df.select(F.regexp_extract_all(F.lower(column), F.lit(WORD_CHAR + "+"), F.lit(0)).alias("w"))
+    runs = [
+        F.transform(
+            F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + n - 1 <= F.size("w")),
+            lambda i: F.struct(F.lit(n).alias("words"), F.array_join(F.slice("w", i, n), " ").alias("run")),
+        )
+        for n in range(1, longest + 1)
+    ]
+    every = listed.filter(F.size("w") > 0).select(F.explode(F.array_distinct(F.concat(*runs))).alias("r"))
+    return every.groupBy("r.words", "r.run").agg(F.count("*").alias("documents"))
+
+
+def _segments(universe: DataFrame, threshold: float) -> DataFrame:
+    """For each skill and run length in reach: pieces of the skill and where a run may have them.
+
+    A run within d edits of a skill that is cut into d + 1 pieces has one of them unchanged, at most d places
+    further on or back.
+    """
+    size = F.length("name")
+    shortest, longest = F.ceil(size * threshold - 1e-9).cast("int"), F.floor(size / threshold + 1e-9).cast("int")
+    edits = F.floor((1 - threshold) * F.greatest("size", "reach") + 1e-9).cast("int")
+    begin = F.floor(F.col("k") * F.col("size") / (F.col("edits") + 1)).cast("int")
+    end = F.floor((F.col("k") + 1) * F.col("size") / (F.col("edits") + 1)).cast("int")
+    named = universe.select("skill", F.lower("skill").alias("name"))
+    return (
+        named.withColumn("words", F.size(F.split("name", " ")))
+        .withColumn("size", size)
+        .withColumn("reach", F.explode(F.sequence(shortest, longest)))
+        .withColumn("edits", edits)
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+        .withColumns({"begin": begin, "length": end - begin})
+        .withColumn("at", F.explode(F.sequence(F.col("begin") - F.col("edits"), F.col("begin") + F.col("edits"))))
+        .filter((F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.col("reach")))
+        .withColumn("piece", F.substring("name", F.col("begin") + 1, F.col("length")))
+        .select("skill", "name", "words", "reach", "at", "length", "piece")
+    )
+
+
 def partial_matches(df: DataFrame, column: str, universe: DataFrame, threshold: float) -> DataFrame:
     """Words of the texts that nearly equal a skill: ``(skill, word, documents, similarity)``.
 
-    Similarity is one minus the edit distance over the longer length. It can reach the
-    threshold only if the lengths are within that ratio, so each skill is listed under the
-    lengths it can match and words join on their length. Each distinct word is compared once.
+    Similarity is one minus the edit distance over the longer length. A skill of several words is compared with
+    runs of as many words. Runs and skills meet on an equal piece at a place where a match would have it,
+    not on their length, so the pairs that are compared are few; each distinct run is compared once.
     """
-    listed = F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(WORD_CHAR + "+"), F.lit(0)))
-    words = df.select(F.explode(listed).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))
-    length = F.length("skill")
-    shortest = F.ceil(length * threshold - 1e-9).cast("int")
-    longest = F.floor(length / threshold + 1e-9).cast("int")
-    by_length = universe.select(
-        "skill", F.lower("skill").alias("_name"), F.explode(F.sequence(shortest, longest)).alias("_length")
-    )
-    longer = F.greatest(F.length("word"), F.length("_name"))
-    similarity = 1 - F.levenshtein("word", "_name") / longer
+    longest = universe.agg(F.max(F.size(F.split(F.lower("skill"), " "))).alias("n")).first()["n"] or 1
+    segments = _segments(universe, threshold)
+    # Where to look in a run depends on its length only.
+    places = small_side(segments.select("words", "reach", "at", "length").distinct())
+    runs = _word_runs(df, column, longest).withColumn("reach", F.length("run"))
+    looked = runs.join(places, ["words", "reach"]).withColumn("piece", F.substring("run", F.col("at") + 1, F.col("length")))
+    pairs = looked.join(small_side(segments), ["words", "reach", "at", "length", "piece"])
+    longer = F.greatest(F.length("run"), F.length("name"))
     return (
-        words.withColumn("_length", F.length("word"))
-        .join(small_side(by_length), "_length")
-        .withColumn("similarity", similarity)
+        pairs.select("skill", "name", "run", "documents")
+        .distinct()
+        .withColumn("similarity", 1 - F.levenshtein("run", "name") / longer)
         .filter(F.col("similarity") >= threshold - 1e-9)
-        .select("skill", "word", "documents", "similarity")
+        .select("skill", F.col("run").alias("word"), "documents", "similarity")
     )

@@ -16,7 +16,7 @@ GENERIC_COURSE = "General Skill Development – Coursera/Udemy/YouTube"
 
 
 def skill_universe(goal_skills: DataFrame) -> DataFrame:
-    return goal_skills.select("skill").distinct()
+    return goal_skills.filter(F.col("skill").isNotNull()).select("skill").distinct()
 
 
 def supported_goals(spark: SparkSession, config: Config) -> DataFrame:
@@ -40,7 +40,8 @@ def requirements(goal_skills: DataFrame, recommendations: DataFrame, config: Con
     """One row per usable goal: its required skills in order, each with its learning path item.
 
     Recommendations meet skills here, on the dictionaries, so that requests never join or
-    group by skill. A supported goal without skills of its own gets those of the default goal.
+    group by skill. A supported goal that the dictionary lacks gets the skills of the default goal; one
+    with an empty list requires nothing.
     """
     spark = goal_skills.sparkSession
     items = path_items(recommendations).withColumn("known", F.lit(True))
@@ -55,7 +56,7 @@ def requirements(goal_skills: DataFrame, recommendations: DataFrame, config: Con
     packed = (
         goal_skills.join(items, "skill", "left")
         .groupBy("goal")
-        .agg(F.array_sort(F.collect_list(entry)).alias("own"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("skill").isNotNull(), entry))).alias("own"))
     )
     names = dict.fromkeys((*config.supported_goals, config.default_goal))
     usable = local_table(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapscore.functions.text import preview
+from gapscore.functions.text import goal_key, preview
 from gapscore.operators.tfidf import Vocabulary, tfidf
 from gapscore.storage import small_side
 
@@ -57,12 +57,26 @@ def _probability() -> Column:
     return sigmoid(F.aggregate(products, F.lit(0.0), lambda total, p: total + p) + F.col("intercept"))
 
 
-def apply_models(weighted: DataFrame, table: DataFrame, goal_column: str) -> DataFrame:
-    """Add ``probability`` to rows that have ``indices`` and ``weights``."""
-    keyed = table.select(F.col("goal").alias("_model_goal"), "intercept", "coefficients")
-    joined = weighted.join(
-        small_side(keyed, MAX_BROADCAST_MODELS), F.col(goal_column) == F.col("_model_goal"), "left"
-    )
+def by_goal_key(table: DataFrame) -> DataFrame:
+    """Models under their normalised goal key; of several with one key that named like the key stays, or the first."""
+    keyed = table.withColumn("_key", goal_key(F.col("goal")))
+    order = F.struct(F.col("goal") != F.col("_key"), F.col("goal"))
+    chosen = keyed.groupBy("_key").agg(F.min(order).alias("_first")).select("_key", F.col("_first.goal").alias("goal"))
+    return keyed.join(chosen, ["_key", "goal"], "left_semi")
+
+
+def apply_models(weighted: DataFrame, table: DataFrame, goal_column: str, exact: bool = False) -> DataFrame:
+    """Add ``probability`` to rows that have ``indices`` and ``weights``.
+
+    Goals meet under their key, as training files are named by it and requests by the display name;
+    ``exact`` compares the names as they are.
+    """
+    if exact:
+        keyed, goal = table.withColumn("_key", F.col("goal")), F.col(goal_column)
+    else:
+        keyed, goal = by_goal_key(table), goal_key(F.col(goal_column))
+    keyed = keyed.select(F.col("_key").alias("_model_goal"), "intercept", "coefficients")
+    joined = weighted.join(small_side(keyed, MAX_BROADCAST_MODELS), goal == F.col("_model_goal"), "left")
     return joined.withColumn("probability", _probability()).drop(
         "_model_goal", "intercept", "coefficients", "indices", "weights"
     )
@@ -81,6 +95,6 @@ def score_all_goals(samples: DataFrame, text_column: str, models: GoalModels, ke
     each_goal = F.explode(F.from_json(F.lit(json.dumps(goals)), "array<string>")).alias("goal")
     start = preview(F.col(text_column)).alias("preview")
     per_goal = weighted.select(*keys, start, "indices", "weights", each_goal)
-    scored = apply_models(per_goal, models.table, "goal")
+    scored = apply_models(per_goal, models.table, "goal", exact=True)
     label = F.when(F.col("probability") > MATCH_ABOVE, MATCH).otherwise(NO_MATCH)
     return scored.select(*keys, "goal", "probability", label.alias("label"), "preview")

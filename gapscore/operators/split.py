@@ -22,7 +22,27 @@ TRAIN, CROSS_VALIDATE = "train", "cross-validate"
 def usable_items(training: DataFrame) -> DataFrame:
     """Items with both text and label; the label becomes a number, NULL if it is none."""
     complete = training.filter(F.col("resume_text").isNotNull() & F.col("label").isNotNull())
-    return complete.withColumn("label", F.col("label").try_cast("int"))
+    return complete.withColumn("label", label_number(F.col("label")))
+
+
+def label_number(label: Column) -> Column:
+    """A label as a whole number: 1, 1.0, "1" and true are the same; NULL if it is none of these."""
+    text = F.lower(F.trim(label.cast("string")))
+    number = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
+    return F.when(~F.isnan(number), number).try_cast("int")
+
+
+CONTENT = "#"
+
+
+def content_id() -> Column:
+    """An id for items without one: the hash of the content, then a number that tells equal items apart.
+
+    Items are drawn by the hash alone. Which of several equal items is drawn makes no difference, so the
+    split depends neither on the files nor on their order.
+    """
+    content = F.md5(F.concat_ws("\u0000", "goal", F.col("label").cast("string"), "resume_text"))
+    return F.concat(content, F.lit(CONTENT), F.monotonically_increasing_id().cast("string"))
 
 
 def training_counts(items: DataFrame) -> DataFrame:
@@ -85,7 +105,8 @@ def split_sizes(strata: DataFrame) -> DataFrame:
 
 def draw(item_id: str, seed: int = SEED) -> Column:
     """A fixed pseudo-random order of the items."""
-    return F.md5(F.concat(F.col(item_id).cast("string"), F.lit(f":{seed}")))
+    drawn_by = F.substring_index(F.col(item_id).cast("string"), CONTENT, 1)
+    return F.md5(F.concat(drawn_by, F.lit(f":{seed}")))
 
 
 def stratified_split(items: DataFrame, item_id: str, seed: int = SEED) -> DataFrame:

@@ -87,6 +87,7 @@ def fit_vocabulary(
     That keeps the second count, of pairs, to a few thousand words instead of every pair in the
     corpus, and the result is the same.
     """
+    texts = texts.filter(F.col(column).isNotNull())
     words = texts.select(kept_tokens(F.col(column), stop_words).alias("words"))
     n = texts.count()
     single = materialise(_by_term(count_within(words, "words", [])), "word-counts")

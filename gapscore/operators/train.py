@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from gapscore.operators.split import (
     CROSS_VALIDATE,
     TRAIN,
     class_weights,
+    content_id,
     folds,
     stratified_split,
     training_counts,
@@ -46,14 +47,14 @@ class Training:
     skipped: DataFrame
 
 
-def sparse_vector(indices: Column, weights: Column, size: int) -> Column:
-    """What Spark ML reads. Only training rows need it, once."""
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def build(i, w):
-        return Vectors.sparse(size, list(i), list(w))
-
-    return build(indices, weights)
+def vector_parts(indices: Column, weights: Column, size: int) -> Column:
+    """A sparse vector as Spark ML stores it: read under ``VectorUDT`` it is one."""
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        indices.cast("array<int>").alias("indices"),
+        weights.alias("values"),
+    )
 
 
 def fit(rows: DataFrame, n: int) -> tuple[float, list[float]]:
@@ -100,7 +101,7 @@ def _with_weights(rows: DataFrame) -> DataFrame:
 def _predict(rows: DataFrame, models: DataFrame, goal_column: str) -> DataFrame:
     parts = F.unwrap_udt("features")
     weighted = rows.withColumns({"indices": parts.indices, "weights": parts["values"]}).drop("features")
-    return apply_models(weighted, models, goal_column)
+    return apply_models(weighted, models, goal_column, exact=True)
 
 
 def _cross_validate(small: DataFrame) -> tuple[DataFrame, list[tuple]]:
@@ -131,7 +132,8 @@ def _cross_validate(small: DataFrame) -> tuple[DataFrame, list[tuple]]:
 def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     """Train every goal of ``training(goal, resume_text, label)`` that has enough samples.
 
-    A column ``item_id``, unique within a goal, fixes the split; without it rows are numbered.
+    A column ``item_id``, unique within a goal, fixes the split; without it the content does, whatever the
+    files and their order. Ids are drawn by the part before a ``#``.
 
     More than 20 samples: 60 % of them, stratified, train a model and the rest measure it.
     10 to 20: cross-validated accuracy only. Fewer: skipped.
@@ -145,11 +147,11 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     skipped = [(g, a) for g, a in sorted(action.items()) if a not in (TRAIN, CROSS_VALIDATE)]
 
     if "item_id" not in items.columns:
-        items = items.withColumn("item_id", F.monotonically_increasing_id())
+        items = items.withColumn("item_id", content_id())
     kept = [(g, a) for g, a in action.items() if (g, a) not in skipped]
     wanted = local_table(spark, kept, "goal STRING, action STRING")
-    weighted = tfidf(items.join(F.broadcast(wanted), "goal"), "resume_text", vocabulary)
-    vector = sparse_vector(F.col("indices"), F.col("weights"), size)
+    weighted = tfidf(items.join(small_side(wanted), "goal"), "resume_text", vocabulary)
+    vector = vector_parts(F.col("indices"), F.col("weights"), size)
     # Written once, by goal: each fit then reads its own goal only. Rebalancing splits a goal
     # that holds much of the data over several files.
     features = materialise(
@@ -158,14 +160,17 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
         .select("goal", "action", "item_id", "label", vector.alias("features")),
         "features",
         ["goal"],
+        {"features": VectorUDT()},
     )
 
     large = features.filter(F.col("action") == TRAIN).drop("action")
     split = stratified_split(large, "item_id")
-    train_rows = _with_weights(split.filter(~F.col("is_test")))
+    # Written with split and weights, so that a fit reads its goal and repeats no join.
+    split = materialise(split, "split", ["goal"])
+    train_rows = materialise(_with_weights(split.filter(~F.col("is_test"))), "training", ["goal"])
     fitted, failed = _fit_all(train_rows)
     models = local_table(spark, fitted, schemas.GOAL_MODELS)
-    test_rows = split.filter("is_test").join(F.broadcast(models.select("goal")), "goal", "left_semi")
+    test_rows = split.filter("is_test").join(small_side(models.select("goal")), "goal", "left_semi")
     # Kept, because registry and metrics each read them.
     predictions = materialise(
         _predict(test_rows, models, "goal").select("goal", "label", "probability"), "predictions"

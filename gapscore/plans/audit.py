@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gapscore.operators.audit import (
     check_config,
@@ -15,6 +16,13 @@ from gapscore.schemas import GOAL_MODELS
 from gapscore.storage import local_table
 
 
+def _usable(models: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+    """Goals whose model scoring can use: one coefficient for each term of the vocabulary."""
+    if vocabulary is None or "coefficients" not in models.columns:
+        return models.select("goal")
+    return models.filter(F.size("coefficients") == vocabulary.count()).select("goal")
+
+
 def audit(
     spark: SparkSession,
     config: dict,
@@ -25,7 +33,7 @@ def audit(
     registry: DataFrame | None = None,
 ) -> DataFrame:
     """One row per check; ``None`` stands for a table that is not there."""
-    stored = models.select("goal") if models is not None else local_table(spark, [], GOAL_MODELS).select("goal")
+    stored = _usable(models, vocabulary) if models is not None else local_table(spark, [], GOAL_MODELS).select("goal")
     return (
         check_config(spark, config)
         .unionByName(check_vocabulary(spark, vocabulary))

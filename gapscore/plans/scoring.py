@@ -1,22 +1,46 @@
-"""Batch scoring: validated requests in, responses out."""
+"""Batch scoring: requests in, responses and rejected requests out."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import Dimensions, score
-from gapscore.sources.requests import has_all_fields
+from gapscore.sources.requests import check_fields, rejected, usable
+
+
+class Answers(NamedTuple):
+    """What becomes of requests: each is in one of the two tables."""
+
+    responses: DataFrame
+    rejected: DataFrame
 
 
 def respond(requests: DataFrame, dims: Dimensions, models: GoalModels | None = None) -> DataFrame:
     """Responses to complete requests. Without a matched skill the score is 0.
 
     Per request this is one pass over its row: the lookups are broadcast dictionaries and no
-    step regroups the requests.
+    step regroups the requests. Requests are typed, or bodies from ``parse_bodies``.
     """
-    return score(requests.filter(has_all_fields()), dims, models, zero_without_match=True)
+    return score(usable(requests), dims, models, zero_without_match=True)
+
+
+def rejects(requests: DataFrame) -> DataFrame:
+    """The other requests, each with ``details``: what is wrong with which field."""
+    return rejected(check_fields(requests))
+
+
+def answer(requests: DataFrame, dims: Dimensions, models: GoalModels | None = None) -> Answers:
+    return Answers(respond(requests, dims, models), rejects(requests))
 
 
 def write_responses(responses: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
     responses.write.mode(mode).format(fmt).save(path)
+
+
+def write_answers(answers: Answers, folder: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """Responses and rejected requests, in a folder each."""
+    write_responses(answers.responses, f"{folder}/responses", fmt, mode)
+    write_responses(answers.rejected, f"{folder}/rejected", fmt, mode)

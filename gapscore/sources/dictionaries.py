@@ -19,10 +19,19 @@ def json_entries(document: Column) -> Column:
     return F.posexplode(F.from_json(document, "map<string,string>"))
 
 
+def last_entries(documents: DataFrame, column: str) -> DataFrame:
+    """``(pos, key, body)`` of each document: a repeated key keeps its first place and its last body."""
+    entries = documents.select(F.md5(column).alias("doc"), json_entries(F.col(column)).alias("pos", "key", "body"))
+    kept = entries.groupBy("doc", "key").agg(
+        F.min("pos").alias("pos"), F.max(F.struct("pos", "body")).alias("last")
+    )
+    return kept.select("pos", "key", "last.body")
+
+
 def parse_goals(documents: DataFrame, column: str = "value") -> DataFrame:
     """JSON objects ``{goal: [skill, ...]}`` to ``(goal, skills)``; ``skills`` is NULL if malformed."""
-    entries = documents.select(json_entries(F.col(column)).alias("pos", "goal", "body"))
-    return entries.select("goal", F.from_json("body", "array<string>").alias("skills"))
+    entries = last_entries(documents, column)
+    return entries.select(F.col("key").alias("goal"), F.from_json("body", "array<string>").alias("skills"))
 
 
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +39,9 @@ def read_goals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def goal_skills(goals: DataFrame) -> DataFrame:
-    """``(goal, pos, skill)`` rows of well-formed goals."""
-    return goals.select("goal", F.posexplode("skills").alias("pos", "skill"))
+    """``(goal, pos, skill)`` rows of well-formed goals; a goal with an empty list has one row without a skill."""
+    listed = goals.filter(F.col("skills").isNotNull())
+    return listed.select("goal", F.posexplode_outer("skills").alias("pos", "skill"))
 
 
 def goal_sizes(goals: DataFrame) -> DataFrame:
@@ -43,12 +53,13 @@ def goal_sizes(goals: DataFrame) -> DataFrame:
 
 def parse_synonyms(documents: DataFrame, column: str = "value") -> DataFrame:
     """JSON ``{canonical: [synonym, ...]}`` to rules numbered in file order."""
-    entries = documents.select(json_entries(F.col(column)).alias("rank", "canonical", "body"))
-    listed = entries.select(
-        "rank", "canonical", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "synonym")
+    listed = last_entries(documents, column).select(
+        F.col("pos").alias("rank"),
+        F.col("key").alias("canonical"),
+        F.posexplode(F.from_json("body", "array<string>")).alias("place", "synonym"),
     )
     # File order as one number: the entry, then the place within its list.
-    rule_no = (F.col("rank").cast("long") * 1_000_000 + F.col("pos")).alias("rule_no")
+    rule_no = (F.col("rank").cast("long") * 1_000_000 + F.col("place")).alias("rule_no")
     return listed.select(rule_no, "canonical", "synonym")
 
 

@@ -16,7 +16,9 @@ NOT_JSON = "JSON decode error"
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Requests that are already typed; a missing field is NULL."""
+    """Requests that are already typed; a missing field is NULL. JSON lines are parsed as request bodies."""
+    if fmt == "json":
+        return read_request_bodies(spark, path)
     return spark.read.schema(schemas.REQUEST).format(fmt).load(path)
 
 
@@ -47,7 +49,12 @@ def _is_string(field: str) -> Column:
 
 
 def check_fields(requests: DataFrame) -> DataFrame:
-    """Add ``details`` to typed requests: one ``field: message`` entry per missing field."""
+    """Add ``details`` to typed requests: one ``field: message`` entry per missing field.
+
+    Parsed bodies have them already.
+    """
+    if "details" in requests.columns:
+        return requests
     missing = [F.when(F.col(f).isNull(), F.lit(f"body.{f}: {MISSING}")) for f in FIELDS]
     return requests.withColumn("details", F.array_compact(F.array(*missing)))
 
@@ -60,6 +67,10 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("details") > 0)
 
 
-def has_all_fields() -> Column:
-    """The same condition for requests whose errors nobody asks for; it reaches the file scan."""
-    return F.col("student_id").isNotNull() & F.col("goal").isNotNull() & F.col("resume_text").isNotNull()
+def usable(requests: DataFrame) -> DataFrame:
+    """The accepted requests; without ``details`` the condition reaches the file scan."""
+    if "details" in requests.columns:
+        return accepted(requests)
+    return requests.filter(
+        F.col("student_id").isNotNull() & F.col("goal").isNotNull() & F.col("resume_text").isNotNull()
+    )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -39,15 +39,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which also cuts its lineage."""
+def materialise(
+    df: DataFrame, name: str, partition_by: list[str] | None = None, read_as: dict[str, DataType] | None = None
+) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which also cuts its lineage.
+
+    ``read_as`` names columns that are read under another type of the same storage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    types = read_as or {}
+    fields = [StructField(f.name, types.get(f.name, f.dataType), f.nullable) for f in df.schema]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
 
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
@@ -63,9 +70,12 @@ def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     A small one is computed once and becomes a constant table. A larger one is returned as it
     is: Spark then shuffles both sides and AQE splits skewed keys.
     """
-    content = df.limit(max_rows + 1).toArrow()
-    if content.num_rows > max_rows or content.nbytes > MAX_BROADCAST_BYTES:
+    first = df.limit(max_rows + 1)
+    # Bytes are bounded before the rows come to the driver; JSON is no smaller than the row.
+    size = first.select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    if size[0] > max_rows or (size[1] or 0) > MAX_BROADCAST_BYTES:
         return df
+    content = first.toArrow()
     return F.broadcast(df.sparkSession.createDataFrame(content, df.schema))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import Dimensions
-from gapscore.plans.scoring import respond
+from gapscore.plans.scoring import rejects, respond
 
 
 def respond_stream(
@@ -19,10 +19,22 @@ def respond_stream(
     models: GoalModels | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Score a stream of requests into parquet files. Stateless, so restarts resume exactly."""
+    """Score a stream of requests into parquet files. Stateless, so restarts resume exactly.
+
+    Dictionaries and models are those of the start; restart the stream to take new ones. Requests that cannot
+    be scored go to ``reject_stream``.
+    """
+    return _to_files(respond(requests, dims, models), output, checkpoint, available_now)
+
+
+def reject_stream(requests: DataFrame, output: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """The rejected requests of the same stream with their details, into files of their own."""
+    return _to_files(rejects(requests), output, checkpoint, available_now)
+
+
+def _to_files(rows: DataFrame, output: str, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = (
-        respond(requests, dims, models)
-        .writeStream.outputMode("append")
+        rows.writeStream.outputMode("append")
         .format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint)

@@ -97,6 +97,13 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_partial_matches_of_several_words(spark):
+    universe = spark.createDataFrame([("boat hook",), ("keel",)], "skill STRING")
+    df = spark.createDataFrame([("A boat hok, boat hooks and keels",), ("boathook",)], "text STRING")
+    near = {(r.skill, r.word) for r in extensions.partial_matches(df, "text", universe, 0.8).collect()}
+    assert near == {("boat hook", "boat hok"), ("boat hook", "boat hooks"), ("keel", "keels")}
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.6])
 def test_partial_matches_against_all_pairs(spark, sf, threshold):
     import re

@@ -48,7 +48,7 @@ def test_query(spark, sf, duck, name):
 
 def test_oracles_belong_to_queries():
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(ORACLES) == {"extract_large_dictionary", "ext_partial_match", "train_lr_metrics", "train_summary"}
+    assert set(QUERIES) - set(ORACLES) == {"train_lr_metrics", "train_summary"}
 
 
 def test_entry(spark):

@@ -9,7 +9,7 @@ from gapscore.operators import gap, goals
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import load_dimensions, passed, score, usage
 from gapscore.operators.tfidf import Vocabulary
-from gapscore.plans.scoring import respond, write_responses
+from gapscore.plans.scoring import answer, respond, write_responses
 
 RAW = {
     "version": "1.0.0",
@@ -108,9 +108,38 @@ def test_repeated_students_stay_apart(spark):
     assert sorted(r.score for r in score(rows, dimensions(spark)).collect()) == [0.5, 1.0]
 
 
-def test_respond_drops_incomplete_requests(spark):
+def test_incomplete_requests_are_rejected_with_reasons(spark):
     rows = requests(spark, ("a", "Beekeeper", None), (None, "Beekeeper", "x"), ("c", None, "x"), ("d", "Beekeeper", "honey"))
-    assert [r.student_id for r in respond(rows, dimensions(spark)).collect()] == ["d"]
+    done = answer(rows, dimensions(spark))
+    assert [r.student_id for r in done.responses.collect()] == ["d"]
+    assert {(r.student_id, *r.details) for r in done.rejected.collect()} == {
+        ("a", "body.resume_text: Field required"),
+        (None, "body.student_id: Field required"),
+        ("c", "body.goal: Field required"),
+    }
+
+
+def test_empty_goal_requires_nothing(spark):
+    rows = [("Beekeeper", None, None), ("Lamplighter", 0, "Wicks")]
+    dims = load_dimensions(
+        Config.from_dict(RAW),
+        spark.createDataFrame(rows, schemas.GOAL_SKILLS),
+        spark.createDataFrame([], schemas.SYNONYMS),
+        spark.createDataFrame([], schemas.RECOMMENDATIONS),
+    )
+    row = score(requests(spark, ("s", "Beekeeper", "wicks")), dims).first()
+    assert (row.goal_used, row.score, row.matched_skills, row.missing_skills) == ("Beekeeper", 0.0, [], [])
+    assert score(requests(spark, ("s", "Ghost", "wicks")), dims).first().score == 1.0
+
+
+def test_models_are_found_by_goal_key(spark):
+    raw = {**RAW, "model_goals_supported": ["Night Lamplighter"], "default_goal_model": "Night Lamplighter"}
+    dims = dimensions(spark, raw, {"Night Lamplighter": ["Wicks", "Oil"]})
+    table = spark.createDataFrame(
+        [("night_lamplighter", 3.0, [0.0, 0.0]), ("Night Lamplighter", -9.0, [0.0, 0.0])], schemas.GOAL_MODELS
+    )
+    models = GoalModels(Vocabulary(("oil", "wicks"), (1.0, 1.0)), table)
+    assert respond(requests(spark, ("a", "Night Lamplighter", "wicks")), dims, models).first().score > 0.9
 
 
 def _models(spark, intercept):

@@ -49,11 +49,33 @@ def test_goals_file(spark, tmp_path):
     path = tmp_path / "wanted.json"
     path.write_text(json.dumps({"A": ["x", "y"], "B": "broken", "C": []}, indent=2))
     parsed = dictionaries.read_goals(spark, str(path))
-    assert rows(dictionaries.goal_skills(parsed)) == [("A", 0, "x"), ("A", 1, "y")]
+    assert set(rows(dictionaries.goal_skills(parsed))) == {("A", 0, "x"), ("A", 1, "y"), ("C", None, None)}
     sizes = {row.goal: (row.skills, row.malformed) for row in dictionaries.goal_sizes(parsed).collect()}
     assert sizes == {"A": (2, False), "B": (None, True), "C": (0, False)}
 
 
+def test_repeated_keys_keep_their_last_value(spark, tmp_path):
+    path = tmp_path / "twice.json"
+    path.write_text('{"A": ["x"], "B": ["y"], "A": ["z", "w"]}')
+    assert rows(dictionaries.goal_skills(dictionaries.read_goals(spark, str(path)))) == [("A", 0, "z"), ("A", 1, "w"), ("B", 0, "y")]
+    rules = dictionaries.read_synonyms(spark, str(path)).orderBy("rule_no").collect()
+    assert [(r.canonical, r.synonym) for r in rules] == [("A", "z"), ("A", "w"), ("B", "y")]
+
+
+def test_mistyped_json_requests_are_rejected(spark, tmp_path):
+    path = tmp_path / "lines.json"
+    path.write_text('{"student_id": "a", "goal": "g", "resume_text": "t"}\n{"student_id": 12345, "goal": "g", "resume_text": "t"}')
+    read = requests.read_requests(spark, str(path), fmt="json")
+    assert rows(requests.usable(read).select("student_id")) == [("a",)]
+    assert [r.details for r in requests.rejected(read).collect()] == [["body.student_id: Input should be a valid string"]]
+
+
+@pytest.mark.parametrize("label, number", [("1", 1), ("1.0", 1), ("true", 1), ("false", 0), ("0.0", 0), ("x", None), ("", None)])
+def test_labels(spark, label, number):
+    df = spark.createDataFrame([("g", "t", label)], "goal STRING, resume_text STRING, label STRING")
+    assert usable_items(df).first().label == number
+
+
 def test_synonyms_keep_file_order(spark, tmp_path):
     path = tmp_path / "synonyms.json"
     path.write_text('{\n "Zed": ["z2", "z1"],\n "Abc": ["a"]}')

@@ -5,13 +5,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from gapscore.operators import evaluate, linear, split
 from gapscore.operators.tfidf import Vocabulary
-from gapscore.operators.train import fit, sparse_vector, train
+from gapscore.operators.train import fit, train, vector_parts
 from gapscore.plans.training import train_and_save
 from gapscore.sources.models import load_models, read_table
+from gapscore.storage import materialise
 
 
 def expected_test_ids(rows):
@@ -102,8 +104,10 @@ def test_fit_solves_the_balanced_objective(spark):
     weight = {c: 60 / (2 * (y == c).sum()) for c in (0, 1)}
     rows = [("g", int(c), float(weight[c]), [0, 1, 2], [float(v) for v in r]) for r, c in zip(x, y)]
     df = spark.createDataFrame(rows, "goal STRING, label INT, weight DOUBLE, indices ARRAY<INT>, weights ARRAY<DOUBLE>")
-    vector = sparse_vector(F.col("indices"), F.col("weights"), 3)
-    intercept, coefficients = fit(df.withColumn("features", vector), 60)
+    parts = df.withColumn("features", vector_parts(F.col("indices"), F.col("weights"), 3))
+    assert "Python" not in parts._jdf.queryExecution().executedPlan().toString()
+    vectors = materialise(parts, "vectors", read_as={"features": VectorUDT()})
+    intercept, coefficients = fit(vectors, 60)
     expected = newton(x, y, np.array([weight[c] for c in y]))
     assert coefficients == pytest.approx(list(expected[:3]), abs=1e-3)
     assert intercept == pytest.approx(expected[3], abs=1e-3)
@@ -141,6 +145,17 @@ def test_train_all_kinds_of_goals(spark):
     assert (reasons["tiny"], reasons["unlabelled"]) == ("not enough samples", "no data")
 
 
+def test_split_does_not_depend_on_the_files(spark):
+    rows = [("g", f"text {i % 70}", i % 2) for i in range(100)]
+    splits = []
+    for parts, order in ((1, rows), (8, rows[::-1])):
+        items = spark.createDataFrame(order, "goal STRING, resume_text STRING, label INT").repartition(parts)
+        items = materialise(items.withColumn("item_id", split.content_id()), "ids")
+        done = split.stratified_split(items, "item_id")
+        splits.append(sorted((r.resume_text, r.label, r.is_test) for r in done.collect()))
+    assert splits[0] == splits[1] and sum(t for *_, t in splits[0]) == 40
+
+
 def test_train_and_save(spark, tmp_path):
     folder = str(tmp_path / "stored")
     training = spark.createDataFrame(_items("g", 15, 15), "goal STRING, resume_text STRING, label INT")

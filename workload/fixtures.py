@@ -71,9 +71,14 @@ EDGE_SKILLS = ["web", "exampledotcom", "-org", "example.net", "://", ".net", "pa
 FEW_SKILLS = ["thing", "thor", "elle"]
 
 STOP_WORDS = ["the", "and", "of", "to", "le", "la", "de", "et", "der", "die", "und", "el", "en", "que"]
-MAX_FEATURES = 400
 MAX_DF = 0.5
 
+# As a file: "en" is there twice and its last list counts, "fr" is an empty list, "es" is not there at
+# all, and neither is the default goal.
+GOALS_FILE = '{"en": ["zzyzx", "never"], "fr": [], "de": ["nicht"], "en": ["that", "with", "thing"]}'
+GOALS_FILE_LAST = ["that", "with", "thing"]
+GOALS_FILE_CONFIG = {**CONFIG, "default_goal_model": "it"}
+
 SALT = "pepper"
 
 
@@ -96,15 +101,8 @@ def recommendations(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, schemas.RECOMMENDATIONS)
 
 
-_loaded: dict[str, Dimensions] = {}
-
-
 def dimensions(spark: SparkSession) -> Dimensions:
-    """Loaded once per application, as a scoring job would."""
-    app = spark.sparkContext.applicationId
-    if app not in _loaded:
-        _loaded[app] = load_dimensions(config(), goal_skills(spark), synonyms(spark), recommendations(spark))
-    return _loaded[app]
+    return load_dimensions(config(), goal_skills(spark), synonyms(spark), recommendations(spark))
 
 
 def few_rules() -> SkillRules:
@@ -163,20 +161,11 @@ def source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_vocabulary(
-        documents(spark, sf_dir, "text"), "text", STOP_WORDS, max_features=MAX_FEATURES, max_df=MAX_DF
-    )
-
-
-_fitted: dict[tuple[str, str, str], Vocabulary | GoalModels] = {}
+    return fit_vocabulary(documents(spark, sf_dir, "text"), "text", STOP_WORDS, max_df=MAX_DF)
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> Vocabulary:
-    """Fitted once per application and folder: what scores texts finds a vocabulary in place."""
-    key = ("vocabulary", spark.sparkContext.applicationId, sf_dir)
-    if key not in _fitted:
-        _fitted[key] = load_vocabulary(vocabulary_table(spark, sf_dir), STOP_WORDS)
-    return _fitted[key]
+    return load_vocabulary(vocabulary_table(spark, sf_dir), STOP_WORDS)
 
 
 def log_odds(spark: SparkSession, sf_dir: str, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]:
@@ -191,11 +180,7 @@ def log_odds(spark: SparkSession, sf_dir: str, vocab: Vocabulary) -> tuple[DataF
 
 
 def models(spark: SparkSession, sf_dir: str) -> GoalModels:
-    """Models in place, like the vocabulary."""
-    key = ("models", spark.sparkContext.applicationId, sf_dir)
-    if key not in _fitted:
-        vocab = vocabulary(spark, sf_dir)
-        coefficients, intercepts = log_odds(spark, sf_dir, vocab)
-        packed = pack_models(coefficients, intercepts, len(vocab.terms))
-        _fitted[key] = GoalModels(vocab, small_side(packed, MAX_BROADCAST_MODELS))
-    return _fitted[key]
+    vocab = vocabulary(spark, sf_dir)
+    coefficients, intercepts = log_odds(spark, sf_dir, vocab)
+    packed = pack_models(coefficients, intercepts, len(vocab.terms))
+    return GoalModels(vocab, small_side(packed, MAX_BROADCAST_MODELS))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gapscore.functions.text import MODEL_SUFFIX, WHITESPACE
 from gapscore.operators import gap, goals
+from gapscore.operators.tfidf import MAX_FEATURES
 from workload import fixtures as fx
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -167,7 +168,7 @@ VOCABULARY = f"""
     ranked AS (
       SELECT term, sum(tf)::BIGINT AS corpus_tf, count(*) AS df FROM tf GROUP BY term
       HAVING count(*) <= {fx.MAX_DF} * (SELECT count(*) FROM documents)
-      ORDER BY corpus_tf DESC, term LIMIT {fx.MAX_FEATURES}
+      ORDER BY corpus_tf DESC, term LIMIT {MAX_FEATURES}
     ),
     vocabulary AS (
       SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS term_id, corpus_tf, df,
@@ -211,8 +212,8 @@ def _probability(pairs: str, weights: str = "weights", key: str = "doc_id") -> s
 PREDICTIONS = f"""
     WITH {VOCABULARY} {WEIGHTS} {MODELS},
     predictions AS (
-      SELECT t.goal, t.label, round(p.probability, 6) AS probability,
-             (round(p.probability, 6) > 0.5)::INT AS predicted
+      SELECT t.goal, t.label, p.probability,
+             (p.probability > 0.5)::INT AS predicted
       FROM ({_probability("SELECT doc_id, goal FROM training")}) p JOIN training t USING (doc_id, goal)
     )"""
 
@@ -331,17 +332,80 @@ RATE_LIMIT = """
     SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests
     FROM events GROUP BY ALL HAVING count(*) > 1"""
 
-ORACLES = {
-    "flagship_goal_coverage": _scores(USAGE),
-    "request_validation": """
-      WITH errors AS (
-        SELECT CASE WHEN source = 'src1' AND lang = 'de' THEN 'body: JSON decode error'
+BODIES = """
+    bodies AS (
+      SELECT CASE WHEN source = 'src0' OR (source = 'src1' AND lang = 'de') THEN NULL ELSE 'stu_' || doc_id END AS student_id,
+             CASE WHEN lang = 'es' OR (source = 'src1' AND lang = 'de') THEN NULL ELSE lang END AS goal,
+             CASE WHEN source = 'src1' AND lang = 'de' THEN 'body: JSON decode error'
                ELSE concat_ws('|',
                  CASE WHEN source = 'src0' THEN 'body.student_id: Input should be a valid string' END,
                  CASE WHEN lang = 'es' THEN 'body.goal: Field required' END) END AS details
+      FROM documents
+    )"""
+
+# DuckDB's edit distance counts bytes, so letters of two bytes become capitals, which lower-case texts lack.
+ONE_BYTE = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&*+')"
+
+ORACLES = {
+    "flagship_goal_coverage": _scores(USAGE),
+    "request_validation": f"WITH {BODIES} SELECT student_id, goal, details FROM bodies WHERE details <> ''",
+    "request_accepted": _scores(
+        f"""SELECT b.student_id, b.goal, round(CASE WHEN s.matched = 0 THEN 0.0 ELSE s.score END, 6) AS score
+        FROM scores s JOIN (WITH {BODIES} SELECT * FROM bodies WHERE details = '') b USING (student_id)"""
+    ),
+    "goal_file": f"""
+      WITH r AS (
+        SELECT 'stu_' || doc_id AS student_id, CASE WHEN lang IN ({SUPPORTED}) THEN lang ELSE 'it' END AS goal_used,
+               CASE WHEN lang = 'en' AND regexp_matches({STRIP.replace("resume_text", "text")}, '[a-zA-Z0-9]') THEN {_list(fx.GOALS_FILE_LAST)} ELSE [] END AS skills,
+               regexp_extract_all(lower(text), '{WORD}') AS words
         FROM documents
+      ), g AS (
+        SELECT *, list_filter(skills, lambda s: list_contains(words, s)) AS matched,
+               list_filter(skills, lambda s: NOT list_contains(words, s)) AS missing FROM r
+      )
+      SELECT student_id, goal_used, round(CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(matched) / len(skills) END, 6) AS score,
+             array_to_string(matched, '|') AS matched_skills, array_to_string(missing, '|') AS missing_skills
+      FROM g""",
+    "extract_large_dictionary": f"""
+      WITH words AS (SELECT DISTINCT unnest({_tokens('text')}) AS w FROM benchmark),
+      numbered AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS n FROM words),
+      meaning AS (
+        SELECT a.w, b.w AS skill FROM numbered a JOIN numbered b ON b.n = a.n - a.n % 8
+      ),
+      found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
+      SELECT skill, count(DISTINCT doc_id) AS documents FROM found JOIN meaning USING (w) GROUP BY skill""",
+    "trained_models_used": f"""
+      WITH {VOCABULARY} {WEIGHTS} {MODELS}
+      SELECT doc_id, CASE goal WHEN 'quality' THEN 'Text Quality' WHEN 'toxic' THEN 'Toxic Text' ELSE goal END AS goal,
+             round(probability, 6) AS probability
+      FROM ({_probability(
+        "SELECT doc_id, CASE lang WHEN 'en' THEN 'quality' WHEN 'fr' THEN 'toxic' ELSE lang END AS goal FROM documents"
+      )})""",
+    "train_registry": f"""
+      WITH {VOCABULARY},
+      items AS ({TRAINING_IDS}),
+      counted AS (
+        SELECT goal, count(*) AS samples, sum(label)::BIGINT AS positive_samples,
+               (count(*) - sum(label))::BIGINT AS negative_samples FROM items GROUP BY goal
+      )
+      SELECT goal, goal || '{MODEL_SUFFIX}' AS model_path, samples, positive_samples, negative_samples,
+             (SELECT count(*) FROM vocabulary)::INT AS feature_count, ceil(samples * 40 / 100)::BIGINT AS tested
+      FROM counted""",
+    "train_outcomes": """
+      WITH counted AS (
+        SELECT lang AS goal, count(*) AS n,
+               least(nullif(count(*) FILTER (quality = 0), 0), nullif(count(*) FILTER (quality = 1), 0)) AS rarest,
+               count(DISTINCT quality) AS classes
+        FROM documents JOIN labels USING (doc_id) GROUP BY lang
       )
-      SELECT details, count(*) AS requests FROM errors WHERE details <> '' GROUP BY details""",
+      SELECT goal, CASE WHEN n < 10 THEN 'not enough samples' WHEN n <= 20 THEN 'cross-validated'
+                        WHEN rarest < 2 THEN 'a label has one sample'
+                        WHEN classes < 2 THEN 'failed: all training samples have the same label'
+                        ELSE 'trained' END AS outcome FROM counted""",
+    "training_arrays": f"""
+      SELECT goal, count(*) AS samples, sum(label)::BIGINT AS positive_samples,
+             (count(*) - sum(label))::BIGINT AS negative_samples
+      FROM ({TRAINING_IDS}) JOIN documents USING (doc_id) WHERE source <> 'src2' GROUP BY goal""",
     "blank_gate": f"""
       SELECT student_id, length({STRIP}) AS length, NOT regexp_matches({STRIP}, '[a-zA-Z0-9]') AS blank
       FROM ({THINNED})""",
@@ -530,6 +594,21 @@ ORACLES = {
         "SELECT student_id, goal_used, round(score, 6) AS score FROM scores WHERE score < 0.3"
     ),
     "ext_usage_metrics": _scores(USAGE),
+    "ext_partial_match": f"""
+      WITH texts AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents),
+      runs AS (
+        SELECT doc_id, 1 AS n, unnest(w) AS run FROM texts
+        UNION SELECT doc_id, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM texts
+      ),
+      counted AS (SELECT n, run, count(*) AS documents FROM runs GROUP BY ALL),
+      compared AS (
+        SELECT skill, run AS word, documents,
+               1 - levenshtein({ONE_BYTE.format("run")}, {ONE_BYTE.format("lower(skill)")}) / greatest(length(run), length(skill)) AS similarity
+        FROM counted JOIN {SKILL_TABLE} ON n = len(string_split(skill, ' '))
+          AND length(run) BETWEEN 0.5 * length(skill) AND 2 * length(skill)
+      )
+      SELECT skill, word, documents, round(similarity, 6) AS similarity
+      FROM compared WHERE similarity >= {fx.config().partial_match_threshold} - 1e-9""",
     "ext_case_sensitive": f"""
       SELECT skill, count(*) AS documents FROM ({_found(f"({REQUESTS})", "student_id", "resume_text", lower=False)})
       GROUP BY skill""",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapscore.functions import text as fn
 from gapscore.operators import audit, evaluate, extensions, gap, goals, linear, score, split, tfidf, train
 from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.plans.audit import audit as audit_plan
-from gapscore.plans.scoring import respond
+from gapscore.plans.scoring import rejects, respond
 from gapscore.sources import dictionaries, models, requests, training
 from gapscore.sources.dictionaries import SkillRules
-from gapscore.storage import materialise, new_path
+from gapscore.config import Config
+from gapscore.storage import local_table, materialise, new_path
 from gapscore.streaming import latest_counts, requests_per_minute, respond_stream, write_counts
 from workload import fixtures as fx
 
@@ -33,7 +34,7 @@ def _path(column: str) -> Column:
 # Requests
 
 
-def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Request bodies made from documents, some without a goal, mistyped or cut off."""
     docs = fx.documents(spark, sf, "doc_id", "lang", "source", "text")
     goal = F.when(F.col("lang") != "es", F.col("lang")).alias("goal")
@@ -45,10 +46,18 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
         .when((F.col("source") == "src1") & (F.col("lang") == "de"), F.concat(F.lit("{"), named))
         .otherwise(named)
     )
-    checked = requests.parse_bodies(docs.select(body.alias("value")))
-    return requests.rejected(checked).groupBy(_joined("details").alias("details")).agg(
-        F.count("*").alias("requests")
-    )
+    return requests.parse_bodies(docs.select(body.alias("value")))
+
+
+def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rejected request with what is wrong with it."""
+    return rejects(_bodies(spark, sf)).select("student_id", "goal", _joined("details").alias("details"))
+
+
+def request_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """The other requests: what the same bodies are scored to."""
+    responses = respond(_bodies(spark, sf), fx.dimensions(spark))
+    return responses.select("student_id", "goal", _rounded("score").alias("score"))
 
 
 def _thinned(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +87,25 @@ def goal_resolution(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def goal_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A goals file with an empty list, a repeated key and no list for the default goal."""
+    parsed = dictionaries.parse_goals(local_table(spark, [(fx.GOALS_FILE,)], "value STRING"))
+    dims = score.load_dimensions(
+        Config.from_dict(fx.GOALS_FILE_CONFIG),
+        dictionaries.goal_skills(parsed),
+        fx.synonyms(spark).limit(0),
+        fx.recommendations(spark),
+    )
+    scored = score.score(fx.requests(spark, sf), dims)
+    return scored.select(
+        "student_id",
+        "goal_used",
+        _rounded("score").alias("score"),
+        _joined("matched_skills").alias("matched_skills"),
+        _joined("missing_skills").alias("missing_skills"),
+    )
+
+
 # Dictionaries
 
 
@@ -169,13 +197,18 @@ def extract_edge_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
-    """A dictionary of real size from the documents: rarer words rewrite to more frequent ones."""
-    words = fx.documents(spark, sf, "text").select(F.explode(fn.tokens(F.col("text"))).alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("c"))
-    ranked = [row.w for row in counts.orderBy(F.desc("c"), "w").limit(2000).collect()]
-    skills, surface = ranked[: len(ranked) // 8], ranked[len(ranked) // 8 :]
-    rules = tuple((synonym, skills[number % len(skills)]) for number, synonym in enumerate(surface))
-    return SkillRules(rules, tuple(sorted(skills)))
+    """All words of the sample texts as a dictionary: by alphabet, each eighth is a skill and the next seven its synonyms."""
+    samples = fx.table(spark, sf, "benchmark", "text")
+    words = samples.select(F.explode(fn.tokens(F.col("text"))).alias("w")).distinct()
+    # A dictionary's words, numbered in one task as when it is read from a file.
+    numbered = words.withColumn("n", F.row_number().over(Window.orderBy("w")) - 1)
+    eighth = numbered.withColumn("entry", F.floor(F.col("n") / 8)).withColumn("place", F.col("n") % 8)
+    skills = eighth.filter("place = 0").select("entry", F.col("w").alias("canonical"))
+    synonyms = eighth.filter("place > 0").join(skills, "entry")
+    return dictionaries.load_rules(
+        synonyms.select(F.col("n").alias("rule_no"), "canonical", F.col("w").alias("synonym")),
+        skills.select(F.col("canonical").alias("skill")),
+    )
 
 
 def extract_large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,13 +325,43 @@ def training_gate(spark: SparkSession, sf: str) -> DataFrame:
     return fx.source_gate(spark, sf)
 
 
-def training_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Items written as one folder of JSON lines per goal, lines of one source broken, read back."""
+def _training_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(g, source, line): items as JSON, with labels as whole numbers, decimals and booleans by language."""
     items = fx.labelled(spark, sf).select(
-        "source", F.col("text").alias("resume_text"), F.expr("stack(2, 'quality', quality, 'toxic', toxic) AS (g, label)")
+        "source",
+        "lang",
+        F.to_json(F.struct(F.col("text").alias("resume_text"))).alias("body"),
+        F.expr("stack(2, 'quality', quality, 'toxic', toxic) AS (g, label)"),
+    )
+    label = (
+        F.when(F.col("lang") == "de", F.col("label").cast("double").cast("string"))
+        .when(F.col("lang") == "fr", (F.col("label") == 1).cast("string"))
+        .otherwise(F.col("label").cast("string"))
     )
+    line = F.concat(F.regexp_replace("body", r"\}$", ', "label": '), label, F.lit("}"))
+    return items.select("g", "source", line.alias("line"))
+
+
+def training_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Items as one JSON array per source and goal; the arrays of one source are cut off."""
+    folder = new_path(spark, "arrays")
+    # Files are as long as one source's items.
+    arrays = _training_lines(spark, sf).groupBy("g", "source").agg(F.array_sort(F.collect_list("line")).alias("items"))
+    body = F.concat(F.lit("["), F.array_join("items", ",\n"), F.when(F.col("source") == "src2", "").otherwise("]"))
+    lines = materialise(arrays.select("g", body.alias("value")), "arrays", ["g"])
+    paths = [f"{folder}/training_{goal}.json" for goal in ("quality", "toxic")]
+    for goal, path in zip(("quality", "toxic"), paths):
+        # One array a file.
+        lines.filter(F.col("g") == goal).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = training.read_training(spark, paths)
+    return split.training_counts(split.usable_items(training.readable(read)))
+
+
+def training_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Items written as one folder of JSON lines per goal, lines of one source broken, read back."""
+    items = _training_lines(spark, sf)
     folder = new_path(spark, "training")
-    line = F.to_json(F.struct("resume_text", "label"))
+    line = F.col("line")
     broken = F.substring(line, 1, 12)
     lines = materialise(
         items.select("g", F.when(F.col("source") == "src2", broken).otherwise(line).alias("value")), "lines", ["g"]
@@ -327,6 +390,43 @@ def train_lr_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return trained.registry.drop("accuracy").join(trained.metrics, "goal")
 
 
+def trained_models_used(spark: SparkSession, sf: str) -> DataFrame:
+    """Items in files named by goal keys, models fitted and stored under these; asked for by display names."""
+    names = {"quality": "text_quality", "toxic": "toxic_text"}
+    folder = new_path(spark, "keyed")
+    lines = materialise(_training_lines(spark, sf), "keyed-lines", ["g"])
+    for label, key in names.items():
+        lines.filter(F.col("g") == label).select("line").write.text(f"{folder}/training_{key}.json")
+    read = training.read_training(spark, [f"{folder}/training_{key}.json" for key in names.values()], False)
+    items = materialise(split.usable_items(training.readable(read)), "keyed-items")
+    vocab = materialise(fx.vocabulary_table(spark, sf), "vocabulary")
+    loaded = tfidf.load_vocabulary(vocab, fx.STOP_WORDS)
+    numbered = items.withColumn("n", F.monotonically_increasing_id())
+    odds = F.round(F.log((F.sum("label") + 1) / (F.count("*") - F.sum("label") + 1)), 6)
+    present = tfidf.tfidf_rows(numbered, "resume_text", loaded, ["n", "goal", "label"])
+    coefficients = present.groupBy("goal", "term_id").agg(odds.alias("coef"))
+    packed = linear.pack_models(coefficients, items.groupBy("goal").agg(odds.alias("intercept")), len(loaded.terms))
+    stored = new_path(spark, "keyed-models")
+    models.save_models(stored, vocab, fx.STOP_WORDS, packed, items.groupBy("goal").agg(F.count("*").alias("samples")))
+    docs = fx.documents(spark, sf, "doc_id", "lang", "text")
+    goal = F.when(F.col("lang") == "en", "Text Quality").when(F.col("lang") == "fr", "Toxic Text").otherwise(F.col("lang"))
+    scored = linear.model_probability(docs.withColumn("goal", goal), models.load_models(spark, stored), "text", "goal")
+    return scored.select("doc_id", "goal", _rounded("probability").alias("probability"))
+
+
+def train_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact columns of a training run: what was counted, split off and measured."""
+    items = fx.training(spark, sf).withColumnRenamed("doc_id", "item_id")
+    trained = train.train(items, fx.vocabulary(spark, sf))
+    tested = trained.metrics.select("goal", "tested")
+    return trained.registry.drop("accuracy").join(tested, "goal")
+
+
+def train_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each goal."""
+    return train_summary(spark, sf).select("goal", "outcome")
+
+
 def train_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A goal per language: trained, cross-validated or skipped, with the accuracy."""
     items = fx.labelled(spark, sf).select(
@@ -385,7 +485,7 @@ def score_all_goals(spark: SparkSession, sf: str) -> DataFrame:
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.training(spark, sf)
     scored = linear.model_probability(items, fx.models(spark, sf), "resume_text", "goal")
-    return scored.select("goal", "label", _rounded("probability").alias("probability"))
+    return scored.select("goal", "label", "probability")
 
 
 def eval_accuracy(spark: SparkSession, sf: str) -> DataFrame:
@@ -520,6 +620,8 @@ def ext_case_sensitive(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "flagship_goal_coverage": flagship_goal_coverage,
     "request_validation": request_validation,
+    "request_accepted": request_accepted,
+    "goal_file": goal_file,
     "blank_gate": blank_gate,
     "goal_resolution": goal_resolution,
     "goal_dimension": goal_dimension,
@@ -548,6 +650,10 @@ QUERIES = {
     "training_counts": training_counts,
     "training_gate": training_gate,
     "training_files": training_files,
+    "training_arrays": training_arrays,
+    "trained_models_used": trained_models_used,
+    "train_registry": train_registry,
+    "train_outcomes": train_outcomes,
     "class_weights": class_weights,
     "stratified_split": stratified_split,
     "train_lr_metrics": train_lr_metrics,
