@@ -203,27 +203,28 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     drawn = slots(targets).groupBy("source_rank", "block").agg(F.count("*").alias("times"))
     parts = (
         pieces(rows.select(*_ROW), _ROW)
-        .join(drawn, ["source_rank", "block"])
+        .hint("merge")
+        .join(drawn.hint("merge"), ["source_rank", "block"])
         .groupBy(*_ROW)
         .agg(F.array_sort(F.collect_list(F.struct("from_word", "words", "times"))).alias("parts"))
     )
     parts = scratch.keep(parts, "parts")
     copy = F.explode(F.sequence(F.lit(1), F.array_max(F.col("parts.times")).cast("int")))
-    words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all(F.col("whole"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     kept = F.filter("parts", lambda p: p["times"] >= F.col("copy"))
-    cut = F.array_join(
-        F.transform(kept, lambda p: F.array_join(F.slice("all_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")), "")),
-        "",
-    )
-    whole = F.aggregate(kept, F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
-    cut = F.when(whole, F.col(f"row.{text}")).otherwise(cut)
+    piece = lambda w, p: F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), p["words"].cast("int")), "")
+    # The words are split inside an array of one, so once a row, and only for copies that are not whole.
+    cut = F.get(F.transform(F.array(words), lambda w: F.array_join(F.transform("kept", lambda p: piece(w, p)), "")), 0)
+    whole = F.aggregate("kept", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
+    cut = F.when(whole, F.col("whole")).otherwise(cut)
     out = {c: F.col("row").getField(c) for c in docs.columns}
     out[text] = F.col("cut")
     if "n_chars" in out:
         out["n_chars"] = F.char_length("cut").cast(docs.schema["n_chars"].dataType)
     return (
         rows.join(parts, _ROW)
-        .select("row", "size", "parts", words.alias("all_words"), copy.alias("copy"))
+        .select("row", "size", "parts", copy.alias("copy"))
+        .select("row", "size", F.col(f"row.{text}").alias("whole"), kept.alias("kept"))
         .select("row", cut.alias("cut"))
         .select(*(v.alias(k) for k, v in out.items()))
     )
