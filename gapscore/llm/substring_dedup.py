@@ -22,9 +22,9 @@ WINDOW = 100
 GRAM = 28
 SPAN = WINDOW - GRAM + 1
 #: Bytes that are hashed at once; less than 2^20, as places take 20 bits.
-PART = 1 << 19
+PART = 1 << 18
 #: Bytes of a suffix array.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Contexts of one anchor that go into one shard; more are dealt to several, which are merged.
 HOT = 4_000
 _NO_ID = 2**63 - 1
