@@ -18,8 +18,6 @@ def plan(df):
 def nothing_is_small(spark, monkeypatch):
     """No side passes for small, and Spark may not broadcast on its own either."""
     monkeypatch.setattr(storage, "MAX_BROADCAST_BYTES", -1)
-    monkeypatch.setattr(fx, "_loaded", {})
-    monkeypatch.setattr(fx, "_fitted", {})
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
