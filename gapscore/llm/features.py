@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; the temporary arrays take about fifty times as much.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 _rng = np.random.default_rng(20260101)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,17 +65,17 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((target + PRIOR) / (expected + PRIOR))
 
 
-def log_weight(ratios: np.ndarray) -> "Column":
+def log_weight(ratios: np.ndarray) -> Callable[[Column], Column]:
     """A function of a binary column: the sum of the ratios over all tokens and pairs of a text."""
     ratios = ratios.astype(np.float64)
 
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def weigh(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
-        for part, starts, document in stretches(*bytes_of(pa.array(texts, pa.large_binary()))):
+        for part, starts, document in stretches(*bytes_of(texts)):
             hashes, owner = ngram_hashes(part, starts, document)
             out += np.bincount(owner, weights=ratios[_bucket(hashes)], minlength=len(out))
-        return pd.Series(out)
+        return pa.array(out)
 
     return weigh
 
@@ -119,9 +118,8 @@ def _fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, scratch: Sc
     return ratios, 1.0 if share is None else share
 
 
-def _keyed(docs: DataFrame, ratios: np.ndarray, text: str, doc_id: str) -> tuple[Column, Column]:
-    weight = log_weight(ratios)(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return weight, gumbel(F.col(doc_id))
+def _weight(ratios: np.ndarray, text: str) -> Column:
+    return log_weight(ratios)(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -138,8 +136,7 @@ def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     """
     scratch = Scratch(docs.sparkSession, "quality")
     ratios, share = _fit(docs, labels, text, doc_id, scratch)
-    weight, noise = _keyed(docs, ratios, text, doc_id)
-    scored = docs.select(F.col(doc_id).alias("doc_id"), weight.alias("log_weight")).withColumn(
+    scored = docs.select(F.col(doc_id).alias("doc_id"), _weight(ratios, text).alias("log_weight")).withColumn(
         "key", F.col("log_weight") + gumbel(F.col("doc_id"))
     )
     scored = scratch.keep(scored, "scored")
@@ -161,8 +158,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     """The rows of ``docs`` that ``resampled`` keeps, with their columns."""
     scratch = Scratch(docs.sparkSession, "quality")
     ratios, share = _fit(docs, labels, text, doc_id, scratch)
-    weight, noise = _keyed(docs, ratios, text, doc_id)
-    whole = F.floor((weight + noise) * _STEP).cast("long")
+    whole = F.floor((_weight(ratios, text) + gumbel(F.col(doc_id))) * _STEP).cast("long")
     keys = scratch.keep(docs.select(whole.alias("key")), "keys")
     found = kth_largest(keys, "key", max(int(np.ceil(share * keys.count())), 1))
     scratch.drop("keys")

@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _TO_OTHER_SPACE = re.compile(r" (?:\s|$)")
 
