@@ -117,12 +117,18 @@ def _pieces(doc_ids: list, bodies: list[bytes], first_sequence: int, sentence_en
 
 
 def packed(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", stride: int = STRIDE
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    added: tuple[tuple[str, int], ...] = (),
+    text: str = "text",
+    doc_id: str = "doc_id",
+    stride: int = STRIDE,
 ) -> DataFrame:
     """A row for each piece of a document in a sequence of at most 1024 tokens.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. A document is its ids and the
-    end id 0. Each input partition packs its documents in their order, about a million tokens
+    end id 0; ``added`` are the vocabulary's added tokens and their ids. Each input partition packs its documents in their order, about a million tokens
     at a time, so nothing is shuffled and a task holds one segment. sequence_id counts within the partition,
     whose number it carries above bit 40; a task that runs again gives the same rows.
 
@@ -133,7 +139,7 @@ def packed(
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, added)
         sequence = TaskContext.get().partitionId() << 40
         doc_ids, bodies, held = [], [], 0
         end = np.array([END_ID], dtype="<u4").tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ from gapscore.llm.substring_dedup import without_repeats
 from gapscore.llm.toxicity import scored
 
 
-def vocabulary() -> tuple[str, str]:
-    """The path of the byte-level BPE ranks and its pattern."""
+def vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """The path of the byte-level BPE ranks, its pattern, and the added tokens with their ids."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = tuple((token["content"], token["id"]) for token in json.load(file)["added_tokens"])
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,25 +31,34 @@ class _WordIds(dict):
 
 
 class Encoder:
-    """Encodes texts word by word. Strings of special tokens in a text are ordinary text.
+    """Encodes texts word by word. ``added`` are tokens that stand for themselves: a text is cut at them first.
 
     The vocabulary's pattern starts a new piece before a single space that stands before a word, so
     the text can be cut there, and a word's ids do not depend on its neighbours. A text in which
     a space is followed by more white space is encoded as a whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.words = _WordIds(self.encoding.encode_ordinary)
+        self.added = {token: np.array([number], dtype="<u4").tobytes() for token, number in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else None
         self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
         for token, rank in ranks.items():
             self.sentence_end[rank] = token[-1:] in b".!?\n"
 
     def __call__(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self._ordinary(text)
+        # every second part is an added token
+        return b"".join(self.added[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self.cut(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         if _TO_OTHER_SPACE.search(text):
             return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
         first, *rest = text.split(" ")
@@ -57,6 +66,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    return Encoder(ranks_path, pattern)
+    return Encoder(ranks_path, pattern, added)

@@ -105,3 +105,12 @@ def test_places_are_never_a_window_apart():
 def test_words_are_encoded_as_in_the_text(text):
     found = np.frombuffer(encoder(*vocabulary())(text), dtype="<u4").tolist()
     assert found == ids_of(text)[:-1]
+
+
+@pytest.mark.parametrize(
+    "text", ["a<|endoftext|>b", "a <|endoftext|> b", "  <|endoftext|>\n\nx", "<|endoftext|><|endoftext|>", "<|endoftext|>x <|endoftext|"]
+)
+def test_added_tokens_have_their_ids(text, spark):
+    found = np.frombuffer(encoder(*vocabulary())(text), dtype="<u4").tolist()
+    assert found == ids_of(text)[:-1] and 50256 in found
+    check(packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), *vocabulary()).collect(), [(1, text)])
