@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapscore.llm.work import Scratch
+
 #: A chunk ends after a line where the rolling hash of this line and the one before is a multiple of DIVISOR, but
 #: not so one line earlier. Where it ends depends on three lines only, and between two ends lie at least two
 #: lines, four on average.
@@ -126,3 +128,94 @@ def without_repeated_chunks(
     if "n_chars" in out:
         out["n_chars"] = F.char_length(F.coalesce("cut", F.lit(""))).cast(docs.schema["n_chars"].dataType)
     return cut.select(*(v.alias(c) for c, v in out.items()), *added)
+
+
+def _pairs(docs: DataFrame, text: str, doc_id: str, hash_of) -> DataFrame:
+    """A row for each two lines of a document with only blank lines between: at (its place in the order of the
+    table, ending with the numbers of both lines) and hash."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
+    solid = F.filter(numbers, lambda i: F.btrim(F.get("lines", i), F.lit(" \t\r")) != "")
+    own = docs.select(
+        F.col(doc_id).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("whole"), lines.alias("lines")
+    ).select("id", "whole", "lines", solid.alias("solid"))
+    pairs = F.transform(
+        F.slice(F.sequence(F.lit(0), F.size("solid")), 1, F.greatest(F.size("solid") - 1, F.lit(0))),
+        lambda j: F.struct(
+            F.get("solid", j).alias("a"),
+            F.get("solid", j + 1).alias("b"),
+            hash_of(_pair_text(F.get("solid", j), F.get("solid", j + 1))).alias("hash"),
+        ),
+    )
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "whole", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+    return own.select("id", "whole", F.explode(pairs).alias("pair")).select(at.alias("at"), "pair.hash")
+
+
+def _pair_text(a: Column, b: Column) -> Column:
+    return F.concat_ws("\n", F.get("lines", a), F.get("lines", b))
+
+
+def without_repeated_passages(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_of=lambda body: F.unhex(F.md5(body))
+) -> DataFrame:
+    """Every passage of two or more lines that are not blank stays where it occurs first, by id, and goes elsewhere.
+
+    A passage is repeated where each two lines in a row, blank lines aside, are; so a row of the shuffle is a
+    pair's hash and place, and passages of any length are found wherever they begin. Both lines of a repeated pair go,
+    and the blank lines between. No line's only copy goes: where a line occurs first, so do its pairs.
+    Hashes that repeat are then compared by their text (a grouping key); one that stands for different
+    texts removes nothing.
+
+    Returns ``docs`` with ``text`` cut and ``n_chars`` (if there is one) counted anew. Defined cases: a null text
+    stays null; null ids come last; of rows with the same id the order is that of the text's MD5, and
+    rows with the same id and text share their answer; in a run of equal lines the first two stay; a text whose lines
+    all go becomes empty and its row stays; an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    pairs = _pairs(docs, text, doc_id, hash_of)
+    first = pairs.groupBy("hash").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
+    found = scratch.keep(pairs.join(first.select("hash", "first"), "hash"), "found")
+    own = docs.select(
+        F.struct("*").alias("row"),
+        F.col(doc_id).alias("own_id"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("own_whole"),
+    )
+
+    def beside(places: DataFrame, how: str) -> DataFrame:
+        """``own`` with what ``places`` has for the document."""
+        same = (F.col("own_whole") == F.col("whole")) & F.col("own_id").eqNullSafe(F.col("id"))
+        return own.join(places, same, how)
+
+    lines = F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n")
+    marked = found.groupBy("at.id", "at.whole").agg(F.collect_set(F.struct("at.a", "at.b", "hash")).alias("marks"))
+    texts = (
+        beside(marked, "inner")
+        .select(lines.alias("lines"), F.explode("marks").alias("m"))
+        .select("m.hash", _pair_text(F.col("m.a"), F.col("m.b")).alias("body"))
+        .groupBy("hash", "body")
+        .agg(F.lit(1).alias("one"))
+    )
+    clashing = scratch.keep(texts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "clashing")
+    # in a run of equal lines a pair may begin inside its first occurrence, which stays
+    inside = (F.col("at.id").eqNullSafe(F.col("first.id"))) & (F.col("at.whole") == F.col("first.whole")) & (F.col("at.a") == F.col("first.b"))
+    gone = (
+        found.where("at > first")
+        .join(clashing, "hash", "left_anti")
+        .groupBy("at.id", "at.whole")
+        .agg(F.collect_set(F.struct((F.col("at.a") + inside.cast("int")).alias("a"), F.col("at.b").alias("b"))).alias("gone"))
+    )
+    stay = F.array_except(
+        F.sequence(F.lit(0), F.size("lines") - 1), F.flatten(F.transform("gone", lambda g: F.sequence(g.a, g.b)))
+    )
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    before = F.col("row").getField(text)
+    cut = (
+        beside(gone, "left")
+        .select("row", "gone", F.when(F.col("gone").isNotNull(), lines).alias("lines"))
+        .select("row", F.when(F.col("gone").isNull(), before).otherwise(left).alias("cut"))
+    )
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out[text] = F.col("cut")
+    if "n_chars" in out:
+        out["n_chars"] = F.char_length(F.coalesce("cut", F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(v.alias(c) for c, v in out.items()))

@@ -1,9 +1,10 @@
 from hashlib import md5
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapscore.llm import line_dedup
-from gapscore.llm.line_dedup import without_repeated_chunks
+from gapscore.llm.line_dedup import without_repeated_chunks, without_repeated_passages
 
 
 def chunks(text):
@@ -72,3 +73,56 @@ def test_awkward_rows(awkward):
 
 def test_empty_table(nothing):
     assert without_repeated_chunks(nothing).collect() == []
+
+
+def without_passages(rows):
+    """All pairs of lines in the order of the table, one after the other."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        lines, gone = (text or "").split("\n"), set()
+        solid = [i for i, line in enumerate(lines) if line.strip(" \t\r")]
+        for a, b in zip(solid, solid[1:]):
+            first = seen.setdefault((lines[a], lines[b]), (doc_id, a, b))
+            if first != (doc_id, a, b):
+                gone.update(range(a + (first[0] == doc_id and first[2] == a), b + 1))
+        out[doc_id] = None if text is None else "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_passages_against_brute_force(documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = {r["doc_id"]: r["text"] for r in without_repeated_passages(documents).collect()}
+    want = without_passages(rows)
+    assert got == want
+    lines = lambda texts: {line for t in texts for line in (t or "").split("\n")}
+    assert {x for x in lines(t for _, t in rows) if x.strip()} <= lines(want.values())  # each line is left somewhere
+
+
+@pytest.mark.parametrize("gap", ["\n", "\n\n"])
+def test_passages_of_any_length_and_place_go(spark, gap):
+    rows = []
+    for n in range(2, 9):
+        passage = gap.join(f"line {i} of {n}" for i in range(n))
+        rows += [(2 * n + k, gap.join([f"before {n} {k}"] * (k + 1) + [passage, f"after {n} {k}"])) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in without_repeated_passages(docs).collect()}
+    for n in range(2, 9):
+        assert got[2 * n] == dict(rows)[2 * n]
+        assert [x for x in got[2 * n + 1].split("\n") if x] == [f"before {n} 1"] * 2 + [f"after {n} 1"]
+
+
+def test_runs_of_equal_and_alternating_lines(spark):
+    docs = spark.createDataFrame([(1, "a\na\na\na"), (2, "x\ny\n" * 50 + "z"), (3, "a\na\nb")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in without_repeated_passages(docs).collect()}
+    assert got == {1: "a\na", 2: "x\ny\nz", 3: "b"}
+
+
+def test_awkward_passages(awkward, nothing, spark):
+    rows = without_repeated_passages(awkward).collect()
+    assert without_repeated_passages(awkward).columns == awkward.columns and len(rows) == awkward.count()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert texts[2] is None and texts[3] == "" and len(texts[5]) > 100_000 and texts[6] == ""
+    assert without_repeated_passages(nothing).collect() == []
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "c\nd")], "doc_id long, text string")
+    same = lambda c: F.lit("0")
+    assert {r["text"] for r in without_repeated_passages(docs, hash_of=same).collect()} == {"a\nb", "c\nd"}
