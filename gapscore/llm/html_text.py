@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby, islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -137,38 +139,57 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 
 
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """The page without the lines that it shares with a neighbour.
+    """The page without the lines that it shares with its neighbours, by longest common subsequences of all lines.
 
-    Where a page marks its article, the article is the text, and shared lines in it stay: they are quotations.
-    Elsewhere shared lines go, unless two pages share most of their text; then they are copies.
+    A neighbour that shares more than half of the characters may be a copy, or both may have little text in a large
+    template. So its lines go only if another neighbour shares them too, and stay if no line would be left. Inside a
+    marked article a line goes only if every neighbour, two at least, shares it; others are quotations. Of what is
+    left the article is the text, unless over twice as much is left outside of it: then the mark is on a teaser.
     """
-    inside = [line.text for line in page if line.in_article]
-    if inside:
-        return "\n".join(inside)
     own = [line.text for line in page]
-    size, gone = sum(map(len, own)), set()
+    size, shares, template = sum(map(len, own)), [0] * len(own), set()
     for other in neighbours:
-        shared = common_lines(own, [line.text for line in other if not line.in_article])
+        shared = common_lines(own, [line.text for line in other])
+        for i in shared:
+            shares[i] += 1
         if 2 * sum(len(own[i]) for i in shared) <= size:
-            gone.update(shared)
-    return "\n".join(text for i, text in enumerate(own) if i not in gone)
+            template.update(shared)
+    enough = max(2, len(neighbours))
+    gone = {i for i, n in enumerate(shares) if (n >= enough if page[i].in_article else n >= 2 or i in template)}
+    if len(gone) == len(own):
+        gone = {i for i in template if not page[i].in_article}
+    left = [line for i, line in enumerate(page) if i not in gone]
+    inside = [line.text for line in left if line.in_article]
+    outside = sum(len(line.text) for line in left if not line.in_article)
+    if inside and outside <= 2 * sum(map(len, inside)):
+        return "\n".join(inside)
+    return "\n".join(line.text for line in left)
 
 
 def _with_neighbours(pages: Iterator[tuple]) -> Iterator[tuple[tuple, list]]:
-    """Each page with those before and after it, if they are of its host. A page: (host, lines, ...)."""
-    before, now = None, next(pages, None)
-    while now is not None:
-        after = next(pages, None)
-        yield now, [p[1] for p in (before, after) if p is not None and now[0] and p[0] == now[0]]
-        before, now = now, after
+    """Each page with the two before and the two after it, if they are of its host. A page: (place, lines, ...), where
+    place has the range and the host first. Pages of one place are the same page, and no neighbours of each other."""
+    held: deque[list[tuple]] = deque([[], []])
+    groups = (list(group) for _, group in groupby(pages, key=lambda p: p[0]))
+    held.extend(islice(groups, 3))
+    while len(held) > 2:
+        now = held[2]
+        around = [held[i][0] for i in (1, 0, 3, 4) if i < len(held) and held[i]]
+        near = [p[1] for p in around if now[0][0][1] and p[0][:2] == now[0][0][:2]]
+        for page in now:
+            yield page, near
+        held.popleft()
+        if (after := next(groups, None)) is not None:
+            held.append(after)
 
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, url, text and n_chars for each page.
 
-    Pages are range-partitioned and sorted by host, path and id, so a page lies next to those with the nearest
+    Pages are dealt to ranges and sorted by host, path and id, so a page lies next to those with the nearest
     URL path on its host, and a large host is spread over many tasks. A task reads its pages in order and
-    holds three at a time; a page at the border of a range has one neighbour.
+    holds five at a time. A range also gets the two pages before and after it, so the result does not depend on
+    where ranges end.
 
     Defined cases: a null or empty page has an empty text; a page without a host has no neighbours; rows that
     repeat an id are extracted one by one; an unclosed element ends with its parent, or where the article
@@ -182,16 +203,25 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
         F.regexp_extract(F.coalesce(F.col(url), F.lit("")), place, 2).alias("path"),
         F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
-    order = ["host", "path", "page_id"]
+    key_type = pages.schema[page_id].dataType
+    arrow_key = pa.string() if key_type.simpleString() == "string" else pa.int64()
+    kind = "string" if arrow_key == pa.string() else "long"
+    own = own.withColumn("page_id", F.col("page_id").cast(kind))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple]:
+            before, lines = None, []
             for batch in batches:
-                for key, link, host, body in zip(*(batch.column(i) for i in (0, 1, 2, 4))):
-                    yield host.as_py(), lines_of(body.as_py()), key.as_py(), link.as_py()
+                for key, link, host, path, body, mark, part, here in zip(*batch.columns):
+                    place = part.as_py(), host.as_py(), path.as_py(), key.as_py(), mark.as_py()
+                    if place != before:  # a page that is repeated many times is held once
+                        before, lines = place, lines_of(body.as_py())
+                    yield place, lines, key.as_py(), link.as_py(), here.as_py()
 
         rows, size = [], 0
-        for (_, lines, key, link), others in _with_neighbours(read()):
+        for (_, lines, key, link, here), others in _with_neighbours(read()):
+            if not here:
+                continue
             text = main_text(lines, others)
             rows.append((key, link, text, len(text)))
             size += len(text)
@@ -201,19 +231,67 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
         if rows:
             yield _batch(rows)
 
-    key_type = pages.schema[page_id].dataType
-    arrow_key = pa.string() if key_type.simpleString() == "string" else pa.int64()
-
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (arrow_key, pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars"]
         )
 
-    kind = "string" if arrow_key == pa.string() else "long"
     return (
-        own.withColumn("page_id", F.col("page_id").cast(kind))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        _in_ranges(own)
+        .repartition("part")
+        .sortWithinPartitions("part", *_PLACE)
         .mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
     )
+
+
+#: The order of pages; the last tells pages of one address and id apart.
+_PLACE = ["host", "path", "page_id", "mark"]
+#: Ranges for each shuffle partition, and places that are looked at for each range.
+_RANGES, _SAMPLED = 4, 16
+
+
+def _in_ranges(pages: DataFrame) -> DataFrame:
+    """The pages with ``mark``, ``part`` (the range) and ``here``; and once more, not here, the two before and after each range.
+
+    The driver gets a bounded number of places for each range, never a page.
+    """
+    spark = pages.sparkSession
+    placed = pages.withColumn("mark", F.xxhash64("html"))
+    ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, pages.count() // (ranges * _SAMPLED))
+    some = pages.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(every)) == 0).select("host", "path", "page_id")
+    sample = [tuple(r) for r in some.sort("host", "path", "page_id").collect()]
+    bounds = list(dict.fromkeys(sample[len(sample) * k // ranges] for k in range(1, ranges))) if sample else []
+    place = "host string, path string, page_id " + placed.schema["page_id"].dataType.simpleString()
+    table = spark.createDataFrame([(bounds,)], f"bounds array<struct<{', '.join(c.replace(' ', ':') for c in place.split(', '))}>>")
+    key = F.struct("host", "path", "page_id")
+    dealt = (
+        placed.crossJoin(F.broadcast(table))
+        .withColumn("part", F.size(F.filter("bounds", lambda b: b <= key)))
+        .drop("bounds")
+    )
+    ends = dealt.select("part", F.struct(*_PLACE).alias("at"))
+    outer = ends.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    inner = (
+        ends.join(F.broadcast(outer), "part")
+        .where("at > first AND at < last")
+        .groupBy("part")
+        .agg(F.min("at").alias("second"), F.max("at").alias("last_but_one"))
+    )
+    found = {r["part"]: [r["first"], r["last"]] for r in outer.collect()}
+    for r in inner.collect():
+        found[r["part"]] += [r["second"], r["last_but_one"]]
+    order = lambda at: (*at[:2], (at[2] is not None, at[2]) if at[2] is not None else (False,), at[3])  # noqa: E731  null first
+    edges = {part: sorted({tuple(at) for at in places}, key=order) for part, places in found.items()}
+    moved, parts = [], sorted(edges)
+    for i, part in enumerate(parts):
+        before = [at for p in parts[max(0, i - 2) : i] for at in edges[p]][-2:]
+        after = [at for p in parts[i + 1 : i + 3] for at in edges[p]][:2]
+        moved += [(*at, part) for at in before + after]
+    copies = spark.createDataFrame(moved, f"{place}, mark long, to int")
+    same = F.lit(True)
+    for c in _PLACE:
+        same = same & dealt[c].eqNullSafe(copies[c])
+    beside = dealt.join(F.broadcast(copies), same).select(*(dealt[c] for c in pages.columns), dealt["mark"], F.col("to").alias("part"))
+    return dealt.withColumn("here", F.lit(True)).unionByName(beside.withColumn("here", F.lit(False)))

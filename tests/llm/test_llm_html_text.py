@@ -5,6 +5,7 @@ from html import unescape
 
 import pytest
 
+from gapscore.llm import html_text
 from gapscore.llm.html_text import common_lines, extracted, lines_of, main_text
 
 
@@ -92,3 +93,32 @@ def test_awkward_pages(spark):
     got = sorted((r["n_chars"], r["text"][:5]) for r in extracted(pages).collect())
     assert got == [(0, ""), (1, "a"), (5, "b\nb\nb"), (100_000, "xxxxx")]
     assert extracted(pages.limit(0)).collect() == []
+
+
+MENU = "".join(f"<div>Menu entry number {i} of the site</div>" for i in range(20))
+
+
+def test_short_texts_under_a_long_template():
+    pages = [f"{MENU}<p>short text {i}</p>" for i in range(3)]
+    assert text_of(*pages) == "short text 0"
+    assert text_of(pages[0], pages[0]) == text_of(pages[0])  # a copy
+    assert text_of(pages[0], pages[0], pages[0]) == text_of(pages[0])
+
+
+def test_marks_are_no_more_than_a_hint():
+    story = "<div>a story that stands in a block of its own and goes on for a while</div>"
+    assert text_of(f"<article>teaser</article>{story}").endswith("for a while")
+    page = "<main><p>Home of the site</p><p>text {} that is long enough to be most of the page</p></main>"
+    assert text_of(*(page.format(i) for i in range(3))) == "text 0 that is long enough to be most of the page"
+    assert text_of(page.format(0), page.format(0), page.format(0)).startswith("Home")  # copies
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_ranges_do_not_matter(spark, ranges, monkeypatch):
+    monkeypatch.setattr(html_text, "_RANGES", ranges)
+    line = MENU + "<p>text {}</p>"
+    rows = [(i, f"http://a.example.org/p/{i:03}", line.format(i)) for i in range(60)]
+    rows += [(None, "http://a.example.org/p/007", line.format("x")), (3, rows[3][1], rows[3][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(r["text"] for r in extracted(pages).collect())
+    assert got == sorted([f"text {i}" for i in range(60)] + ["text x", "text 3"])
