@@ -212,3 +212,22 @@ def test_fits_read_only_their_goal(spark):
     df = materialise(spark.range(10).select((F.col("id") % 2).cast("string").alias("goal"), "id"), "t", ["goal"])
     plan = df.filter("goal = '1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(goal" in plan
+
+
+def test_training_arrays_are_of_bounded_size(spark, monkeypatch):
+    """A source has as many files as its items need, and the counts are the same."""
+    from gapscore.sources import training as sources
+    from workload import queries as q
+
+    read, paths, sf = sources.read_training, [], "/root/testdata/sf0.001"
+
+    def reading(spark, files, *rest):
+        paths.append(files)
+        return read(spark, files, *rest)
+
+    monkeypatch.setattr(sources, "read_training", reading)
+    want = sorted(map(tuple, q.training_arrays(spark, sf).collect()))
+    monkeypatch.setattr(q, "ARRAY_ITEMS", 5, raising=False)
+    assert sorted(map(tuple, q.training_arrays(spark, sf).collect())) == want
+    texts = [r["value"] for r in spark.read.text(paths[1], wholetext=True).collect()]
+    assert len(texts) > 6 and max(t.count('"label": ') for t in texts) <= 20

@@ -200,8 +200,13 @@ def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
     """All words of the sample texts as a dictionary: by alphabet, each eighth is a skill and the next seven its synonyms."""
     samples = fx.table(spark, sf, "benchmark", "text")
     words = samples.select(F.explode(fn.tokens(F.col("text"))).alias("w")).distinct()
-    # A dictionary's words, numbered in one task as when it is read from a file.
-    numbered = words.withColumn("n", F.row_number().over(Window.orderBy("w")) - 1)
+    # Numbered by ranges: within each, and from the number of words in those before. One row a range for the offsets.
+    ranged = materialise(words.repartitionByRange("w").select("w", F.spark_partition_id().alias("part")), "words")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("w")) - 1
+    numbered = ranged.withColumn("place", place).join(offsets, "part").select("w", (F.col("offset") + F.col("place")).alias("n"))
     eighth = numbered.withColumn("entry", F.floor(F.col("n") / 8)).withColumn("place", F.col("n") % 8)
     skills = eighth.filter("place = 0").select("entry", F.col("w").alias("canonical"))
     synonyms = eighth.filter("place > 0").join(skills, "entry")
@@ -326,8 +331,9 @@ def training_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _training_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """(g, source, line): items as JSON, with labels as whole numbers, decimals and booleans by language."""
+    """(g, source, doc_id, line): items as JSON, with labels as whole numbers, decimals and booleans by language."""
     items = fx.labelled(spark, sf).select(
+        "doc_id",
         "source",
         "lang",
         F.to_json(F.struct(F.col("text").alias("resume_text"))).alias("body"),
@@ -339,14 +345,23 @@ def _training_lines(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.col("label").cast("string"))
     )
     line = F.concat(F.regexp_replace("body", r"\}$", ', "label": '), label, F.lit("}"))
-    return items.select("g", "source", line.alias("line"))
+    return items.select("g", "source", "doc_id", line.alias("line"))
+
+
+#: Items of a JSON array, on average.
+ARRAY_ITEMS = 1000
 
 
 def training_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Items as one JSON array per source and goal; the arrays of one source are cut off."""
+    """Items as JSON arrays of about ARRAY_ITEMS per source and goal; the arrays of one source are cut off."""
     folder = new_path(spark, "arrays")
-    # Files are as long as one source's items.
-    arrays = _training_lines(spark, sf).groupBy("g", "source").agg(F.array_sort(F.collect_list("line")).alias("items"))
+    items = _training_lines(spark, sf)
+    files = items.groupBy(F.col("g").alias("of_g"), F.col("source").alias("of_source")).agg(F.ceil(F.count("*") / ARRAY_ITEMS).alias("files"))
+    same = (F.col("g") == F.col("of_g")) & F.col("source").eqNullSafe(F.col("of_source"))
+    dealt = items.join(files, same).select(
+        "g", "source", "line", F.pmod(F.xxhash64("doc_id"), F.col("files")).alias("file")
+    )
+    arrays = dealt.groupBy("g", "source", "file").agg(F.array_sort(F.collect_list("line")).alias("items"))
     body = F.concat(F.lit("["), F.array_join("items", ",\n"), F.when(F.col("source") == "src2", "").otherwise("]"))
     lines = materialise(arrays.select("g", body.alias("value")), "arrays", ["g"])
     paths = [f"{folder}/training_{goal}.json" for goal in ("quality", "toxic")]
