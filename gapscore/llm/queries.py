@@ -17,6 +17,7 @@ from gapscore.llm.packing import packed
 from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
 from gapscore.llm.substring_dedup import without_repeats
+from gapscore.llm.token_counts import token_counts
 from gapscore.llm.toxicity import scored
 
 
@@ -74,6 +75,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES: dict[str, str] = {
