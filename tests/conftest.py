@@ -7,8 +7,6 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -29,6 +27,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture
+@pytest.fixture(scope="session")
 def sf():
-    return SF
+    return "/root/testdata/sf0.001"

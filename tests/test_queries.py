@@ -15,12 +15,10 @@ TABLES = (
 
 
 @pytest.fixture(scope="module")
-def duck():
-    from conftest import SF
-
+def duck(sf):
     connection = duckdb.connect()
     for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return connection
 
 
