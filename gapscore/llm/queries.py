@@ -16,6 +16,7 @@ from gapscore.llm.nearest import nearest
 from gapscore.llm.packing import packed
 from gapscore.llm.quality import resampled
 from gapscore.llm.simhash import near_duplicates
+from gapscore.llm.spelling import spelling_variants
 from gapscore.llm.substring_dedup import without_repeats
 from gapscore.llm.token_counts import token_counts
 from gapscore.llm.toxicity import scored
@@ -75,6 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
 }
 
