@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gapscore.llm import oracles
+from gapscore.llm.conversations import repaired_conversations
 from gapscore.llm.exact_dedup import duplicate_groups
 from gapscore.llm.html_text import extracted
 from gapscore.llm.line_dedup import without_repeated_chunks
@@ -86,6 +87,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {

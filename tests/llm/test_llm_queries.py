@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registration():
     assert set(QUERIES) <= set(queries()) and "pipeline" in queries() and set(ORACLES) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
