@@ -9,18 +9,22 @@ from gapscore.operators.train import train
 from gapscore.plans.audit import audit
 from gapscore.plans.scoring import answer, rejects, respond, write_answers, write_responses
 from gapscore.plans.training import train_and_save
+from gapscore.sources.history import History, keep_history
 from gapscore.sources.models import load_models, save_models
-from gapscore.streaming import reject_stream, respond_stream
+from gapscore.streaming import history_stream, reject_stream, respond_stream
 
 __all__ = [
     "Config",
     "Dimensions",
     "GoalModels",
+    "History",
     "answer",
     "audit",
     "canonicalise",
     "extract_skills",
     "fit_vocabulary",
+    "history_stream",
+    "keep_history",
     "load_config",
     "load_dimensions",
     "load_models",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,9 +62,13 @@ def prepare(requests: DataFrame, dims: Dimensions) -> DataFrame:
 
 
 def score(
-    requests: DataFrame, dims: Dimensions, models: GoalModels | None = None, zero_without_match: bool = False
+    requests: DataFrame,
+    dims: Dimensions,
+    models: GoalModels | None = None,
+    zero_without_match: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Score every request; blank texts score 0 with empty lists.
+    """Score every request; blank texts score 0 with empty lists. ``keep`` names columns to carry along.
 
     A goal with a model gets the model's probability, any other the share of required skills.
     """
@@ -88,6 +93,7 @@ def score(
         F.when(blank, no_skills).otherwise(F.col("matched_skills")).alias("matched_skills"),
         F.when(blank, no_skills).otherwise(F.col("missing_skills")).alias("missing_skills"),
         F.when(blank, no_path).otherwise(learning_path()).alias("suggested_learning_path"),
+        *keep,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,13 @@ class Answers(NamedTuple):
     rejected: DataFrame
 
 
-def respond(requests: DataFrame, dims: Dimensions, models: GoalModels | None = None) -> DataFrame:
-    """Responses to complete requests. Without a matched skill the score is 0.
+def respond(requests: DataFrame, dims: Dimensions, models: GoalModels | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Responses to complete requests. Without a matched skill the score is 0. ``keep`` names columns to carry along.
 
     Per request this is one pass over its row: the lookups are broadcast dictionaries and no
     step regroups the requests. Requests are typed, or bodies from ``parse_bodies``.
     """
-    return score(usable(requests), dims, models, zero_without_match=True)
+    return score(usable(requests), dims, models, zero_without_match=True, keep=keep)
 
 
 def rejects(requests: DataFrame) -> DataFrame:

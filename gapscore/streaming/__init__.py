@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import Dimensions
 from gapscore.plans.scoring import rejects, respond
+from gapscore.sources.history import History, keep_history
 
 
 def respond_stream(
@@ -32,6 +33,29 @@ def reject_stream(requests: DataFrame, output: str, checkpoint: str, available_n
     return _to_files(rejects(requests), output, checkpoint, available_now)
 
 
+def history_stream(
+    requests: DataFrame,
+    dims: Dimensions,
+    history: History,
+    name: str,
+    checkpoint: str,
+    models: GoalModels | None = None,
+    time: str = "requested_at",
+    salt: str = "",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Append a stream of requests to the history, a batch for each micro-batch, if the configuration says so.
+
+    A micro-batch that is run again after a failure has the same name, so it adds nothing.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        keep_history(history, f"{name}-{number}", batch, dims, models, time, salt)
+
+    writer = requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def _to_files(rows: DataFrame, output: str, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = (
         rows.writeStream.outputMode("append")

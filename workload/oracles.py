@@ -346,6 +346,20 @@ BODIES = """
 # DuckDB's edit distance counts bytes, so letters of two bytes become capitals, which lower-case texts lack.
 ONE_BYTE = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&*+')"
 
+# Requests of seven days; those that name no goal are rejected.
+HISTORY = f"""
+    dated AS (
+      SELECT doc_id, 'stu_' || doc_id AS student_id, strftime(DATE '2026-01-01' + (doc_id % 7)::INT, '%Y-%m-%d') AS day,
+             lang <> 'es' AS accepted FROM documents
+    ),
+    history AS (
+      SELECT d.doc_id, d.student_id, day, accepted, CASE WHEN accepted THEN goal_used END AS goal_used,
+             CASE WHEN accepted THEN CASE WHEN matched = 0 THEN 0.0 ELSE score END END AS score,
+             CASE WHEN accepted THEN matched END AS matched,
+             CASE WHEN accepted THEN '' ELSE 'body.goal: Field required' END AS details
+      FROM dated d JOIN scores USING (student_id)
+    )"""
+
 ORACLES = {
     "flagship_goal_coverage": _scores(USAGE),
     "request_validation": f"WITH {BODIES} SELECT student_id, goal, details FROM bodies WHERE details <> ''",
@@ -587,6 +601,14 @@ ORACLES = {
         "SELECT student_id, goal_used, round(CASE WHEN matched = 0 THEN 0.0 ELSE score END, 6) AS score FROM scores"
     ),
     "stream_rate_limit": RATE_LIMIT,
+    "request_history": _scores(
+        f""", {HISTORY} SELECT sha256('{fx.SALT}' || student_id) AS student_id, 'batch-' || (doc_id % 3) AS batch, day, goal_used,
+        accepted, round(score, 6) AS score, matched::INT AS matched, details FROM history WHERE day >= '2026-01-03'"""
+    ),
+    "stream_request_history": _scores(
+        f""", {HISTORY} SELECT day, goal_used, accepted, count(*) AS requests, round(sum(score), 6) AS score
+        FROM history GROUP BY ALL"""
+    ),
     "ext_anonymise": f"""
       SELECT sha256('{fx.SALT}' || 'stu_' || doc_id) AS student_id, lang AS goal FROM documents""",
     "ext_rate_limit": RATE_LIMIT,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,10 @@ from gapscore.plans.audit import audit as audit_plan
 from gapscore.plans.scoring import rejects, respond
 from gapscore.sources import dictionaries, models, requests, training
 from gapscore.sources.dictionaries import SkillRules
+from gapscore.sources.history import History, keep_history
 from gapscore.config import Config
 from gapscore.storage import local_table, materialise, new_path
-from gapscore.streaming import latest_counts, requests_per_minute, respond_stream, write_counts
+from gapscore.streaming import history_stream, latest_counts, requests_per_minute, respond_stream, write_counts
 from workload import fixtures as fx
 
 
@@ -596,6 +600,55 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 # Declared switches
 
 
+def _dated_requests(docs: DataFrame) -> DataFrame:
+    """Requests of seven days; the Spanish ones name no goal and are rejected."""
+    return docs.select(
+        F.col("doc_id"),
+        F.concat(F.lit("stu_"), F.col("doc_id").cast("string")).alias("student_id"),
+        F.when(F.col("lang") != "es", F.col("lang")).alias("goal"),
+        F.col("text").alias("resume_text"),
+        F.timestamp_add("hour", F.lit(6) + 24 * (F.col("doc_id") % 7), F.lit("2026-01-01").cast("timestamp_ntz")).alias("requested_at"),
+    )
+
+
+def _with_history(spark: SparkSession, **switches) -> score.Dimensions:
+    dims = fx.dimensions(spark)
+    return replace(dims, config=replace(dims.config, store_request_history=True, **switches))
+
+
+def request_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of requests, one of them replayed, kept with hashed students; the first two days expire."""
+    history, dims = History(spark, new_path(spark, "history")), _with_history(spark, anonymize_student_data=True)
+    dated = _dated_requests(fx.documents(spark, sf, "doc_id", "lang", "text"))
+    for batch in (0, 1, 2, 1):
+        part = dated.filter(F.col("doc_id") % 3 == batch).drop("doc_id")
+        keep_history(history, f"batch-{batch}", part, dims, salt=fx.SALT)
+    history.expire(datetime.date(2026, 1, 3))
+    return history.read().select(
+        "student_id", "batch", F.date_format("day", "yyyy-MM-dd").alias("day"), "goal_used", "accepted",
+        _rounded("score").alias("score"), F.size("matched_skills").alias("matched"), _joined("details").alias("details"),
+    )
+
+
+def stream_request_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of requests kept, then replayed from its start without its checkpoint."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    history, dims = History(spark, new_path(spark, "history")), _with_history(spark)
+    for log in ("history-log", "lost-log"):
+        docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2)
+        arriving = _dated_requests(docs.parquet(_whole_table(spark, sf, "documents"))).drop("doc_id")
+        history_stream(arriving, dims, history, "requests", new_path(spark, log), available_now=True).awaitTermination()
+    days = history.read().groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "goal_used", "accepted")
+    return days.agg(F.count("*").alias("requests"), _rounded(F.sum("score")).alias("score"))
+
+
+def _whole_table(spark: SparkSession, sf: str, name: str) -> str:
+    """A folder with the files of a table, which may be one file; a stream reads folders only."""
+    folder = new_path(spark, name)
+    spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(folder)
+    return folder
+
+
 def ext_anonymise(spark: SparkSession, sf: str) -> DataFrame:
     return extensions.anonymise(fx.requests(spark, sf).select("student_id", "goal"), fx.SALT)
 
@@ -685,6 +738,8 @@ QUERIES = {
     "health_rollup": health_rollup,
     "stream_score": stream_score,
     "stream_rate_limit": stream_rate_limit,
+    "request_history": request_history,
+    "stream_request_history": stream_request_history,
     "ext_anonymise": ext_anonymise,
     "ext_rate_limit": ext_rate_limit,
     "ext_low_score_alert": ext_low_score_alert,
