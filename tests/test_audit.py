@@ -124,3 +124,22 @@ def test_partial_matches_against_all_pairs(spark, sf, threshold):
         if 1 - _distance(w, s) / max(len(w), len(s)) >= threshold - 1e-9
     }
     assert {(r.skill, r.word, r.documents) for r in near} == expected and expected
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_partial_matches_in_parts_are_the_same(spark, sf, threshold, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "of thaat, of that"), (-4, "THOR thor")], "doc_id long, text string"), allowMissingColumns=True
+    )
+    universe = spark.createDataFrame([("thor",), ("of that",), ("Étion",), ("a b c",)], "skill string")
+    rows = lambda: sorted(map(tuple, extensions.partial_matches(df, "text", universe, threshold).collect()))
+    short = rows()
+    monkeypatch.setattr(extensions, "MAX_SKILLS", 2)
+    assert rows() == short and short
+
+
+def test_partial_matches_shuffle_hits_only(spark, sf):
+    df, universe = spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame([("thor",)], "skill string")
+    hits = extensions._hits(df, "text", extensions._Pieces(["thor"], 0.8))
+    assert 0 < hits.count() < 100
+    assert extensions.partial_matches(df, "text", universe.limit(0), 0.8).collect() == []
