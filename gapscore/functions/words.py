@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from gapscore.functions.text import WORD_CHAR
 
-MARK, OTHER = "\u0001", "\u0002"
+MARK, ESCAPE = "\u0001", "\u0002"
+# A mark or an escape in a text stands as two characters, neither of them in a word.
+_ESCAPED = ((ESCAPE, ESCAPE + "\u0004"), (MARK, ESCAPE + "\u0003"))
+_RESERVED = frozenset("\u0001\u0002\u0003\u0004")
 
 _WORD = re.compile(r"\w+")
 
 
 def check_term(term: str) -> str:
-    """Terms must be non-empty and free of the marks."""
-    if not term or MARK in term or OTHER in term:
+    """Terms must be non-empty and free of the marks and of what stands for them."""
+    if not term or _RESERVED & set(term):
         raise ValueError(f"not usable as a dictionary term: {term!r}")
     return term
 
@@ -50,11 +53,48 @@ def to_find(term: str) -> str:
     return before + with_marks(term) + after
 
 
+def escape(text: str) -> str:
+    for char, stands in _ESCAPED:
+        text = text.replace(char, stands)
+    return text
+
+
+def unescape(text: str) -> str:
+    for char, stands in reversed(_ESCAPED):
+        text = text.replace(stands, char)
+    return text
+
+
+def _replaced(text: Column, pairs) -> Column:
+    out = text
+    for find, put in pairs:
+        out = F.replace(out, F.lit(find), F.lit(put))
+    return out
+
+
+def _has(text: Column, *chars: str) -> Column:
+    return text.rlike("[" + "".join(chars) + "]")
+
+
+def put_marks(escaped: Column) -> Column:
+    """Mark every word of an escaped text."""
+    return F.regexp_replace(escaped, WORD_CHAR + "++", f"{MARK}$0{MARK}")
+
+
+def drop_marks(marked: Column) -> Column:
+    """The escaped text again."""
+    return F.replace(marked, F.lit(MARK), F.lit(""))
+
+
+def escape_marks(text: Column) -> Column:
+    return F.when(_has(text, MARK, ESCAPE), _replaced(text, _ESCAPED)).otherwise(text)
+
+
 def mark_words(text: Column) -> Column:
-    """Mark every word. Marks already present in the text become another non-word character."""
-    safe = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit(OTHER))).otherwise(text)
-    return F.regexp_replace(safe, WORD_CHAR + "++", f"{MARK}$0{MARK}")
+    """Mark every word. Marks already present in the text are kept apart from these."""
+    return put_marks(escape_marks(text))
 
 
 def unmark_words(text: Column) -> Column:
-    return F.replace(text, F.lit(MARK), F.lit(""))
+    plain = drop_marks(text)
+    return F.when(_has(plain, ESCAPE), _replaced(plain, [(stands, char) for char, stands in reversed(_ESCAPED)])).otherwise(plain)

@@ -9,7 +9,7 @@ from gapscore.config import REQUIRED_FIELDS
 from gapscore.functions.text import MODEL_SUFFIX, goal_key
 from gapscore.operators.extract import extract_skills
 from gapscore.schemas import CHECK
-from gapscore.sources.dictionaries import SkillRules
+from gapscore.sources.dictionaries import RuleTables, SkillRules
 from gapscore.storage import local_table
 
 # The states of a check.
@@ -156,7 +156,7 @@ def roll_up(checks: DataFrame) -> DataFrame:
     )
 
 
-def dictionary_survivors(universe: DataFrame, rules: SkillRules) -> DataFrame:
+def dictionary_survivors(universe: DataFrame, rules: SkillRules | RuleTables) -> DataFrame:
     """For each skill: is it still found in a text that is just its own name?"""
     probed = extract_skills(universe.select("skill"), "skill", rules, "found")
     return probed.select("skill", F.array_contains("found", F.col("skill")).alias("survives"))

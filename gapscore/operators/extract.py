@@ -3,7 +3,8 @@
 The rules form a cascade: each rewrites what the rules before it left. A handful of rules runs as
 built-in ``replace`` and ``contains`` expressions. For larger dictionaries one pass of those per
 rule costs more than moving the text to Python, where an index from words to rules leaves only
-the rules that can apply, whatever the size of the dictionary.
+the rules that can apply, whatever the size of the dictionary. A dictionary too large for the
+driver and the workers stays a table, see ``extract_joined``.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from pyspark.sql import types as T
 from gapscore.functions.text import join_list
 from gapscore.functions.words import (
     MARK,
-    OTHER,
+    escape,
     has_word_edges,
     mark_words,
     to_find,
+    unescape,
     unmark_words,
     with_marks,
     words_of,
 )
-from gapscore.sources.dictionaries import SkillRules
+from gapscore.operators import extract_joined
+from gapscore.sources.dictionaries import RuleTables, SkillRules
 
 # Measured break-even: the cost of built-in expressions grows with every term, that of the
 # indexed Python pass does not.
@@ -92,7 +95,7 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
     rules_by_word, rules_always = _index([synonym for synonym, _ in rewrites])
     skills_by_word, skills_always = _index([term for _, term in lookups])
     wanted = [(skill, to_find(term)) for skill, term in lookups]
-    edge, other = MARK, OTHER
+    edge = MARK
     returns = T.StringType() if want == "text" else T.ArrayType(T.StringType())
 
     @F.pandas_udf(returns)
@@ -112,7 +115,7 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
             return set(always).union(*(by_word[w] for w in words if w in by_word))
 
         def rewrite(text):
-            marked, words = mark(text.replace(edge, other))
+            marked, words = mark(escape(text))
             queued = candidates(words, rules_by_word, rules_always)
             queue = sorted(queued)
             while queue:
@@ -139,7 +142,7 @@ def _python_pass(rules: SkillRules, case_sensitive: bool, want: str):
             return [wanted[i][0] for i in sorted(hits) if wanted[i][1] in marked]
 
         def canonical_text(text):
-            return rewrite(text)[0].replace(edge, "")
+            return unescape(rewrite(text)[0].replace(edge, ""))
 
         work = canonical_text if want == "text" else find_skills
         for batch in batches:
@@ -162,10 +165,12 @@ def _index(terms: list[str]) -> tuple[dict[str, list[int]], list[int]]:
 
 
 def canonicalise(
-    df: DataFrame, column: str, rules: SkillRules, output: str = "canonical_text", case_sensitive: bool = False
+    df: DataFrame, column: str, rules: SkillRules | RuleTables, output: str = "canonical_text", case_sensitive: bool = False
 ) -> DataFrame:
     """Add the text after all rewrite rules."""
     text = as_text(df, column)
+    if isinstance(rules, RuleTables):
+        return extract_joined.canonicalise(df, text, rules, output, case_sensitive)
     if fits_native(rules, len(rules.rules)):
         return df.withColumn(output, unmark_words(canonical_marked(text, rules, case_sensitive)))
     folded = text if case_sensitive else F.lower(text)
@@ -173,10 +178,12 @@ def canonicalise(
 
 
 def extract_skills(
-    df: DataFrame, column: str, rules: SkillRules, output: str = "found_skills", case_sensitive: bool = False
+    df: DataFrame, column: str, rules: SkillRules | RuleTables, output: str = "found_skills", case_sensitive: bool = False
 ) -> DataFrame:
     """Add the skills, of all goals, whose names stand as whole words in the rewritten text."""
     text = F.coalesce(as_text(df, column), F.lit(""))
+    if isinstance(rules, RuleTables):
+        return extract_joined.extract_skills(df, text, rules, output, case_sensitive)
     if fits_native(rules, len(rules.rules) + len(rules.skills)):
         marked = canonical_marked(text, rules, case_sensitive)
         return df.withColumn(output, _contained(marked, rules.skills, case_sensitive))

@@ -15,7 +15,7 @@ from gapscore.operators.gap import coverage, learning_path, skill_gap
 from gapscore.operators.goals import attach_requirements, requirements, resolve_goal, skill_universe
 from gapscore.operators.linear import GoalModels, model_probability
 from gapscore.schemas import PATH_ITEM
-from gapscore.sources.dictionaries import SkillRules, load_rules
+from gapscore.sources.dictionaries import RuleTables, SkillRules, load_rules
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Dimensions:
 
     config: Config
     requirements: DataFrame
-    rules: SkillRules
+    rules: SkillRules | RuleTables
 
 
 def load_dimensions(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapscore.functions.words import check_term
 from gapscore.storage import small_side
 
-# A dictionary is written by people; beyond this it is not one.
+# Up to so many rows a dictionary is held by the driver and every worker; beyond, it stays a table.
 MAX_DICTIONARY_ROWS = 200_000
 
 
@@ -96,17 +96,21 @@ class SkillRules:
     skills: tuple[str, ...]
 
 
-def _bounded(df: DataFrame, what: str) -> list:
-    rows = df.take(MAX_DICTIONARY_ROWS + 1)
-    if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} {what}: this is not a dictionary")
-    return rows
+@dataclass(frozen=True)
+class RuleTables:
+    """The same as tables of any size: texts meet the terms whose rarest word they contain."""
+
+    rules: DataFrame  # (rule_no, synonym, canonical), rule_no unique
+    skills: DataFrame  # (skill), distinct
 
 
-def load_rules(synonyms: DataFrame, universe: DataFrame) -> SkillRules:
-    rules = _bounded(synonyms.select("rule_no", "synonym", "canonical"), "synonyms")
-    skills = _bounded(universe.select("skill"), "skills")
+def load_rules(synonyms: DataFrame, universe: DataFrame) -> SkillRules | RuleTables:
+    """Rules for the driver if they are few enough, otherwise as tables."""
+    rules, skills = synonyms.select("rule_no", "synonym", "canonical"), universe.select("skill")
+    held = [df.take(MAX_DICTIONARY_ROWS + 1) for df in (rules, skills)]
+    if max(map(len, held)) > MAX_DICTIONARY_ROWS:
+        return RuleTables(rules, skills.distinct())
     return SkillRules(
-        rules=tuple((check_term(r.synonym), r.canonical) for r in sorted(rules, key=lambda r: r.rule_no)),
-        skills=tuple(sorted(check_term(r.skill) for r in skills)),
+        rules=tuple((check_term(r.synonym), r.canonical) for r in sorted(held[0], key=lambda r: r.rule_no)),
+        skills=tuple(sorted(check_term(r.skill) for r in held[1])),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gapscore.operators import extract
 from gapscore.operators.audit import dictionary_survivors
 from gapscore.operators.extract import canonicalise, extract_skills
-from gapscore.sources.dictionaries import SkillRules, load_rules
+from gapscore.sources.dictionaries import RuleTables, SkillRules, load_rules
 from workload import fixtures as fx
 
 
@@ -26,8 +26,16 @@ def find(text, rules, skills):
     return {s for s in skills if re.search(r"\b" + re.escape(s.lower()) + r"\b", text)}
 
 
-def check(spark, texts, rules, skills):
-    dictionary = SkillRules(tuple(rules), tuple(skills))
+def tables(spark, rules, skills):
+    numbered = [(i, canonical, synonym) for i, (synonym, canonical) in enumerate(rules)]
+    return RuleTables(
+        spark.createDataFrame(numbered, "rule_no INT, canonical STRING, synonym STRING"),
+        spark.createDataFrame([(s,) for s in dict.fromkeys(skills)], "skill STRING"),
+    )
+
+
+def check(spark, texts, rules, skills, joined=False):
+    dictionary = tables(spark, rules, skills) if joined else SkillRules(tuple(rules), tuple(skills))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
     df = canonicalise(df, "t", dictionary).transform(extract_skills, "t", dictionary)
     for row in df.collect():
@@ -86,12 +94,48 @@ def test_edges_that_are_not_words(spark, path):
     check(spark, texts, rules, skills)
 
 
-def test_texts_that_contain_the_marks(spark, path):
-    texts = ["a\u0001bb\u0001b", "\u0001.net", "\u0001bb\u0001", "x\u0001 \u0001bb", "boat\u0001 \u0001building", "x\u0002bb"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
-    dictionary = SkillRules(tuple(RULES), (*SKILLS, ".NET"))
-    for row in extract_skills(df, "t", dictionary).collect():
-        assert set(row.found_skills) == find(texts[row.i], RULES, dictionary.skills)
+@pytest.mark.parametrize("joined", [True, False])
+def test_texts_that_contain_the_marks(spark, path, joined):
+    texts = ["a\u0001bb\u0001b", "\u0001.net", "\u0001bb\u0001", "x\u0001 \u0001bb", "boat\u0001 \u0001building", "x\u0002bb", "\u0002\u0003bb\u0002\u0001\u0004"]
+    check(spark, texts, RULES, (*SKILLS, ".NET"), joined)
+
+
+def test_joined_cascade_with_punctuation(spark):
+    """Rules that wake each other, join words, and stand outside of words."""
+    rules = [("C++", "CPP"), (".com", "dotcom"), ("exampledotcom", "boat"), ("-", " dash "), ("boat", "ship $1 \\\\x"), ("ship", "yacht"), ("dash", "C++")]
+    skills = ["yacht", "dotcom", "CPP", "C++", "$", "b++", "dash", "x", "exampledotcom"]
+    texts = ["example.com", "C++b and c++", "a-b - c", "boat", "ship", "xC++y.com", "", "nothing here", "the-boat.com", ".com", "C++ C++d"]
+    check(spark, texts, rules, skills, joined=True)
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(st.text(alphabet="abé+. _", max_size=24), min_size=1, max_size=12),
+    st.lists(
+        st.tuples(
+            st.text(alphabet="abé+.", min_size=1, max_size=3), st.text(alphabet="abé+. ", min_size=1, max_size=4)
+        ),
+        min_size=1,
+        max_size=6,
+    ),
+    st.lists(st.text(alphabet="abé+.", min_size=1, max_size=3), min_size=1, max_size=6, unique=True),
+)
+def test_random_dictionaries_joined(spark, texts, rules, skills):
+    check(spark, texts, rules, skills, joined=True)
+
+
+def test_joined_forms_keep_rows_and_columns(spark):
+    df = spark.createDataFrame([(1, ["knot", "kn"], "x"), (1, ["knot", "kn"], "x"), (2, None, "y")], "i INT, t ARRAY<STRING>, key STRING")
+    dictionary = tables(spark, [("kn", "knotwork")], ["knotwork", "knot"])
+    found = extract_skills(df, "t", dictionary)
+    assert found.columns == ["i", "t", "key", "found_skills"]
+    assert sorted((r.i, r.found_skills) for r in found.collect()) == [(1, ["knot", "knotwork"])] * 2 + [(2, [])]
+    texts = spark.createDataFrame([(1, "KN"), (2, None)], "i INT, t STRING")
+    assert sorted((r.i, r.canonical_text) for r in canonicalise(texts, "t", dictionary).collect()) == [(1, "knotwork"), (2, None)]
+    found = extract_skills(texts, "t", dictionary, case_sensitive=True)
+    assert sorted((r.i, r.found_skills) for r in found.collect()) == [(1, []), (2, [])]
+    with pytest.raises(Exception, match="not usable as a dictionary term"):
+        extract_skills(texts, "t", tables(spark, [("\u0003", "x")], ["x"])).collect()
 
 
 @settings(max_examples=25, deadline=None)

@@ -92,11 +92,12 @@ def test_repeated_recommendation_keys(spark, tmp_path):
     assert rows(latest) == [("S", "2", "b"), ("T", "t", None)]
 
 
-def test_dictionary_size_is_checked(spark, monkeypatch):
+def test_large_dictionaries_stay_tables(spark, monkeypatch):
     monkeypatch.setattr(dictionaries, "MAX_DICTIONARY_ROWS", 2)
     universe = spark.createDataFrame([("a",), ("b",), ("c",)], "skill STRING")
-    with pytest.raises(ValueError, match="not a dictionary"):
-        dictionaries.load_rules(spark.createDataFrame([], schemas.SYNONYMS), universe)
+    loaded = dictionaries.load_rules(spark.createDataFrame([], schemas.SYNONYMS), universe)
+    assert isinstance(loaded, dictionaries.RuleTables) and loaded.skills.count() == 3
+    assert isinstance(dictionaries.load_rules(spark.createDataFrame([], schemas.SYNONYMS), universe.limit(2)), dictionaries.SkillRules)
 
 
 def test_training_arrays_and_a_broken_file(spark, tmp_path):

@@ -346,6 +346,17 @@ BODIES = """
 # DuckDB's edit distance counts bytes, so letters of two bytes become capitals, which lower-case texts lack.
 ONE_BYTE = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&*+')"
 
+def _words_as_dictionary(samples: str) -> str:
+    return f"""
+      WITH words AS (SELECT DISTINCT unnest({_tokens('text')}) AS w FROM {samples}),
+      numbered AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS n FROM words),
+      meaning AS (
+        SELECT a.w, b.w AS skill FROM numbered a JOIN numbered b ON b.n = a.n - a.n % 8
+      ),
+      found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
+      SELECT skill, count(DISTINCT doc_id) AS documents FROM found JOIN meaning USING (w) GROUP BY skill"""
+
+
 # Requests of seven days; those that name no goal are rejected.
 HISTORY = f"""
     dated AS (
@@ -380,14 +391,8 @@ ORACLES = {
       SELECT student_id, goal_used, round(CASE WHEN len(skills) = 0 THEN 0.0 ELSE len(matched) / len(skills) END, 6) AS score,
              array_to_string(matched, '|') AS matched_skills, array_to_string(missing, '|') AS missing_skills
       FROM g""",
-    "extract_large_dictionary": f"""
-      WITH words AS (SELECT DISTINCT unnest({_tokens('text')}) AS w FROM benchmark),
-      numbered AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS n FROM words),
-      meaning AS (
-        SELECT a.w, b.w AS skill FROM numbered a JOIN numbered b ON b.n = a.n - a.n % 8
-      ),
-      found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents)
-      SELECT skill, count(DISTINCT doc_id) AS documents FROM found JOIN meaning USING (w) GROUP BY skill""",
+    "extract_large_dictionary": _words_as_dictionary("benchmark"),
+    "extract_joined_dictionary": _words_as_dictionary("documents"),
     "trained_models_used": f"""
       WITH {VOCABULARY} {WEIGHTS} {MODELS}
       SELECT doc_id, CASE goal WHEN 'quality' THEN 'Text Quality' WHEN 'toxic' THEN 'Toxic Text' ELSE goal END AS goal,

@@ -14,7 +14,7 @@ from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.plans.audit import audit as audit_plan
 from gapscore.plans.scoring import rejects, respond
 from gapscore.sources import dictionaries, models, requests, training
-from gapscore.sources.dictionaries import SkillRules
+from gapscore.sources.dictionaries import RuleTables
 from gapscore.sources.history import History, keep_history
 from gapscore.config import Config
 from gapscore.storage import local_table, materialise, new_path
@@ -200,9 +200,8 @@ def extract_edge_terms(spark: SparkSession, sf: str) -> DataFrame:
     return gap.skill_rows(found, "found_skills", ["page_id"]).drop("pos")
 
 
-def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
-    """All words of the sample texts as a dictionary: by alphabet, each eighth is a skill and the next seven its synonyms."""
-    samples = fx.table(spark, sf, "benchmark", "text")
+def _words_as_dictionary(samples: DataFrame) -> RuleTables:
+    """All words of some texts as a dictionary: by alphabet, each eighth is a skill and the next seven its synonyms."""
     words = samples.select(F.explode(fn.tokens(F.col("text"))).alias("w")).distinct()
     # Numbered by ranges: within each, and from the number of words in those before. One row a range for the offsets.
     ranged = materialise(words.repartitionByRange("w").select("w", F.spark_partition_id().alias("part")), "words")
@@ -214,15 +213,24 @@ def _large_rules(spark: SparkSession, sf: str) -> SkillRules:
     eighth = numbered.withColumn("entry", F.floor(F.col("n") / 8)).withColumn("place", F.col("n") % 8)
     skills = eighth.filter("place = 0").select("entry", F.col("w").alias("canonical"))
     synonyms = eighth.filter("place > 0").join(skills, "entry")
-    return dictionaries.load_rules(
-        synonyms.select(F.col("n").alias("rule_no"), "canonical", F.col("w").alias("synonym")),
+    return RuleTables(
+        synonyms.select(F.col("n").alias("rule_no"), F.col("w").alias("synonym"), "canonical"),
         skills.select(F.col("canonical").alias("skill")),
     )
 
 
 def extract_large_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of thousands of terms, held by the workers."""
+    texts = fx.requests(spark, sf).select("student_id", "resume_text")
+    tables = _words_as_dictionary(fx.table(spark, sf, "benchmark", "text"))
+    found = extract_skills(texts, "resume_text", dictionaries.load_rules(tables.rules, tables.skills))
+    return gap.skill_rows(found, "found_skills", []).groupBy("skill").agg(F.count("*").alias("documents"))
+
+
+def extract_joined_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary that grows with the documents, all of whose words are its terms; it stays a table."""
     texts = fx.requests(spark, sf).select("student_id", "resume_text")
-    found = extract_skills(texts, "resume_text", _large_rules(spark, sf))
+    found = extract_skills(texts, "resume_text", _words_as_dictionary(fx.documents(spark, sf, "text")))
     return gap.skill_rows(found, "found_skills", []).groupBy("skill").agg(F.count("*").alias("documents"))
 
 
@@ -703,6 +711,7 @@ QUERIES = {
     "extract_few_terms": extract_few_terms,
     "extract_edge_terms": extract_edge_terms,
     "extract_large_dictionary": extract_large_dictionary,
+    "extract_joined_dictionary": extract_joined_dictionary,
     "matched_skills": matched_skills,
     "missing_skills": missing_skills,
     "coverage_score": coverage_score,
