@@ -15,6 +15,7 @@ from gapscore import schemas
 from gapscore.functions.text import MODEL_SUFFIX
 from gapscore.operators.evaluate import accuracy, confusion, precision_recall, predicted
 from gapscore.operators.linear import apply_models
+from gapscore.operators.solve import SMALL_ROWS, SMALL_VALUES, fit_small
 from gapscore.operators.split import (
     CROSS_VALIDATE,
     TRAIN,
@@ -73,9 +74,21 @@ def fit(rows: DataFrame, n: int) -> tuple[float, list[float]]:
     return float(model.intercept), [float(c) for c in model.coefficients.toArray()]
 
 
-def _fit_all(train_rows: DataFrame) -> tuple[list[tuple], list[tuple]]:
-    """Fit every goal of ``train_rows``; a goal that fails is reported and the others go on."""
-    sizes = train_rows.groupBy("goal").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"))
+def _fit_all(train_rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple]]:
+    """(models, failures): every goal of ``train_rows`` fitted; one that fails is reported and the others go on.
+
+    All goals small enough for a task are fitted by one job, whatever their number. A larger goal is a Spark
+    ML job of its own, and a few of these run at a time.
+    """
+    spark = train_rows.sparkSession
+    values = F.size(F.unwrap_udt("features").indices)
+    # Written, because the goals are told apart by it, and read for the failures.
+    sizes = materialise(
+        train_rows.groupBy("goal").agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.sum(values).alias("values")), "sizes"
+    )
+    in_a_task = (F.col("n") <= SMALL_ROWS) & (F.col("values") <= SMALL_VALUES)
+    small = train_rows.join(small_side(sizes.filter(in_a_task).select("goal")), "goal", "left_semi")
+    fitted = materialise(fit_small(small, size), "fitted")
 
     def one(row):
         try:
@@ -85,13 +98,15 @@ def _fit_all(train_rows: DataFrame) -> tuple[list[tuple], list[tuple]]:
         except Exception as error:  # noqa: BLE001 - one goal must not stop the others
             return None, (row.goal, f"failed: {error}")
 
-    # One row per goal.
-    todo = sizes.collect()
-    if not todo:
-        return [], []
-    with ThreadPool(min(PARALLEL_FITS, len(todo))) as pool:
-        done = pool.map(inheritable_thread_target(train_rows.sparkSession)(one), todo)
-    return [m for m, _ in done if m], [f for _, f in done if f]
+    large, done = sizes.filter(~in_a_task).collect(), []
+    if large:
+        with ThreadPool(min(PARALLEL_FITS, len(large))) as pool:
+            done = pool.map(inheritable_thread_target(spark)(one), large)
+    models = fitted.filter("error IS NULL").drop("error")
+    if any(model for model, _ in done):
+        models = models.unionByName(local_table(spark, [m for m, _ in done if m], schemas.GOAL_MODELS))
+    failed = [(r.goal, r.error) for r in fitted.filter("error IS NOT NULL").select("goal", "error").collect()]
+    return models, failed + [f for _, f in done if f]
 
 
 def _with_weights(rows: DataFrame) -> DataFrame:
@@ -104,20 +119,18 @@ def _predict(rows: DataFrame, models: DataFrame, goal_column: str) -> DataFrame:
     return apply_models(weighted, models, goal_column, exact=True)
 
 
-def _cross_validate(small: DataFrame) -> tuple[DataFrame, list[tuple]]:
+def _cross_validate(small: DataFrame, size: int) -> tuple[DataFrame, list[tuple]]:
     """Mean and spread of the fold accuracies of goals with few samples. No model is kept.
 
     A goal with a fold that cannot be fitted is reported as failed.
     """
-    spark = small.sparkSession
     folded = materialise(folds(small, "item_id"), "folds")
     # Each fold's training rows under a goal name of their own: "goal<tab>fold".
     held = folded.select("goal", "fold").distinct().withColumnRenamed("fold", "held")
     training = folded.join(held, "goal").filter(F.col("fold") != F.col("held"))
     named = training.withColumn("goal", F.concat_ws("\t", "goal", "held")).drop("held", "fold")
-    fitted, failed = _fit_all(materialise(_with_weights(named), "fold-training", ["goal"]))
+    table, failed = _fit_all(materialise(_with_weights(named), "fold-training", ["goal"]), size)
     reasons = dict((goal.split("\t")[0], reason) for goal, reason in sorted(failed))
-    table = local_table(spark, fitted, schemas.GOAL_MODELS)
     tested = folded.withColumn("_fold_goal", F.concat_ws("\t", "goal", "fold"))
     right = (predicted() == F.col("label")).cast("double")
     by_fold = (
@@ -168,8 +181,7 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
     # Written with split and weights, so that a fit reads its goal and repeats no join.
     split = materialise(split, "split", ["goal"])
     train_rows = materialise(_with_weights(split.filter(~F.col("is_test"))), "training", ["goal"])
-    fitted, failed = _fit_all(train_rows)
-    models = local_table(spark, fitted, schemas.GOAL_MODELS)
+    models, failed = _fit_all(train_rows, size)
     test_rows = split.filter("is_test").join(small_side(models.select("goal")), "goal", "left_semi")
     # Kept, because registry and metrics each read them.
     predictions = materialise(
@@ -194,7 +206,7 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
 
     small = features.filter(F.col("action") == CROSS_VALIDATE).drop("action")
     if CROSS_VALIDATE in action.values():
-        cross_validated, fold_failures = _cross_validate(small)
+        cross_validated, fold_failures = _cross_validate(small, size)
         failed += fold_failures
     else:
         cross_validated = local_table(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gapscore.operators import evaluate, linear, split
 from gapscore.operators.tfidf import Vocabulary
+from gapscore.operators import train as train_module
+from gapscore.operators.solve import Sparse, solve
 from gapscore.operators.train import fit, train, vector_parts
 from gapscore.plans.training import train_and_save
 from gapscore.sources.models import load_models, read_table
@@ -113,6 +115,53 @@ def test_fit_solves_the_balanced_objective(spark):
     assert intercept == pytest.approx(expected[3], abs=1e-3)
 
 
+def test_all_small_goals_in_one_job(spark, monkeypatch):
+    """300 goals at once equal a Newton solution and Spark ML's, and one that cannot be fitted is reported."""
+    rng, rows, data = np.random.default_rng(1), [], {}
+    for g in range(300):
+        n = int(rng.integers(21, 40))
+        x = np.where(rng.random((n, 6)) < 0.5, rng.random((n, 6)), 0)
+        y = (x[:, g % 6] + 0.2 * rng.standard_normal(n) > 0.3).astype(int)
+        y[:2] = 0, 1
+        if g == 7:
+            y[:] = 1
+        s = np.array([n / (2 * max((y == c).sum(), 1)) for c in y])
+        data[f"g{g}"] = (x, y, s)
+        for r, label, weight in zip(x, y, s):
+            at = np.flatnonzero(r).tolist()
+            rows.append((f"g{g}", int(label), float(weight), at, r[at].tolist()))
+    df = spark.createDataFrame(rows, "goal STRING, label INT, weight DOUBLE, indices ARRAY<INT>, weights ARRAY<DOUBLE>")
+    parts = df.withColumn("features", vector_parts(F.col("indices"), F.col("weights"), 8)).drop("indices", "weights")
+    vectors = materialise(parts, "many", ["goal"], {"features": VectorUDT()})
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "fits")
+    models, failed = train_module._fit_all(vectors, 8)
+    assert len(stages.getJobIdsForGroup("fits")) < 20
+    got = {m.goal: m for m in models.collect()}
+    assert len(got) == 299 and failed == [("g7", "failed: all training samples have the same label")]
+    for goal, model in got.items():
+        x, y, s = data[goal]
+        expected = newton(x, y, s)
+        assert model.coefficients[:6] == pytest.approx(list(expected[:6]), abs=1e-5) and model.coefficients[6:] == [0, 0]
+        assert model.intercept == pytest.approx(expected[6], abs=1e-5)
+    monkeypatch.setattr(train_module, "SMALL_ROWS", 0)
+    some = vectors.filter(F.col("goal").isin("g1", "g2", "g7"))
+    large, failed = train_module._fit_all(some, 8)
+    assert [f[0] for f in failed] == ["g7"]
+    for model in large.collect():
+        assert model.coefficients == pytest.approx(got[model.goal].coefficients, abs=1e-3)
+
+
+def test_separable_and_empty_features_are_solved():
+    none = np.array([], dtype=int)
+    intercept, w = solve(Sparse(none, none, np.array([]), 4, 0), np.array([0.0, 1, 1, 1]), np.ones(4))
+    assert intercept == pytest.approx(math.log(3)) and len(w) == 0
+    x = np.array([[5.0], [5.0], [-5.0], [-5.0]])
+    y, s = np.array([1.0, 1, 0, 0]), np.full(4, 1000.0)
+    intercept, w = solve(Sparse(np.arange(4), np.zeros(4, dtype=int), x[:, 0], 4, 1), y, s)
+    assert [*w, intercept] == pytest.approx(list(newton(x, y, s)), abs=1e-4)
+
+
 VOCABULARY = Vocabulary(("bad", "good", "maybe"), (1.0, 1.0, 1.0))
 
 
