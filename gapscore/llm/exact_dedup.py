@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The six characters that the comparison ignores, [\x20\x09-\x0D].
@@ -27,9 +27,9 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     without the text; this join has no aggregate behind it and adaptive execution splits a hot key.
 
     Defined cases: a null text is an empty one, and all empty texts are one group; a null id comes
-    last and can be kept only by a longer text or for want of another; rows that repeat an id with
-    equal texts are one document and share its answer, and each counts in group_size; other columns
-    are ignored, whatever their names; an empty table gives no rows.
+    last and can be kept only by a longer text or for want of another; of rows that repeat the id and
+    length of the text that stays one is kept, the first in reading order, and each counts in
+    group_size; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     body = normalised(F.col(text))
     groups = (
@@ -61,10 +61,14 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.unhex(F.sha2(body, 256)).alias("sha"),
         F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("length"),
     )
-    return members.join(groups, ["hash", "sha"]).select(
+    found = members.join(groups, ["hash", "sha"]).withColumn("row", F.monotonically_increasing_id())
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
+    # Rows that cannot stay are spread by their number; one row, as a rule, is left for each group.
+    in_group = Window.partitionBy("hash", "sha", F.when(best, -1).otherwise(F.col("row"))).orderBy("row")
+    return found.withColumn("place", F.row_number().over(in_group)).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (best & (F.col("place") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )

@@ -40,7 +40,7 @@ WITH d AS (
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id) AS keep_id,
        count(*) OVER (PARTITION BY body) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id) AS kept,
+       row_number() OVER (PARTITION BY body ORDER BY length(t) DESC, doc_id) = 1 AS kept,
        sha256(body) AS text_sha256
 FROM d
 """

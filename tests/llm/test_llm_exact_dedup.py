@@ -13,8 +13,9 @@ def expected(rows):
         groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((doc_id, text or ""))
     out = []
     for body, members in groups.items():
-        best = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        out += [(i, best, len(members), i == best, sha256(body.encode()).hexdigest()) for i, _ in members]
+        best = min(range(len(members)), key=lambda n: (-len(members[n][1]), members[n][0] is None, members[n][0] or 0, n))
+        sha = sha256(body.encode()).hexdigest()
+        out += [(i, members[best][0], len(members), n == best, sha) for n, (i, _) in enumerate(members)]
     return sorted(out, key=repr)
 
 
@@ -38,3 +39,10 @@ def test_hot_group_is_counted_before_the_shuffle(spark):
 
 def test_empty_table(nothing):
     assert duplicate_groups(nothing).collect() == []
+
+
+def test_one_row_of_a_group_is_kept(spark):
+    rows = [(5, "a b"), (5, "ab"), (5, "ab"), (7, "a b"), (5, "a b"), (None, "x"), (None, "x"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in duplicate_groups(docs).collect()), key=repr) == expected(rows)
+    assert duplicate_groups(docs.unionByName(docs)).where("kept").count() == 3
