@@ -10,13 +10,12 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
-from collections.abc import Iterator
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gapscore import files
 from gapscore.operators.extensions import anonymise
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import Dimensions
@@ -62,7 +61,7 @@ class History:
         """Add rows (of ``history_rows``) as a batch; false, and nothing added, if the batch is there already."""
         if "/" in batch or not batch:
             raise ValueError(f"not usable as the name of a batch: {batch!r}")
-        if self._exists(self._marker(batch)):
+        if files.exists(self.spark, self._marker(batch)):
             return False
         attempt = uuid.uuid4().hex
         named = rows.select(*StructType.fromDDL(SCHEMA).names, "day", F.lit(attempt).alias("attempt"))
@@ -75,13 +74,13 @@ class History:
     def batches(self) -> DataFrame:
         """(batch, attempt) of the batches that count."""
         empty = self.spark.createDataFrame([], _MARKER)
-        if not self._exists(self.markers):
+        if not files.exists(self.spark, self.markers):
             return empty
         return self.spark.read.schema(_MARKER).option("pathGlobFilter", "*.json").json(self.markers)
 
     def read(self) -> DataFrame:
         """The rows of all batches that count, with their day and batch; days are read as asked for."""
-        if not self._exists(self.rows):
+        if not files.exists(self.spark, self.rows):
             return self.spark.createDataFrame([], f"{SCHEMA}, day DATE, batch STRING")
         stored = self.spark.read.schema(_STORED).parquet(self.rows)
         return stored.join(small_side(self.batches()), "attempt").drop("attempt")
@@ -89,60 +88,25 @@ class History:
     def expire(self, before: datetime.date) -> list[str]:
         """Delete the days before ``before``. Markers stay, so a late replay does not bring a day back."""
         gone = []
-        for day, path in self._partitions(self.rows, "day"):
-            if day < before.isoformat():
-                self._fs(path).delete(path, True)
+        for name, path in files.children(self.spark, self.rows):
+            column, _, day = name.partition("=")
+            if column == "day" and day < before.isoformat():
+                files.delete(self.spark, path)
                 gone.append(day)
         return sorted(gone)
 
     def vacuum(self, attempt: str) -> None:
         """Delete the rows of an attempt that does not count."""
-        for _, day in self._partitions(self.rows, "day"):
-            for name, path in self._partitions(day.toString(), "attempt"):
-                if name == attempt:
-                    self._fs(path).delete(path, True)
+        for _, day in files.children(self.spark, self.rows):
+            for name, path in files.children(self.spark, day):
+                if name == f"attempt={attempt}":
+                    files.delete(self.spark, path)
 
     def _marker(self, batch: str) -> str:
         return f"{self.markers}/{batch}.json"
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path):
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, path: str) -> bool:
-        where = self._path(path)
-        return self._fs(where).exists(where)
-
-    def _partitions(self, folder: str, column: str) -> Iterator[tuple[str, object]]:
-        where = self._path(folder)
-        for status in self._fs(where).listStatus(where) if self._fs(where).exists(where) else []:
-            name, _, value = status.getPath().getName().partition("=")
-            if name == column:
-                yield value, status.getPath()
-
     def _commit(self, batch: str, attempt: str) -> bool:
-        jvm = self.spark._jvm
-        draft, marker = self._path(f"{self.markers}/_{attempt}"), self._path(self._marker(batch))
-        out = self._fs(draft).create(draft, False)
-        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            context.rename(self._qualified(draft), self._qualified(marker), options)
-        except Py4JJavaError as error:
-            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
-                raise
-            self._fs(draft).delete(draft, False)
-            return False
-        return True
-
-    def _qualified(self, path):
-        return self._fs(path).makeQualified(path)
+        return files.put_text(self.spark, self._marker(batch), json.dumps({"batch": batch, "attempt": attempt}))
 
 
 def keep_history(

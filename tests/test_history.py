@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from gapscore import files
 from gapscore.sources.history import History, history_rows, keep_history
 from gapscore.streaming import history_stream
 from workload import fixtures as fx
@@ -58,11 +59,14 @@ def test_rows_of_a_failed_attempt_are_not_read(history, dims, dated, monkeypatch
 def test_of_two_writers_one_counts(history, spark, dims, dated, monkeypatch):
     rows, other = history_rows(dated, dims), History(spark, history.folder)
     assert other.append(rows.limit(5), "a")
-    monkeypatch.setattr(History, "_exists", lambda self, path: not path.endswith("a.json"))  # looked before the other was done
+    exists = files.exists
+    looked_before = lambda spark, path: not path.endswith("a.json") and exists(spark, path)
+    monkeypatch.setattr(files, "exists", looked_before)
     assert not history.append(rows, "a")
     monkeypatch.undo()
     assert len(students(history)) == 5
-    attempts = {p.getName() for _, day in history._partitions(history.rows, "day") for _, p in history._partitions(day.toString(), "attempt")}
+    days = [path for name, path in files.children(spark, history.rows) if name.startswith("day")]
+    attempts = {name for day in days for name, _ in files.children(spark, day)}
     assert len(attempts) == 1
 
 

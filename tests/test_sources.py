@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from gapscore import schemas
+from gapscore import files, schemas
 from gapscore.operators.linear import pack_models, unpack_models
 from gapscore.operators.split import training_counts, usable_items
 from gapscore.sources import dictionaries, models, requests, training
@@ -141,6 +142,47 @@ def test_stored_models(spark, tmp_path):
     assert models.read_table(spark, folder, "registry").collect() == registry.collect()
 
 
+def _set(spark, coefficient, samples):
+    vocabulary = spark.createDataFrame([("a", 0, 4, 2, 1.0)], schemas.VOCABULARY)
+    table = spark.createDataFrame([("g", 0.0, [coefficient])], schemas.GOAL_MODELS)
+    return vocabulary, [], table, spark.createDataFrame([("g", samples)], "goal STRING, samples INT")
+
+
+def test_versions_of_models(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "models")
+    first = models.save_models(folder, *_set(spark, 1.0, 10))
+    held = models.load_models(spark, folder)  # a reader that started before the next save
+    second = models.save_models(folder, *_set(spark, 2.0, 20))
+    assert held.table.first().coefficients == [1.0]
+    assert models.load_models(spark, folder).table.first().coefficients == [2.0]
+    assert models.load_models(spark, folder, first).table.first().coefficients == [1.0]
+    assert models.stored_versions(spark, folder) == [first, second] and models.current_version(spark, folder) == second
+
+    broken = spark.range(1).select(F.lit("g").alias("goal"), F.raise_error(F.lit("lost")).cast("int").alias("samples"))
+    with pytest.raises(Exception, match="lost"):
+        models.save_models(folder, *_set(spark, 3.0, 30)[:3], broken)
+    assert models.current_version(spark, folder) == second
+    assert models.load_models(spark, folder).table.first().coefficients == [2.0]
+
+    models.use_version(spark, folder, first)
+    assert models.read_table(spark, folder, "registry").first().samples == 10
+    with pytest.raises(ValueError, match="no version"):
+        models.use_version(spark, folder, "none")
+    left = models.stored_versions(spark, folder)[-1]
+    assert models.drop_versions(spark, folder, keep=1) == [second]
+    assert models.stored_versions(spark, folder) == [first, left] and models.load_models(spark, folder) is not None
+
+
+def test_small_files_are_put_whole(spark, tmp_path):
+    path = str(tmp_path / "x" / "pointer")
+    assert files.read_text(spark, path) is None
+    assert files.put_text(spark, path, "Önë") and files.read_text(spark, path) == "Önë"
+    assert not files.put_text(spark, path, "two") and files.read_text(spark, path) == "Önë"
+    assert files.put_text(spark, path, "two", replace=True) and files.read_text(spark, path) == "two"
+    assert [name for name, _ in files.children(spark, str(tmp_path / "x")) if not name.startswith(".")] == ["pointer"]
+    assert list(files.children(spark, str(tmp_path / "nothing"))) == []
+
+
 def test_registry_file(spark, tmp_path):
     metrics = {"accuracy": 0.5, "samples": 30, "positive_samples": 10, "negative_samples": 20, "feature_count": 7}
     content = {"vectorizer": "v.pkl", "models": {"a": "a_model.pkl", "b": "b_model.pkl"}, "metrics": {"a": metrics}}

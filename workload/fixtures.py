@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from gapscore.operators.score import Dimensions, load_dimensions
 from gapscore.operators.split import training_gate
 from gapscore.operators.tfidf import Vocabulary, fit_vocabulary, load_vocabulary, tfidf_rows
 from gapscore.sources.dictionaries import SkillRules
-from gapscore.storage import local_table, small_side, spread
+from gapscore.sources.models import current_version, load_models, save_models
+from gapscore.storage import local_table, materialise, small_side, spread, work_dir
 
 # "es" is supported but has no skills of its own; "de" has skills but is not supported.
 CONFIG = {
@@ -179,8 +182,21 @@ def log_odds(spark: SparkSession, sf_dir: str, vocab: Vocabulary) -> tuple[DataF
     return coefficients, intercepts
 
 
+def save_fit(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Fit vocabulary and models on the tables and store them as a version of the folder."""
+    vocab = materialise(vocabulary_table(spark, sf_dir), "vocabulary")
+    loaded = load_vocabulary(vocab, STOP_WORDS)
+    coefficients, intercepts = log_odds(spark, sf_dir, loaded)
+    packed = pack_models(coefficients, intercepts, len(loaded.terms))
+    registry = training_ids(spark, sf_dir).groupBy("goal").agg(F.count("*").alias("samples"))
+    return save_models(folder, vocab, STOP_WORDS, packed, registry)
+
+
 def models(spark: SparkSession, sf_dir: str) -> GoalModels:
-    vocab = vocabulary(spark, sf_dir)
-    coefficients, intercepts = log_odds(spark, sf_dir, vocab)
-    packed = pack_models(coefficients, intercepts, len(vocab.terms))
-    return GoalModels(vocab, small_side(packed, MAX_BROADCAST_MODELS))
+    """The models of the tables: fitted and stored by the first query of an application that asks, read by all others."""
+    place = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    folder = f"{work_dir(spark)}/fitted-{spark.sparkContext.applicationId}-{place}"
+    if current_version(spark, folder) is None:
+        save_fit(spark, sf_dir, folder)
+    stored = load_models(spark, folder)
+    return GoalModels(stored.vocabulary, small_side(stored.table, MAX_BROADCAST_MODELS))

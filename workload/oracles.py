@@ -606,6 +606,11 @@ ORACLES = {
         "SELECT student_id, goal_used, round(CASE WHEN matched = 0 THEN 0.0 ELSE score END, 6) AS score FROM scores"
     ),
     "stream_rate_limit": RATE_LIMIT,
+    "model_versions": f"""
+      WITH counted AS (SELECT goal, count(*) AS samples, round(sum(label) / count(*), 6) AS rate FROM ({TRAINING_IDS}) GROUP BY goal)
+      SELECT 'first' AS reader, * FROM counted WHERE goal = 'toxic'
+      UNION ALL SELECT 'back', * FROM counted WHERE goal = 'toxic'
+      UNION ALL SELECT 'current', * FROM counted""",
     "request_history": _scores(
         f""", {HISTORY} SELECT sha256('{fx.SALT}' || student_id) AS student_id, 'batch-' || (doc_id % 3) AS batch, day, goal_used,
         accepted, round(score, 6) AS score, matched::INT AS matched, details FROM history WHERE day >= '2026-01-03'"""

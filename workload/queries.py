@@ -474,18 +474,6 @@ def train_summary(spark: SparkSession, sf: str) -> DataFrame:
 # Linear scores and evaluation
 
 
-def _round_trip(spark: SparkSession, sf: str) -> linear.GoalModels:
-    """The models after a round trip through storage."""
-    vocab = materialise(fx.vocabulary_table(spark, sf), "vocabulary")
-    loaded = tfidf.load_vocabulary(vocab, fx.STOP_WORDS)
-    coefficients, intercepts = fx.log_odds(spark, sf, loaded)
-    packed = linear.pack_models(coefficients, intercepts, len(loaded.terms))
-    folder = new_path(spark, "stored")
-    registry = fx.training_ids(spark, sf).groupBy("goal").agg(F.count("*").alias("samples"))
-    models.save_models(folder, vocab, fx.STOP_WORDS, packed, registry)
-    return models.load_models(spark, folder)
-
-
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
     """English documents against one model, French ones against the other, the rest have none."""
     return _linear_scores(spark, sf, fx.models(spark, sf))
@@ -493,7 +481,33 @@ def linear_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_models(spark: SparkSession, sf: str) -> DataFrame:
     """The same scores from models fitted now, stored and loaded again."""
-    return _linear_scores(spark, sf, _round_trip(spark, sf))
+    folder = new_path(spark, "stored")
+    fx.save_fit(spark, sf, folder)
+    return _linear_scores(spark, sf, models.load_models(spark, folder))
+
+
+def model_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sets of models in a folder: what a reader of the first, of the current and of the set in use again sees."""
+    folder = new_path(spark, "versions")
+    vocab = local_table(spark, [("word", 0, 1, 1, 1.0)], "term STRING, term_id INT, corpus_tf BIGINT, df BIGINT, idf DOUBLE")
+    items = fx.training_ids(spark, sf)
+    stored = []
+    for chosen in (F.col("goal") == "toxic", F.lit(True)):
+        counted = items.filter(chosen).groupBy("goal").agg(F.count("*").alias("samples"), F.sum("label").alias("positive"))
+        rate = (F.col("positive") / F.col("samples")).alias("intercept")
+        table = counted.select("goal", rate, F.array(F.lit(0.0)).alias("coefficients"))
+        stored.append(models.save_models(folder, vocab, [], table, counted.select("goal", "samples")))
+    seen = {"first": stored[0], "current": models.current_version(spark, folder)}
+    models.use_version(spark, folder, stored[0])
+    seen["back"] = models.current_version(spark, folder)
+
+    def of(name: str) -> DataFrame:
+        registry = models.read_table(spark, folder, "registry", seen[name])
+        return registry.join(models.load_models(spark, folder, seen[name]).table, "goal").select(
+            F.lit(name).alias("reader"), "goal", "samples", _rounded("intercept").alias("rate")
+        )
+
+    return of("first").unionByName(of("current")).unionByName(of("back"))
 
 
 def _linear_scores(spark: SparkSession, sf: str, trained: linear.GoalModels) -> DataFrame:
@@ -737,6 +751,7 @@ QUERIES = {
     "train_summary": train_summary,
     "linear_score": linear_score,
     "stored_models": stored_models,
+    "model_versions": model_versions,
     "score_all_goals": score_all_goals,
     "eval_accuracy": eval_accuracy,
     "eval_prf": eval_prf,
