@@ -93,6 +93,40 @@ def check_models(expected: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+def check_vocabulary_files(probed: DataFrame) -> DataFrame:
+    """From the ``PROBED`` rows of the vocabulary: absent, unreadable, empty or fine."""
+    counts = probed.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("size"), F.min("error").alias("error")
+    )
+    fine = F.col("error").isNull() & (F.col("size") > 0)
+    message = F.when(F.col("files") == 0, VECTORIZER_ABSENT).when(fine, VECTORIZER_OK).otherwise(VECTORIZER_BAD)
+    details = F.when(F.col("error").isNotNull(), _details(error=F.col("error"))).otherwise(_details(vocabulary_size=F.col("size")))
+    return counts.select(*_check("vectorizer", F.when(fine, OK).otherwise(ERROR), message, details))
+
+
+def check_model_files(probed: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """From the ``PROBED`` rows of the models, by goal: models that open, files that do not, and expected goals without one.
+
+    Files that fail degrade the check, and so do goals that are expected and not in any readable file.
+    """
+    opened = probed.select(F.explode("names").alias("goal")).select(goal_key(F.col("goal")).alias("key")).distinct()
+    broken = probed.filter("error IS NOT NULL").agg(
+        F.count("*").alias("failed"), F.array_join(F.array_sort(F.collect_set(F.substring_index("path", "/", -1))), ", ").alias("failed_files")
+    )
+    wanted = opened.select("key") if expected is None else expected.select(goal_key(F.col("goal")).alias("key")).distinct()
+    have = opened.withColumn("have", F.lit(1))
+    counts = wanted.withColumn("want", F.lit(1)).join(have, "key", "full").agg(
+        F.count("have").alias("loaded"), F.count_if(F.col("have").isNull()).alias("absent")
+    )
+    # Two tables of one row each.
+    both = counts.withColumn("one", F.lit(1)).join(broken.withColumn("one", F.lit(1)), "one")
+    loaded, failed, absent = F.col("loaded"), F.col("failed"), F.col("absent")
+    status = F.when(loaded == 0, ERROR).when(failed + absent > 0, DEGRADED).otherwise(OK)
+    message = F.when((loaded == 0) & (failed == 0), MODELS_ABSENT).otherwise(F.format_string(MODELS_DONE, loaded, failed))
+    details = _details(loaded=loaded, failed=failed, absent=absent, failed_files=F.col("failed_files"))
+    return both.select(*_check("models", status, message, details))
+
+
 def check_goals(spark: SparkSession, sizes: DataFrame | None) -> DataFrame:
     """From the table of ``goal_sizes``. Malformed entries are counted; they do not fail the check."""
     if sizes is None:

@@ -143,3 +143,39 @@ def test_partial_matches_shuffle_hits_only(spark, sf):
     hits = extensions._hits(df, "text", extensions._Pieces(["thor"], 0.8))
     assert 0 < hits.count() < 100
     assert extensions.partial_matches(df, "text", universe.limit(0), 0.8).collect() == []
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    """Broken files are rows; what is left of a set of models decides the status."""
+    from gapscore import files
+    from gapscore.plans.audit import audit_files
+    from gapscore.sources import models
+    from gapscore.sources.probe import probe_files
+
+    assert probe_files(spark, str(tmp_path / "none")).collect() == []
+    folder, config = str(tmp_path / "m"), {"version": "1"}
+    goals = spark.createDataFrame([("A b",), ("c",)], "goal STRING")
+    vocabulary = spark.createDataFrame([("w", 0, 1, 1, 1.0)], "term STRING, term_id INT, corpus_tf BIGINT, df BIGINT, idf DOUBLE")
+    table = spark.createDataFrame([("a_b", 0.0, [1.0]), ("c", 0.0, [1.0])], "goal STRING, intercept DOUBLE, coefficients ARRAY<DOUBLE>")
+    version = models.save_models(folder, vocabulary, [], table.coalesce(1), goals)
+
+    def status():
+        return {r.check: (r.status, r.details) for r in audit_files(spark, config, folder, goals).collect()}
+
+    fine = status()
+    assert [fine[c][0] for c in ("vectorizer", "models", "registry")] == ["ok"] * 3 and fine["models"][1]["loaded"] == "2"
+    at = tmp_path / "m" / "versions" / version
+    files.put_text(spark, str(at / "models" / "x.parquet"), "nothing")
+    assert status()["models"] == ("degraded", {"loaded": "2", "failed": "1", "absent": "0", "failed_files": "x.parquet"})
+    whole = next((at / "models").glob("part*"))
+    cut = whole.read_bytes()[:-20]
+    for name in list((at / "models").glob(".*crc")):
+        name.unlink()  # checksums of the local file system would hide what is tested
+    whole.write_bytes(cut)
+    next((at / "registry").glob("part*.parquet")).unlink()
+    for part in (at / "vocabulary").glob("part*.parquet"):
+        part.unlink()
+    broken = probe_files(spark, str(at / "models"), "goal").filter("error IS NOT NULL").count()
+    assert broken == 2
+    seen = status()
+    assert seen["models"][0] == "error" and seen["vectorizer"][0] == "error" and seen["registry"][0] == "warning"

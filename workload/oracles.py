@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gapscore.functions.text import MODEL_SUFFIX, WHITESPACE
-from gapscore.operators import gap, goals
+from gapscore.operators import audit, gap, goals
 from gapscore.operators.tfidf import MAX_FEATURES
 from workload import fixtures as fx
 
@@ -606,6 +606,13 @@ ORACLES = {
         "SELECT student_id, goal_used, round(CASE WHEN matched = 0 THEN 0.0 ELSE score END, 6) AS score FROM scores"
     ),
     "stream_rate_limit": RATE_LIMIT,
+    "health_files": f"""
+      WITH goals AS (SELECT count(DISTINCT source) AS n FROM documents)
+      SELECT 'vectorizer' AS check, 'ok' AS status, {_lit(audit.VECTORIZER_OK)} AS message, 'vocabulary_size=1' AS details
+      UNION ALL SELECT 'models', 'degraded', printf({_lit(audit.MODELS_DONE)}, n - 1, 2),
+             'absent=1;failed=2;failed_files=broken.parquet, cut.parquet;loaded=' || (n - 1) FROM goals
+      UNION ALL SELECT 'registry', 'warning', {_lit(audit.REGISTRY_DONE)},
+             'has_metrics=false;missing_files=src0{MODEL_SUFFIX};registered_models=' || n FROM goals""",
     "model_versions": f"""
       WITH counted AS (SELECT goal, count(*) AS samples, round(sum(label) / count(*), 6) AS rate FROM ({TRAINING_IDS}) GROUP BY goal)
       SELECT 'first' AS reader, * FROM counted WHERE goal = 'toxic'

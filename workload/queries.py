@@ -8,10 +8,12 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gapscore import files
 from gapscore.functions import text as fn
 from gapscore.operators import audit, evaluate, extensions, gap, goals, linear, score, split, tfidf, train
 from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.plans.audit import audit as audit_plan
+from gapscore.plans.audit import audit_files
 from gapscore.plans.scoring import rejects, respond
 from gapscore.sources import dictionaries, models, requests, training
 from gapscore.sources.dictionaries import RuleTables
@@ -580,8 +582,25 @@ def _checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def health_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return _check_rows(_checks(spark, sf))
+
+
+def _check_rows(checks: DataFrame) -> DataFrame:
     pairs = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(e.key, F.lit("="), e.value))
-    return _checks(spark, sf).select("check", "status", "message", F.array_join(pairs, ";").alias("details"))
+    return checks.select("check", "status", "message", F.array_join(pairs, ";").alias("details"))
+
+
+def health_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A model for each source but one, in a file each, and two files that cannot be read; the files are opened."""
+    folder = new_path(spark, "audited")
+    counted = fx.documents(spark, sf, "source").groupBy(F.col("source").alias("goal")).agg(F.count("*").alias("samples"))
+    table = counted.select("goal", F.lit(0.0).alias("intercept"), F.array(F.lit(0.0)).alias("coefficients"))
+    vocab = local_table(spark, [("word", 0, 1, 1, 1.0)], "term STRING, term_id INT, corpus_tf BIGINT, df BIGINT, idf DOUBLE")
+    version = models.save_models(folder, vocab, [], table.filter("goal <> 'src0'").repartitionByRange("goal"), counted)
+    for name in ("broken", "cut"):
+        files.put_text(spark, f"{folder}/versions/{version}/models/{name}.parquet", "PAR1 no footer")
+    checks = audit_files(spark, fx.CONFIG, folder, counted.select("goal"))
+    return _check_rows(checks.filter(F.col("check").isin("vectorizer", "models", "registry")))
 
 
 def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -760,6 +779,7 @@ QUERIES = {
     "goal_consistency": goal_consistency,
     "health_checks": health_checks,
     "health_rollup": health_rollup,
+    "health_files": health_files,
     "stream_score": stream_score,
     "stream_rate_limit": stream_rate_limit,
     "request_history": request_history,
