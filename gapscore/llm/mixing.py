@@ -6,6 +6,8 @@ output shards; each slot takes one block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,15 @@ from gapscore.llm.work import Scratch
 # Fixed value: a word is a run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
+#: Slots of an output shard, on average.
 SHARD_SLOTS = 4096
 MAX_REPEATS = 3
-#: Documents whose ids share this quotient are placed together; a source is placed group by group.
-IDS_PER_GROUP = 1024
-#: Slots that one row gives rise to before they are dealt out again.
-SLOTS_PER_CHUNK = 4096
-# Primes near 10^18. No count of blocks or slots reaches them, so they are coprime to each.
-_PRIMES = (999999999999999989, 999999999999999967)
+SEED = "mix"
+#: Rows that are put into order together, and parts whose sums are added up together.
+BUCKET_ROWS, PARTS = 1024, 1024
+#: Slots, or blocks, that one row gives rise to, and so many such rows a task.
+CHUNK, CHUNKS_PER_TASK = 4096, 64
+_KEY_BITS = 60
 
 
 def word_count(text: Column) -> Column:
@@ -29,12 +32,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Targets in words, from one row (source, source_size) for each source.
+    """Targets in words, from one row (source, source_size, rows) for each source.
 
     Sources by code point, null last, weigh ``weights`` in turn and share the sum of all sizes. No
     target exceeds MAX_REPEATS times its size. What is left over is shared by weight again until
     none does: sources fill up in the order of cap over weight, and those after the last full one
-    share what remains at one level. Returns source, source_rank, source_size, target, blocks (in
+    share what remains at one level. Returns source, source_rank, source_size, rows, target, blocks (in
     the source) and draws (blocks that the mix takes).
     """
     in_order = Window.orderBy(F.col("source").isNull(), "source")
@@ -62,69 +65,91 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
         F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)
     )
     return ranked.withColumn("target", target).withColumn("blocks", blocks).select(
-        "source", "source_rank", "source_size", "target", "blocks", draws.cast("long").alias("draws")
+        "source", "source_rank", "source_size", "rows", "target", "blocks", draws.cast("long").alias("draws")
     )
 
 
-def placed(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Adds source_rank and start: the words of the source before this row, by id, then by size.
+def drawn_key(*parts: Column) -> Column:
+    """A number of 60 bits for the parts and the seed, by MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(SEED), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, _KEY_BITS // 4), 16, 10).cast("long")
+
+
+def _bucket(key: Column, buckets: Column) -> Column:
+    """The part of the key's range, of ``buckets`` equal ones, that a key lies in."""
+    # 30 bits are enough for the product to fit; more buckets than that share one now and then
+    return F.shiftright(F.shiftright(key, _KEY_BITS - 30) * buckets.cast("long"), 30)
+
+
+def _starts(rows: DataFrame, keys: list[str], bucket: str, value: Column) -> DataFrame:
+    """(keys, bucket, first): the sum of ``value`` over the buckets before, in two levels, so that no task sees all buckets."""
+    sums = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("n")).withColumn("part", F.floor(F.col(bucket) / PARTS))
+    before = lambda part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sums.withColumn("inside", F.coalesce(F.sum("n").over(before([*keys, "part"]).orderBy(bucket)), F.lit(0)))
+    parts = sums.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("n").over(before(keys).orderBy("part")), F.lit(0)).alias("outside"))
+    return inside.join(parts, [*keys, "part"]).select(*keys, bucket, (F.col("inside") + F.col("outside")).cast("long").alias("first"))
 
-    A sum over a whole source would put it into one task. Here groups of ids are summed by
-    themselves, and then one row for each group.
+
+def placed(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds source_rank and start: the words of the source before this row, in the order of ``key``.
+
+    ``docs`` has source, size and key, a pseudorandom number of the row's id and text, so rows fall evenly into
+    buckets of about ``BUCKET_ROWS`` whatever the ids are. Buckets are summed by themselves, and then one number for each.
     """
-    group = F.floor(F.col(doc_id) / F.lit(IDS_PER_GROUP)).alias("id_group")
     ranked = docs.join(
-        targets.select(F.col("source").alias("t_source"), "source_rank"),
+        targets.select(F.col("source").alias("t_source"), "source_rank", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets")),
         F.col("source").eqNullSafe(F.col("t_source")),
-    ).select(*docs.columns, "source_rank", group)
-    groups = ranked.groupBy("source_rank", "id_group").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source_rank").orderBy("id_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(
-        F.col("source_rank").alias("g_rank"),
-        F.col("id_group").alias("g_group"),
-        F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("g_start"),
-    )
-    inside = (
-        Window.partitionBy("source_rank", "id_group")
-        .orderBy(doc_id, "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ).select(*docs.columns, "source_rank", _bucket(F.col("key"), F.col("buckets")).alias("bucket"))
+    firsts = _starts(ranked, ["source_rank"], "bucket", F.col("size"))
+    inside = Window.partitionBy("source_rank", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranked.withColumn("in_group", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(groups, (F.col("source_rank") == F.col("g_rank")) & F.col("id_group").eqNullSafe(F.col("g_group")))
-        .select(*docs.columns, "source_rank", (F.col("g_start") + F.col("in_group")).cast("long").alias("start"))
+        ranked.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(firsts, ["source_rank", "bucket"])
+        .select(*docs.columns, "source_rank", (F.col("first") + F.col("inside")).cast("long").alias("start"))
     )
 
 
-def _permuted(index: Column, size: Column, prime: int, shift: Column) -> Column:
-    """A permutation of 0 .. size-1: times a prime, plus a shift, modulo the size."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    return ((wide(index) * F.lit(prime).cast("decimal(18,0)") + wide(shift)) % wide(size)).cast("long")
+def _numbered(targets: DataFrame, count: str, name: str) -> DataFrame:
+    """One row for each number below the column ``count``, made by many tasks."""
+    total = targets.agg(F.sum(F.ceil(F.col(count) / CHUNK))).first()[0] or 0  # one row a source
+    chunks = targets.where(F.col(count) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col(count) - 1, F.lit(CHUNK))))
+    dealt = chunks.repartition(max(1, math.ceil(total / CHUNKS_PER_TASK)), "source_rank", "chunk")
+    last = F.least(F.col("chunk") + CHUNK, F.col(count)) - 1
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("chunk"), last))).drop("chunk")
 
 
 def slots(targets: DataFrame) -> DataFrame:
-    """One row for each slot of the mix: shard, slot, source_rank, block.
+    """One row for each slot of the mix: shard, source_rank, draw, index.
 
-    A source owns as many places as it has draws. One permutation deals the places of all sources
-    over the slots, so an output shard, a run of slots, has multinomial counts of the sources under
-    the condition that the counts of the whole mix come out at the targets. The places of a source
-    are then mapped by the source's own permutation to its blocks, and begin again when all are used:
-    two blocks' counts differ by at most one.
+    Each draw of a source goes to a pseudorandom output shard, so the counts of the sources in the shards are multinomial
+    under the condition that those of the whole mix come out at the targets. ``index`` is the draw's place in
+    the source's permutation, from the start again when all blocks are used.
     """
-    before = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (
-        targets.withColumn("first_place", F.coalesce(F.sum("draws").over(before), F.lit(0)))
-        .withColumn("all_slots", F.sum("draws").over(Window.partitionBy()))
-        .where(F.col("draws") > 0)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("draws") - 1, F.lit(SLOTS_PER_CHUNK))))
-        .repartition("source_rank", "chunk")
-    )
-    draw = F.sequence("chunk", F.least(F.col("chunk") + SLOTS_PER_CHUNK, F.col("draws")) - 1)
-    place = F.col("first_place") + F.col("draw")
-    slot = _permuted(place, F.col("all_slots"), _PRIMES[0], F.col("all_slots") / 3)
-    block = _permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), _PRIMES[1], F.col("source_rank") * 7919)
-    return chunks.withColumn("draw", F.explode(draw)).select(
-        F.floor(slot / F.lit(SHARD_SLOTS)).alias("shard"), slot.alias("slot"), "source_rank", block.alias("block")
+    total = targets.agg(F.sum("draws")).first()[0] or 0
+    shards = max(1, math.ceil(total / SHARD_SLOTS))
+    shard = _bucket(drawn_key(F.lit("draw"), F.col("source_rank"), F.col("draw")), F.lit(shards))
+    draws = _numbered(targets.select("source_rank", "blocks", "draws"), "draws", "draw")
+    return draws.select(shard.alias("shard"), "source_rank", "draw", (F.col("draw") % F.col("blocks")).alias("index"))
+
+
+def shard_counts(drawn: DataFrame) -> DataFrame:
+    """The multinomial counts: slots of each source in each output shard."""
+    return drawn.groupBy("shard", "source_rank").agg(F.count("*").alias("slots"))
+
+
+def permuted_blocks(targets: DataFrame) -> DataFrame:
+    """One row for each block: source_rank, block, index. The index is a pseudorandom permutation of each source.
+
+    Blocks are in the order of a keyed number; buckets of its range are ordered by themselves and then added up.
+    """
+    own = _numbered(targets.select("source_rank", "blocks"), "blocks", "block")
+    keyed = own.withColumn("key", drawn_key(F.lit("block"), F.col("source_rank"), F.col("block")))
+    keyed = keyed.withColumn("bucket", _bucket(F.col("key"), F.ceil(F.col("blocks") / BUCKET_ROWS)))
+    place = F.row_number().over(Window.partitionBy("source_rank", "bucket").orderBy("key", "block")) - 1
+    firsts = _starts(keyed, ["source_rank"], "bucket", F.lit(1))
+    return keyed.withColumn("place", place).join(firsts, ["source_rank", "bucket"]).select(
+        "source_rank", "block", (F.col("first") + F.col("place")).alias("index")
     )
 
 
@@ -147,38 +172,47 @@ _ROW = ["source_rank", "start", "size"]
 
 
 def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """The mix itself: shard, slot, the row it reads (source_rank, start, size), from_word, words."""
+    """The mix itself: shard, draw, the row it reads (source_rank, start, size), from_word, words."""
     # A few rows of chunks become all slots; by the size of those rows Spark would broadcast them.
-    return slots(targets).hint("merge").join(pieces(rows, _ROW).hint("merge"), ["source_rank", "block"])
+    dealt = slots(targets).hint("merge").join(permuted_blocks(targets).hint("merge"), ["source_rank", "index"])
+    return dealt.join(pieces(rows, _ROW).hint("merge"), ["source_rank", "block"])
+
 
+def _sized(docs: DataFrame, columns: list[str | Column], text: str, source: str, doc_id: str) -> DataFrame:
+    """The columns with source, size and key."""
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    key = drawn_key(F.lit("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(body))
+    return docs.select(*columns, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
 
-def _sized(docs: DataFrame, scratch: Scratch, columns: list[str], text: str, source: str) -> tuple[DataFrame, DataFrame]:
-    rows = docs.select(*columns, F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = scratch.keep(rows, "sized")
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    return rows, scratch.keep(targets, "targets")
+
+def _targets(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    return scratch.keep(source_targets(sizes), "targets")
 
 
 def mixed_words(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, size, source_size, target and taken, a row for each row of ``docs``. ``taken`` counts
-    repeats; as no block is drawn more than MAX_REPEATS times, it is at most that often the size.
+    Returns doc_id, size, source_size, target, taken and first_shard, a row for each row of ``docs``. ``taken`` counts
+    repeats; as no block is drawn more than MAX_REPEATS times, it is at most that often the size. ``first_shard`` is the first
+    output shard that takes words of the row, or null.
 
     Defined cases: a null source is a source, the last; a null text has no words and is taken zero
-    times; null ids come first in their source; rows that repeat an id lie one after the other;
-    without any words all targets are zero; other columns are ignored, whatever their names; an
+    times; ids may be null or repeated, as rows are ordered by a number of id and text; equal rows lie one after the
+    other; without any words all targets are zero; other columns are ignored, whatever their names; an
     empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    rows, targets = _sized(own, scratch, ["doc_id"], "text", "source")
-    rows = scratch.keep(placed(rows, targets), "placed")
-    taken = mix(rows, targets).groupBy(*_ROW).agg(F.sum("words").alias("taken"))
+    rows = scratch.keep(_sized(own, ["doc_id"], "text", "source", "doc_id"), "sized")
+    targets = _targets(rows, scratch)
+    rows = scratch.keep(placed(rows, targets).drop("key"), "placed")
+    scratch.drop("sized")
+    taken = mix(rows, targets).groupBy(*_ROW).agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     return (
         rows.join(taken, _ROW, "left")
         .join(targets.select("source_rank", "source_size", "target"), "source_rank")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
     )
 
 
@@ -191,16 +225,14 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     the copy and ``n_chars``, if there is one, counted anew. Defined cases as in ``mixed_words``.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.select(
-        F.struct("*").alias("row"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
-    )
-    sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = scratch.keep(source_targets(sizes), "targets")
-    rows = scratch.keep(placed(own, targets), "placed")
-    drawn = slots(targets).groupBy("source_rank", "block").agg(F.count("*").alias("times"))
+    own = _sized(docs, [F.struct("*").alias("row")], text, source, doc_id)
+    targets = _targets(own, scratch)
+    rows = scratch.keep(placed(own, targets).drop("key"), "placed")
+    # all blocks of a source are drawn equally often, and the first of its permutation once more
+    per_block = targets.select("source_rank", F.col("blocks").alias("of"), "draws")
+    times = F.floor(F.col("draws") / F.col("of")) + (F.col("index") < F.col("draws") % F.col("of")).cast("long")
+    drawn = permuted_blocks(targets).join(per_block, "source_rank").select("source_rank", "block", times.alias("times"))
+    drawn = drawn.where("times > 0")
     parts = (
         pieces(rows.select(*_ROW), _ROW)
         .hint("merge")

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 #: Dimensions of the projection. Fewer verify more: on vectors without structure 6 dimensions would leave hardly any out.
 PROJECTED = 24
 #: A search ends when so large a share of the k nearest is expected among what was verified; 1 verifies everything.
-EXPECTED = 0.93
+EXPECTED = 0.9
 #: Vectors in a leaf of a tree, in one tree, and queries that are searched together.
 LEAF, SHARD, QUERIES = 32, 16_384, 4_096
-#: Leaves that are opened at once, and the least number of vectors that are verified at once.
-STEP, CHUNK = 16, 64
+#: The leaves that are opened at once, as a part of all, and the vectors that are verified at once.
+STEP, CHUNK = 1 / 8, 256
 SEED = 5
 #: Steps of the table of the chi-square distribution.
 _TABLE = 2_000
@@ -85,11 +85,11 @@ class Tree:
         order = np.argsort(bound, kind="stable")
         open_rows, open_distance = np.empty(0, np.int64), np.empty(0)
         best_ids, best = np.empty(0, np.int64), np.empty(0)
-        at = 0
+        at, step = 0, max(1, int(len(order) * STEP))
         while at < len(order) or len(open_rows):
             if at < len(order):
-                rows = np.concatenate([self.leaves[i] for i in order[at : at + STEP]])
-                at += STEP
+                rows = np.concatenate([self.leaves[i] for i in order[at : at + step]])
+                at += step
                 rows = rows[self.ids[rows] != own_id]
                 away = self.points[rows] - point
                 open_rows = np.concatenate([open_rows, rows])

@@ -47,7 +47,8 @@ FROM d
 
 MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix:row:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
   FROM documents
 ), ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -71,26 +72,31 @@ WITH sized AS (
   FROM filling
 ), drawn AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target * blocks / source_size + 0.5) END::BIGINT AS draws FROM targets
-), draw AS (
-  SELECT source_rank, blocks, unnest(range(draws)) AS i FROM drawn
-), times AS (
-  SELECT source_rank,
-         (((i % blocks)::HUGEINT * 999999999999999967 + source_rank * 7919) % blocks)::BIGINT AS block, count(*) AS n
-  FROM draw GROUP BY ALL
+), slots AS (
+  SELECT source_rank, draw % blocks AS index,
+         (((('0x' || substr(md5('mix:draw:' || source_rank || ':' || draw), 1, 15))::BIGINT >> 30)
+          * (SELECT greatest(1, (sum(draws) + 4095) // 4096) FROM drawn)::BIGINT) >> 30)::BIGINT AS shard
+  FROM (SELECT source_rank, blocks, unnest(range(draws)) AS draw FROM drawn)
+), permuted AS (
+  SELECT source_rank, block,
+         row_number() OVER (PARTITION BY source_rank ORDER BY md5('mix:block:' || source_rank || ':' || block)[1:15], block) - 1 AS index
+  FROM (SELECT source_rank, unnest(range(blocks)) AS block FROM drawn)
+), mixed AS (
+  SELECT source_rank, block, count(*) AS n, min(shard) AS shard FROM slots JOIN permuted USING (source_rank, index) GROUP BY ALL
 ), placed AS (
   SELECT doc_id, size, source_rank,
-         (sum(size) OVER (PARTITION BY source_rank ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+         (sum(size) OVER (PARTITION BY source_rank ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 ), pieces AS (
   SELECT doc_id, size, source_rank, start, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block
   FROM placed WHERE size > 0
 ), taken AS (
-  SELECT p.source_rank, p.start, p.size,
+  SELECT p.source_rank, p.start, p.size, min(shard) AS first_shard,
          sum(n * (least((p.block + 1) * 64, start + size) - greatest(p.block * 64, start)))::BIGINT AS taken
-  FROM pieces p JOIN times t ON p.source_rank = t.source_rank AND p.block = t.block
+  FROM pieces p JOIN mixed t ON p.source_rank = t.source_rank AND p.block = t.block
   GROUP BY ALL
 )
-SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
+SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken, first_shard
 FROM placed p JOIN targets t USING (source_rank)
 LEFT JOIN taken k ON p.source_rank = k.source_rank AND p.start = k.start AND p.size = k.size AND p.size > 0
 """

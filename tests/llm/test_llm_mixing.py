@@ -8,6 +8,7 @@ from gapscore.llm.mixing import mixed_documents, mixed_words, source_targets
 
 from llm_tables import ROWS
 
+SIZES = "source string, source_size long, rows long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -33,31 +34,11 @@ def fill(sizes, weights):
 
 @pytest.mark.parametrize("sizes", [[100, 1, 50, 0, 7], [5, 5, 5, 5], [1, 1, 1000], [0, 0]])
 def test_targets(spark, sizes):
-    table = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    table = spark.createDataFrame([(f"s{i}", n, 1) for i, n in enumerate(sizes)], SIZES)
     got = [r["target"] for r in source_targets(table).orderBy("source_rank").collect()]
     assert got == pytest.approx(fill(sizes, [i % 3 + 1 for i in range(len(sizes))]))
 
 
-def test_primes_are_prime():
-    def prime(n):
-        d, s = n - 1, 0
-        while d % 2 == 0:
-            d, s = d // 2, s + 1
-        for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
-            x = pow(a, d, n)
-            if x in (1, n - 1):
-                continue
-            for _ in range(s - 1):
-                x = x * x % n
-                if x == n - 1:
-                    break
-            else:
-                return False
-        return True
-
-    assert all(prime(p) for p in mixing._PRIMES)
-
-
 def test_documents_are_taken_near_their_targets(documents):
     rows = mixed_words(documents).collect()
     assert len(rows) == documents.count()
@@ -70,16 +51,61 @@ def test_documents_are_taken_near_their_targets(documents):
     assert sorted(rows) == sorted(mixed_words(documents).collect())
 
 
+def three_sources(spark):
+    rows = [("a", 100_000, 9), ("b", 7000, 2), ("c", 300_000, 40)]
+    return source_targets(spark.createDataFrame(rows, SIZES)).cache()
+
+
 def test_every_slot_has_one_block(spark):
-    targets = source_targets(
-        spark.createDataFrame([("a", 10_000), ("b", 700), ("c", 30_000)], "source string, source_size long")
-    ).cache()
-    slots = mixing.slots(targets).collect()
-    assert sorted(s["slot"] for s in slots) == list(range(len(slots)))
-    blocks = Counter((s["source_rank"], s["block"]) for s in slots)
+    targets = three_sources(spark)
+    rows = spark.createDataFrame([(1, 0, 100_000), (2, 0, 7000), (3, 0, 300_000)], "source_rank long, start long, size long")
+    mixed = mixing.mix(rows, targets).collect()
+    blocks = Counter((s["source_rank"], s["block"]) for s in mixed)
     for t in targets.collect():
         times = [blocks[(t["source_rank"], b)] for b in range(t["blocks"])]
         assert sum(times) == t["draws"] and max(times) - min(times) <= 1
+    assert len({(s["source_rank"], s["draw"]) for s in mixed}) == len(mixed)
+
+
+def test_counts_of_shards_are_multinomial(spark):
+    """Given the draws of the sources, their counts in the shards scatter as independent draws would."""
+    targets = three_sources(spark)
+    counts = mixing.shard_counts(mixing.slots(targets)).collect()
+    draws = {t["source_rank"]: t["draws"] for t in targets.collect()}
+    shards = -(-sum(draws.values()) // mixing.SHARD_SLOTS)
+    for rank, n in draws.items():
+        own = {c["shard"]: c["slots"] for c in counts if c["source_rank"] == rank}
+        assert sum(own.values()) == n and set(own) <= set(range(shards))
+        deviation = sum((own.get(k, 0) - n / shards) ** 2 / (n / shards) for k in range(shards))
+        assert deviation < shards + 6 * (2 * shards) ** 0.5
+    assert sorted(counts) == sorted(mixing.shard_counts(mixing.slots(targets)).collect())
+
+
+def test_permutations_have_no_runs(spark):
+    rows = mixing.permuted_blocks(three_sources(spark)).collect()
+    for rank in (1, 2, 3):
+        own = [r["block"] for r in sorted((r for r in rows if r["source_rank"] == rank), key=lambda r: r["index"])]
+        assert sorted(own) == list(range(len(own)))
+        steps = Counter((b - a) % len(own) for a, b in zip(own, own[1:]))
+        assert max(steps.values()) < 8
+
+
+def test_slots_and_blocks_come_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    monkeypatch.setattr(mixing, "CHUNKS_PER_TASK", 4)
+    targets = three_sources(spark)
+    for table in (mixing.slots(targets), mixing.permuted_blocks(targets).select("block")):
+        assert table.count() == sum(t["draws"] if "shard" in table.columns else t["blocks"] for t in targets.collect())
+    assert mixing.slots(targets).rdd.getNumPartitions() > 20
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    rows = [(None, f"text {i} " * (i % 7), "a") for i in range(300)] + [(5, "same words here", "a")] * 40 + [(5, f"{i} other", "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    first = sorted(mixed_words(docs).collect(), key=repr)
+    assert first == sorted(mixed_words(docs.repartition(3)).collect(), key=repr)
+    assert len(first) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in first)
+    assert all((r["first_shard"] is None) == (r["taken"] == 0) for r in first)
 
 
 def test_mixed_texts_hold_the_words_taken(documents):
