@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ _INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr link".split()
 )
 _ASIDE = frozenset("head nav footer aside form button dialog menu fieldset".split())
-_MAIN = frozenset("article main".split())
+_MAIN = {"main": 1, "article": 2}
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
@@ -40,9 +41,17 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+#: A line is prose if it has so many words and ends a sentence.
+PROSE_WORDS = 8
+
+
 class Line(NamedTuple):
     text: str
-    in_article: bool
+    mark: int  # 2 in an article, 1 in a main element, 0 elsewhere
+
+    @property
+    def is_prose(self) -> bool:
+        return self.text[-1] in ".!?\"'”’»…" and self.text.count(" ") >= PROSE_WORDS - 1
 
 
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
@@ -60,14 +69,14 @@ def lines_of(html: str) -> list[Line]:
     """The text blocks of a page outside of asides, in page order, white space reduced; empty ones are left out."""
     out: list[Line] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is aside or inside one, is article or inside one
+    stack: list[tuple[str, bool, int]] = []  # name, is aside or inside one, the mark
 
     def flush() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(Line(text, stack[-1][2] if stack else False))
+                out.append(Line(text, stack[-1][2] if stack else 0))
 
     at = 0
     for tag in _TOKEN.finditer(html):
@@ -80,8 +89,8 @@ def lines_of(html: str) -> list[Line]:
         if name in _INLINE:
             if name == "br":
                 held.append(" ")
-            elif name not in _VOID and not tag["end"] and _is_aside(name, tag["attributes"], bool(stack) and stack[-1][2]):
-                stack.append((name, True, stack[-1][2] if stack else False))
+            elif name not in _VOID and not tag["end"] and _is_aside(name, tag["attributes"], bool(stack and stack[-1][2])):
+                stack.append((name, True, stack[-1][2] if stack else 0))
             elif tag["end"] and stack and stack[-1][0] == name:
                 stack.pop()
             continue
@@ -96,11 +105,11 @@ def lines_of(html: str) -> list[Line]:
             if name in ("body", "main", "article") and not _is_aside(name, tag["attributes"], False):
                 while stack and stack[-1][1] and not any(s[2] for s in stack):
                     stack.pop()  # an aside that was never closed ends where the article begins
-            aside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            aside, mark = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()  # these end where the next begins
-                aside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            stack.append((name, aside or _is_aside(name, tag["attributes"], article), article or name in _MAIN))
+                aside, mark = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            stack.append((name, aside or _is_aside(name, tag["attributes"], bool(mark)), max(mark, _MAIN.get(name, 0))))
     if not (stack and stack[-1][1]):
         held.append(html[at:])
     flush()
@@ -138,31 +147,45 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return found[::-1]
 
 
+def _is_copy(page: list[Line], shared: list[int]) -> bool:
+    """Whether a neighbour that shares these lines has the same article, and so tells nothing about the template.
+
+    It shares over half of the marked article, or of the prose where nothing is marked. Where there is no prose
+    either, a copy and a template cannot be told apart, and only a page without a line of its own is a copy.
+    """
+    kinds = [line.mark == 2 for line in page]
+    if not any(kinds):
+        kinds = [line.is_prose for line in page]
+    if not any(kinds):
+        return len(shared) == len(page)
+    total = sum(len(line.text) for line, kind in zip(page, kinds) if kind)
+    return 2 * sum(len(page[i].text) for i in shared if kinds[i]) > total
+
+
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
     """The page without the lines that it shares with its neighbours, by longest common subsequences of all lines.
 
-    A neighbour that shares more than half of the characters may be a copy, or both may have little text in a large
-    template. So its lines go only if another neighbour shares them too, and stay if no line would be left. Inside a
-    marked article a line goes only if every neighbour, two at least, shares it; others are quotations. Of what is
-    left the article is the text, unless over twice as much is left outside of it: then the mark is on a teaser.
+    Neighbours that are copies of the page's article are set aside. A line goes if two of the others share it, or the
+    only other one does. A line of a marked article goes only if they have it outside of theirs, so headings that all
+    articles of a site have stay. Of what is left the article is the text, or else the main element, unless over twice as
+    much is left outside of it: then the mark is on a teaser.
     """
     own = [line.text for line in page]
-    size, shares, template = sum(map(len, own)), [0] * len(own), set()
+    shares, real = [0] * len(own), 0
     for other in neighbours:
         shared = common_lines(own, [line.text for line in other])
+        if _is_copy(page, shared):
+            continue
+        real += 1
+        outside = {line.text for line in other if line.mark < 2}
         for i in shared:
-            shares[i] += 1
-        if 2 * sum(len(own[i]) for i in shared) <= size:
-            template.update(shared)
-    enough = max(2, len(neighbours))
-    gone = {i for i, n in enumerate(shares) if (n >= enough if page[i].in_article else n >= 2 or i in template)}
-    if len(gone) == len(own):
-        gone = {i for i in template if not page[i].in_article}
-    left = [line for i, line in enumerate(page) if i not in gone]
-    inside = [line.text for line in left if line.in_article]
-    outside = sum(len(line.text) for line in left if not line.in_article)
-    if inside and outside <= 2 * sum(map(len, inside)):
-        return "\n".join(inside)
+            shares[i] += page[i].mark < 2 or own[i] in outside
+    left = [line for line, n in zip(page, shares) if n < max(1, min(real, 2))]
+    for mark in (2, 1):
+        inside = [line.text for line in left if line.mark >= mark]
+        outside = sum(len(line.text) for line in left if line.mark < mark)
+        if inside and outside <= 2 * sum(map(len, inside)):
+            return "\n".join(inside)
     return "\n".join(line.text for line in left)
 
 
@@ -247,8 +270,8 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
 
 #: The order of pages; the last tells pages of one address and id apart.
 _PLACE = ["host", "path", "page_id", "mark"]
-#: Ranges for each shuffle partition, and places that are looked at for each range.
-_RANGES, _SAMPLED = 4, 16
+#: Ranges for each shuffle partition at least, bytes of a range at most, and places that are looked at for each range.
+_RANGES, _RANGE_BYTES, _SAMPLED = 4, 64 << 20, 16
 
 
 def _in_ranges(pages: DataFrame) -> DataFrame:
@@ -258,19 +281,18 @@ def _in_ranges(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     placed = pages.withColumn("mark", F.xxhash64("html"))
-    ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = max(1, pages.count() // (ranges * _SAMPLED))
-    some = pages.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(every)) == 0).select("host", "path", "page_id")
-    sample = [tuple(r) for r in some.sort("host", "path", "page_id").collect()]
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    ranges = max(_RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // _RANGE_BYTES + 1)
+    # Distinct places, so that repeated rows are looked at once; a hash takes about as many as wanted, never twice so many.
+    every = max(1, size["n"] // (ranges * _SAMPLED))
+    some = pages.where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(every)) == 0).select("host", "path", "page_id").distinct()
+    sample = sorted(map(tuple, some.limit(4 * ranges * _SAMPLED).collect()), key=lambda at: (*at[:2], at[2] is not None, at[2] if at[2] is not None else 0))
     bounds = list(dict.fromkeys(sample[len(sample) * k // ranges] for k in range(1, ranges))) if sample else []
     place = "host string, path string, page_id " + placed.schema["page_id"].dataType.simpleString()
-    table = spark.createDataFrame([(bounds,)], f"bounds array<struct<{', '.join(c.replace(' ', ':') for c in place.split(', '))}>>")
+    fields = place.replace(", ", ",").replace(" ", ":")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("host", "path", "page_id"), at)) for at in bounds])), f"array<struct<{fields}>>")
     key = F.struct("host", "path", "page_id")
-    dealt = (
-        placed.crossJoin(F.broadcast(table))
-        .withColumn("part", F.size(F.filter("bounds", lambda b: b <= key)))
-        .drop("bounds")
-    )
+    dealt = placed.withColumn("part", F.size(F.filter(listed, lambda b: b <= key)))
     ends = dealt.select("part", F.struct(*_PLACE).alias("at"))
     outer = ends.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     inner = (

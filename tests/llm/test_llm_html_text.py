@@ -122,3 +122,39 @@ def test_ranges_do_not_matter(spark, ranges, monkeypatch):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = sorted(r["text"] for r in extracted(pages).collect())
     assert got == sorted([f"text {i}" for i in range(60)] + ["text x", "text 3"])
+
+
+STORY = "<p>A story that is told in full and goes on for quite a while.</p><p>It has a second part that is as long as that.</p>"
+
+
+def test_an_article_on_several_pages_stays():
+    """Copies of an article with another line each are set aside."""
+    for page in (f"<article>{STORY}</article><div>Ref {{}}</div>", f"{STORY}<div>Ref {{}}</div>"):
+        pages = [page.format(i) for i in range(5)]
+        assert text_of(*pages).startswith("A story that is told") and "second part" in text_of(*pages)
+
+
+def test_headings_of_all_articles_stay():
+    page = "<div>Kitchen of the world</div><article><h2>Ingredients</h2><p>Take {0} eggs and some flour of the kind {0}.</p><h2>Method</h2><p>Stir it all {0} times.</p></article>"
+    pages = [page.format(i) for i in range(5)]
+    want = "Ingredients\nTake 0 eggs and some flour of the kind 0.\nMethod\nStir it all 0 times."
+    assert text_of(*pages) == want
+
+
+def test_two_pages_tell_a_menu():
+    one = f"{MENU}<p>The first page tells of a walk along the river in spring.</p>"
+    two = f"{MENU}<p>The other one explains how bread was baked in old times.</p>"
+    assert text_of(one, two) == "The first page tells of a walk along the river in spring."
+
+
+def test_a_line_of_an_article_that_stands_outside_elsewhere_goes():
+    page = "<article><p>Join our club today.</p><p>Tale {0} that is long enough to be most of the page, number {0}.</p></article>"
+    other = "<div>Join our club today.</div><article><p>Another tale altogether that is as long as the first one was.</p></article>"
+    assert text_of(page.format(1), other, other).startswith("Tale 1")
+    assert text_of(page.format(1), page.format(2), page.format(3)).startswith("Join")
+
+
+def test_a_page_repeated_many_times(spark):
+    rows = [(1, "http://a.example.org/p", f"{MENU}{STORY}")] * 300 + [(2, "http://a.example.org/q", f"{MENU}<p>Something else that fills a page and ends here.</p>")]
+    got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 301 and {r["text"][:12] for r in got} == {"A story that", "Something el"}
