@@ -67,7 +67,7 @@ def term_counts(df: DataFrame, column: str, stop_words: list[str], keys: list[st
     return count_within(terms(df.select(*keys, column), column, stop_words), "terms", keys)
 
 
-def _by_term(counts: DataFrame) -> DataFrame:
+def by_term(counts: DataFrame) -> DataFrame:
     """Frequency in the corpus and number of texts per term, from counts within texts."""
     return counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count("*").alias("df"))
 
@@ -90,8 +90,8 @@ def fit_vocabulary(
     texts = texts.filter(F.col(column).isNotNull())
     words = texts.select(kept_tokens(F.col(column), stop_words).alias("words"))
     n = texts.count()
-    single = materialise(_by_term(count_within(words, "words", [])), "word-counts")
-    eligible = (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
+    single = materialise(by_term(count_within(words, "words", [])), "word-counts")
+    eligible = _eligible(n, min_df, max_df)
     top = single.filter(eligible).orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     last = top.agg(F.count("*").alias("words"), F.min("corpus_tf").alias("floor")).first()
     floor = last.floor if last.words == max_features else 1
@@ -102,12 +102,16 @@ def fit_vocabulary(
         for place in (1, -1):
             word = frequent.withColumnRenamed("term", "_word")
             pairs = pairs.join(word, F.substring_index("term", " ", place) == F.col("_word"), "left_semi")
-    chosen = (
-        single.unionByName(_by_term(pairs))
-        .filter(eligible)
-        .orderBy(F.desc("corpus_tf"), "term")
-        .limit(max_features)
-    )
+    return ranked_vocabulary(single.unionByName(by_term(pairs)), n, max_features, min_df, max_df)
+
+
+def _eligible(n: int, min_df: int, max_df: float) -> Column:
+    return (F.col("df") >= min_df) & (F.col("df") <= max_df * n)
+
+
+def ranked_vocabulary(counts: DataFrame, n: int, max_features: int, min_df: int, max_df: float) -> DataFrame:
+    """The most frequent terms of ``(term, corpus_tf, df)`` counts over ``n`` texts, numbered by alphabet, with their idf."""
+    chosen = counts.filter(_eligible(n, min_df, max_df)).orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     # At most max_features rows are numbered here.
     numbered = chosen.withColumn("term_id", F.row_number().over(W.orderBy("term")) - 1)
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1

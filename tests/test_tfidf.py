@@ -101,3 +101,32 @@ def test_weights_need_no_shuffle(spark):
     df = spark.range(0, 100, 1, 4).selectExpr("id", "concat('cat ', id) AS t")
     plan = tfidf(df, "t", Vocabulary(("cat",), (1.0,)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_vocabulary_in_batches(spark, sf, tmp_path):
+    """Batches merged in any way give the vocabulary of all texts; a repeated or failed batch changes nothing."""
+    from gapscore import files
+    from gapscore.operators import tfidf
+    from gapscore.sources.vocabulary_state import VocabularyState
+
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = texts.unionByName(spark.createDataFrame([(-1, None), (-2, "")], texts.schema))
+    stops = ["the", "and"]
+    want = tfidf.fit_vocabulary(texts, "text", stops, 200, 2, 0.7).collect()
+    folder = str(tmp_path / "state")
+    state = VocabularyState(spark, folder, stops)
+    assert state.counts()[1] == 0 and state.vocabulary().collect() == []
+    for k in range(3):
+        assert state.add(texts.filter(f"pmod(doc_id, 3) = {k}"), "text", f"b{k}")
+        assert not state.add(texts, "text", f"b{k}")
+        if k != 1:
+            state.compact()
+    assert sorted(state.vocabulary(200, 2, 0.7).collect()) == sorted(want)
+    state._write(tfidf.by_term(tfidf.term_counts(texts, "text", stops, [])), "lost")  # a batch that failed before its marker
+    assert sorted(VocabularyState(spark, folder, stops).vocabulary(200, 2, 0.7).collect()) == sorted(want)
+    assert not state.add(texts, "text", "b0")
+    assert sorted(n for n, _ in files.children(spark, f"{folder}/batches") if not n.startswith(".")) == ["b0.json", "b1.json", "b2.json"]
+    with pytest.raises(ValueError, match="other stop words"):
+        VocabularyState(spark, folder, [])
+    with pytest.raises(ValueError, match="name of a batch"):
+        state.add(texts, "text", "a/b")

@@ -653,3 +653,4 @@ ORACLES = {
       GROUP BY skill""",
 }
 ORACLES["stored_models"] = ORACLES["linear_score"]
+ORACLES["vocabulary_incremental"] = ORACLES["vocabulary_topk"]

@@ -18,6 +18,7 @@ from gapscore.plans.scoring import rejects, respond
 from gapscore.sources import dictionaries, models, requests, training
 from gapscore.sources.dictionaries import RuleTables
 from gapscore.sources.history import History, keep_history
+from gapscore.sources.vocabulary_state import VocabularyState
 from gapscore.config import Config
 from gapscore.storage import local_table, materialise, new_path
 from gapscore.streaming import history_stream, latest_counts, requests_per_minute, respond_stream, write_counts
@@ -323,6 +324,17 @@ def vocabulary_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fx.vocabulary_table(spark, sf).select("term", "term_id", "corpus_tf", "df")
 
 
+def vocabulary_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The same vocabulary from three batches of documents, counted one after the other, one of them twice."""
+    state = VocabularyState(spark, new_path(spark, "vocabulary-state"), fx.STOP_WORDS)
+    docs = fx.documents(spark, sf, "doc_id", "text")
+    for batch in (0, 1, 0, 2):
+        state.add(docs.filter(F.col("doc_id") % 3 == batch), "text", f"batch-{batch}")
+        if batch == 1:
+            state.compact()
+    return state.vocabulary(max_df=fx.MAX_DF).select("term", "term_id", "corpus_tf", "df")
+
+
 def idf(spark: SparkSession, sf: str) -> DataFrame:
     return fx.vocabulary_table(spark, sf).select("term", _rounded("idf").alias("idf"))
 
@@ -755,6 +767,7 @@ QUERIES = {
     "tokens": tokens,
     "terms_bigrams": terms_bigrams,
     "vocabulary_topk": vocabulary_topk,
+    "vocabulary_incremental": vocabulary_incremental,
     "idf": idf,
     "tfidf_l2": tfidf_l2,
     "training_counts": training_counts,
