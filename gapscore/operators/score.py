@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gapscore.config import Config
@@ -105,3 +105,32 @@ def usage(scored: DataFrame) -> DataFrame:
         F.avg(F.size("matched_skills")).alias("avg_matched"),
         F.avg(F.size("missing_skills")).alias("avg_missing"),
     )
+
+
+def observe_usage(scored: DataFrame, config: Config) -> tuple[DataFrame, Observation]:
+    """The scores as they are, and an observation that fills while they are written: the figures of ``usage``.
+
+    A goal that is used is supported or the default one, so the figures are a fixed number of sums.
+    """
+    sums = []
+    for k, goal in enumerate(_goals(config)):
+        of_goal = F.col("goal_used") == goal
+        sums.append(F.count_if(of_goal).alias(f"{k}_scored"))
+        for name, value in (("score", F.col("score")), ("matched", F.size("matched_skills")), ("missing", F.size("missing_skills"))):
+            sums.append(F.sum(F.when(of_goal, value)).cast("double").alias(f"{k}_{name}"))
+    observation = Observation()
+    return scored.observe(observation, *sums), observation
+
+
+def observed_usage(observation: Observation, config: Config) -> list[tuple[str, int, float, float, float]]:
+    """``usage`` rows of goals that were scored, once the observed table has been written."""
+    seen, rows = observation.get, []
+    for k, goal in enumerate(_goals(config)):
+        n = seen[f"{k}_scored"]
+        if n:
+            rows.append((goal, n, *(seen[f"{k}_{name}"] / n for name in ("score", "matched", "missing"))))
+    return rows
+
+
+def _goals(config: Config) -> list[str]:
+    return list(dict.fromkeys((*config.supported_goals, config.default_goal)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,12 +24,33 @@ def respond_stream(
 ) -> StreamingQuery:
     """Score a stream of requests into parquet files. Stateless, so restarts resume exactly.
 
-    Dictionaries and models are those of the start; restart the stream to take new ones. Requests that cannot
+    Dictionaries and models are those of the start; ``respond_stream_with`` takes new ones as it runs. Requests that cannot
     be scored go to ``reject_stream``.
     """
     return _to_files(respond(requests, dims, models), output, checkpoint, available_now)
 
 
+def respond_stream_with(
+    requests: DataFrame,
+    current: Callable[[SparkSession], tuple[Dimensions, GoalModels | None]],
+    output: str,
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Score a stream with the dictionaries and models of the moment: ``current`` is asked at the start of each micro-batch.
+
+    A micro-batch is scored with one answer throughout, and written under its number; one that is run again replaces
+    its own rows, with what is current then.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        dims, models = current(batch.sparkSession)
+        respond(batch, dims, models).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def reject_stream(requests: DataFrame, output: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """The rejected requests of the same stream with their details, into files of their own."""
     return _to_files(rejects(requests), output, checkpoint, available_now)

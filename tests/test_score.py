@@ -9,7 +9,7 @@ from gapscore.operators import gap, goals
 from gapscore.operators.linear import GoalModels
 from gapscore.operators.score import load_dimensions, passed, score, usage
 from gapscore.operators.tfidf import Vocabulary
-from gapscore.plans.scoring import answer, respond, write_responses
+from gapscore.plans.scoring import answer, respond, write_responses, write_responses_with_usage
 
 RAW = {
     "version": "1.0.0",
@@ -217,3 +217,19 @@ def test_scoring_plan_has_no_shuffle(spark):
         assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert "BroadcastHashJoin" in text
+
+
+def test_usage_is_collected_while_scores_are_written(spark, sf, tmp_path):
+    from dataclasses import replace
+
+    from workload import fixtures as fx
+
+    dims, path = fx.dimensions(spark), str(tmp_path / "out")
+    scored = score(fx.requests(spark, sf), dims)
+    figures = write_responses_with_usage(scored, path, replace(dims.config, collect_usage_metrics=True))
+    want = {r.goal_used: tuple(r)[1:] for r in usage(spark.read.parquet(path)).collect()}
+    got = {r.goal_used: tuple(r)[1:] for r in figures.collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert write_responses_with_usage(scored, path, dims.config).collect() == []
+    nothing = write_responses_with_usage(scored.limit(0), path, replace(dims.config, collect_usage_metrics=True))
+    assert nothing.collect() == []

@@ -1,10 +1,12 @@
 """Streams give what the batch gives."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gapscore import schemas
 from gapscore.plans.scoring import respond
-from gapscore.streaming import latest_counts, requests_per_minute, respond_stream, write_counts
+from gapscore.streaming import latest_counts, requests_per_minute, respond_stream, respond_stream_with, write_counts
 from workload import fixtures as fx
 
 
@@ -34,3 +36,21 @@ def test_counts_over_several_batches(spark, tmp_path):
     latest = latest_counts(spark.read.parquet(output), "user")
     counts = {r.minute.strftime("%H:%M"): r.requests for r in latest.collect()}
     assert counts == {"00:00": 3, "00:05": 2, "00:30": 1}
+
+
+def test_each_batch_has_one_dictionary(spark, sf, tmp_path):
+    """What is current is asked for once a batch, while the stream runs."""
+    source, output, log = (str(tmp_path / name) for name in ("in", "out", "log"))
+    dims, asked = fx.dimensions(spark), []
+
+    def current(session):
+        asked.append(len(asked))
+        strict = replace(dims.config, supported_goals=("fr",), default_goal="fr")
+        return (dims if len(asked) == 1 else replace(dims, config=strict)), None
+
+    fx.requests(spark, sf).limit(60).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(schemas.REQUEST).option("maxFilesPerTrigger", 1).parquet(source)
+    respond_stream_with(stream, current, output, log, available_now=True).awaitTermination()
+    rows = spark.read.parquet(output).collect()
+    assert len(asked) == 3 and len(rows) == 60
+    assert {r.goal_used for r in rows if r.batch > 0} == {"fr"} and len({r.goal_used for r in rows if r.batch == 0}) > 1

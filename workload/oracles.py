@@ -605,6 +605,12 @@ ORACLES = {
     "stream_score": _scores(
         "SELECT student_id, goal_used, round(CASE WHEN matched = 0 THEN 0.0 ELSE score END, 6) AS score FROM scores"
     ),
+    "stream_new_dictionary": " UNION ALL ".join(
+        "SELECT student_id, goal_used, round(CASE WHEN matched = 0 THEN 0.0 ELSE score END, 6) AS score FROM ("
+        + _scores("SELECT * FROM scores", f"SELECT * FROM ({requests}) WHERE substr(student_id, 5)::BIGINT % 2 = {arrival}")
+        + ")"
+        for arrival, requests in ((0, REQUESTS), (1, f"SELECT * REPLACE ('fr' AS goal_used, true AS goal_was_defaulted) FROM ({REQUESTS})"))
+    ),
     "stream_rate_limit": RATE_LIMIT,
     "health_files": f"""
       WITH goals AS (SELECT count(DISTINCT source) AS n FROM documents)
@@ -654,3 +660,4 @@ ORACLES = {
 }
 ORACLES["stored_models"] = ORACLES["linear_score"]
 ORACLES["vocabulary_incremental"] = ORACLES["vocabulary_topk"]
+ORACLES["ext_usage_observed"] = ORACLES["ext_usage_metrics"]

@@ -14,14 +14,14 @@ from gapscore.operators import audit, evaluate, extensions, gap, goals, linear,
 from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.plans.audit import audit as audit_plan
 from gapscore.plans.audit import audit_files
-from gapscore.plans.scoring import rejects, respond
+from gapscore.plans.scoring import rejects, respond, write_responses_with_usage
 from gapscore.sources import dictionaries, models, requests, training
 from gapscore.sources.dictionaries import RuleTables
 from gapscore.sources.history import History, keep_history
 from gapscore.sources.vocabulary_state import VocabularyState
 from gapscore.config import Config
 from gapscore.storage import local_table, materialise, new_path
-from gapscore.streaming import history_stream, latest_counts, requests_per_minute, respond_stream, write_counts
+from gapscore.streaming import history_stream, latest_counts, requests_per_minute, respond_stream, respond_stream_with, write_counts
 from workload import fixtures as fx
 
 
@@ -638,6 +638,22 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("student_id", "goal_used", _rounded("score").alias("score"))
 
 
+def stream_new_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrivals in one stream; between them the configuration leaves French goals only."""
+    source, output, log = (new_path(spark, name) for name in ("arrivals", "scored", "scored-log"))
+    before = fx.dimensions(spark)
+    after = score.load_dimensions(
+        replace(before.config, supported_goals=("fr",), default_goal="fr"), fx.goal_skills(spark), fx.synonyms(spark), fx.recommendations(spark)
+    )
+    requests_ = fx.requests(spark, sf).withColumn("n", F.substring("student_id", 5, 20).cast("long"))
+    for arrival, dims in ((0, before), (1, after)):
+        requests_.filter(F.col("n") % 2 == arrival).drop("n").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("student_id STRING, goal STRING, resume_text STRING").parquet(source)
+        respond_stream_with(arriving, lambda _, dims=dims: (dims, None), output, log, available_now=True).awaitTermination()
+    scored = spark.read.parquet(output)
+    return scored.select("student_id", "goal_used", _rounded("score").alias("score"))
+
+
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -732,6 +748,15 @@ def ext_usage_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ext_usage_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same figures, collected in the pass that writes the scores."""
+    config = replace(fx.config(), collect_usage_metrics=True)
+    metrics = write_responses_with_usage(_scored(spark, sf), new_path(spark, "observed"), config)
+    return metrics.select(
+        "goal_used", "scored", *[_rounded(c).alias(c) for c in ("avg_score", "avg_matched", "avg_missing")]
+    )
+
+
 def ext_case_sensitive(spark: SparkSession, sf: str) -> DataFrame:
     texts = fx.requests(spark, sf).select("resume_text")
     found = extract_skills(texts, "resume_text", fx.dimensions(spark).rules, case_sensitive=True)
@@ -794,6 +819,7 @@ QUERIES = {
     "health_rollup": health_rollup,
     "health_files": health_files,
     "stream_score": stream_score,
+    "stream_new_dictionary": stream_new_dictionary,
     "stream_rate_limit": stream_rate_limit,
     "request_history": request_history,
     "stream_request_history": stream_request_history,
@@ -802,5 +828,6 @@ QUERIES = {
     "ext_low_score_alert": ext_low_score_alert,
     "ext_partial_match": ext_partial_match,
     "ext_usage_metrics": ext_usage_metrics,
+    "ext_usage_observed": ext_usage_observed,
     "ext_case_sensitive": ext_case_sensitive,
 }
