@@ -13,7 +13,8 @@ from gapscore.functions.text import clean, is_blank
 from gapscore.operators.extract import extract_skills
 from gapscore.operators.gap import coverage, learning_path, skill_gap
 from gapscore.operators.goals import attach_requirements, requirements, resolve_goal, skill_universe
-from gapscore.operators.linear import GoalModels, model_probability
+from gapscore.operators.linear import GoalModels
+from gapscore.operators.linear_joined import JoinedModels, model_probability
 from gapscore.schemas import PATH_ITEM
 from gapscore.sources.dictionaries import RuleTables, SkillRules, load_rules
 
@@ -64,7 +65,7 @@ def prepare(requests: DataFrame, dims: Dimensions) -> DataFrame:
 def score(
     requests: DataFrame,
     dims: Dimensions,
-    models: GoalModels | None = None,
+    models: GoalModels | JoinedModels | None = None,
     zero_without_match: bool = False,
     keep: Sequence[str] = (),
 ) -> DataFrame:

@@ -144,7 +144,9 @@ def tfidf(df: DataFrame, column: str, vocabulary: Vocabulary) -> DataFrame:
     """
     counter = CountVectorizerModel.from_vocabulary(list(vocabulary.terms), inputCol="_terms", outputCol="_tf")
     idf = F.from_json(F.lit(json.dumps(vocabulary.idf)), "array<double>")
-    counted = counter.transform(terms(df, column, list(vocabulary.stop_words), "_terms"))
+    listed = terms(df, column, list(vocabulary.stop_words), "_terms")
+    nothing = F.expr("array()").cast("array<string>")  # a null text has no terms
+    counted = counter.transform(listed.withColumn("_terms", F.coalesce("_terms", nothing)))
     raw = counted.withColumn("_tf", F.unwrap_udt("_tf")).withColumns(
         {
             "indices": F.col("_tf.indices"),

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscore import files
-from gapscore.operators.linear import GoalModels
-from gapscore.operators.tfidf import load_vocabulary
+from gapscore.operators.linear import GoalModels, unpack_models
+from gapscore.operators.linear_joined import JoinedModels
+from gapscore.operators.tfidf import MAX_VOCABULARY, load_vocabulary
 from gapscore.storage import local_table
 
 TABLES = ("vocabulary", "stop_words", "models", "registry")
@@ -88,10 +89,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load_models(spark: SparkSession, folder: str, version: str | None = None) -> GoalModels | None:
+def load_models(spark: SparkSession, folder: str, version: str | None = None) -> GoalModels | JoinedModels | None:
     """The stored models; None, and so scoring by coverage, without a vocabulary or models.
 
-    All come from one version, and are read from it for as long as they are used. A goal without a row
+    A vocabulary too large for the workers stays a table. All come from one version, and are read from it for as long as they are used. A goal without a row
     in the model table is scored by coverage as well.
     """
     version = version or current_version(spark, folder)
@@ -101,4 +102,6 @@ def load_models(spark: SparkSession, folder: str, version: str | None = None) ->
     if vocabulary is None or models is None:
         return None
     stop_words = [row.word for row in words.collect()] if words is not None else []
+    if vocabulary.count() > MAX_VOCABULARY:
+        return JoinedModels(vocabulary, *unpack_models(models), tuple(stop_words))
     return GoalModels(load_vocabulary(vocabulary, stop_words), models)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -130,3 +131,32 @@ def test_vocabulary_in_batches(spark, sf, tmp_path):
         VocabularyState(spark, folder, [])
     with pytest.raises(ValueError, match="name of a batch"):
         state.add(texts, "text", "a/b")
+
+
+def test_large_vocabularies_are_joined(spark, sf, tmp_path, monkeypatch):
+    """Sparse joins give what the row gives, with hot terms and without, and load_models chooses them by size."""
+    from gapscore.operators import linear, linear_joined
+    from gapscore.sources import models
+    from workload import fixtures as fx
+
+    folder = fx.fitted(spark, sf)
+    texts = fx.documents(spark, sf, "doc_id", "lang", "text").unionByName(
+        spark.createDataFrame([(-1, "quality", ""), (-2, "toxic", None), (-3, "quality", "zz qq"), (-3, "quality", "zz qq")], "doc_id long, lang string, text string")
+    )
+    goal = F.when(F.col("lang") == "en", "Quality").when(F.col("lang") == "fr", "toxic").otherwise(F.col("lang"))
+    texts = texts.withColumn("goal", goal)
+
+    def scores(loaded):
+        done = linear_joined.model_probability(texts, loaded, "text", "goal")
+        assert done.columns == [*texts.columns, "probability"]
+        return sorted(((r.doc_id, r.probability) for r in done.collect()), key=repr)
+
+    want = scores(models.load_models(spark, folder))
+    monkeypatch.setattr(models, "MAX_VOCABULARY", 10)
+    large = models.load_models(spark, folder)
+    assert isinstance(large, linear_joined.JoinedModels)
+    for hot in (0, 50, 10_000):
+        monkeypatch.setattr(linear_joined, "HOT_TERMS", hot)
+        got = scores(large)
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)) for (_, a), (_, b) in zip(got, want))

@@ -192,11 +192,15 @@ def save_fit(spark: SparkSession, sf_dir: str, folder: str) -> str:
     return save_models(folder, vocab, STOP_WORDS, packed, registry)
 
 
-def models(spark: SparkSession, sf_dir: str) -> GoalModels:
-    """The models of the tables: fitted and stored by the first query of an application that asks, read by all others."""
+def fitted(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the models of the tables: fitted and stored by the first query of an application that asks."""
     place = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
     folder = f"{work_dir(spark)}/fitted-{spark.sparkContext.applicationId}-{place}"
     if current_version(spark, folder) is None:
         save_fit(spark, sf_dir, folder)
-    stored = load_models(spark, folder)
+    return folder
+
+
+def models(spark: SparkSession, sf_dir: str) -> GoalModels:
+    stored = load_models(spark, fitted(spark, sf_dir))
     return GoalModels(stored.vocabulary, small_side(stored.table, MAX_BROADCAST_MODELS))

@@ -661,3 +661,4 @@ ORACLES = {
 ORACLES["stored_models"] = ORACLES["linear_score"]
 ORACLES["vocabulary_incremental"] = ORACLES["vocabulary_topk"]
 ORACLES["ext_usage_observed"] = ORACLES["ext_usage_metrics"]
+ORACLES["linear_score_joined"] = ORACLES["linear_score"]

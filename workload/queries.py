@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapscore import files
 from gapscore.functions import text as fn
-from gapscore.operators import audit, evaluate, extensions, gap, goals, linear, score, split, tfidf, train
+from gapscore.operators import audit, evaluate, extensions, gap, goals, linear, linear_joined, score, split, tfidf, train
 from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.plans.audit import audit as audit_plan
 from gapscore.plans.audit import audit_files
@@ -524,13 +524,21 @@ def model_versions(spark: SparkSession, sf: str) -> DataFrame:
     return of("first").unionByName(of("current")).unionByName(of("back"))
 
 
-def _linear_scores(spark: SparkSession, sf: str, trained: linear.GoalModels) -> DataFrame:
+def _linear_scores(spark: SparkSession, sf: str, trained: linear.GoalModels | linear_joined.JoinedModels) -> DataFrame:
     docs = fx.documents(spark, sf, "doc_id", "lang", "text")
     goal = F.when(F.col("lang") == "en", "quality").when(F.col("lang") == "fr", "toxic").otherwise(F.col("lang"))
-    scored = linear.model_probability(docs.withColumn("goal", goal), trained, "text", "goal")
+    scored = linear_joined.model_probability(docs.withColumn("goal", goal), trained, "text", "goal")
     return scored.select("doc_id", "goal", _rounded("probability").alias("probability"))
 
 
+def linear_score_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores from tables of terms and coefficients, as of a vocabulary too large for the workers."""
+    folder = fx.fitted(spark, sf)
+    vocab, table = (models.read_table(spark, folder, name) for name in ("vocabulary", "models"))
+    joined = linear_joined.JoinedModels(vocab, *linear.unpack_models(table), tuple(fx.STOP_WORDS))
+    return _linear_scores(spark, sf, joined)
+
+
 def score_all_goals(spark: SparkSession, sf: str) -> DataFrame:
     samples = fx.table(spark, sf, "benchmark", "item_id", "text")
     scored = linear.score_all_goals(samples, "text", fx.models(spark, sf), ["item_id"])
@@ -807,6 +815,7 @@ QUERIES = {
     "train_lr_metrics": train_lr_metrics,
     "train_summary": train_summary,
     "linear_score": linear_score,
+    "linear_score_joined": linear_score_joined,
     "stored_models": stored_models,
     "model_versions": model_versions,
     "score_all_goals": score_all_goals,
