@@ -284,6 +284,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, hot: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(id, crc, first, last): runs of starts of windows that also start earlier. ``docs`` as from ``_identified``.
 
+    0. Of texts that are equal as a whole all but the first are repeats from end to end; only the first goes on.
     1. Anchors that occur once in the table hold no repeat and are left out. This is exact: equal windows have
        equal anchors.
     2. Of the occurrences of an anchor with the same bytes around, all but the first are repeats.
@@ -292,6 +293,21 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFram
     4. An anchor with more contexts than ``hot`` has several shards, whose sorted strings are merged by
        binary search, in parts by content.
     """
+    # Equal by SHA-256; rows with the same id and CRC-32 are one document.
+    equal = docs.groupBy(F.unhex(F.sha2("body", 256)).alias("sha")).agg(
+        F.min(F.struct("id", "crc")).alias("at"), F.max(F.struct("id", "crc")).alias("last")
+    )
+    equal = scratch.keep(equal.where("at < last").select("sha", "at"), "equal")
+    whole = (
+        docs.select("id", "crc", F.unhex(F.sha2("body", 256)).alias("sha"), F.octet_length("body").cast("long").alias("size"))
+        .join(equal, "sha")
+        .where(F.struct("id", "crc") != F.col("at"))
+        .select("id", "crc", F.lit(0).cast("long").alias("first"), (F.col("size") - WINDOW).alias("last"))
+    )
+    whole = scratch.keep(whole.distinct(), "whole")
+    scratch.drop("equal")
+    docs = docs.join(whole.select("id", "crc"), ["id", "crc"], "left_anti").select("id", "crc", "body")
+    whole = whole.where("last >= 0")
     counted = anchors(docs, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     twice = scratch.keep(counted.select("key"), "twice")
     found = scratch.keep(anchors(docs).join(twice, "key"), "found")
@@ -320,7 +336,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFram
         .applyInPandas(_merge, "id long, crc long, first long, last long")
     )
     own = judged.where(F.col("windows").isNull()).select("id", "crc", "first", "last")
-    return copies.unionByName(own).unionByName(merged)
+    return whole.unionByName(copies).unionByName(own).unionByName(merged)
 
 
 def _cut(body: bytes, runs: list[dict] | None) -> tuple[int, int, bytes]:

@@ -85,3 +85,16 @@ def test_suffix_array_and_common_prefixes(seed):
     common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
     want = [0] + [min(30, common(body[i:], body[j:])) for i, j in zip(order[1:], order)]
     assert common_prefixes(text, order, starts, 30).tolist() == want
+
+
+def test_whole_copies_go_from_end_to_end(spark):
+    """Copies of a text, short and long, of one id and of several, beside texts that share a part of it."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    text, short = noise(700), noise(99)
+    rows = [(9, text), (3, text), (5, text), (1, noise(50) + text[100:400]), (7, text[:300] + noise(20)), (4, short), (6, short), (2, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(without_repeats(docs)) == expected(rows)
+    again = docs.unionByName(spark.createDataFrame([(3, text), (None, text), (None, text)], docs.schema))
+    got = found(without_repeats(again))
+    assert got[3] == expected(rows)[3] and got[None][1] == 700
