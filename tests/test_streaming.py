@@ -8,6 +8,7 @@ from gapscore import schemas
 from gapscore.plans.scoring import respond
 from gapscore.streaming import latest_counts, requests_per_minute, respond_stream, respond_stream_with, write_counts
 from workload import fixtures as fx
+from workload.queries import QUERIES
 
 
 def test_scoring_in_two_arrivals(spark, sf, tmp_path):
@@ -54,3 +55,17 @@ def test_each_batch_has_one_dictionary(spark, sf, tmp_path):
     rows = spark.read.parquet(output).collect()
     assert len(asked) == 3 and len(rows) == 60
     assert {r.goal_used for r in rows if r.batch > 0} == {"fr"} and len({r.goal_used for r in rows if r.batch == 0}) > 1
+
+
+def test_tables_as_folders_of_files(spark, tmp_path):
+    """A table may be a folder with many files."""
+    text = F.when(F.col("id") % 2 == 0, "a thing").otherwise("nothing")
+    docs = spark.range(0, 20, 1, 4).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), text.alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    second = F.timestamp_seconds(F.col("id") * 30).cast("timestamp_ntz").alias("ts")
+    spark.range(0, 20, 1, 4).select(F.lit(7).alias("user_id"), second).write.parquet(f"{tmp_path}/events.parquet")
+    scored = QUERIES["stream_score"](spark, str(tmp_path)).collect()
+    assert {r.student_id for r in scored} == {f"stu_{i}" for i in range(20)}
+    assert all((r.score > 0) == (int(r.student_id[4:]) % 2 == 0) for r in scored)
+    counted = QUERIES["stream_rate_limit"](spark, str(tmp_path)).collect()
+    assert len(counted) == 10 and {r.requests for r in counted} == {2}

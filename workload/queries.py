@@ -630,9 +630,14 @@ def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
 # Streaming
 
 
+def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files: a pattern may name either, a path only a folder."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
+
+
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _table_stream(spark, sf, "documents")
     arriving = docs.select(
         F.concat(F.lit("stu_"), F.col("doc_id").cast("string")).alias("student_id"),
         F.col("lang").alias("goal"),
@@ -663,10 +668,8 @@ def stream_new_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     output = new_path(spark, "counts")
-    counts = requests_per_minute(events, "user_id", "ts")
+    counts = requests_per_minute(_table_stream(spark, sf, "events"), "user_id", "ts")
     write_counts(counts, output, new_path(spark, "counts-log"), available_now=True).awaitTermination()
     latest = latest_counts(spark.read.parquet(output), "user_id")
     return latest.filter(F.col("requests") > 1).select(
