@@ -160,3 +160,25 @@ def test_large_vocabularies_are_joined(spark, sf, tmp_path, monkeypatch):
         got = scores(large)
         assert [k for k, _ in got] == [k for k, _ in want]
         assert all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)) for (_, a), (_, b) in zip(got, want))
+
+
+def test_counts_of_a_column_in_parts(spark, monkeypatch):
+    """Words and pairs counted for many rows at once, null and empty arrays between them."""
+    import pyarrow as pa
+
+    from gapscore.operators import tfidf as counting
+
+    rows = [["a", "b", "a", "b"], None, [], ["b"], ["b", "a", "c", "a"], ["a"] * 7, ["c", "b"]]
+    pairs = [[f"{x} {y}" for x, y in zip(r or [], (r or [])[1:])] for r in rows]
+    monkeypatch.setattr(counting, "COUNTED", 4)
+    parts = list(counting._parts(pa.array(rows)))
+    assert len(parts) > 1 and [x for _, part in parts for x in part.to_pylist()] == rows
+    for with_pairs, lists in ((False, rows), (True, pairs)):
+        found = Counter()
+        for start, part in parts:
+            row, term, tf, name = counting._counted(part, with_pairs, None)
+            found.update({(start + r, t): n for r, t, n in zip(row.tolist(), name(term).to_pylist(), tf.tolist())})
+        assert found == Counter((i, t) for i, r in enumerate(lists) for t in r or [])
+    df = spark.createDataFrame([(r,) for r in rows], "w ARRAY<STRING>")
+    got = {r.term: (r.corpus_tf, r.df) for r in counting.corpus_counts(df, "w", True, pa.array(["a", "b"])).collect()}
+    assert got == {"a b": (2, 1), "b a": (2, 2), "a a": (6, 1)}
