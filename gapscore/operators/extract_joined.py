@@ -4,12 +4,18 @@ Nothing of the dictionary is held by the driver or broadcast. Each term is filed
 text meets only the terms filed under a word that it contains, or that a rule may bring into it. Any set of rules that
 holds all that can apply gives the same text, because a rule that finds nothing changes nothing; so words that only
 may come up are enough, and the rules of a text run in order in its own row.
+
+Rules from one word to one word never look beyond a word, so what becomes of a word is found once, in the dictionary, and
+texts look up their words. Only a text that meets any other rule, or a skill that is not one word, is rewritten rule by rule.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gapscore.functions.text import WORD_CHAR
 from gapscore.functions.words import MARK, drop_marks, escape_marks, put_marks, unmark_words
@@ -33,6 +39,10 @@ def _checked(term: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("not usable as a dictionary term: "), F.coalesce(term, F.lit("NULL"))))).otherwise(term)
 
 
+def _is_word(term: Column) -> Column:
+    return term.rlike(r"\A" + WORD_CHAR + r"+\z")
+
+
 def _starts_in_word(term: Column) -> Column:
     return term.rlike("^" + WORD_CHAR)
 
@@ -65,7 +75,8 @@ def _filed(terms: DataFrame) -> DataFrame:
 
 
 def _rules(tables: RuleTables, case_sensitive: bool) -> DataFrame:
-    """(no, key, find, put, introduced, pattern, plain): the last two for terms with punctuation at an edge."""
+    """(no, key, find, put, introduced, pattern, plain, word, becomes): pattern and plain for terms with punctuation at an edge,
+    word and becomes for rules from one word to one word."""
     fold = F.col if case_sensitive else F.lower
     terms = tables.rules.select(F.col("rule_no").alias("no"), _checked(fold("synonym")).alias("term"), fold("canonical").alias("canonical"))
     edge = ~(_starts_in_word(F.col("term")) & _ends_in_word(F.col("term")))
@@ -78,6 +89,8 @@ def _rules(tables: RuleTables, case_sensitive: bool) -> DataFrame:
             _keys(F.col("canonical")).alias("introduced"),
             F.when(edge, _pattern(F.col("term"))).alias("pattern"),
             F.when(edge, F.regexp_replace("canonical", r"([\\$])", r"\\$1")).alias("plain"),
+            F.when(_is_word(F.col("term")) & _is_word(F.col("canonical")), F.col("term")).alias("word"),
+            F.col("canonical").alias("becomes"),
         ),
         "rules",
     )
@@ -128,6 +141,67 @@ def _rewritten(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return steps.select(_ROW, F.coalesce(F.when(F.col("steps").isNotNull(), marked), put_marks(F.col("text"))).alias("marked"))
 
 
+def _ways(rules: DataFrame, special: DataFrame) -> DataFrame:
+    """(key, becomes, special): what rules from word to word make of a key, if anything, and whether it is, or on its way
+    becomes, one of the ``special`` keys."""
+    simple = rules.where("word IS NOT NULL").select("no", "word", "becomes")
+    marked = special.select(F.col("key").alias("becomes"), F.lit(True).alias("special"))
+    # The next rule for what a rule puts in is the first later one for that word.
+    ends = simple.select(F.col("becomes").alias("at"), "no", F.lit(False).alias("starts"))
+    both = ends.unionByName(simple.select(F.col("word").alias("at"), "no", F.lit(True).alias("starts")))
+    later = W.partitionBy("at").orderBy(F.desc("no")).rangeBetween(W.unboundedPreceding, -1)
+    following = both.withColumn("next", F.min(F.when(F.col("starts"), F.col("no"))).over(later)).where("NOT starts").select("no", "next")
+    ways = simple.join(following, "no").join(marked, "becomes", "left").fillna(False, ["special"])
+    ways = materialise(ways.select("no", "word", "becomes", "next", "special"), "ways")
+    while not ways.where("next IS NOT NULL").isEmpty():
+        # each way goes on where the way of its next rule ends, so the steps double
+        then = ways.select(F.col("no").alias("next"), F.struct("becomes", "next", "special").alias("then"))
+        on = ways.join(then, "next", "left")
+        ways = materialise(
+            on.select(
+                "no",
+                "word",
+                F.coalesce("then.becomes", "becomes").alias("becomes"),
+                F.col("then.next").alias("next"),
+                (F.col("special") | F.coalesce("then.special", F.lit(False))).alias("special"),
+            ),
+            "ways",
+        )
+    first = ways.groupBy("word").agg(F.min_by(F.struct("becomes", "special"), "no").alias("way"))
+    named = first.select(F.col("word").alias("key"), "way.becomes", "way.special")
+    itself = special.select("key", F.lit(True).alias("itself"))
+    all_keys = named.join(itself, "key", "full_outer").withColumn("special", F.coalesce("itself", "special"))
+    return all_keys.select("key", F.coalesce("becomes", "key").alias("becomes"), "special")
+
+
+def _met(texts: DataFrame, special: DataFrame, meanings: DataFrame, entry: Column) -> DataFrame:
+    """(row, special, entries): whether a text meets a special key, and the distinct entries that its keys lead to."""
+    # characters outside of words are looked up only if there is a term without a word
+    keys = _words if special.where(~_is_word(F.col("key"))).isEmpty() else _keys
+    seen = texts.select(_ROW, F.explode(F.array_distinct(keys(F.col("text")))).alias("key"))
+    entries = F.collect_set(F.when(entry.isNotNull(), entry)).alias("entries")
+    return materialise(seen.join(meanings, "key").groupBy(_ROW).agg(F.max("special").alias("special"), entries), "met")
+
+
+def _of(texts: DataFrame, met: DataFrame) -> DataFrame | None:
+    """The texts that meet a special key."""
+    rows = met.where("special").select(_ROW)
+    return None if rows.isEmpty() else texts.join(rows, _ROW, "left_semi")
+
+
+@F.pandas_udf(StringType())
+def _put(marked: pd.Series, entries: pd.Series) -> pd.Series:
+    """The escaped text with its words replaced, from the text with its words marked."""
+
+    def rewrite(text: str, pairs) -> str:
+        becomes = {pair["key"]: pair["becomes"] for pair in pairs}
+        parts = text.split(MARK)  # between words, word, between words, ..., between words
+        parts[1::2] = [becomes.get(word, word) for word in parts[1::2]]
+        return "".join(parts)
+
+    return pd.Series([rewrite(text, pairs) for text, pairs in zip(marked, entries)], dtype=object)
+
+
 def _numbered(df: DataFrame, text: Column, case_sensitive: bool) -> tuple[DataFrame, DataFrame]:
     rows = materialise(df.select("*", text.alias("_extract_text"), F.monotonically_increasing_id().alias(_ROW)), "texts")
     folded = F.col("_extract_text") if case_sensitive else F.lower("_extract_text")
@@ -136,18 +210,44 @@ def _numbered(df: DataFrame, text: Column, case_sensitive: bool) -> tuple[DataFr
 
 def canonicalise(df: DataFrame, text: Column, tables: RuleTables, output: str, case_sensitive: bool = False) -> DataFrame:
     rows, texts = _numbered(df, text, case_sensitive)
-    done = _rewritten(texts, _rules(tables, case_sensitive))
+    rules = _rules(tables, case_sensitive)
+    special = rules.where("word IS NULL").select("key").distinct()
+    changed = _ways(rules, special).where("special OR becomes <> key")
+    met = _met(texts, special, changed, F.when(F.col("becomes") != F.col("key"), F.struct("key", "becomes")))
+    plain = texts.join(met, _ROW, "left").where("special IS NULL OR NOT special")
+    put = F.when(F.size("entries") > 0, _put(put_marks(F.col("text")), F.coalesce("entries", F.array()))).otherwise(F.col("text"))
+    done = plain.select(_ROW, put.alias("marked"))
+    if (others := _of(texts, met)) is not None:
+        done = done.unionByName(_rewritten(others, rules))
     return rows.join(done.select(_ROW, unmark_words(F.col("marked")).alias(output)), _ROW, "left").drop(_ROW)
 
 
-def extract_skills(df: DataFrame, text: Column, tables: RuleTables, output: str, case_sensitive: bool = False) -> DataFrame:
-    rows, texts = _numbered(df, text, case_sensitive)
-    marked = materialise(_rewritten(texts, _rules(tables, case_sensitive)), "marked")
-    term = _checked(F.col("skill") if case_sensitive else F.lower("skill"))
-    skills = _filed(tables.skills.select("skill", term.alias("term")).withColumn("no", F.col("skill")))
+def _found_in_texts(texts: DataFrame, rules: DataFrame, skills: DataFrame, output: str) -> DataFrame:
+    """(row, skills) of texts that are rewritten rule by rule."""
+    marked = materialise(_rewritten(texts, rules), "marked")
     keys = marked.select(_ROW, F.explode(_keys(drop_marks(F.col("marked")))).alias("key"))
     possible = keys.join(skills.select("key", "skill", _find(F.col("term")).alias("find")), "key").groupBy(_ROW)
     listed = marked.join(possible.agg(F.collect_list(F.struct("skill", "find")).alias("terms")), _ROW)
     found = F.filter("terms", lambda t: F.contains(F.col("marked"), t.find))
-    named = listed.select(_ROW, F.array_sort(F.transform(found, lambda t: t.skill)).alias(output))
+    return listed.select(_ROW, F.array_sort(F.transform(found, lambda t: t.skill)).alias(output))
+
+
+def extract_skills(df: DataFrame, text: Column, tables: RuleTables, output: str, case_sensitive: bool = False) -> DataFrame:
+    rows, texts = _numbered(df, text, case_sensitive)
+    rules = _rules(tables, case_sensitive)
+    term = _checked(F.col("skill") if case_sensitive else F.lower("skill"))
+    skills = materialise(_filed(tables.skills.select("skill", term.alias("term")).withColumn("no", F.col("skill"))), "skills")
+    one_word = _is_word(F.col("term"))
+    special = rules.where("word IS NULL").select("key").union(skills.where(~one_word).select("key")).distinct()
+    # Skills that are the same word but for upper and lower case.
+    of_word = skills.where(one_word).groupBy(F.col("term").alias("becomes")).agg(F.collect_list("skill").alias("skills"))
+    ways = materialise(_ways(rules, special), "all-ways")
+    unchanged = of_word.join(ways, of_word["becomes"] == ways["key"], "left_anti")
+    stays = unchanged.select(F.col("becomes").alias("key"), "becomes", F.lit(False).alias("special"))
+    meanings = ways.unionByName(stays).join(of_word, "becomes", "left").where("special OR skills IS NOT NULL")
+    met = _met(texts, special, materialise(meanings, "meanings"), F.when(F.col("skills").isNotNull(), F.struct("becomes", "skills")))
+    listed = F.array_sort(F.flatten(F.transform("entries", lambda e: e.skills)))
+    named = met.where("NOT special").select(_ROW, listed.alias(output))
+    if (others := _of(texts, met)) is not None:
+        named = named.unionByName(_found_in_texts(others, rules, skills, output))
     return rows.join(named, _ROW, "left").withColumn(output, F.coalesce(output, F.expr("array()").cast("array<string>"))).drop(_ROW)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gapscore.operators import extract
+from gapscore.operators import extract, extract_joined
 from gapscore.operators.audit import dictionary_survivors
 from gapscore.operators.extract import canonicalise, extract_skills
 from gapscore.sources.dictionaries import RuleTables, SkillRules, load_rules
@@ -213,3 +213,24 @@ def test_filter_behind_extraction_does_not_repeat_it(spark, path):
     plan = found.filter(F.size("found_skills") > 0)._jdf.queryExecution().executedPlan().toString()
     marks = plan.count("regexp_replace") if path == "native" else plan.count("ArrowEvalPython [")
     assert marks <= 2
+
+
+def test_chains_of_words_joined(spark):
+    """Ways from word to word: claimed twice, back to an earlier rule, through a word that a phrase begins with."""
+    rules = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "f"), ("f", "f"), ("f", "g"), ("b", "never")]
+    skills = ["g", "G", "a", "never", "é", "z"]
+    texts = ["a", "b c", "c x a", "d", "e-f", "f", "é a É", "", "never z", "x\u0001a", "a_ b_ a"]
+    check(spark, texts, rules, skills, joined=True)
+    check(spark, texts, [*rules, ("z e", "a"), ("g z", "b")], [*skills, "x g", "e-f", "-"], joined=True)
+    check(spark, ["z d", "z a", "d z", "x a", "z"], [*rules[:5], ("z e", "q"), *rules[5:]], [*skills, "q", "x g"], joined=True)
+
+
+def test_rules_between_words_are_not_run_one_by_one(spark, monkeypatch):
+    """Texts whose dictionary maps words to words look words up; the cascade costs its rules times the text."""
+
+    def never(*_):
+        raise AssertionError("rewritten rule by rule")
+
+    monkeypatch.setattr(extract_joined, "_rewritten", never)
+    words = [f"w{i}" for i in range(200)]
+    check(spark, [" ".join(words), "w7", ""], [(w, f"s{i // 8}") for i, w in enumerate(words)], ["s0", "s3", "w1"], joined=True)
