@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from gapscore.functions.text import goal_key
 from gapscore.operators import linear
 from gapscore.operators.linear import GoalModels, by_goal_key, sigmoid
-from gapscore.operators.tfidf import term_counts
-from gapscore.storage import materialise, small_side
+from gapscore.operators.tfidf import known_counts, term_counts
+from gapscore.storage import local_table, materialise, small_side
 
 #: The most frequent terms meet texts by a table of their own, so that no key of the shuffled join is in most texts.
 HOT_TERMS = 10_000
@@ -34,15 +34,24 @@ class JoinedModels:
     stop_words: tuple[str, ...] = ()
 
 
-def _met(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _met(keyed: DataFrame, vocabulary: DataFrame, stop_words: list[str]) -> DataFrame:
     """(row, goal, term_id, raw): the known terms of the texts with their unscaled weights."""
-    ranks = vocabulary.select("term", "term_id", "idf", "df")
+    keys, ranks = [_ROW, "_goal"], vocabulary.select("term", "term_id", "idf", "df")
     hot = materialise(ranks.orderBy(F.desc("df"), "term").limit(HOT_TERMS).drop("df"), "hot-terms")
-    rest = ranks.drop("df").join(small_side(hot.select("term")), "term", "left_anti")
-    often = counts.join(small_side(hot), "term")
-    seldom = counts.join(small_side(hot.select("term")), "term", "left_anti").join(rest, "term")
+    counts = term_counts(keyed, "_text", stop_words, keys)
+    if (often := small_side(hot)) is hot:
+        met = counts.join(hot, "term")
+    else:
+        # Texts are read for these terms alone, which are then numbers.
+        known = [row.term for row in hot.select("term").distinct().filter(F.col("term").isNotNull()).collect()]
+        numbers = local_table(keyed.sparkSession, zip(known, range(len(known))), "term STRING, place BIGINT")
+        met = known_counts(keyed, "_text", stop_words, keys, known).join(F.broadcast(numbers.join(often, "term")), "place").drop("place")
+    if len(ranks.select("term").take(HOT_TERMS + 1)) > HOT_TERMS:
+        rest = ranks.drop("df").join(small_side(hot.select("term")), "term", "left_anti")
+        seldom = counts.join(small_side(hot.select("term")), "term", "left_anti").join(rest, "term")
+        met = met.unionByName(seldom)
     raw = ((1 + F.log("tf")) * F.col("idf")).alias("raw")
-    return often.unionByName(seldom).select(_ROW, "_goal", "term_id", raw)
+    return met.select(_ROW, "_goal", "term_id", raw)
 
 
 def model_probability(df: DataFrame, models: GoalModels | JoinedModels, text_column: str, goal_column: str) -> DataFrame:
@@ -56,8 +65,7 @@ def model_probability(df: DataFrame, models: GoalModels | JoinedModels, text_col
         return linear.model_probability(df, models, text_column, goal_column)
     rows = materialise(df.withColumn(_ROW, F.monotonically_increasing_id()), "linear-rows")
     keyed = rows.select(_ROW, goal_key(F.col(goal_column)).alias("_goal"), F.col(text_column).alias("_text"))
-    counts = term_counts(keyed, "_text", list(models.stop_words), [_ROW, "_goal"])
-    terms = materialise(_met(counts, models.vocabulary), "linear-terms")
+    terms = materialise(_met(keyed, models.vocabulary, list(models.stop_words)), "linear-terms")
     chosen = by_goal_key(models.intercepts).select("goal", F.col("_key").alias("_goal"), "intercept")
     of_goal = models.coefficients.join(small_side(chosen.select("goal", "_goal")), "goal").select("_goal", "term_id", "coef")
     product = (F.col("raw") * F.coalesce("coef", F.lit(0.0))).alias("product")

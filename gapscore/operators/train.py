@@ -27,7 +27,7 @@ from gapscore.operators.split import (
     training_gate,
     usable_items,
 )
-from gapscore.operators.tfidf import Vocabulary, tfidf
+from gapscore.operators.tfidf import Vocabulary, tfidf_batches
 from gapscore.storage import local_table, materialise, small_side
 
 # Fixed value: the solver's iteration limit.
@@ -163,7 +163,8 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> Training:
         items = items.withColumn("item_id", content_id())
     kept = [(g, a) for g, a in action.items() if (g, a) not in skipped]
     wanted = local_table(spark, kept, "goal STRING, action STRING")
-    weighted = tfidf(items.join(small_side(wanted), "goal"), "resume_text", vocabulary)
+    texts = items.join(small_side(wanted), "goal").select("goal", "action", "item_id", "label", "resume_text")
+    weighted = tfidf_batches(texts, "resume_text", vocabulary)
     vector = vector_parts(F.col("indices"), F.col("weights"), size)
     # Written once, by goal: each fit then reads its own goal only. Rebalancing splits a goal
     # that holds much of the data over several files.

@@ -182,3 +182,62 @@ def test_counts_of_a_column_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(r,) for r in rows], "w ARRAY<STRING>")
     got = {r.term: (r.corpus_tf, r.df) for r in counting.corpus_counts(df, "w", True, pa.array(["a", "b"])).collect()}
     assert got == {"a b": (2, 1), "b a": (2, 2), "a a": (6, 1)}
+
+
+ODD_TEXTS = [
+    "the cat of the hat saw the cat", "", None, "café cat_x x_1 1x x1 x1 cat", "Éclair ÉCAT cat\u0130 \u212ait cat\u00b2 cat\u0301hat", "cat",
+    "cat hat", "hat", "日本cat 日本 cat\U0001d7d8 cat\U0001f600hat -cat-hat- \u00a0cat\u2028hat\x00dog", "_cat cat_ 9 9cat cat9 a b", "ΣΑΣ cat Σ hat", " ",
+]
+
+
+def test_tokens_of_bytes(spark, monkeypatch):
+    """The tokens that tasks find byte by byte are those of the expression, also at the borders of parts and of texts."""
+    from gapscore.functions import text as fn
+    from gapscore.operators import tfidf as counting
+
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "i INT, t STRING")
+    rows = df.select("i", fn.ascii_words(F.col("t")).alias("a"), counting.kept_tokens(F.col("t"), STOPS).alias("w")).orderBy("i").toArrow()
+    texts, want = rows.column("a").combine_chunks(), [w or [] for w in rows.column("w").to_pylist()]
+    monkeypatch.setattr(counting, "COUNTED", 2)
+    parts = list(counting._parts(texts))
+    assert len(parts) > 2
+    for start, part in [(0, texts), *parts]:
+        row, code, words = counting._numbered(part, STOPS)
+        assert [[words[int(c)].as_py() for c in code[row == r]] for r in range(len(part))] == want[start : start + len(part)]
+
+
+def test_weights_of_batches(spark, monkeypatch):
+    """Weights of many rows at once are those of the row, with terms that repeat or cannot occur, and without a vocabulary."""
+    from gapscore.operators import tfidf as counting
+
+    monkeypatch.setattr(counting, "COUNTED", 2)
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "i INT, t STRING")
+    terms = ("cat", "hat", "cat hat", "x1 x1", "a b c", "cat", "hat saw", "é", "")
+    for held in (Vocabulary(terms, tuple(1.0 + i / 8 for i in range(len(terms))), tuple(STOPS)), Vocabulary(("zz",), (1.0,))):
+        want = {r.i: (r.indices, r.weights) for r in tfidf(df, "t", held).collect()}
+        made = counting.tfidf_batches(df, "t", held)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        got = {r.i: (r.indices, r.weights) for r in made.collect()}
+        assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()}
+        assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-12) for i in want)
+
+
+def test_joined_scores_read_texts_once(spark, sf):
+    """A vocabulary of hot terms alone leaves nothing to look up by a second count of all terms."""
+    from gapscore.operators import linear_joined
+
+    keyed = spark.createDataFrame([(1, "g", "cat hat cat"), (2, "g", None)], "_linear_row BIGINT, _goal STRING, _text STRING")
+    vocabulary = spark.createDataFrame([("cat", 0, 2, 1.5), ("cat hat", 1, 1, 2.0), ("zz", 2, 1, 2.0), ("cat", 3, 2, 4.0)], "term STRING, term_id INT, df BIGINT, idf DOUBLE")
+    met = linear_joined._met(keyed, vocabulary, [])
+    assert met._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r["_linear_row"], r.term_id, round(r.raw, 6)) for r in met.collect())
+    assert got == [(1, 0, round(1.5 * (1 + math.log(2)), 6)), (1, 1, 2.0), (1, 3, round(4.0 * (1 + math.log(2)), 6))]
+
+
+def test_pairs_travel_as_numbers(spark):
+    """Pairs of frequent words are shuffled by a number, and named after they are counted."""
+    texts = ["a b a b c", "b a", "c c c a b", "a b d", "e a b"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    rows = fit_vocabulary(df, "t", [], max_features=3, max_df=1.0)
+    assert "term#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "div" in plan
+    same([tuple(r) for r in rows.orderBy("term_id").collect()], plain_vocabulary(texts, 3, 1, 1.0))
