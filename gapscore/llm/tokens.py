@@ -5,31 +5,51 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 100_000
 
-_TO_OTHER_SPACE = re.compile(r" (?:\s|$)")
+
+class _OtherSpace(Exception):
+    """A space is followed by more white space, or by nothing."""
 
 
 class _WordIds(dict):
-    """The ids of a word with the space before it, as little-endian unsigned 32-bit bytes."""
+    """The ids of a word behind ``before``, as little-endian unsigned 32-bit bytes.
+
+    Of REMEMBERED words half are the latest; when these are full the older half goes, so that frequent words stay.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, encode, before: str):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before, self.older = encode, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        ids = self.older.get(word)
+        if ids is None:
+            if self.before and (not word or word[0].isspace()):
+                raise _OtherSpace
+            ids = _little_endian(self.encode(self.before + word))
+            if len(word) >= 64:
+                return ids
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.encode(word), dtype="<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
+        self[word] = ids
         return ids
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class Encoder:
     """Encodes texts word by word. ``added`` are tokens that stand for themselves: a text is cut at them first.
 
@@ -44,7 +64,7 @@ class Encoder:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = _WordIds(self.encoding.encode_ordinary)
+        self.words, self.spaced = (_WordIds(self.encoding.encode_ordinary, before) for before in ("", " "))
         self.added = {token: np.array([number], dtype="<u4").tobytes() for token, number in added}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else None
@@ -59,10 +79,11 @@ class Encoder:
         return b"".join(self.added[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self.cut(text)))
 
     def _ordinary(self, text: str) -> bytes:
-        if _TO_OTHER_SPACE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
         first, *rest = text.split(" ")
-        return b"".join([self.words[first] if first else b"", *map(self.words.__getitem__, [" " + w for w in rest])])
+        try:
+            return b"".join([self.words[first] if first else b"", *map(self.spaced.__getitem__, rest)])
+        except _OtherSpace:
+            return _little_endian(self.encoding.encode_ordinary(text))
 
 
 @functools.cache

@@ -114,3 +114,21 @@ def test_added_tokens_have_their_ids(text, spark):
     found = np.frombuffer(encoder(*vocabulary())(text), dtype="<u4").tolist()
     assert found == ids_of(text)[:-1] and 50256 in found
     check(packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), *vocabulary()).collect(), [(1, text)])
+
+
+def test_frequent_words_are_remembered(monkeypatch):
+    """Rare words in any number do not push out a frequent one, and odd spaces go to the vocabulary's pattern as a whole."""
+    from gapscore.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    encode = tokens.Encoder(*vocabulary())
+    asked = []
+    plain = encode.spaced.encode
+    encode.spaced.encode = lambda word: asked.append(word) or plain(word)
+    for i in range(200):
+        text = f"start often w{i} often"
+        assert encode(text) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes()
+        assert len(encode.spaced) + len(encode.spaced.older) <= 20
+    assert asked.count(" often") == 1
+    for text in ("", " ", "a  b", "a ", "a \nb", " a", "a  b", "\n a", "a\n b", "a " + "x" * 70 + " b", "a \x1cb  c"):
+        assert encode(text) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes()
