@@ -241,3 +241,16 @@ def test_pairs_travel_as_numbers(spark):
     rows = fit_vocabulary(df, "t", [], max_features=3, max_df=1.0)
     assert "term#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "div" in plan
     same([tuple(r) for r in rows.orderBy("term_id").collect()], plain_vocabulary(texts, 3, 1, 1.0))
+
+
+def test_runs_are_told_apart_by_kind():
+    """Runs are cut without a look at their letters; what is no token is dropped from the numbered words."""
+    import pyarrow as pa
+
+    from gapscore.operators import tfidf as counting
+
+    texts = pa.array(["cat_ 9cat  cat", None, "", "_ x1 the", "cat"])
+    row, runs = counting.text_runs(texts.slice(0, 4))
+    assert list(zip(row.tolist(), runs.to_pylist())) == [(0, "cat_"), (0, "9cat"), (0, "cat"), (3, "_"), (3, "x1"), (3, "the")]
+    row, code, words = counting._numbered(texts, STOPS)
+    assert (row.tolist(), code.tolist(), words.to_pylist()) == ([0, 3, 4], [0, 1, 0], ["cat", "x1"])
