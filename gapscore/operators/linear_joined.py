@@ -58,16 +58,21 @@ def model_probability(df: DataFrame, models: GoalModels | JoinedModels, text_col
     """Add ``probability``; NULL where the goal has no model. A text without known terms has its intercept alone.
 
     Models that workers can hold are applied in the text's row. For others goals meet under their key as well, and
-    coefficients are looked up by goal and term; that join has no aggregate behind it, so adaptive execution splits a
-    pair that very many texts share.
+    coefficients are looked up by goal and term. A small table of them meets the terms where they are counted, and sums
+    leave the task. With a larger one terms are written and shuffled; that join has no aggregate behind it, so adaptive
+    execution splits a pair that very many texts share.
     """
     if isinstance(models, GoalModels):
         return linear.model_probability(df, models, text_column, goal_column)
     rows = materialise(df.withColumn(_ROW, F.monotonically_increasing_id()), "linear-rows")
-    keyed = rows.select(_ROW, goal_key(F.col(goal_column)).alias("_goal"), F.col(text_column).alias("_text"))
-    terms = materialise(_met(keyed, models.vocabulary, list(models.stop_words)), "linear-terms")
     chosen = by_goal_key(models.intercepts).select("goal", F.col("_key").alias("_goal"), "intercept")
-    of_goal = models.coefficients.join(small_side(chosen.select("goal", "_goal")), "goal").select("_goal", "term_id", "coef")
+    keyed = rows.select(_ROW, goal_key(F.col(goal_column)).alias("_goal"), F.col(text_column).alias("_text"))
+    # A text whose goal has no model keeps its row, and has no use for terms.
+    keyed = keyed.join(small_side(chosen.select("_goal")), "_goal", "left_semi")
+    terms = _met(keyed, models.vocabulary, list(models.stop_words))
+    coefficients = models.coefficients.join(small_side(chosen.select("goal", "_goal")), "goal").select("_goal", "term_id", "coef")
+    if (of_goal := small_side(coefficients)) is coefficients:
+        terms = materialise(terms, "linear-terms")
     product = (F.col("raw") * F.coalesce("coef", F.lit(0.0))).alias("product")
     products = terms.join(of_goal, ["_goal", "term_id"], "left").select(_ROW, "raw", product)
     sums = products.groupBy(_ROW).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"), F.sum("product").alias("_dot"))

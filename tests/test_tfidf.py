@@ -254,3 +254,22 @@ def test_runs_are_told_apart_by_kind():
     assert list(zip(row.tolist(), runs.to_pylist())) == [(0, "cat_"), (0, "9cat"), (0, "cat"), (3, "_"), (3, "x1"), (3, "the")]
     row, code, words = counting._numbered(texts, STOPS)
     assert (row.tolist(), code.tolist(), words.to_pylist()) == ([0, 3, 4], [0, 1, 0], ["cat", "x1"])
+
+
+def test_few_coefficients_meet_terms_where_they_are_counted(spark):
+    """Terms are neither written nor shuffled for a small table of coefficients, and texts without a model have none."""
+    from gapscore.operators import linear_joined
+
+    texts = spark.createDataFrame([(1, "a", "cat hat"), (2, "b", "cat"), (3, "A", None), (4, None, "cat")], "i INT, g STRING, t STRING")
+    vocabulary = spark.createDataFrame([("cat", 0, 2, 1.5), ("hat", 1, 1, 2.0)], "term STRING, term_id INT, df BIGINT, idf DOUBLE")
+    models = linear_joined.JoinedModels(
+        vocabulary,
+        spark.createDataFrame([("A", 0, 3.0), ("A", 1, -1.0)], "goal STRING, term_id INT, coef DOUBLE"),
+        spark.createDataFrame([("A", 0.5)], "goal STRING, intercept DOUBLE"),
+    )
+    scored = linear_joined.model_probability(texts, models, "t", "g")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning(_goal" not in plan
+    got = {r.i: r.probability for r in scored.collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    assert got == {1: pytest.approx(sigmoid((1.5 * 3 - 2) / 2.5 + 0.5)), 2: None, 3: pytest.approx(sigmoid(0.5)), 4: None}
