@@ -132,3 +132,24 @@ def test_frequent_words_are_remembered(monkeypatch):
     assert asked.count(" often") == 1
     for text in ("", " ", "a  b", "a ", "a \nb", " a", "a  b", "\n a", "a\n b", "a " + "x" * 70 + " b", "a \x1cb  c"):
         assert encode(text) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes()
+
+
+def test_texts_of_new_words_are_encoded_as_a_whole(monkeypatch):
+    """Words are looked up again after a while, and texts of known words stay looked up; the ids are the same either way."""
+    from gapscore.llm import tokens
+
+    monkeypatch.setattr(tokens, "TRIED", 100)
+    encode = tokens.Encoder(*vocabulary())
+    asked = []
+    plain = encode.spaced.encode
+    encode.spaced.encode = lambda word: asked.append(word) or plain(word)
+    for i in range(400):
+        text = f"start n{i} often  m{i}." if i % 50 == 0 else f"start n{i} often m{i}.\n k{i}"
+        assert encode(text) == np.array(ids_of(text)[:-1], dtype="<u4").tobytes()
+    assert 0 < len(asked) < 400
+    for i in range(400):
+        encode("start often often often often")
+    asked.clear()
+    for _ in range(400):
+        encode("start often often often often")
+    assert encode.spared <= 0 and not asked
