@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ EXPECTED = 0.9
 LEAF, SHARD, QUERIES = 32, 16_384, 4_096
 #: The leaves that are opened at once, as a part of all, and the vectors that are verified at once.
 STEP, CHUNK = 1 / 8, 256
+#: The opened vectors that are put in order at once.
+SORTED = 4_096
 SEED = 5
 #: Steps of the table of the chi-square distribution.
 _TABLE = 2_000
@@ -34,12 +37,28 @@ def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
     return np.minimum(total * np.exp(-x + a * np.log(x) - math.lgamma(a)), 1.0)
 
 
+def _by_distance(rows: np.ndarray, distance: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, float]]:
+    """The rows by distance, ``size`` at once, each part with its least distance. Equal ones keep their order.
+
+    A search may end early, so rows are put in order about SORTED at a time.
+    """
+    left_rows, left = rows[:0], distance[:0]
+    while len(rows) or len(left_rows):
+        if len(rows) and len(left_rows) < size:
+            near = distance <= np.partition(distance, SORTED)[SORTED] if len(rows) > SORTED else np.ones(len(rows), dtype=bool)
+            order = np.argsort(distance[near], kind="stable")
+            left_rows, left = np.concatenate([left_rows, rows[near][order]]), np.concatenate([left, distance[near][order]])
+            rows, distance = rows[~near], distance[~near]
+            continue
+        yield left_rows[:size], left[0]
+        left_rows, left = left_rows[size:], left[size:]
+
+
 class Tree:
     """A kd-tree over projected vectors, as boxes of leaves of equal size."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         """Lengthens the vectors by one coordinate to a common norm: the largest product is then the least distance."""
-        self.vectors, self.ids = vectors, ids
         square = (vectors * vectors).sum(axis=1)
         self.square = float(square.max())
         extra = np.sqrt(np.maximum(self.square - square, 0.0))
@@ -50,12 +69,16 @@ class Tree:
         self.projection = np.linalg.qr(drawn)[0] * math.sqrt(d)
         self.top = 4.0 * m
         self.share = chi_square(np.linspace(0, self.top, _TABLE + 1), m)
-        self.points = points = np.hstack([vectors, extra[:, None]]) @ self.projection
+        points = np.hstack([vectors, extra[:, None]]) @ self.projection
         order = np.arange(len(points))
         leaves = [order]
         while any(len(leaf) > LEAF for leaf in leaves):
             leaves = [half for leaf in leaves for half in self._halves(points, leaf)]
-        self.leaves = leaves
+        # Stored by leaf, so that a leaf is read in one piece.
+        order = np.concatenate(leaves)
+        self.vectors, self.ids, self.points = vectors[order], ids[order], points[order]
+        self.leaves = np.split(np.arange(len(points)), np.cumsum([len(leaf) for leaf in leaves])[:-1])
+        self.own_ids = frozenset(ids.tolist())
         self.low = np.array([points[leaf].min(axis=0) for leaf in leaves])
         self.high = np.array([points[leaf].max(axis=0) for leaf in leaves])
         self.verified = 0
@@ -85,36 +108,40 @@ class Tree:
         order = np.argsort(bound, kind="stable")
         open_rows, open_distance = np.empty(0, np.int64), np.empty(0)
         best_ids, best = np.empty(0, np.int64), np.empty(0)
-        at, step = 0, max(1, int(len(order) * STEP))
+        at, step, own = 0, max(1, int(len(order) * STEP)), own_id in self.own_ids
         while at < len(order) or len(open_rows):
             if at < len(order):
                 rows = np.concatenate([self.leaves[i] for i in order[at : at + step]])
                 at += step
-                rows = rows[self.ids[rows] != own_id]
-                away = self.points[rows] - point
+                if own:
+                    rows = rows[self.ids[rows] != own_id]
+                away = self.points.take(rows, axis=0)
+                away -= point
                 open_rows = np.concatenate([open_rows, rows])
-                open_distance = np.concatenate([open_distance, (away * away).sum(axis=1)])
+                open_distance = np.concatenate([open_distance, np.einsum("ij,ij->i", away, away)])
             limit = bound[order[at]] if at < len(order) else np.inf
             ready = open_distance <= limit
             if not ready.any():
                 continue
             rows, distance = open_rows[ready], open_distance[ready]
             open_rows, open_distance = open_rows[~ready], open_distance[~ready]
-            by_distance = np.argsort(distance, kind="stable")
-            rows, distance = rows[by_distance], distance[by_distance]
             size = max(CHUNK, k)
-            for start in range(0, len(rows), size):
+            for part, first in _by_distance(rows, distance, size):
                 if len(best) == k:
                     near = np.maximum(norm + self.square - 2 * best, 1e-12)  # squared distances of the found
-                    place = np.minimum(distance[start] / near / self.top, 1.0) * _TABLE
+                    place = np.minimum(first / near / self.top, 1.0) * _TABLE
                     if self.share[place.astype(np.int64)].mean() >= expected and expected < 1:
                         return best_ids, best
-                part = rows[start : start + size]
                 self.verified += len(part)
-                best_ids = np.concatenate([best_ids, self.ids[part]])
-                best = np.concatenate([best, np.einsum("ij,j->i", self.vectors[part], query)])
-                top = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[top], best[top]
+                product = np.einsum("ij,j->i", self.vectors.take(part, axis=0), query)
+                if len(best) == k:
+                    able = ~(product < best[-1])  # others come after the k found
+                    part, product = part[able], product[able]
+                if len(part):
+                    best_ids = np.concatenate([best_ids, self.ids[part]])
+                    best = np.concatenate([best, product])
+                    top = np.lexsort((best_ids, -best))[:k]
+                    best_ids, best = best_ids[top], best[top]
         return best_ids, best
 
 

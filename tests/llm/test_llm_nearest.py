@@ -107,3 +107,27 @@ def test_ties_and_bad_vectors(spark):
     assert lists(got) == {20: [1, 2, 3, 3]}
     assert [r["rank"] for r in got.collect()] == [1, 2, 3, 4]
     assert nearest(table.limit(0)).collect() == []
+
+
+def test_rows_come_by_distance_a_part_at_a_time(monkeypatch):
+    """The parts are those of the whole order, equal distances as they were, however few are put in order at once."""
+    from gapscore.llm import nearest as search
+
+    distance = np.random.default_rng(3).integers(0, 12, 90).astype(float)
+    rows = np.arange(90) * 3
+    order = np.argsort(distance, kind="stable")
+    for sorted_at_once in (1, 7, 60, 1000):
+        monkeypatch.setattr(search, "SORTED", sorted_at_once)
+        parts = list(search._by_distance(rows, distance, 20))
+        assert [len(part) for part, _ in parts] == [20, 20, 20, 20, 10]
+        assert np.array_equal(np.concatenate([part for part, _ in parts]), rows[order])
+        assert [first for _, first in parts] == distance[order][::20].tolist()
+    assert list(search._by_distance(rows[:0], distance[:0], 20)) == []
+
+
+def test_vectors_are_stored_by_leaf():
+    """A leaf is one piece of the stored vectors, and each vector keeps its id."""
+    vectors = np.random.default_rng(4).standard_normal((500, 6))
+    tree = Tree(vectors, np.arange(500) + 1000)
+    assert np.array_equal(np.concatenate(tree.leaves), np.arange(500)) and all((np.diff(leaf) == 1).all() for leaf in tree.leaves)
+    assert np.array_equal(tree.vectors, vectors[tree.ids - 1000])
