@@ -1,9 +1,14 @@
-"""Logistic regressions of many small goals at once: each goal is solved in a task of one job."""
+"""Logistic regressions of many goals at once: small ones in a task each, larger ones by passes that all of them share."""
 
 from __future__ import annotations
 
+from collections.abc import Generator, Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,15 @@ from pyspark.sql import functions as F
 SMALL_ROWS, SMALL_VALUES = 20_000, 4_000_000
 _STEPS, _INNER, _PRECISION = 100, 200, 1e-9
 
+#: Larger goals: the gradient for each sample at which a fit ends, and by how much each step's conjugate gradients reduce theirs.
+LARGE_PRECISION, LARGE_INNER = 1e-6, 0.1
+#: Coefficients of all the goals that share their passes; more goals are fitted in several groups.
+SHARED_VALUES = 1 << 22
+#: Feature values that a task works on at once: few enough for a processor's cache.
+BLOCK_VALUES = 1 << 16
+# Up to so many partitions send their sums straight to the driver.
+_FEW_PARTITIONS = 32
+
 FITTED = "goal STRING, intercept DOUBLE, coefficients ARRAY<DOUBLE>, error STRING"
 
 
@@ -100,3 +114,155 @@ def fit_small(rows: DataFrame, size: int) -> DataFrame:
     parts = F.unwrap_udt("features")
     plain = rows.select("goal", "label", "weight", parts.indices.alias("indices"), parts["values"].alias("values"))
     return plain.groupBy("goal").applyInArrow(lambda table: _solve_table(table, size), FITTED)
+
+
+def newton(d: int, n: int) -> Generator[tuple[np.ndarray, np.ndarray | None], np.ndarray, np.ndarray]:
+    """The objective of ``solve`` for rows that are elsewhere: asks for sums over them, and returns coefficients and intercept.
+
+    ``(x, None)`` asks for loss, gradient and diagonal of the curvature at x; ``(x, p)`` for the curvature along p.
+    Conjugate gradients are scaled by the diagonal, as terms differ much in frequency.
+    """
+    penalty = np.append(np.ones(d), 0.0)
+
+    def at(x: np.ndarray):
+        sums = yield x, None
+        objective = sums[0] + penalty * x @ x / 2
+        if not np.isfinite(sums).all():
+            raise ValueError("features or weights are not finite")
+        return objective, sums[1 : d + 2] + penalty * x, np.maximum(sums[d + 2 :] + penalty, 1e-300)
+
+    x = np.zeros(d + 1)
+    now, g, diagonal = yield from at(x)
+    for _ in range(_STEPS):
+        if np.linalg.norm(g) < LARGE_PRECISION * n:
+            break
+        dx, r = np.zeros(d + 1), -g
+        p = r / diagonal
+        first = rho = r @ p
+        for _ in range(_INNER):
+            h = (yield x, p) + penalty * p
+            bend = p @ h
+            if bend <= 0:
+                break
+            a = rho / bend
+            dx, r = dx + a * p, r - a * h
+            scaled = r / diagonal
+            last, rho = rho, r @ scaled
+            if rho < LARGE_INNER**2 * first:
+                break
+            p = scaled + rho / last * p
+        slope, step = g @ dx, 1.0
+        then, g_then, diagonal_then = yield from at(x + dx)
+        while then > now + 1e-4 * step * slope and step > 1e-10:
+            step /= 2
+            then, g_then, diagonal_then = yield from at(x + step * dx)
+        if then >= now:
+            break
+        x, now, g, diagonal = x + step * dx, then, g_then, diagonal_then
+    return x
+
+
+def _cuts(lengths: np.ndarray, values: int) -> list[int]:
+    """Where rows of so many values each end."""
+    return [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // values)) + 1).tolist(), len(lengths)]
+
+
+_TYPES = {"y": np.float64, "s": np.float64, "lengths": np.int64, "column": np.int32, "value": np.float64}
+
+
+def _blocks(rows: DataFrame, size: int) -> RDD:
+    """``(goal, arrays)``: the rows in blocks, each of one goal and of few values, dealt evenly."""
+    parts = F.unwrap_udt("features")
+    plain = rows.select("goal", "label", "weight", parts.indices.alias("indices"), parts["values"].alias("values"))
+    values = max(BLOCK_VALUES, 8 * size)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for goal in batch.column(0).unique():
+                part = batch.filter(pc.equal(batch.column(0), goal))
+                y, s = (part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+                lengths = part.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                column, value = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+                cuts, ends = _cuts(lengths, values), np.append(0, np.cumsum(lengths))
+                for a, b in pairwise(cuts):
+                    inner = slice(ends[a], ends[b])
+                    arrays = y[a:b], s[a:b], lengths[a:b], column[inner], value[inner]
+                    block = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(arrays, _TYPES.values())]
+                    yield pa.RecordBatch.from_arrays([pa.array([goal.as_py()], pa.string()), *block], ["goal", *_TYPES])
+
+    packed = plain.mapInArrow(pack, "goal string, " + ", ".join(f"{name} binary" for name in _TYPES))
+    dealt = packed.repartition(max(plain.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism))
+    return dealt.rdd.map(lambda row: (row[0], [np.frombuffer(b, dtype=t) for b, t in zip(row[1:], _TYPES.values())]))
+
+
+def _block_sums(arrays: list[np.ndarray], x: np.ndarray, p: np.ndarray | None) -> np.ndarray:
+    """What ``newton`` asks for, of one block."""
+    y, s, lengths, column, value = arrays
+    filled = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[filled]
+
+    def times(v: np.ndarray) -> np.ndarray:
+        z = np.full(len(y), v[-1])
+        if len(filled):
+            z[filled] += np.add.reduceat(value * v.take(column), starts)
+        return z
+
+    def transposed_times(r: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(column, value * np.repeat(r, lengths), len(x) - 1), r.sum())
+
+    z = times(x)
+    chance = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    curve = s * chance * (1 - chance)
+    if p is not None:
+        return transposed_times(curve * times(p), value)
+    loss = s @ (np.logaddexp(0, z) - y * z)
+    return np.concatenate([[loss], transposed_times(s * (chance - y), value), transposed_times(curve, value * value)])
+
+
+def _added(a: dict, b: dict) -> dict:
+    for goal, sums in b.items():
+        a[goal] = a[goal] + sums if goal in a else sums
+    return a
+
+
+def _pass(blocks: RDD, asked: dict) -> dict:
+    """What each goal asks for, summed over its blocks by one job."""
+    sent = blocks.context.broadcast(asked)
+
+    def add(total: dict, block: tuple) -> dict:
+        goal, arrays = block
+        return _added(total, {goal: _block_sums(arrays, *sent.value[goal])}) if goal in sent.value else total
+
+    try:
+        return blocks.treeAggregate({}, add, _added, 1 if blocks.getNumPartitions() <= _FEW_PARTITIONS else 2)
+    finally:
+        sent.destroy()
+
+
+def fit_large(rows: DataFrame, counts: dict[str, int], size: int) -> dict[str, np.ndarray | Exception]:
+    """Coefficients and intercept, or what went wrong, for goals of ``(goal, label, weight, features)`` of any size.
+
+    ``counts`` are their numbers of rows. Rows stay where they are; all goals of a group ask at once, so a group takes as many jobs
+    as its slowest goal asks questions.
+    """
+    done, goals, group = {}, list(counts), max(1, SHARED_VALUES // (size + 1))
+    for start in range(0, len(goals), group):
+        chosen = goals[start : start + group]
+        blocks = _blocks(rows.filter(F.col("goal").isin(chosen)), size).persist(StorageLevel.MEMORY_AND_DISK)
+        fits, asked = {goal: newton(size, counts[goal]) for goal in chosen}, {}
+        answers = dict.fromkeys(chosen)
+        while fits:
+            for goal, fit in list(fits.items()):
+                try:
+                    asked[goal] = fit.send(answers[goal])
+                    continue
+                except StopIteration as end:
+                    done[goal] = end.value
+                except Exception as problem:  # noqa: BLE001 - one goal must not stop the others
+                    done[goal] = problem
+                asked.pop(goal, None)
+                del fits[goal]
+            if fits:
+                answers = _pass(blocks, asked)
+        blocks.unpersist()
+    return done

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gapscore.operators import evaluate, linear, split
 from gapscore.operators.tfidf import Vocabulary
+from gapscore.operators import solve as solve_module
 from gapscore.operators import train as train_module
 from gapscore.operators.solve import Sparse, solve
 from gapscore.operators.train import fit, train, vector_parts
@@ -152,6 +153,52 @@ def test_all_small_goals_in_one_job(spark, monkeypatch):
         assert model.coefficients == pytest.approx(got[model.goal].coefficients, abs=1e-3)
 
 
+def test_large_goals_share_their_passes(spark, monkeypatch):
+    """Goals of any size take as many jobs as one, rows without features count, and the fit is the least of the objective."""
+    rng, rows, data = np.random.default_rng(2), [], {}
+    for g in range(12):
+        x = np.where(rng.random((150, 9)) < 0.4, rng.random((150, 9)) * [1, 1, 1, 1, 1, 1, 1, 9, 0.1], 0)
+        x[-1] = x[70] = 0
+        y = (x[:, g % 6] + 0.2 * rng.standard_normal(150) > 0.2).astype(int)
+        y[:2] = 0, 1
+        s = np.array([150 / (2 * (y == c).sum()) for c in y])
+        data[f"g{g}"] = (x, y, s)
+        for r, label, weight in zip(x, y, s):
+            at = np.flatnonzero(r).tolist()
+            rows.append((f"g{g}", int(label), float(weight), at, r[at].tolist()))
+    rows += [("one", 1, 1.0, [0], [1.0])] * 5 + [("odd", i % 2, 1.0, [0], [float("nan")]) for i in range(6)]
+    df = spark.createDataFrame(rows, "goal STRING, label INT, weight DOUBLE, indices ARRAY<INT>, weights ARRAY<DOUBLE>")
+    parts = df.withColumn("features", vector_parts(F.col("indices"), F.col("weights"), 9)).drop("indices", "weights")
+    vectors = materialise(parts, "shared", ["goal"], {"features": VectorUDT()})
+    monkeypatch.setattr(train_module, "SMALL_ROWS", 0)
+    spark.sparkContext.setJobGroup("shared", "shared")
+    models, failed = train_module._fit_all(vectors, 9)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("shared")) < 120
+    got = {m.goal: m for m in models.collect()}
+    assert set(got) == set(data)
+    reasons = dict(failed)
+    assert set(reasons) == {"one", "odd"} and all(r.startswith("failed: ") for r in reasons.values())
+    for goal, (x, y, s) in data.items():
+        expected = newton(x, y, s)
+        assert [*got[goal].coefficients, got[goal].intercept] == pytest.approx(list(expected), abs=1e-4)
+
+
+def test_groups_of_large_goals_and_blocks_of_few_values(spark, monkeypatch):
+    """The fit does not depend on how goals are grouped and rows are cut into blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(f"g{g}", int(i % 2), 1.0, [0, 1 + i % 3], [float(v) for v in rng.random(2) + [i % 2, 0]]) for g in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "goal STRING, label INT, weight DOUBLE, indices ARRAY<INT>, weights ARRAY<DOUBLE>")
+    parts = df.withColumn("features", vector_parts(F.col("indices"), F.col("weights"), 4)).drop("indices", "weights")
+    vectors = materialise(parts, "groups", ["goal"], {"features": VectorUDT()})
+    counts = {f"g{g}": 40 for g in range(3)}
+    whole = solve_module.fit_large(vectors, counts, 4)
+    monkeypatch.setattr(solve_module, "SHARED_VALUES", 5)
+    monkeypatch.setattr(solve_module, "BLOCK_VALUES", 1)
+    cut = solve_module.fit_large(vectors, counts, 4)
+    for goal in counts:
+        assert cut[goal] == pytest.approx(whole[goal], abs=1e-6)
+
+
 def test_separable_and_empty_features_are_solved():
     none = np.array([], dtype=int)
     intercept, w = solve(Sparse(none, none, np.array([]), 4, 0), np.array([0.0, 1, 1, 1]), np.ones(4))
