@@ -4,11 +4,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gapscore.operators import tfidf as tfidf_module
 from gapscore.operators.tfidf import Vocabulary, fit_vocabulary, load_vocabulary, tfidf, tfidf_rows
 
 STOPS = ["the", "of"]
@@ -273,3 +276,26 @@ def test_few_coefficients_meet_terms_where_they_are_counted(spark):
     got = {r.i: r.probability for r in scored.collect()}
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     assert got == {1: pytest.approx(sigmoid((1.5 * 3 - 2) / 2.5 + 0.5)), 2: None, 3: pytest.approx(sigmoid(0.5)), 4: None}
+
+
+@pytest.mark.parametrize("held", [1, 200, 1 << 25])
+def test_a_task_adds_up_its_counts(monkeypatch, held):
+    """A term of many parts is sent once, or now and then if the terms take much memory; nothing is lost."""
+    monkeypatch.setattr(tfidf_module, "HELD_BYTES", held)
+    rng = np.random.default_rng(4)
+    for kind in (pa.string(), pa.int64()):
+        parts, want = [], {}
+        for _ in range(40):
+            terms = rng.choice(60, 10, replace=False)
+            tf, rows = rng.integers(1, 9, 10), rng.integers(1, 9, 10)
+            parts.append((pa.array([str(t) for t in terms]).cast(kind), tf, rows))
+            for t, a, b in zip(terms.tolist(), tf.tolist(), rows.tolist()):
+                want[t] = tuple(x + y for x, y in zip(want.get(t, (0, 0)), (a, b)))
+        got, sent = {}, 0
+        for term, tf, rows in tfidf_module._added_up(iter(parts)):
+            sent += len(term)
+            for t, a, b in zip(term.to_pylist(), tf.tolist(), rows.tolist()):
+                got[int(t)] = tuple(x + y for x, y in zip(got.get(int(t), (0, 0)), (a, b)))
+        assert got == want
+        assert sent == (400 if held == 1 else len(want) if held > 200 else sent)
+    assert list(tfidf_module._added_up(iter([]))) == []
