@@ -1,4 +1,4 @@
-"""Logistic regressions of many goals at once: small ones in a task each, larger ones by passes that all of them share."""
+"""Logistic regressions of many goals at once: small ones in a task each, medium ones by passes that all of them share."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 SMALL_ROWS, SMALL_VALUES = 20_000, 4_000_000
 _STEPS, _INNER, _PRECISION = 100, 200, 1e-9
 
-#: Larger goals: the gradient for each sample at which a fit ends, and by how much each step's conjugate gradients reduce theirs.
-LARGE_PRECISION, LARGE_INNER = 1e-6, 0.1
+#: Beyond that, a goal of at most so many feature values is solved with others, by passes over the rows of all.
+MEDIUM_VALUES = 8_000_000
+#: There, the gradient for each sample at which a fit ends, and by how much each step's conjugate gradients reduce theirs.
+SHARED_PRECISION, SHARED_INNER = 1e-6, 0.1
 #: Coefficients of all the goals that share their passes; more goals are fitted in several groups.
 SHARED_VALUES = 1 << 22
 #: Feature values that a task works on at once: few enough for a processor's cache.
@@ -134,7 +136,7 @@ def newton(d: int, n: int) -> Generator[tuple[np.ndarray, np.ndarray | None], np
     x = np.zeros(d + 1)
     now, g, diagonal = yield from at(x)
     for _ in range(_STEPS):
-        if np.linalg.norm(g) < LARGE_PRECISION * n:
+        if np.linalg.norm(g) < SHARED_PRECISION * n:
             break
         dx, r = np.zeros(d + 1), -g
         p = r / diagonal
@@ -148,7 +150,7 @@ def newton(d: int, n: int) -> Generator[tuple[np.ndarray, np.ndarray | None], np
             dx, r = dx + a * p, r - a * h
             scaled = r / diagonal
             last, rho = rho, r @ scaled
-            if rho < LARGE_INNER**2 * first:
+            if rho < SHARED_INNER**2 * first:
                 break
             p = scaled + rho / last * p
         slope, step = g @ dx, 1.0
@@ -239,7 +241,7 @@ def _pass(blocks: RDD, asked: dict) -> dict:
         sent.destroy()
 
 
-def fit_large(rows: DataFrame, counts: dict[str, int], size: int) -> dict[str, np.ndarray | Exception]:
+def fit_shared(rows: DataFrame, counts: dict[str, int], size: int) -> dict[str, np.ndarray | Exception]:
     """Coefficients and intercept, or what went wrong, for goals of ``(goal, label, weight, features)`` of any size.
 
     ``counts`` are their numbers of rows. Rows stay where they are; all goals of a group ask at once, so a group takes as many jobs
@@ -248,7 +250,7 @@ def fit_large(rows: DataFrame, counts: dict[str, int], size: int) -> dict[str, n
     done, goals, group = {}, list(counts), max(1, SHARED_VALUES // (size + 1))
     for start in range(0, len(goals), group):
         chosen = goals[start : start + group]
-        blocks = _blocks(rows.filter(F.col("goal").isin(chosen)), size).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = _blocks(rows.filter(F.col("goal").isin(chosen)), size).persist(StorageLevel.MEMORY_AND_DISK_DESER)
         fits, asked = {goal: newton(size, counts[goal]) for goal in chosen}, {}
         answers = dict.fromkeys(chosen)
         while fits:

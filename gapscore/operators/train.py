@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from gapscore import schemas
 from gapscore.functions.text import MODEL_SUFFIX
 from gapscore.operators.evaluate import accuracy, confusion, precision_recall, predicted
 from gapscore.operators.linear import apply_models
-from gapscore.operators.solve import SMALL_ROWS, SMALL_VALUES, fit_large, fit_small
+from gapscore.operators.solve import MEDIUM_VALUES, SMALL_ROWS, SMALL_VALUES, fit_shared, fit_small
 from gapscore.operators.split import (
     CROSS_VALIDATE,
     TRAIN,
@@ -27,6 +30,12 @@ from gapscore.operators.split import (
 from gapscore.operators.tfidf import Vocabulary, tfidf_batches
 from gapscore.storage import local_table, materialise, small_side
 
+# Fixed value: the solver's iteration limit.
+MAX_ITERATIONS = 1000
+
+# Fits are driver-side loops of small jobs; a few at a time keep the cluster busy.
+PARALLEL_FITS = 8
+
 
 @dataclass(frozen=True)
 class Training:
@@ -50,18 +59,27 @@ def vector_parts(indices: Column, weights: Column, size: int) -> Column:
 
 
 def fit(rows: DataFrame, n: int) -> tuple[float, list[float]]:
-    """L2-regularised logistic regression on ``n`` rows ``(label, weight, features)``: summed loss, unit penalty."""
-    size = rows.select(F.unwrap_udt("features").size).first()[0]
-    found = fit_large(rows.withColumn("goal", F.lit("")), {"": n}, size)[""]
-    if isinstance(found, Exception):
-        raise found
-    return float(found[-1]), found[:-1].tolist()
+    """L2-regularised logistic regression on ``(label, weight, features)`` rows.
+
+    ``regParam`` 1/n turns Spark's averaged loss into the summed loss with unit penalty.
+    """
+    solver = LogisticRegression(
+        weightCol="weight",
+        maxIter=MAX_ITERATIONS,
+        regParam=1.0 / n,
+        elasticNetParam=0.0,
+        standardization=False,
+    )
+    model = solver.fit(rows.select(F.col("label").cast("double"), "weight", "features"))
+    return float(model.intercept), [float(c) for c in model.coefficients.toArray()]
 
 
 def _fit_all(train_rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple]]:
     """(models, failures): every goal of ``train_rows`` fitted; one that fails is reported and the others go on.
 
-    All goals small enough for a task are fitted by one job, whatever their number. The larger ones share their passes over the rows.
+    All goals small enough for a task are fitted by one job, whatever their number. Medium ones share their passes over the rows,
+    as a job for each step of each goal would cost more than its work. A larger goal is a Spark ML job of its own, and a few of
+    these run at a time.
     """
     spark = train_rows.sparkSession
     values = F.size(F.unwrap_udt("features").indices)
@@ -73,16 +91,28 @@ def _fit_all(train_rows: DataFrame, size: int) -> tuple[DataFrame, list[tuple]]:
     small = train_rows.join(small_side(sizes.filter(in_a_task).select("goal")), "goal", "left_semi")
     fitted = materialise(fit_small(small, size), "fitted")
 
-    large = sizes.filter(~in_a_task).collect()
-    failed = [(r.goal, "failed: all training samples have the same label") for r in large if r.classes < 2]
-    done = fit_large(train_rows, {r.goal: r.n for r in large if r.classes > 1}, size)
-    failed += [(goal, f"failed: {found}") for goal, found in done.items() if isinstance(found, Exception)]
-    found = [(goal, float(x[-1]), x[:-1].tolist()) for goal, x in done.items() if not isinstance(x, Exception)]
+    def one(row):
+        try:
+            return (row.goal, *fit(train_rows.filter(F.col("goal") == row.goal), row.n)), None
+        except Exception as error:  # noqa: BLE001 - one goal must not stop the others
+            return None, (row.goal, f"failed: {error}")
+
+    rest, done = sizes.filter(~in_a_task).collect(), []
+    failed = [(r.goal, "failed: all training samples have the same label") for r in rest if r.classes < 2]
+    medium = {r.goal: r.n for r in rest if r.classes > 1 and r["values"] <= MEDIUM_VALUES}
+    shared = fit_shared(train_rows, medium, size)
+    failed += [(goal, f"failed: {found}") for goal, found in shared.items() if isinstance(found, Exception)]
+    found = [(goal, float(x[-1]), x[:-1].tolist()) for goal, x in shared.items() if not isinstance(x, Exception)]
+    large = [r for r in rest if r.classes > 1 and r.goal not in medium]
+    if large:
+        with ThreadPool(min(PARALLEL_FITS, len(large))) as pool:
+            done = pool.map(inheritable_thread_target(spark)(one), large)
+    found += [model for model, _ in done if model]
     models = fitted.filter("error IS NULL").drop("error")
     if found:
         models = models.unionByName(local_table(spark, found, schemas.GOAL_MODELS))
     unfit = [(r.goal, r.error) for r in fitted.filter("error IS NOT NULL").select("goal", "error").collect()]
-    return models, unfit + failed
+    return models, unfit + failed + [reason for _, reason in done if reason]
 
 
 def _with_weights(rows: DataFrame) -> DataFrame:

@@ -153,8 +153,8 @@ def test_all_small_goals_in_one_job(spark, monkeypatch):
         assert model.coefficients == pytest.approx(got[model.goal].coefficients, abs=1e-3)
 
 
-def test_large_goals_share_their_passes(spark, monkeypatch):
-    """Goals of any size take as many jobs as one, rows without features count, and the fit is the least of the objective."""
+def test_medium_goals_share_their_passes(spark, monkeypatch):
+    """Goals beyond a task take as many jobs as one, rows without features count, and the fit is the least of the objective."""
     rng, rows, data = np.random.default_rng(2), [], {}
     for g in range(12):
         x = np.where(rng.random((150, 9)) < 0.4, rng.random((150, 9)) * [1, 1, 1, 1, 1, 1, 1, 9, 0.1], 0)
@@ -181,9 +181,14 @@ def test_large_goals_share_their_passes(spark, monkeypatch):
     for goal, (x, y, s) in data.items():
         expected = newton(x, y, s)
         assert [*got[goal].coefficients, got[goal].intercept] == pytest.approx(list(expected), abs=1e-4)
+    monkeypatch.setattr(train_module, "MEDIUM_VALUES", 100)
+    large, failed = train_module._fit_all(vectors.filter(F.col("goal").isin("g1", "g2", "one")), 9)
+    assert [f[0] for f in failed] == ["one"]
+    for model in large.collect():
+        assert model.coefficients == pytest.approx(got[model.goal].coefficients, abs=1e-2)
 
 
-def test_groups_of_large_goals_and_blocks_of_few_values(spark, monkeypatch):
+def test_groups_of_medium_goals_and_blocks_of_few_values(spark, monkeypatch):
     """The fit does not depend on how goals are grouped and rows are cut into blocks."""
     rng = np.random.default_rng(3)
     rows = [(f"g{g}", int(i % 2), 1.0, [0, 1 + i % 3], [float(v) for v in rng.random(2) + [i % 2, 0]]) for g in range(3) for i in range(40)]
@@ -191,10 +196,10 @@ def test_groups_of_large_goals_and_blocks_of_few_values(spark, monkeypatch):
     parts = df.withColumn("features", vector_parts(F.col("indices"), F.col("weights"), 4)).drop("indices", "weights")
     vectors = materialise(parts, "groups", ["goal"], {"features": VectorUDT()})
     counts = {f"g{g}": 40 for g in range(3)}
-    whole = solve_module.fit_large(vectors, counts, 4)
+    whole = solve_module.fit_shared(vectors, counts, 4)
     monkeypatch.setattr(solve_module, "SHARED_VALUES", 5)
     monkeypatch.setattr(solve_module, "BLOCK_VALUES", 1)
-    cut = solve_module.fit_large(vectors, counts, 4)
+    cut = solve_module.fit_shared(vectors, counts, 4)
     for goal in counts:
         assert cut[goal] == pytest.approx(whole[goal], abs=1e-6)
 
