@@ -17,7 +17,7 @@ SMALL_ROWS, SMALL_VALUES = 20_000, 4_000_000
 _STEPS, _INNER, _PRECISION = 100, 200, 1e-9
 
 #: Beyond that, a goal of at most so many feature values is solved with others, by passes over the rows of all.
-MEDIUM_VALUES = 8_000_000
+MEDIUM_VALUES = 16_000_000
 #: There, the gradient for each sample at which a fit ends, and by how much each step's conjugate gradients reduce theirs.
 SHARED_PRECISION, SHARED_INNER = 1e-6, 0.1
 #: Coefficients of all the goals that share their passes; more goals are fitted in several groups.
