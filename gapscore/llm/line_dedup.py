@@ -14,6 +14,8 @@ DIVISOR = 2
 BASE = 31
 #: A chunk is compared if it has so many lines that are not blank.
 MIN_LINES = 2
+#: The column in which ``without_repeated_passages`` finds the places of chunks.
+GONE = "_chunks_gone"
 _LAST = 2**63 - 1
 
 
@@ -46,25 +48,38 @@ def _chunk_text(k: Column) -> Column:
     return F.array_join(F.slice("lines", start + 1, end - start), "\n")
 
 
-def _occurrences(chunked: DataFrame) -> DataFrame:
-    """A row for each chunk with enough lines: id, whole, k, at (its place in the order of the table), body."""
+def _occurrences(chunked: DataFrame, by_text: bool) -> DataFrame:
+    """A row for each chunk with enough lines: id, whole, k, at (its place in the order of the table), body.
+
+    Places are ordered by id and k, or with ``by_text`` by id, text and k.
+    """
     first = F.coalesce(F.col("id"), F.lit(_LAST)).cast("decimal(20,0)")
+    at = (first * F.lit(2**31).cast("decimal(11,0)") + F.col("k")).cast("decimal(38,0)")
+    if by_text:
+        at = F.struct(F.col("id").isNull().alias("no_id"), "id", "whole", "k")
     solid = F.size(F.filter(F.split("body", "\n"), lambda line: F.trim(line) != ""))
     return (
         chunked.select("id", "whole", "lines", "starts", F.explode(F.sequence(F.lit(0), F.size("starts") - 1)).alias("k"))
         .select("id", "whole", "k", _chunk_text(F.col("k")).alias("body"))
         .where(solid >= MIN_LINES)
-        .withColumn("at", (first * F.lit(2**31).cast("decimal(11,0)") + F.col("k")).cast("decimal(38,0)"))
+        .withColumn("at", at)
     )
 
 
 def without_repeated_chunks(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_of=F.md5, counts: bool = True
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    hash_of=F.md5,
+    counts: bool = True,
+    gone: str | None = None,
 ) -> DataFrame:
     """Every chunk of two or more lines stays where it occurs first, by id and place, and goes elsewhere.
 
     Returns ``docs`` with ``text`` cut, ``n_chars`` (if there is one) counted anew, and with ``counts`` two new
     columns, n_lines and n_removed, the lines before and those removed; columns of these names are replaced.
+    With ``gone`` nothing is cut: a new column of that name has the first and last line, from 0, of each chunk that
+    would go (null: none), and of rows with the same id the order is that of the text's MD5.
 
     Chunks meet under their MD5 (``hash_of``) with their text beside it as a grouping key, so Spark compares
     the bytes; they are counted before the shuffle. If a hash stands for two different texts, its chunks
@@ -75,7 +90,7 @@ def without_repeated_chunks(
     chunk's place; chunks of blank lines are left alone; a text whose chunks all go becomes empty and its
     row stays; an empty table gives no rows.
     """
-    occurrences = _occurrences(_chunked(docs, text, doc_id))
+    occurrences = _occurrences(_chunked(docs, text, doc_id), gone is not None)
     repeated = (
         occurrences.select(hash_of("body").alias("hash"), "body", "at")
         .groupBy("hash", "body")
@@ -104,16 +119,16 @@ def without_repeated_chunks(
         F.when(F.col("gone").isNotNull(), F.col(f"row.{text}")).alias("body"),  # the rest is not cut up again
     )
     stay = F.filter(F.sequence(F.lit(0), F.size("starts") - 1), lambda k: ~F.array_contains("gone", k))
-    lost = F.aggregate(
-        "gone",
-        F.lit(0),
-        lambda n, k: n + F.coalesce(F.get("starts", k + 1), F.size("lines")) - F.get("starts", k),
-    )
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
+    lost = F.aggregate("gone", F.lit(0), lambda n, k: n + end(k) - F.get("starts", k))
+    places = F.transform("gone", lambda k: F.struct(F.get("starts", k).alias("a"), (end(k) - 1).alias("b")))
     before = F.col("row").getField(text)
+    again = _chunked(joined, "body", "kept").select("id.row", "id.gone", "lines", "starts")
+    if gone:
+        placed = again.select("row", places.alias("places"))
+        return placed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != gone), F.col("places").alias(gone))
     cut = (
-        _chunked(joined, "body", "kept")
-        .select("id.row", "id.gone", "lines", "starts")
-        .select(
+        again.select(
             "row",
             F.when(F.col("gone").isNull(), before)
             .otherwise(F.array_join(F.transform(stay, _chunk_text), "\n"))
@@ -156,7 +171,11 @@ def _pair_text(a: Column, b: Column) -> Column:
 
 
 def without_repeated_passages(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_of=lambda body: F.unhex(F.md5(body))
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    hash_of=lambda body: F.unhex(F.md5(body)),
+    with_chunks: DataFrame | None = None,
 ) -> DataFrame:
     """Every passage of two or more lines that are not blank stays where it occurs first, by id, and goes elsewhere.
 
@@ -166,6 +185,9 @@ def without_repeated_passages(
     Hashes that repeat are then compared by their text (a grouping key); one that stands for different
     texts removes nothing.
 
+    ``with_chunks``, the documents from ``without_repeated_chunks`` with their places in a column GONE, cuts its chunks as
+    well. They are judged on the same texts in the same order, so that what a chunk leaves of a passage is still found.
+
     Returns ``docs`` with ``text`` cut and ``n_chars`` (if there is one) counted anew. Defined cases: a null text
     stays null; null ids come last; of rows with the same id the order is that of the text's MD5, and
     rows with the same id and text share their answer; in a run of equal lines the first two stay; a text whose lines
@@ -201,9 +223,14 @@ def without_repeated_passages(
     gone = (
         found.where("at > first")
         .join(clashing, "hash", "left_anti")
-        .groupBy("at.id", "at.whole")
-        .agg(F.collect_set(F.struct((F.col("at.a") + inside.cast("int")).alias("a"), F.col("at.b").alias("b"))).alias("gone"))
+        .select("at.id", "at.whole", (F.col("at.a") + inside.cast("int")).alias("a"), F.col("at.b").alias("b"))
     )
+    if with_chunks is not None:
+        whole = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("whole")
+        # written whole: a filter would be moved into the steps that compute the places, which would then run for each chunk
+        chunks = scratch.keep(with_chunks.select(F.col(doc_id).alias("id"), whole, GONE), "chunks")
+        gone = gone.unionByName(chunks.select("id", "whole", F.explode(GONE).alias("chunk")).select("id", "whole", "chunk.a", "chunk.b"))
+    gone = gone.groupBy("id", "whole").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     stay = F.array_except(
         F.sequence(F.lit(0), F.size("lines") - 1), F.flatten(F.transform("gone", lambda g: F.sequence(g.a, g.b)))
     )

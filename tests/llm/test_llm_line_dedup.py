@@ -3,6 +3,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import line_dedup as stage
 from gapscore.llm import line_dedup
 from gapscore.llm.line_dedup import without_repeated_chunks, without_repeated_passages
 
@@ -126,3 +127,58 @@ def test_awkward_passages(awkward, nothing, spark):
     docs = spark.createDataFrame([(1, "a\nb"), (2, "c\nd")], "doc_id long, text string")
     same = lambda c: F.lit("0")
     assert {r["text"] for r in without_repeated_passages(docs, hash_of=same).collect()} == {"a\nb", "c\nd"}
+
+
+def without_both(rows):
+    """Lines of repeated chunks and of repeated pairs, both judged on the input in the order of id and text."""
+    seen, pairs, out = set(), {}, []
+    for key in sorted(rows, key=lambda r: (r[0] is None, r[0], md5((r[1] or "").encode()).hexdigest())):
+        doc_id, text = key
+        gone, start = set(), 0
+        lines = (text or "").split("\n")
+        for chunk in chunks(text):
+            body = "\n".join(chunk)
+            if sum(x.strip(" ") != "" for x in chunk) >= line_dedup.MIN_LINES:
+                if body in seen:
+                    gone.update(range(start, start + len(chunk)))
+                seen.add(body)
+            start += len(chunk)
+        solid = [i for i, line in enumerate(lines) if line.strip(" \t\r")]
+        for a, b in zip(solid, solid[1:]):
+            first = pairs.setdefault((lines[a], lines[b]), (key, a, b))
+            if first != (key, a, b):
+                gone.update(range(a + (first[0] == key and first[2] == a), b + 1))
+        out.append((doc_id, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] is None, r[1]))
+
+
+def test_stage_cuts_the_chunks_of_operator_7(spark):
+    """What a chunk holds besides pairs of lines goes too: blank lines at its ends, and lines of tabs, which it counts."""
+    rows = [(1, "head\n\t"), (2, "head\n\t"), (3, "\nred\nblue\n"), (4, "\nred\nblue\n"), (5, "other\nlines")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in stage(spark, docs, "").collect()}
+    cut = {r["doc_id"]: r["text"] for r in without_repeated_chunks(docs).collect()}
+    assert cut[2] == cut[4] == "" and got == {**dict(rows), 2: "", 4: ""}
+
+
+def test_stage_against_brute_force(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    # passages that begin and end within chunks, copies, null and repeated ids, whose texts have their passages at different places
+    passage = "\n".join(f"line {i} of a passage" for i in range(12))
+    rows += [(10_000_000 + k, "\n".join([f"before {k}"] * (k % 5 + 1) + [passage, f"after {k}"])) for k in range(12)]
+    rows += [(doc_id, f"{k}\n" * (3 * k + 1) + passage + f"\n\t\n\nafter {k}") for k in range(8) for doc_id in (20_000_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, "").collect()]
+    assert in_order(got) == in_order(without_both(rows))
+    lines = lambda texts: {line for t in texts for line in (t or "").split("\n")}
+    assert {x for x in lines(t for _, t in rows) if x.strip()} <= lines(t for _, t in got)  # each line is left somewhere
+
+
+def test_stage_of_awkward_rows(spark, awkward, nothing):
+    got = stage(spark, awkward, "")
+    assert got.columns == awkward.columns and got.count() == awkward.count()
+    assert stage(spark, nothing, "").collect() == []
