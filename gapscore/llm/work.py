@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-from gapscore.storage import new_path
-
-# Spark's switch that deletes a query's shuffle files as soon as the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _shuffles_end_with_query(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+from gapscore.storage import new_path, shuffles_end_with_query
 
 
 class Scratch:
@@ -38,7 +19,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        with _shuffles_end_with_query(self.spark):
+        with shuffles_end_with_query(self.spark):
             df.select("*").write.parquet(path)  # planned anew, under the switch
         return self.spark.read.schema(df.schema).parquet(path)
 

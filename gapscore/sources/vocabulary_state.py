@@ -12,9 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gapscore import files
-from gapscore.operators.tfidf import MAX_DF, MAX_FEATURES, MIN_DF, by_term, ranked_vocabulary, term_counts
+from gapscore.operators.tfidf import MAX_DF, MAX_FEATURES, MIN_DF, corpus_counts, ranked_parts, ranked_vocabulary
+from gapscore.storage import shuffles_end_with_query
 
 _COUNTS = "term STRING, corpus_tf BIGINT, df BIGINT, attempt STRING"
 
@@ -38,21 +40,26 @@ class VocabularyState:
             return False
         texts = texts.filter(F.col(column).isNotNull())
         attempt, n = uuid.uuid4().hex, texts.count()
-        self._write(by_term(term_counts(texts, column, self.stop_words, [])), attempt)
-        if files.put_text(self.spark, marker, json.dumps({"attempt": attempt, "texts": n})):
+        self._write(corpus_counts(texts, column, None, stop_words=self.stop_words), attempt)
+        if files.put_text(self.spark, marker, json.dumps({"attempt": attempt, "texts": n, "plain": isinstance(texts.schema[column].dataType, StringType)})):
             return True
         files.delete(self.spark, f"{self.parts}/attempt={attempt}")
         return False
 
     def counts(self) -> tuple[DataFrame, int]:
         """((term, corpus_tf, df), number of texts) of all batches."""
+        stored, n = self._stored()
+        return stored.groupBy("term").agg(F.sum("corpus_tf").alias("corpus_tf"), F.sum("df").alias("df")), n
+
+    def _stored(self) -> tuple[DataFrame, int]:
+        """The same with a row for each term of the base and of each batch that it does not cover."""
         base, batches = self._committed()
         attempts = [b["attempt"] for b in batches.values()] + ([base["attempt"]] if base else [])
         n = sum(b["texts"] for b in batches.values()) + (base["texts"] if base else 0)
         if not attempts:
             return self.spark.createDataFrame([], _COUNTS).drop("attempt"), 0
         stored = self.spark.read.schema(_COUNTS).option("basePath", self.parts).parquet(*(f"{self.parts}/attempt={a}" for a in attempts))
-        return stored.groupBy("term").agg(F.sum("corpus_tf").alias("corpus_tf"), F.sum("df").alias("df")), n
+        return stored.drop("attempt"), n
 
     def compact(self) -> None:
         """Merge all batches into one base. Readers see the old parts or the base; markers stay."""
@@ -60,20 +67,29 @@ class VocabularyState:
         if not batches:
             return
         counts, n = self.counts()
-        attempt = uuid.uuid4().hex
+        attempt, plain = uuid.uuid4().hex, self._plain(base, batches)
         self._write(counts, attempt)
         covered = sorted({*batches, *(base["batches"] if base else [])})
-        files.put_text(self.spark, f"{self.folder}/BASE", json.dumps({"attempt": attempt, "texts": n, "batches": covered}), replace=True)
+        files.put_text(self.spark, f"{self.folder}/BASE", json.dumps({"attempt": attempt, "texts": n, "batches": covered, "plain": plain}), replace=True)
         for old in [b["attempt"] for b in batches.values()] + ([base["attempt"]] if base else []):
             files.delete(self.spark, f"{self.parts}/attempt={old}")
 
     def vocabulary(self, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
         """As ``fit_vocabulary`` over all texts of all batches."""
-        counts, n = self.counts()
-        return ranked_vocabulary(counts, n, max_features, min_df, max_df)
+        if not self._plain(*self._committed()):
+            counts, n = self.counts()
+            return ranked_vocabulary(counts, n, max_features, min_df, max_df)
+        stored, n = self._stored()
+        return ranked_parts(stored, n, max_features, min_df, max_df)
+
+    @staticmethod
+    def _plain(base: dict | None, batches: dict[str, dict]) -> bool:
+        """Whether all words are tokens of texts. An element of a list may hold a space as pairs do."""
+        return all(part.get("plain", False) for part in [*batches.values(), *([base] if base else [])])
 
     def _write(self, counts: DataFrame, attempt: str) -> None:
-        counts.select("term", "corpus_tf", "df").write.parquet(f"{self.parts}/attempt={attempt}")
+        with shuffles_end_with_query(self.spark):
+            counts.select("term", "corpus_tf", "df").write.parquet(f"{self.parts}/attempt={attempt}")
 
     def _committed(self) -> tuple[dict | None, dict[str, dict]]:
         """The base, and the batches that it does not cover: one small file each."""

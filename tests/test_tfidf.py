@@ -299,3 +299,44 @@ def test_a_task_adds_up_its_counts(monkeypatch, held):
         assert got == want
         assert sent == (400 if held == 1 else len(want) if held > 200 else sent)
     assert list(tfidf_module._added_up(iter([]))) == []
+
+
+def test_words_and_pairs_are_counted_at_once(spark):
+    from gapscore.operators import tfidf as counting
+
+    rows = [("the cat sat on the mat",), ("cat sat, cat sat",), (None,), ("",), ("straße cat_x 9a b",)]
+    texts = spark.createDataFrame(rows, "t string")
+    got = counting.corpus_counts(texts, "t", None, stop_words=["the"]).collect()
+    want = counting.by_term(counting.term_counts(texts, "t", ["the"], [])).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.term for r in got} >= {"cat", "cat sat"}
+
+
+def test_vocabulary_of_stored_batches_counts_few_pairs(spark, sf, tmp_path):
+    """Pairs of rare words stay where they are stored; the vocabulary is that of all counts."""
+    from gapscore.operators import tfidf as counting
+    from gapscore.sources.vocabulary_state import VocabularyState
+
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    state = VocabularyState(spark, str(tmp_path / "state"), ["the"])
+    for k in range(2):
+        state.add(texts.filter(f"pmod(doc_id, 2) = {k}"), "text", f"b{k}")
+    counts, n = state.counts()
+    for size, min_df, max_df in ((50, 1, 0.5), (300, 3, 1.0), (10**6, 1, 1.0)):
+        want = counting.ranked_vocabulary(counts, n, size, min_df, max_df).collect()
+        assert sorted(state.vocabulary(size, min_df, max_df).collect()) == sorted(want)
+    plan = state.vocabulary(50, 1, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
+
+
+def test_batches_of_lists_with_spaces(spark, tmp_path):
+    """An element of a list may look like a pair."""
+    from gapscore.operators import tfidf as counting
+    from gapscore.sources.vocabulary_state import VocabularyState
+
+    lists = spark.createDataFrame([(["a b", "a b", "c", "c", "a b"],), (["c", "d"],)], "t array<string>")
+    state = VocabularyState(spark, str(tmp_path / "state"), [])
+    state.add(lists, "t", "b0")
+    state.compact()
+    counts, n = state.counts()
+    want = counting.ranked_vocabulary(counts, n, 2, 1, 1.0).collect()
+    assert sorted(state.vocabulary(2, 1, 1.0).collect()) == sorted(want) and "a b" in {r.term for r in want}
