@@ -11,6 +11,8 @@ texts look up their words. Only a text that meets any other rule, or a skill tha
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,9 @@ from gapscore.storage import materialise
 
 _ROW = "_extract_row"
 
+#: Bytes of text whose words are shuffled at a time.
+PORTION_BYTES = 1 << 30
+
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_CHAR + "+"), F.lit(0))
@@ -174,13 +179,37 @@ def _ways(rules: DataFrame, special: DataFrame) -> DataFrame:
     return all_keys.select("key", F.coalesce("becomes", "key").alias("becomes"), "special")
 
 
+def _portions(texts: DataFrame) -> list[DataFrame]:
+    """The texts in runs of about PORTION_BYTES. The number of a row begins with that of its partition, 33 bits before the end."""
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
+    parts = texts.groupBy(F.shiftright(_ROW, 33).alias("part")).agg(size).orderBy("part").collect()
+    starts, held = [], 0
+    for row in parts:
+        if not starts or held + row["size"] > PORTION_BYTES:
+            starts.append(row["part"])
+            held = 0
+        held += row["size"]
+    if len(starts) < 2:
+        return [texts]
+    ends = [*starts[1:], parts[-1]["part"] + 1]
+    return [texts.where((F.col(_ROW) >= start << 33) & (F.col(_ROW) < end << 33)) for start, end in zip(starts, ends)]
+
+
 def _met(texts: DataFrame, special: DataFrame, meanings: DataFrame, entry: Column) -> DataFrame:
-    """(row, special, entries): whether a text meets a special key, and the distinct entries that its keys lead to."""
+    """(row, special, entries): whether a text meets a special key, and the distinct entries that its keys lead to.
+
+    A text and a word are a row of the first shuffle, a text's entries of the second. The shuffles of a portion are deleted
+    before the next one begins, so what they take does not grow with the texts.
+    """
     # characters outside of words are looked up only if there is a term without a word
     keys = _words if special.where(~_is_word(F.col("key"))).isEmpty() else _keys
-    seen = texts.select(_ROW, F.explode(F.array_distinct(keys(F.col("text")))).alias("key"))
     entries = F.collect_set(F.when(entry.isNotNull(), entry)).alias("entries")
-    return materialise(seen.join(meanings, "key").groupBy(_ROW).agg(F.max("special").alias("special"), entries), "met")
+
+    def met(portion: DataFrame) -> DataFrame:
+        seen = portion.select(_ROW, F.explode(F.array_distinct(keys(F.col("text")))).alias("key"))
+        return materialise(seen.join(meanings, "key").groupBy(_ROW).agg(F.max("special").alias("special"), entries), "met")
+
+    return reduce(DataFrame.unionByName, [met(portion) for portion in _portions(texts)])
 
 
 def _of(texts: DataFrame, met: DataFrame) -> DataFrame | None:
@@ -203,16 +232,16 @@ def _put(marked: pd.Series, entries: pd.Series) -> pd.Series:
 
 
 def _numbered(df: DataFrame, text: Column, case_sensitive: bool) -> tuple[DataFrame, DataFrame]:
-    rows = materialise(df.select("*", text.alias("_extract_text"), F.monotonically_increasing_id().alias(_ROW)), "texts")
-    folded = F.col("_extract_text") if case_sensitive else F.lower("_extract_text")
-    return rows.drop("_extract_text"), rows.select(_ROW, escape_marks(folded).alias("text")).where("text IS NOT NULL")
+    rows = materialise(df.select("*", F.monotonically_increasing_id().alias(_ROW)), "texts")
+    folded = text if case_sensitive else F.lower(text)  # of the same columns as before, so texts are written once
+    return rows, rows.select(_ROW, escape_marks(folded).alias("text")).where("text IS NOT NULL")
 
 
 def canonicalise(df: DataFrame, text: Column, tables: RuleTables, output: str, case_sensitive: bool = False) -> DataFrame:
     rows, texts = _numbered(df, text, case_sensitive)
     rules = _rules(tables, case_sensitive)
     special = rules.where("word IS NULL").select("key").distinct()
-    changed = _ways(rules, special).where("special OR becomes <> key")
+    changed = materialise(_ways(rules, special).where("special OR becomes <> key"), "changed")
     met = _met(texts, special, changed, F.when(F.col("becomes") != F.col("key"), F.struct("key", "becomes")))
     plain = texts.join(met, _ROW, "left").where("special IS NULL OR NOT special")
     put = F.when(F.size("entries") > 0, _put(put_marks(F.col("text")), F.coalesce("entries", F.array()))).otherwise(F.col("text"))
@@ -245,9 +274,9 @@ def extract_skills(df: DataFrame, text: Column, tables: RuleTables, output: str,
     unchanged = of_word.join(ways, of_word["becomes"] == ways["key"], "left_anti")
     stays = unchanged.select(F.col("becomes").alias("key"), "becomes", F.lit(False).alias("special"))
     meanings = ways.unionByName(stays).join(of_word, "becomes", "left").where("special OR skills IS NOT NULL")
-    met = _met(texts, special, materialise(meanings, "meanings"), F.when(F.col("skills").isNotNull(), F.struct("becomes", "skills")))
-    listed = F.array_sort(F.flatten(F.transform("entries", lambda e: e.skills)))
-    named = met.where("NOT special").select(_ROW, listed.alias(output))
+    named_keys = meanings.select("key", "special", F.explode_outer("skills").alias("skill"))  # a skill belongs to one word
+    met = _met(texts, special, materialise(named_keys, "meanings"), F.col("skill"))
+    named = met.where("NOT special").select(_ROW, F.array_sort("entries").alias(output))
     if (others := _of(texts, met)) is not None:
         named = named.unionByName(_found_in_texts(others, rules, skills, output))
     return rows.join(named, _ROW, "left").withColumn(output, F.coalesce(output, F.expr("array()").cast("array<string>"))).drop(_ROW)

@@ -234,3 +234,33 @@ def test_rules_between_words_are_not_run_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(extract_joined, "_rewritten", never)
     words = [f"w{i}" for i in range(200)]
     check(spark, [" ".join(words), "w7", ""], [(w, f"s{i // 8}") for i, w in enumerate(words)], ["s0", "s3", "w1"], joined=True)
+
+
+def test_joined_texts_are_written_once_and_met_in_portions(spark, monkeypatch):
+    rows = [(i, f"erat thes {i % 7} word{i % 5} of the thing") for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    dictionary = tables(spark, [("thes", "thing"), ("erat", "erin"), ("of the", "of that")], ["thing", "erin", "word3", "of that"])
+    run = lambda: sorted(map(tuple, extract_skills(docs, "text", dictionary).drop("text").collect()), key=str)
+    want = run()
+    assert {s for _, found in want for s in found} == {"thing", "erin", "word3", "of that"}
+    monkeypatch.setattr(extract_joined, "PORTION_BYTES", 200)
+    assert run() == want
+    stored, texts = extract_joined._numbered(docs, F.col("text"), False)
+    assert spark.read.parquet(*stored.inputFiles()).columns == ["id", "text", extract_joined._ROW]  # no second copy
+    portions = extract_joined._portions(texts)
+    assert len(portions) > 2 and sum(p.count() for p in portions) == texts.count() == 61
+    assert len(extract_joined._portions(texts.limit(0))) == 1
+
+
+def test_shuffle_files_end_with_the_table(spark):
+    from gapscore.storage import materialise
+
+    def shuffle_files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).endswith(".data")}
+
+    counts = spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count()
+    before = shuffle_files()
+    stored = materialise(counts, "counts")
+    assert not shuffle_files() - before
+    assert stored.count() == 10
